@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .jaccard import join_components
 from .packing import pack
+from .passages import remove_repeats
 from .quality import judged
 from .token_counts import token_counts
 from .url_rules import judge
@@ -20,6 +22,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -32,6 +38,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge(table(spark, sf_dir, "pages"), rules)
@@ -58,9 +68,11 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/
 """
 
 QUERIES = {
+    "op2_phrase_automata": op2_phrase_automata,
     "op3_token_counts": op3_token_counts,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op10_url_rules": op10_url_rules,
 }
 ORACLE_SQL = {"op10_url_rules": SQL_OP10}
