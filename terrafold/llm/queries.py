@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .jaccard import join_components
+from .licenses import scan_licenses
 from .packing import pack
 from .passages import remove_repeats
 from .quality import judged
@@ -42,6 +43,10 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge(table(spark, sf_dir, "pages"), rules)
@@ -73,6 +78,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_license_scan": op9_license_scan,
     "op10_url_rules": op10_url_rules,
 }
 ORACLE_SQL = {"op10_url_rules": SQL_OP10}
