@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import contaminated
 from .jaccard import join_components
 from .licenses import scan_licenses
 from .packing import pack
@@ -31,6 +32,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -75,6 +80,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/
 QUERIES = {
     "op2_phrase_automata": op2_phrase_automata,
     "op3_token_counts": op3_token_counts,
+    "op4_decontamination": op4_decontamination,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_ngram_jaccard": op8_ngram_jaccard,
