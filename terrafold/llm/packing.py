@@ -20,40 +20,54 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import id_text
+from .common import id_text, steps
 
-#: Longer words aren't kept, and a worker's memory of words is cleared beyond so many.
-KEPT_CHARS, KEPT_WORDS = 64, 200_000
+#: Longer words aren't kept, and a worker keeps the words of its last two spells of so many.
+KEPT_CHARS, KEPT_WORDS = 64, 500_000
+ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 class WordIds:
-    """Token ids of whole texts, word by word: the tokenizer never looks across a space or a newline."""
+    """Token ids of whole texts, word by word: the tokenizer never looks across a space or a newline, and lower-cases."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
-        try:
-            found = b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            new = list({w for w in words if w not in self.known})
-            ids = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False))}
-            if len(self.known) > KEPT_WORDS:
-                self.known = {"": b""}
-            found = b"".join(ids[w] if w in ids else self.known[w] if w in self.known else self.encode(w) for w in words)
-            self.known.update((w, x) for w, x in ids.items() if len(w) <= KEPT_CHARS)
-        return np.frombuffer(found, dtype="<u4")
-
-    def encode(self, word: str) -> bytes:
-        return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        words, ends = [], []
+        for text in texts:
+            raw = text.encode()
+            if b"<|" not in raw:  # special tokens are told by their case
+                raw = raw.lower()
+            words += raw.replace(b"\n", b" ").split(b" ")
+            ends.append(len(words))
+        found = list(map(self.known.get, words))
+        if None in found:
+            new = self.encode({w for w, x in zip(words, found) if x is None})
+            found = [new[w] if x is None else x for w, x in zip(words, found)]
+        return [np.frombuffer(b"".join(found[a:b]), dtype="<u4") for a, b in zip([0, *ends], ends)]
+
+    def encode(self, words: set[bytes]) -> dict[bytes, bytes]:
+        ids = {w: self.older[w] for w in words if w in self.older}
+        todo = words - ids.keys()
+        # A comma or full stop after an ASCII letter or digit is a token of its own.
+        ends = {w for w in todo if len(w) > 1 and w[-1] in b".," and w[-2] in ALNUM and b"<|" not in w}
+        rest = list({w[:-1] if w in ends else w for w in todo} | {w[-1:] for w in ends})
+        got = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(rest, self.library.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False))}
+        ids |= {w: got[w[:-1]] + got[w[-1:]] if w in ends else got[w] for w in todo}
+        if len(self.known) > KEPT_WORDS:
+            self.older, self.known = self.known, {}
+        self.known.update((w, x) for w, x in ids.items() if len(w) <= KEPT_CHARS)
+        return ids
 
 
 @lru_cache(maxsize=2)
@@ -118,10 +132,16 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, linear:
         def flush(rows):
             return pa.RecordBatch.from_arrays([pa.array(list(c), type=pa.int64()) for c in zip(*rows)], list(COLUMNS))
 
+        def tokenized(batch):
+            sizes = pa.compute.binary_length(batch.column(1)).fill_null(0).to_pylist()
+            for a, b in steps(sizes, 1 << 20):
+                part = batch.slice(a, b - a)
+                yield from zip(part.column(0).to_pylist(), ids_of([x or "" for x in part.column(1).to_pylist()]))
+
         rows = []
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(ids_of(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
+            for doc, ids in tokenized(batch):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 full = len(ids) // size * size
                 for start in range(0, full, size):
                     rows.append(whole(doc, start, ids[start : start + size], len(ids), 0, sequence, size))
