@@ -10,6 +10,7 @@ from .jaccard import join_components
 from .licenses import scan_licenses
 from .packing import pack
 from .passages import remove_repeats
+from .ppm import score
 from .quality import judged
 from .token_counts import token_counts
 from .url_rules import judge
@@ -36,6 +37,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -81,6 +86,7 @@ QUERIES = {
     "op2_phrase_automata": op2_phrase_automata,
     "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
+    "op5_ppm": op5_ppm,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_ngram_jaccard": op8_ngram_jaccard,
