@@ -55,3 +55,16 @@ def steps(sizes, limit: int = STEP_BYTES):
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator needs, so that other columns can't clash with its own."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+#: A key filter has 2 ** FILTER_BITS bits (1 MB) whatever the number of keys; more keys only let more rows through.
+FILTER_BITS = 23
+
+
+def maybe_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """df with maybe: false only where df's key isn't in the keys' first column; a bit table of fixed size is broadcast, so few rows need a shuffle to be sure."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    bits = keys.select(place(F.col(keys.columns[0])).alias("p_")).select(F.expr("p_ div 64").alias("w_"), F.expr("shiftleft(1L, int(p_ % 64))").alias("b_")).groupBy("w_").agg(F.bit_or("b_").alias("b_"))
+    placed = df.withColumn("p_", place(F.col(key)))
+    joined = placed.join(F.broadcast(bits), F.expr("p_ div 64 = w_"), "left")
+    return joined.withColumn("maybe", F.expr("coalesce((shiftright(b_, int(p_ % 64)) & 1) = 1, false)")).drop("p_", "w_", "b_")
