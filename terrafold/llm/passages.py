@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, parts
+from .common import cut, id_text, maybe_in, parts
 from .hashing import Words, mix, text_steps
 
 WINDOW, PHRASE = 35, 8
@@ -148,11 +148,14 @@ LOCATED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_remove
 def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text of every document."""
     docs = id_text(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    named = cut(name_phrases(docs, window, phrase))
+    named = name_phrases(docs, window, phrase)  # cheaper to find again than to keep
     often = named.groupBy("h").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).where("n > 1").select("h", F.expr("a = b").alias("settled"))
     often = cut(often.repartition(parts(docs.sparkSession)))  # dealt anew, so that Spark can split a hot phrase in the join
-    wanted = named.select("key", "h").join(often.hint("merge"), "h").groupBy("key").agg(F.collect_set(F.struct("h", "settled")).alias("phrases"))
-    ready = docs.join(wanted.hint("merge"), "key", "left").select("doc_id", "text", "phrases")
+    wanted = cut(named.select("key", "h").join(often.hint("merge"), "h").groupBy("key").agg(F.collect_set(F.struct("h", "settled")).alias("phrases")))
+    # Documents that name no recurring phrase needn't meet the phrases.
+    seen = maybe_in(docs, "key", wanted.select("key"))
+    none = F.lit(None).cast("array<struct<h: bigint, settled: boolean>>")
+    ready = seen.where("maybe").join(wanted.hint("merge"), "key", "left").select("doc_id", "text", "phrases").unionByName(seen.where("NOT maybe").select("doc_id", "text", none.alias("phrases")))
 
     def run(batches):
         for batch in batches:
