@@ -1,7 +1,7 @@
 """The planning-domain queries by name, and their oracle SQL."""
 
-from . import register_queries, space_queries, text_queries
+from . import document_queries, register_queries, space_queries, text_queries
 
-MODULES = (text_queries, register_queries, space_queries)
+MODULES = (document_queries, text_queries, register_queries, space_queries)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
