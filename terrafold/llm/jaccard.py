@@ -11,9 +11,9 @@ there:
 
 Exact copies are one class and emit alike. Within a task equal signatures are combined: one class leads and is shuffled
 by the signature, the others follow it dealt out at random, so a signature of very many documents is nowhere gathered.
-Classes that share signatures are candidates. First each is compared with one leader; then, within signatures that
-still hold several components, the pairs between components are compared, so no link that could join two is left out.
-Both compare whole sets exactly. Links and components never leave Spark's tables.
+Classes that share signatures are candidates. First each is compared with one leader; then, where signatures still hold
+several components, members of small ones pairwise and those of large ones block against block, so no link that could
+join two is left out. All compare whole sets exactly. Links and components never leave Spark's tables.
 
 Null and empty texts have no shingles and are linked with nothing. Fewer words than a shingle are one shingle. Rows that
 share an id count as one document. A null id has no component. An empty table gives no rows. Only the id and text are
@@ -30,23 +30,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, parts
+from .common import cut, id_text, maybe_in, parts
 from .hashing import Words, mix, range_hashes, text_steps
 
+#: Sets to a block where the members of a group are compared.
+BLOCK = 64
 #: Differences up to which subsets of parts are enumerated.
 FEW = 8
 
 
 @lru_cache(maxsize=8)
 def bands(num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each band's smallest and largest size; a band spans two similarity ratios."""
+    """Each band's smallest and largest size; a band spans one similarity ratio."""
     low, high = [1], []
     while low[-1] < 1 << 40:
-        high.append(max(low[-1], low[-1] * den * den // (num * num)))
+        high.append(max(low[-1], low[-1] * den // num))
         low.append(high[-1] + 1)
     return np.array(low[:-1]), np.array(high)
 
 
+@lru_cache(maxsize=1024)
+def spare(k: int, smallest: int) -> int:
+    """Parts beyond k + 1, enough that a set of the smallest size hardly ever has more empty ones (their mean and three deviations)."""
+    e = 2
+    for _ in range(20):
+        n = k + 1 + e
+        empty = n * float(np.exp(-smallest / n))
+        e = max(e, int(np.ceil(empty + 3 * empty**0.5 + 1)))
+    return e
+
+
 def plan(size: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
     """(band, parts, parts to a signature, empty parts to leave out) of the instances that a set of this size takes part in."""
     if not size:
@@ -60,7 +73,7 @@ def plan(size: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
             if 0 < k <= FEW:
                 out.append((band, max(6, k + 2), max(6, k + 2) - k, 0))
             elif k:
-                e = 2 + k // 20
+                e = spare(k, -(-num * int(low[band]) // den))
                 out.append((band, k + 1 + e, 1, e))
     return out
 
@@ -72,13 +85,13 @@ def choices(n: int, r: int) -> np.ndarray:
 
 def signatures(features: np.ndarray, num: int, den: int) -> np.ndarray:
     found = []
-    for band, n, r, spare in plan(len(features), num, den):
+    for band, n, r, free in plan(len(features), num, den):
         part = (mix(features ^ np.uint64(band + 1)) >> np.uint64(33)) % np.uint64(n)
         sums = np.zeros(n, dtype=np.uint64)
         np.add.at(sums, part.astype(np.int64), mix(features + np.uint64(7)))
         if r == 1:
             empty = np.bincount(part.astype(np.int64), minlength=n) == 0
-            which = np.flatnonzero(~empty) if empty.sum() <= spare else np.arange(n)
+            which = np.flatnonzero(~empty) if empty.sum() <= free else np.arange(n)
             tags = sums[which] + mix(which.astype(np.uint64) + np.uint64(1))
         else:
             tags = (sums + mix(np.arange(1, n + 1, dtype=np.uint64)))[choices(n, r)].sum(axis=1, dtype=np.uint64)
@@ -139,13 +152,16 @@ def candidates(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     # Leaders meet by signature; the others already know that theirs is shared.
                     key = np.where(lead, sig, mix((sig ^ cls).view(np.uint64)).view(np.int64))
                     several = np.append(~lead[1:], False) & lead
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, sig, cls, ~lead, several)], ["key", "sig", "c1", "follows", "several"])
+                    # tag: null for a leader, 0 for one that has followers, the signature for a follower.
+                    tag = pa.array(np.where(lead, 0, np.where(sig == 0, 1, sig)), mask=lead & ~several)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls), tag], ["key", "c1", "tag"])
 
     def meet(batches):
         held = None  # the run of one signature that is open: (signature, class not yet told, or None)
         for batch in batches:
-            sig, cls, follows, several = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3, 4))
-            out_sig, out_cls = [sig[follows]], [cls[follows]]
+            sig, cls, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).fill_null(0).to_numpy()
+            follows, several = tag != 0, batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            out_sig, out_cls = [tag[follows]], [cls[follows]]
             sig, cls, several = sig[~follows], cls[~follows], several[~follows]
             if len(sig):
                 begin = np.ones(len(sig), dtype=bool)
@@ -166,7 +182,7 @@ def candidates(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 held = (sig[-1], None if told[-1] else cls[-1])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_sig, out_cls)], ["sig", "c1"])
 
-    emitted = docs.mapInArrow(emit, "key long, sig long, c1 long, follows boolean, several boolean")
+    emitted = docs.mapInArrow(emit, "key long, c1 long, tag long")
     return emitted.repartition(parts(docs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(meet, "sig long, c1 long")
 
 
@@ -188,20 +204,80 @@ def compare(pairs: DataFrame, features: DataFrame, num: int, den: int) -> DataFr
     return pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
 
 
+def link_block(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Links that join the components of one or two blocks' sets (a spanning forest of them): node, block, lo, hi, component, features."""
+    nodes, component = table.column("node").to_pylist(), table.column("component").to_numpy()
+    own, lo, hi = table.column("block").to_numpy(), table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    all_ = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("features")]
+    size = np.array([len(x) for x in all_])
+    owner = np.repeat(np.arange(len(all_)), size)
+    shingle, at = np.unique(np.concatenate(all_), return_inverse=True)
+    both = np.zeros((len(all_), len(all_)))
+    for c in range(0, len(shingle), 65_536):
+        here = (at >= c) & (at < c + 65_536)
+        has = np.zeros((len(all_), min(65_536, len(shingle) - c)), dtype=np.float32)
+        has[owner[here], at[here] - c] = 1
+        both += has @ has.T
+    near = den * both >= num * (size[:, None] + size[None, :] - both)
+    near &= component[:, None] != component[None, :]
+    if lo != hi:
+        near &= own[:, None] != own[None, :]
+    root = {c: c for c in component.tolist()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for i, j in np.argwhere(np.triu(near)).tolist():
+        x, y = find(int(component[i])), find(int(component[j]))
+        if x != y:
+            root[y] = x
+            out.append((nodes[i], nodes[j]))
+    return pa.table({"a": pa.array([x for x, _ in out], type=pa.int64()), "b": pa.array([y for _, y in out], type=pa.int64())})
+
+
+def within_groups(open_: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between components of candidates; open_: node, component, lead (the leader of a signature that the node has).
+
+    The nodes of a leader's signatures are a group, a group is dealt into blocks of about BLOCK sets, and each pair of
+    blocks is one small task; so no pair is a row and no group is gathered.
+    """
+    sizes = open_.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = open_.join(sizes.repartition(parts(open_.sparkSession)).hint("merge"), "lead").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(features.hint("merge"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("lead", "node", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "features")
+    return dealt.groupBy("lead", "lo", "hi").applyInArrow(lambda t: link_block(t, num, den), "a long, b long")
+
+
+def jumped(parent: DataFrame, times: int) -> DataFrame:
+    """node, p with p led on by the parents' own parents, each time doubling the way; nodes without a row are their own."""
+    for _ in range(times):
+        up = parent.select(F.col("node").alias("p"), F.col("p").alias("own"))
+        parent = parent.join(up.hint("merge"), "p", "left").select("node", F.coalesce("own", "p").alias("p"))
+    return parent
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, component (the smallest node reachable) of the linked nodes, by spreading the smallest label and jumping to the label's own."""
-    both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
-    while True:
-        before = cut(labels)
-        near = both.join(before.withColumnRenamed("node", "b").hint("merge"), "b").groupBy("a").agg(F.min("component").alias("m")).withColumnRenamed("a", "node")
-        lower = before.join(near.hint("merge"), "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        up = before.select(F.col("node").alias("component"), F.col("component").alias("own"))
-        labels = lower.join(up.hint("merge"), "component").select("node", "old", F.least("component", "own").alias("component"))
-        labels = cut(labels)
-        if not labels.where("component < old").limit(1).count():
-            return labels.select("node", "component")
-        labels = labels.select("node", "component")
+    """node, component (the smallest node reachable) of the linked nodes.
+
+    Each round hooks every node to its smallest neighbour, follows the hooks, and goes on with the links between what is
+    left as one; so few rounds do, and the rounds' hooks compose to the result.
+    """
+    pairs = links.where("a <> b")
+    edges = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    rounds = []
+    while not rounds or edges.limit(1).count():
+        parent = cut(jumped(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("p")), 2))
+        rounds.append(parent)
+        to = lambda c: parent.select(F.col("node").alias(c), F.col("p").alias(f"p{c}")).hint("merge")  # noqa: B023, E731
+        edges = cut(edges.join(to("a"), "a").join(to("b"), "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
+    label = rounds[0]
+    for after in rounds[1:]:
+        up = after.select(F.col("node").alias("p"), F.col("p").alias("own"))
+        label = label.join(up.hint("merge"), "p", "left").select("node", F.coalesce("own", "p").alias("p"))
+    return label.withColumnRenamed("p", "component")
 
 
 def join_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -221,25 +297,33 @@ def join_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100)
             rows = [s.tobytes() for _, _, words in text_steps(batch.column(1), lower=True) for s in sets(words, n)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, type=pa.binary())], ["node", "features"])
 
-    some = docs.join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi")
+    some = maybe_in(docs, "doc_id", nodes).where("maybe").select("doc_id", "text")
+    some = some.join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi")
     features = cut(some.mapInArrow(emit_sets, "node long, features binary"))
     near = lambda a, b: f"least({a}, {b}) * {den} >= greatest({a}, {b}) * {num}"
 
-    # Each class against one leader: the smallest class that it shares a signature with and that is near in size.
-    leads = shared.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("lead"))
-    first = shared.join(leads.hint("merge"), "sig").where("lead.node < node AND " + near("lead.n", "n")).groupBy(F.col("node").alias("b")).agg(F.min("lead.node").alias("a"))
-    first = cut(first.select("a", "b").repartition(parts(spark)))
+    # Each class against one leader: of the classes that it shares a signature with and that are near in size, the one with the most company.
+    company = shared.groupBy("sig").agg(F.count("*").alias("m"))
+    degree = shared.join(company.hint("merge"), "sig").groupBy("node").agg(F.sum("m").alias("degree"))
+    ranked = cut(shared.join(degree.hint("merge"), "node").select("sig", "node", "n", "degree").repartition(parts(spark)))
+    leads = ranked.groupBy("sig").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), "n")).alias("lead"))
+    first = ranked.join(leads.hint("merge"), "sig").where("-lead.minus <> node AND " + near("lead.n", "n")).groupBy(F.col("node").alias("b")).agg(F.max(F.struct("lead.degree", "lead.minus")).alias("lead"))
+    first = first.select((-F.col("lead.minus")).alias("a"), "b").repartition(parts(spark))
     links = cut(compare(first, features, num, den).repartition(parts(spark)))
-    labels = components(links)
+    # Three jumps join most of what the leaders hold together; what they leave apart is only compared again.
+    labels = cut(jumped(links.select(F.col("b").alias("node"), F.col("a").alias("p")), 3)).withColumnRenamed("p", "component")
 
-    # Within signatures that hold several components yet: all pairs between components.
-    labelled = shared.join(labels.hint("merge"), "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component"))
+    # Within signatures that hold several components yet: each component against the others.
+    labelled = shared.select("sig", "node").join(labels.hint("merge"), "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
+    mixed = mixed.join(leads.select("sig", (-F.col("lead.minus")).alias("lead")).hint("merge"), "sig")
     open_ = cut(labelled.join(mixed.hint("merge"), "sig").repartition(parts(spark)))
-    x, y = (open_.select("sig", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component"))) for s in "ab")
-    second = x.join(y.hint("merge"), "sig").where("node_a < node_b AND component_a <> component_b AND " + near("n_a", "n_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    second = second.join(first.hint("merge"), ["a", "b"], "left_anti")
-    more = cut(compare(second.repartition(parts(spark)), features, num, den).repartition(parts(spark)))
+    company = open_.groupBy("sig").agg(F.count("*").alias("m"))
+    few, many = (open_.join(company.where(test).select("sig").hint("merge"), "sig") for test in (f"m <= {BLOCK}", f"m > {BLOCK}"))
+    x, y = (few.select("sig", F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+    pairs = x.join(y.hint("merge"), "sig").where("a < b AND ca <> cb").select("a", "b").distinct().repartition(parts(spark))  # at most BLOCK a row
+    more = compare(pairs, features, num, den).unionByName(within_groups(many.select("node", "component", "lead").distinct(), features, num, den))
+    more = cut(more.repartition(parts(spark)))
     labels = components(links.unionByName(more))
 
     found = found.join(labels.hint("merge"), "node", "left").select("c1", "c2", F.col("n_shingles").alias("n"), F.coalesce("component", "node").alias("component"))
