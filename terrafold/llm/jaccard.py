@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import cut, id_text, maybe_in, parts
 from .hashing import Words, mix, range_hashes, text_steps
 
+#: Nodes of a signature up to which they are compared pairwise.
+PAIRWISE = 24
 #: Sets to a block where the members of a group are compared.
 BLOCK = 64
 #: Differences up to which subsets of parts are enumerated.
@@ -314,14 +316,14 @@ def join_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100)
     labels = cut(jumped(links.select(F.col("b").alias("node"), F.col("a").alias("p")), 3)).withColumnRenamed("p", "component")
 
     # Within signatures that hold several components yet: each component against the others.
-    labelled = shared.select("sig", "node").join(labels.hint("merge"), "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+    labelled = shared.select("sig", "node", "n").join(labels.hint("merge"), "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
     mixed = mixed.join(leads.select("sig", (-F.col("lead.minus")).alias("lead")).hint("merge"), "sig")
     open_ = cut(labelled.join(mixed.hint("merge"), "sig").repartition(parts(spark)))
     company = open_.groupBy("sig").agg(F.count("*").alias("m"))
-    few, many = (open_.join(company.where(test).select("sig").hint("merge"), "sig") for test in (f"m <= {BLOCK}", f"m > {BLOCK}"))
-    x, y = (few.select("sig", F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-    pairs = x.join(y.hint("merge"), "sig").where("a < b AND ca <> cb").select("a", "b").distinct().repartition(parts(spark))  # at most BLOCK a row
+    few, many = (open_.join(company.where(test).select("sig").hint("merge"), "sig") for test in (f"m <= {PAIRWISE}", f"m > {PAIRWISE}"))
+    x, y = (few.select("sig", F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
+    pairs = x.join(y.hint("merge"), "sig").where("a < b AND ca <> cb AND " + near("na", "nb")).select("a", "b").distinct().repartition(parts(spark))  # at most PAIRWISE a row
     more = compare(pairs, features, num, den).unionByName(within_groups(many.select("node", "component", "lead").distinct(), features, num, den))
     more = cut(more.repartition(parts(spark)))
     labels = components(links.unionByName(more))
