@@ -94,7 +94,7 @@ def boundary_candidates(entities: DataFrame, boxes: DataFrame, preferred: DataFr
     ranked = shapes.withColumn("score", F.round(score, 9)).withColumn("rank", F.row_number().over(order)).withColumn("n", F.count("*").over(w)).withColumn("next", F.lead("score").over(order))
     several = F.least(F.lit(1.0), F.least(F.lit(0.95), 0.5 + (F.col("score") - F.col("next")) / 2) + F.when(telling, 0.1).otherwise(0.0))
     sure = F.when(F.col("rank") == 1, F.when(F.col("n") == 1, F.when(telling, 1.0).otherwise(0.85)).otherwise(several))
-    return ranked.select("file_id", "layer", "x", "y", "w", "h", "score", "rank", F.round(sure, 6).alias("confidence"))
+    return ranked.select("file_id", "layer", "x", "y", "w", "h", F.round("score", 6).alias("score"), "rank", F.round(sure, 6).alias("confidence"))
 
 
 def main_boundary(candidates: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ CAND = BOX + f""", e AS (SELECT DISTINCT file_id, layer, x, y, w, h, w * h AS ar
 a AS (SELECT *, bool_or(large) OVER (PARTITION BY file_id) AS al FROM g), t AS (SELECT *, max(area) OVER (PARTITION BY file_id) AS top, area / m AS r, 4 * pi() * area / pow(2 * (w + h), 2) AS q FROM a WHERE large OR NOT al),
 sc AS (SELECT *, round(CASE WHEN {TELL} THEN 2.0 ELSE 0.0 END + 1.0 + area / top + CASE WHEN r <= 0 THEN 0.0 WHEN r > 0.9 OR r < 0.0001 THEN -0.4 WHEN r >= 0.01 AND r <= 0.6 THEN 0.4 WHEN r < 0.01 THEN 0.15 ELSE 0.1 END + CASE WHEN q < 0.05 THEN -0.2 WHEN q > 0.7 THEN 0.25 WHEN q > 0.2 THEN 0.15 ELSE 0.0 END + CASE WHEN file_id % 4 = 0 AND layer = 'Budynek' THEN 1.0 ELSE 0.0 END, 9) AS score FROM t),
 rk AS (SELECT *, row_number() OVER o AS rank, count(*) OVER (PARTITION BY file_id) AS n, lead(score) OVER o AS nxt FROM sc WINDOW o AS (PARTITION BY file_id ORDER BY score DESC, area DESC, layer, x, y, w, h)),
-cd AS (SELECT file_id, layer, x, y, w, h, score, rank, round(CASE WHEN rank = 1 THEN CASE WHEN n = 1 THEN CASE WHEN {TELL} THEN 1.0 ELSE 0.85 END ELSE least(1.0, least(0.95, 0.5 + (score - nxt) / 2) + CASE WHEN {TELL} THEN 0.1 ELSE 0.0 END) END END, 6) AS confidence FROM rk)"""
+cd AS (SELECT file_id, layer, x, y, w, h, round(score, 6) AS score, rank, round(CASE WHEN rank = 1 THEN CASE WHEN n = 1 THEN CASE WHEN {TELL} THEN 1.0 ELSE 0.85 END ELSE least(1.0, least(0.95, 0.5 + (score - nxt) / 2) + CASE WHEN {TELL} THEN 0.1 ELSE 0.0 END) END END, 6) AS confidence FROM rk)"""
 R3 = "CAST(round({0}, 3) AS VARCHAR)"
 ORACLE = {
     "g1_g5_ring_measures": oracle("f_parcels", "SELECT plot_id, (x1 - x0) * (y1 - y0) AS area, 2 * (x1 - x0 + y1 - y0) AS perimeter, round((x0 + x1) / 2, 6) AS cx, round((y0 + y1) / 2, 6) AS cy, (x0 + x1) / 2 AS mx, x1 - x0 AS span, true AS inside, false AS outside, round(pi() * (x1 - x0) * (y1 - y0) / pow(x1 - x0 + y1 - y0, 2), 9) AS compact, 4.0 AS distance FROM f_parcels"),

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -12,7 +13,7 @@ SQL = entry.oracle_sql()
 
 
 def cell(v):
-    if v is None or v != v or type(v).__name__ == "NaTType":
+    if pd.isna(v):
         return "null"
     return str(v) if isinstance(v, (bool, str)) else repr(round(float(v), 9)) if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "if" else str(v)
 
