@@ -103,9 +103,9 @@ k AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS nxt FROM c WI
 BOX = ", b AS (SELECT file_id, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1 FROM f_entities GROUP BY 1)"
 UNIT = BOX + f""", n(code, name, scale) AS (VALUES {", ".join(f"({a}, '{b}', CAST({c!r} AS DOUBLE))" for a, b, c in C.UNITS)}), u AS (SELECT b.*, coalesce(n.name, CASE WHEN hyp > 10000 THEN 'mm' WHEN hyp > 1000 THEN 'cm' ELSE 'm' END) AS unit, coalesce(n.scale, CASE WHEN hyp > 10000 THEN 0.001 WHEN hyp > 1000 THEN 0.01 ELSE 1.0 END) AS scale, CASE WHEN n.code IS NULL THEN 'heuristic' ELSE 'header' END AS source
   FROM (SELECT *, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS hyp FROM b) b LEFT JOIN n ON n.code = b.file_id % 24)"""
-HINT = BOX + ", l AS (SELECT file_id, layer, bool_or(closed) AS c, avg(w * h) FILTER (closed) AS m, count(*) FILTER (closed) AS n_closed FROM f_entities GROUP BY 1, 2), s AS (SELECT file_id, layer, n_closed, CASE WHEN regexp_matches(lower(layer), 'dzialk|działk|parcel|plot|granica|boundary') THEN 2 ELSE 0 END + CAST(c AS INT) + CASE WHEN m >= greatest(25.0, 0.002 * (x1 - x0) * (y1 - y0)) THEN 1 ELSE 0 END AS score FROM l JOIN b USING (file_id)), h AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, layer) AS rank FROM s)"
+HINT = BOX + ", l AS (SELECT file_id, layer, bool_or(closed) AS c, avg(w * h) FILTER (closed) AS m, count(*) FILTER (closed) AS n_closed FROM f_entities GROUP BY 1, 2), s AS (SELECT file_id, layer, n_closed, CASE WHEN regexp_matches(lower(layer), 'dzialk|działk|parcel|plot|granica|boundary') THEN 2 ELSE 0 END + CAST(c AS INT) + CASE WHEN m >= greatest(25.0, 0.002 * ((x1 - x0) * (y1 - y0))) THEN 1 ELSE 0 END AS score FROM l JOIN b USING (file_id)), h AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, layer) AS rank FROM s)"
 TELL = "regexp_matches(lower(layer), 'dzialka|działka|dzialki|granica|granice|boundary|parcel|plot|egb|egib|kontur')"
-CAND = BOX + f""", e AS (SELECT DISTINCT file_id, layer, x, y, w, h, w * h AS area FROM f_entities WHERE closed AND w > 0 AND h > 0), g AS (SELECT e.*, (x1 - x0) * (y1 - y0) AS m, area >= greatest(1.0, 0.05 * (x1 - x0) * (y1 - y0)) AS large FROM e JOIN b USING (file_id)),
+CAND = BOX + f""", e AS (SELECT DISTINCT file_id, layer, x, y, w, h, w * h AS area FROM f_entities WHERE closed AND w > 0 AND h > 0), g AS (SELECT e.*, (x1 - x0) * (y1 - y0) AS m, area >= greatest(1.0, 0.05 * ((x1 - x0) * (y1 - y0))) AS large FROM e JOIN b USING (file_id)),
 a AS (SELECT *, bool_or(large) OVER (PARTITION BY file_id) AS al FROM g), t AS (SELECT *, max(area) OVER (PARTITION BY file_id) AS top, area / m AS r, 4 * pi() * area / pow(2 * (w + h), 2) AS q FROM a WHERE large OR NOT al),
 sc AS (SELECT *, round(CASE WHEN {TELL} THEN 2.0 ELSE 0.0 END + 1.0 + area / top + CASE WHEN r <= 0 THEN 0.0 WHEN r > 0.9 OR r < 0.0001 THEN -0.4 WHEN r >= 0.01 AND r <= 0.6 THEN 0.4 WHEN r < 0.01 THEN 0.15 ELSE 0.1 END + CASE WHEN q < 0.05 THEN -0.2 WHEN q > 0.7 THEN 0.25 WHEN q > 0.2 THEN 0.15 ELSE 0.0 END + CASE WHEN file_id % 4 = 0 AND layer = 'Budynek' THEN 1.0 ELSE 0.0 END, 9) AS score FROM t),
 rk AS (SELECT *, row_number() OVER o AS rank, count(*) OVER (PARTITION BY file_id) AS n, lead(score) OVER o AS nxt FROM sc WINDOW o AS (PARTITION BY file_id ORDER BY score DESC, area DESC, layer, x, y, w, h)),
