@@ -11,7 +11,7 @@ from .jaccard import join_components
 from .licenses import scan_licenses
 from .packing import pack
 from .passages import remove_repeats
-from .ppm import score
+from .ppm import score_stream
 from .quality import judged
 from .revisits import crawl, header_text, resolve
 from .token_counts import token_counts
@@ -44,7 +44,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
+    return score_stream(table(spark, sf_dir, "documents"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
