@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..operators import extraction as E
 from ..operators import overlay as O
+from ..operators.health import success_windows
 from ..operators.register import single_parcel
 from ..sources import payloads as S
 from ..streaming import jobs as J
+from . import register_queries
 from .fixtures import oracle, view
 
 
@@ -56,8 +58,8 @@ def scratch(s) -> str:
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
-def calls_stream(s, d):
-    e = J.read_table(s, d, "events")
+def calls_stream(s, d, files=1):
+    e = J.read_table(s, d, "events", files)
     return e.select(F.col("event_id").alias("call_id"), F.col("ts").cast("timestamp").alias("ts"), F.element_at(F.array(F.lit("ULDK"), F.lit("WFS"), F.lit("KIEG")), (F.col("user_id") % 3 + 1).cast("int")).alias("source"), (F.col("event_type") != "error").alias("ok"))
 
 
@@ -82,7 +84,7 @@ QUERIES = {
     "s7_exported": lambda s, d: S.exported(view(s, d, "f_features"), "plot_id"),
     "s8_decoded": lambda s, d: payloads(s, d).where("payload_id < 10000000").select("payload_id", S.decoded(F.col("body"))[1].alias("raw")),
     "s9_upload_check": lambda s, d: S.eligible(files(s, d)).select("p_partkey", "reject_reason"),
-    "t_1_success_stream": lambda s, d: J.drained(J.success_rates(calls_stream(s, d)), scratch(s)),
+    "t_1_success_stream": lambda s, d: J.drained_updates(success_windows(calls_stream(s, d)), ["source", "begin"], scratch(s)),
     "t_3_debounced": lambda s, d: J.debounced(view(s, d, "f_edits")).withColumn("value", F.round("value", 6)),
     "t_4_circuit_stream": lambda s, d: J.drained(J.circuit_states(calls_stream(s, d)), scratch(s)).select("call_id", "failures", "is_open"),
     "t_5_rate_limit_stream": lambda s, d: J.drained(J.rate_limited(calls_stream(s, d), most=3, seconds=600), scratch(s)),
@@ -113,4 +115,5 @@ ORACLE = {
     "s9_upload_check": "WITH f AS (SELECT p_partkey, p_partkey % 4 AS k, CASE WHEN p_partkey % 5 = 0 THEN 'text/plain' WHEN p_partkey % 4 = 0 THEN 'application/pdf' WHEN p_partkey % 4 = 1 THEN 'image/png' ELSE 'application/dxf' END AS m, (p_partkey % 30) * 1048576 AS s FROM part) SELECT p_partkey, CASE WHEN k = 2 THEN 'EXTENSION' WHEN m <> CASE k WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' ELSE 'application/dxf' END THEN 'MEDIA_TYPE' WHEN s <= 0 THEN 'EMPTY' WHEN s > CASE k WHEN 3 THEN 50 ELSE 20 END * 1048576 THEN 'TOO_LARGE' END AS reject_reason FROM f",
     "t_3_debounced": oracle("f_edits", ", g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 5 MINUTE THEN 1 ELSE 0 END AS new FROM f_edits WINDOW w AS (PARTITION BY parcel_id, field_key ORDER BY ts)), n AS (SELECT *, sum(new) OVER (PARTITION BY parcel_id, field_key ORDER BY ts) AS s FROM g) SELECT parcel_id, field_key, round(arg_max(value, ts), 6) AS value, count(*) AS edits, max(ts) AS saved_at FROM n GROUP BY parcel_id, field_key, s"),
     "t_4_circuit_stream": oracle("f_calls", ", r AS (SELECT *, sum(CAST(ok AS INT)) OVER (PARTITION BY source ORDER BY ts, call_id) AS run FROM f_calls), f AS (SELECT call_id, CAST(sum(CAST(NOT ok AS INT)) OVER (PARTITION BY source, run ORDER BY ts, call_id) AS BIGINT) AS failures FROM r) SELECT call_id, failures, failures >= 5 AS is_open FROM f"),
+    "t_1_success_stream": register_queries.ORACLE["t_1_success_windows"],
 }

@@ -15,10 +15,13 @@ from ..operators.register import rule_map, upsert
 LATE = "10 minutes"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, files: int = 1) -> DataFrame:
-    """A folder's table of this name as a stream of its files."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, files: int | None = 1) -> DataFrame:
+    """A folder's table of this name, one file or a folder of them, as a stream of its files; files None: all in one batch, for jobs that need the order of time."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files).parquet(sf_dir)
+    stream = spark.readStream.schema(schema)
+    if files:
+        stream = stream.option("maxFilesPerTrigger", files)
+    return stream.parquet(f"{sf_dir}/{name}.parque[t]")  # a pattern may also be a single file
 
 
 def success_rates(calls: DataFrame) -> DataFrame:
@@ -102,3 +105,15 @@ def drained(stream: DataFrame, folder: str) -> DataFrame:
     """Runs a stream over all that is there, appends to folder/out, and gives the result as a plain frame."""
     stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def drained_updates(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Runs an aggregation without watermark over all that is there and gives each key's last row, so open windows count and no row is late."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    stream.writeStream.foreachBatch(run).outputMode("update").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    names = [c for c in stream.columns if c not in keys]
+    last = stream.sparkSession.read.parquet(f"{folder}/out").groupBy(*keys).agg(F.max_by(F.struct(*names), "batch").alias("last"))
+    return last.select(*keys, "last.*").select(*stream.columns)
