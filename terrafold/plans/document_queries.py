@@ -86,8 +86,8 @@ QUERIES = {
     "s9_upload_check": lambda s, d: S.eligible(files(s, d)).select("p_partkey", "reject_reason"),
     "t_1_success_stream": lambda s, d: J.drained_updates(success_windows(calls_stream(s, d)), ["source", "begin"], scratch(s)),
     "t_3_debounced": lambda s, d: J.debounced(view(s, d, "f_edits")).withColumn("value", F.round("value", 6)),
-    "t_4_circuit_stream": lambda s, d: J.drained(J.circuit_states(calls_stream(s, d)), scratch(s)).select("call_id", "failures", "is_open"),
-    "t_5_rate_limit_stream": lambda s, d: J.drained(J.rate_limited(calls_stream(s, d), most=3, seconds=600), scratch(s)),
+    "t_4_circuit_stream": lambda s, d: J.drained_batches(calls_stream(s, d, None), J.circuit_states(at := scratch(s)), at).select("call_id", "failures", "is_open"),
+    "t_5_rate_limit_stream": lambda s, d: J.drained_batches(calls_stream(s, d, None), J.rate_limits(at := scratch(s), most=3, seconds=600), at),
 }
 LINES = ", r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM f_pages), l AS (SELECT doc_id, trim(line) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM r WHERE trim(line) <> ''), w AS (SELECT a.doc_id, 1 AS page, a.n, k.radius, string_agg(b.line, chr(10) ORDER BY b.n) AS text FROM l a CROSS JOIN (VALUES (1), (2)) k(radius) JOIN l b ON b.doc_id = a.doc_id AND abs(b.n - a.n) <= k.radius GROUP BY ALL)"
 SCORES = r""", g AS (SELECT *, lower(text) AS t FROM w), h AS (SELECT *, regexp_matches(t, 'dzia[łl]k') AND regexp_matches(t, 'ewid') AS p, regexp_matches(t, '[o0]br[eę]b') AS o, regexp_matches(t, 'po[łl]o[zż]on') AS loc, regexp_matches(t, 'przy\s+ul\.?|\bul\.\s+[a-ząćęłńóśźż]') AS st,
@@ -116,4 +116,5 @@ ORACLE = {
     "t_3_debounced": oracle("f_edits", ", g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 5 MINUTE THEN 1 ELSE 0 END AS new FROM f_edits WINDOW w AS (PARTITION BY parcel_id, field_key ORDER BY ts)), n AS (SELECT *, sum(new) OVER (PARTITION BY parcel_id, field_key ORDER BY ts) AS s FROM g) SELECT parcel_id, field_key, round(arg_max(value, ts), 6) AS value, count(*) AS edits, max(ts) AS saved_at FROM n GROUP BY parcel_id, field_key, s"),
     "t_4_circuit_stream": oracle("f_calls", ", r AS (SELECT *, sum(CAST(ok AS INT)) OVER (PARTITION BY source ORDER BY ts, call_id) AS run FROM f_calls), f AS (SELECT call_id, CAST(sum(CAST(NOT ok AS INT)) OVER (PARTITION BY source, run ORDER BY ts, call_id) AS BIGINT) AS failures FROM r) SELECT call_id, failures, failures >= 5 AS is_open FROM f"),
     "t_1_success_stream": register_queries.ORACLE["t_1_success_windows"],
+    "t_4_circuit_stream": register_queries.ORACLE["t_4_circuit"],
 }

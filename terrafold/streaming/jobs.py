@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -13,6 +14,7 @@ from ..operators.health import classified, success_windows
 from ..operators.register import rule_map, upsert
 
 LATE = "10 minutes"
+STRETCH = 3_600
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, files: int | None = 1) -> DataFrame:
@@ -62,19 +64,68 @@ def rate_limited(calls: DataFrame, most: int = 30, seconds: int = 60) -> DataFra
     return calls.select("source", "call_id", "ts").groupBy("source").applyInPandasWithState(decide, "source string, call_id long, ts timestamp, accepted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def circuit_states(calls: DataFrame, most: int = 5) -> DataFrame:
-    """T-4: source, call_id, ts, failures since the last success, is_open; the state is one number a source."""
+def rate_limits(folder: str, most: int = 30, seconds: int = 60) -> Callable[[DataFrame, int], None]:
+    """T-5 for foreachBatch: as rate_limited, into folder/out. A source's calls come sorted, a frame after the other, and only the last accepted times are kept."""
+
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, kept = None, deque()
+        for calls in frames:
+            accepted = []
+            times = calls["ts"].astype("datetime64[us]").astype("int64") / 1e6
+            for s, t, before in zip(calls["source"], times, calls["before"]):
+                if s != source:
+                    source, kept = s, deque()
+                while kept and t - kept[0] >= seconds:
+                    kept.popleft()
+                accepted.append(before or len(kept) < most)
+                if accepted[-1]:
+                    kept.append(t)
+            yield calls.assign(accepted=accepted)[["source", "call_id", "ts", "before", "accepted"]]
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures = state.get[0] if state.exists else 0
-        calls, seen = pd.concat(list(frames)).sort_values(["ts", "call_id"]), []
-        for ok in calls["ok"]:
-            failures = 0 if ok else failures + 1
-            seen.append(failures)
-        state.update((failures,))
-        yield pd.DataFrame({"source": key[0], "call_id": calls["call_id"], "ts": calls["ts"], "failures": seen, "is_open": [n >= most for n in seen]})
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        calls = batch.select("source", "call_id", "ts", F.lit(False).alias("before"))
+        if number:
+            calls = calls.unionByName(spark.read.parquet(f"{folder}/last-{number - 1}"))
+        out = calls.repartition("source").sortWithinPartitions("source", F.desc("before"), "ts", "call_id").mapInPandas(decide, "source string, call_id long, ts timestamp, before boolean, accepted boolean")
+        out.write.mode("overwrite").parquet(f"{folder}/all-{number}")
+        done = spark.read.parquet(f"{folder}/all-{number}")
+        done.where("NOT before").select("source", "call_id", "ts", "accepted").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        ends = done.groupBy("source").agg(F.max("ts").alias("end"))
+        last = done.where("accepted").join(ends.hint("merge"), "source").where(F.col("ts") > F.col("end") - F.expr(f"INTERVAL {seconds} SECONDS"))
+        last.select("source", "call_id", "ts", F.lit(True).alias("before")).write.mode("overwrite").parquet(f"{folder}/last-{number}")
+
+    return run
+
+
+def circuit_states(folder: str, most: int = 5) -> Callable[[DataFrame, int], None]:
+    """T-4 for foreachBatch: source, call_id, ts, failures since the last success, is_open, into folder/out.
+
+    A source's calls are cut into stretches of STRETCH seconds; each stretch hands on one row, and a batch one row a source.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        calls = batch.select("source", "call_id", "ts", "ok", F.floor(F.unix_timestamp("ts") / STRETCH).alias("stretch"))
+        w = Window.partitionBy("source", "stretch").orderBy("ts", "call_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        runs = calls.withColumn("run", F.count_if("ok").over(w))
+        within = Window.partitionBy("source", "stretch", "run").orderBy("ts", "call_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        near = runs.withColumn("near", F.count_if(~F.col("ok")).over(within))
+        ends = near.groupBy("source", "stretch").agg(F.max_by("near", F.struct("ts", "call_id")).alias("left"), (F.max("run") > 0).alias("cut"))
+        if number:
+            before = spark.read.parquet(f"{folder}/last-{number - 1}")
+            ends = ends.unionByName(before.select("source", F.lit(-(1 << 62)).alias("stretch"), "left", F.lit(True).alias("cut")))
+        # The failures at the end of the stretches since the last one with a success.
+        order = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        since = Window.partitionBy("source", "part").orderBy("stretch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = ends.withColumn("part", F.count_if("cut").over(order)).withColumn("at_end", F.sum("left").over(since))
+        carried = summed.withColumn("carried", F.coalesce(F.lag("at_end").over(Window.partitionBy("source").orderBy("stretch")), F.lit(0).cast("long")))
+        joined = near.join(carried.select("source", "stretch", "carried").hint("merge"), ["source", "stretch"])
+        failures = F.col("near") + F.when(F.col("run") == 0, F.col("carried")).otherwise(0)
+        joined.select("source", "call_id", "ts", failures.alias("failures"), (failures >= most).alias("is_open")).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        summed.groupBy("source").agg(F.max_by("at_end", "stretch").alias("left")).write.mode("overwrite").parquet(f"{folder}/last-{number}")
 
-    return calls.select("source", "call_id", "ts", "ok").groupBy("source").applyInPandasWithState(run, "source string, call_id long, ts timestamp, failures long, is_open boolean", "failures long", "append", GroupStateTimeout.NoTimeout)
+    return run
 
 
 def retries(calls: DataFrame, gap: str = "5 minutes") -> DataFrame:
@@ -107,6 +158,12 @@ def drained(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def drained_batches(stream: DataFrame, run: Callable[[DataFrame, int], None], folder: str) -> DataFrame:
+    """Runs a foreachBatch job over all that is there; what it has written to folder/out, without the batch."""
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(f"{folder}/out").drop("batch")
+
+
 def drained_updates(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
     """Runs an aggregation without watermark over all that is there and gives each key's last row, so open windows count and no row is late."""
 

@@ -83,3 +83,47 @@ def test_rule_refresh(spark, tmp_path):
     run(edits.where("id = 2"), 0)
     run(edits.where("id = 1"), 1)
     assert spark.read.parquet(f"{tmp_path}/rules").count() == 1
+
+
+def part_files(spark, folder):
+    """events in three files, the latest calls in the first."""
+    events = spark.createDataFrame([(i, dt.datetime(2026, 1, 1) + dt.timedelta(seconds=97 * i + i % 3), i % 5 // 2, "error" if i % 11 < 8 or 300 < i < 420 else "view", 1.0) for i in range(900)], "event_id long, ts timestamp, user_id long, event_type string, value double")
+    for k, test in enumerate(("event_id >= 600", "event_id < 300", "event_id BETWEEN 300 AND 599")):
+        events.where(test).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    return events
+
+
+def test_streams_take_all_part_files_in_order(spark, tmp_path):
+    from terrafold.operators import health
+    from terrafold.plans import QUERIES
+
+    events = part_files(spark, tmp_path)
+    names = F.element_at(F.array(*map(F.lit, ("ULDK", "WFS", "KIEG"))), (F.col("user_id") % 3 + 1).cast("int"))
+    calls = events.select(F.col("event_id").alias("call_id"), "ts", names.alias("source"), (F.col("event_type") != "error").alias("ok"))
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
+    assert same(QUERIES["t_1_success_stream"](spark, str(tmp_path)), health.success_windows(calls))
+    assert same(QUERIES["t_4_circuit_stream"](spark, str(tmp_path)), health.circuit(calls))
+    want, kept = {}, {}
+    for r in calls.orderBy("ts", "call_id").collect():
+        last = kept[r["source"]] = [t for t in kept.get(r["source"], []) if (r["ts"] - t).total_seconds() < 600]
+        want[r["call_id"]] = len(last) < 3
+        if want[r["call_id"]]:
+            last.append(r["ts"])
+    got = QUERIES["t_5_rate_limit_stream"](spark, str(tmp_path)).collect()
+    assert len(got) == 900 and {r["call_id"]: r["accepted"] for r in got} == want
+
+
+def test_state_is_handed_on_between_batches(spark, tmp_path):
+    from terrafold.operators import health
+
+    calls = spark.createDataFrame([(f"s{i % 2}", i, dt.datetime(2026, 1, 1) + dt.timedelta(seconds=400 * i), i in (3, 4, 21)) for i in range(60)], "source string, call_id long, ts timestamp, ok boolean")
+    states, limits = jobs.circuit_states(f"{tmp_path}/a"), jobs.rate_limits(f"{tmp_path}/b", 3, 4_000)
+    one = jobs.rate_limits(f"{tmp_path}/c", 3, 4_000)
+    for number, test in enumerate(("call_id < 17", "call_id BETWEEN 17 AND 18", "call_id > 18")):
+        states(calls.where(test), number)
+        limits(calls.where(test), number)
+    one(calls, 0)
+    rows = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
+    read = lambda k: spark.read.parquet(f"{tmp_path}/{k}/out")
+    assert rows(read("a"), "call_id", "failures", "is_open") == rows(health.circuit(calls), "call_id", "failures", "is_open")
+    assert rows(read("b"), "call_id", "accepted") == rows(read("c"), "call_id", "accepted")
