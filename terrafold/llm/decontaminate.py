@@ -7,7 +7,9 @@ passage. Each passage is a query: first the sum of its terms' block maxima rules
 at once), then WAND scores the items of the blocks that remain. A retrieved item is verified: the words of its question
 (the first three quarters) and of its answer (the rest) that lie in five-word runs which the passage also has.
 
-The index is broadcast in blocks of at most MAX_ITEMS items; a larger benchmark takes more passes over the documents.
+The index is broadcast in blocks of at most MAX_ITEMS items; a larger benchmark takes more passes over the
+documents. Document frequencies, the number of items, their mean length and the stride are those of the whole benchmark in
+every pass.
 
 Null, empty and word-less texts match nothing; items without words are no items, those shorter than five words are one
 run. Equal items are separate. Rows that repeat are searched separately. Very long documents are many passages. Only the
@@ -25,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, steps
+from .common import cut, id_text, steps
 from .licenses import TO_WORDS
 
 K1, B = 1.2, 0.75
@@ -37,18 +39,21 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Index:
-    def __init__(self, items: list[tuple[int, str]], threshold: float):
+    def __init__(self, items: list[tuple[int, str]], threshold: float, whole: tuple[int, int, int, dict[bytes, int]] | None = None):
+        """whole: number of items, their words, the longest's words and the items' document frequencies, where items are a part of the benchmark."""
         self.items = [(i, w) for i, w in ((i, words_of(t)) for i, t in items) if w]
         self.threshold = threshold
-        self.stride = max([32, *(len(w) for _, w in self.items)])
-        df = Counter(t for _, w in self.items for t in set(w))
-        mean = sum(len(w) for _, w in self.items) / max(1, len(self.items))
+        if whole is None:
+            whole = (len(self.items), sum(len(w) for _, w in self.items), max([0, *(len(w) for _, w in self.items)]), Counter(t for _, w in self.items for t in set(w)))
+        count, total_words, longest, df = whole
+        self.stride = max(32, longest)
+        mean = total_words / max(1, count)
         self.terms = {t: k for k, t in enumerate(sorted(df))}
         self.blocks = -(-len(self.items) // BLOCK)
         self.postings: list[list[tuple[int, float]]] = [[] for _ in df]
         self.most = np.zeros((len(df), self.blocks), dtype=np.float32)
         for k, (_, w) in enumerate(self.items):
-            weights = {t: np.log1p((len(self.items) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / mean)) for t, n in Counter(w).items()}
+            weights = {t: np.log1p((count - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / mean)) for t, n in Counter(w).items()}
             total = sum(weights.values())
             for t, x in weights.items():
                 self.postings[self.terms[t]].append((k, x / total))
@@ -136,6 +141,21 @@ class Index:
         return out
 
 
+def frequencies(items: DataFrame) -> DataFrame:
+    """term, df (items that have it), longest: of all items; the null term's are their number and words."""
+
+    def run(batches):
+        for batch in batches:
+            df, count, total, longest = Counter(), 0, 0, 0
+            for text in batch.column(0).to_pylist():
+                w = words_of(text)
+                df.update(set(w))
+                count, total, longest = count + bool(w), total + len(w), max(longest, len(w))
+            yield pa.RecordBatch.from_arrays([pa.array([None, *df], type=pa.binary()), pa.array([count, *df.values()], type=pa.int64()), pa.array([total] + [0] * len(df), type=pa.int64()), pa.array([longest] + [0] * len(df), type=pa.int64())], ["term", "df", "total", "longest"])
+
+    return items.select("text").mapInArrow(run, "term binary, df long, total long, longest long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"), F.max("longest").alias("longest"))
+
+
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
@@ -143,13 +163,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     """doc_id, item_id, score, question_overlap, answer_overlap of the items that documents hold."""
     docs, items = id_text(docs), id_text(benchmark, "item_id").where("text IS NOT NULL")
     passes = max(1, -(-items.count() // MAX_ITEMS))
-    found = None
+    found, told = None, None
+    if passes > 1:
+        told = cut(frequencies(items))
+        all_ = told.where("term IS NULL").first()
     for k in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(passes)) == k)
-        index = docs.sparkSession.sparkContext.broadcast(sorted((tuple(r) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))  # at most about MAX_ITEMS
+        rows = sorted((tuple(r) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))  # at most about MAX_ITEMS
+        whole = None
+        if told is not None:
+            here = frequencies(part).where("term IS NOT NULL").select("term")
+            whole = (all_["df"], all_["total"], all_["longest"], {bytes(r["term"]): r["df"] for r in told.join(here, "term", "left_semi").select("term", "df").collect()})  # the part's terms
+        index = docs.sparkSession.sparkContext.broadcast((rows, whole))
 
         def run(batches, index=index):
-            own = Index(index.value, threshold)
+            own = Index(index.value[0], threshold, index.value[1])
             for batch in batches:
                 sizes = pa.compute.binary_length(batch.column(1)).fill_null(0).to_pylist()
                 for a, b in steps(sizes, 1 << 20):

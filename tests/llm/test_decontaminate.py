@@ -60,3 +60,13 @@ def test_wand_finds_all_above_the_threshold():
         got = dict(index.wand(terms, able))
         want = {i: x for i, x in enumerate(scores([words_of(" ".join(w)) for w in items], set(passage))) if x >= 0.35}
         assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+
+
+def test_passes_score_alike(spark, monkeypatch):
+    _, docs, bench, _ = data(spark)
+    found = lambda: {(r["doc_id"], r["item_id"]): r for r in contaminated(docs, bench, threshold=0.3, question=0.0, answer=0.0).collect()}
+    want = found()
+    monkeypatch.setattr(D, "MAX_ITEMS", 10)
+    got = found()
+    assert got.keys() == want.keys() and len(got) > 20
+    assert all(abs(got[k][c] - want[k][c]) < 1e-9 for k in got for c in ("score", "question_overlap", "answer_overlap"))
