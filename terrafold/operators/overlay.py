@@ -1,8 +1,7 @@
 """Plots and map features: relations by grid cells, protection zones and buildable area as cell sets, parcel linkage.
 
 Polygon overlay is done on cells of a fixed size: a cell stands for its centre, a union is a distinct, a difference an
-anti join on (plot, cell), an area a count. Cells are dealt by plot and column, so one large plot is many keys; a plot of
-more than MAX_CELLS cells is left out into a reject column by the caller's choice of resolution.
+anti join on (plot, cell), an area a count. Cells are dealt by plot and column, so one large plot is many keys.
 """
 
 from __future__ import annotations
@@ -13,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 
 GRID = 80.0
-MAX_CELLS = 250_000
 #: Protection widths in metres around network lines, and what trees add.
 UTILITY_WIDTH = {"water_pipe": 1.5, "sanitary_sewer": 2.0, "storm_sewer": 2.0, "gas_pipe": 3.0, "power_line_underground": 1.5, "power_line_overhead": 4.0, "telecom_line": 1.0, "utility_connection": 1.0, "utility_node": 1.0, "transformer_station": 2.0}
 TREE_CANOPY, ROOT_EXTRA, BOUNDARY_OFFSET, PREFERRED_SHRINK = 2.0, 1.5, 4.0, 1.5
@@ -49,8 +47,7 @@ def box_cells(rows: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, r
 
 
 def plot_cells(plots: DataFrame, res: float = 1.0) -> DataFrame:
-    few = plots.where((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) <= MAX_CELLS * res * res)
-    return box_cells(few, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), res, ["plot_id"])
+    return box_cells(plots, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), res, ["plot_id"])
 
 
 def zone_cells(features: DataFrame, res: float = 1.0) -> DataFrame:

@@ -127,3 +127,9 @@ def test_state_is_handed_on_between_batches(spark, tmp_path):
     read = lambda k: spark.read.parquet(f"{tmp_path}/{k}/out")
     assert rows(read("a"), "call_id", "failures", "is_open") == rows(health.circuit(calls), "call_id", "failures", "is_open")
     assert rows(read("b"), "call_id", "accepted") == rows(read("c"), "call_id", "accepted")
+
+
+def test_zones_of_a_large_plot(spark):
+    plots = spark.createDataFrame([(1, 0.0, 0.0, 600.0, 500.0)], "plot_id long, x0 double, y0 double, x1 double, y1 double")
+    features = spark.createDataFrame([(1, "flood_zone", 10.0, 10.0, 30.0, 20.0)], "plot_id long, layer_key string, fx0 double, fy0 double, fx1 double, fy1 double")
+    assert [tuple(r) for r in overlay.zone_areas(plots, features).collect()] == [(1, "flood_zone", 200.0)]
