@@ -2,28 +2,34 @@
 
 A document's set is its distinct word shingles. Sizes fall into bands; a pair of Jaccard similarity t or more lies in
 one band or in two neighbours, and its symmetric difference is at most k = (1 - t) / (1 + t) * 2 * (the upper band's
-largest size). Each band has a PartEnum instance: the feature domain is partitioned into k + 1 + e parts, so at least
-1 + e parts are alike in both sets. A document emits signatures for its band, and for the next one if a partner can be
-there:
-
-* small k: every choice of 1 + e parts is a signature of what the set has in them (a partition with enumerated subsets);
-* larger k: every single part is one; parts that are empty in a set are left out while there are at most e of them.
-
-Exact copies are one class and emit alike. Within a task equal signatures are combined: one class leads and is shuffled
-by the signature, the others follow it dealt out at random, so a signature of very many documents is nowhere gathered.
-Classes that share signatures are candidates. First each is compared with one leader; then, where signatures still hold
-several components, members of small ones pairwise and those of large ones block against block, so no link that could
-join two is left out. All compare whole sets exactly. Links and components never leave Spark's tables.
-
-Null and empty texts have no shingles and are linked with nothing. Fewer words than a shingle are one shingle. Rows that
-share an id count as one document. A null id has no component. An empty table gives no rows. Only the id and text are
-read. Shingles are compared by 64-bit hashes.
+largest size). Each band has a PartEnum instance of two levels. The feature domain is partitioned into n1 parts and each
+of them into n2 smaller ones. With n1 = k / (k2 + 1) + 1 + e (rounded down), at least 1 + e parts of a pair have at most
+k2 differences, so n2 - k2 of their smaller parts are alike. A signature is a part and a choice of n2 - k2 of its smaller
+parts, with all that the set has in them. A document emits all signatures of its band, and of the next one if a partner
+can be there. Signatures without a feature say nothing; while at most e parts have such, they are left out. n2 and k2 are
+chosen by cost: the number of signatures, and the meetings by chance of sets that are alike in part.
+
+Exact copies are one class, and one of them, its node, emits: a bit table of fixed size holds most others back; those
+that pass it are only more nodes. Within a task one node leads each signature and is shuffled by it, the others follow
+it dealt out at random, so a signature of very many documents is nowhere gathered. The smallest node of a signature
+is its leader, and a leader with all that share its signatures is a group. First each node is compared with the leader
+that it shares most signatures with. Where a group then still holds several components, its largest one and the rest are
+dealt into blocks, and a block of the rest is compared with each other block: first by sketches (how many features
+fall in each of as many buckets, so the sums of smaller counts bound what two sets share), then exactly for the sets of
+which a sketch allows it. So no link that could join two is left out, and no pair is a row. Links and components never
+leave Spark's tables.
+
+Null and empty texts have no shingles and are linked with nothing. Fewer words than a shingle are one shingle. Very long
+texts have more signatures, no other treatment; a set's features must fit a task. Equal similarities and sizes need no
+order: a component is named by its smallest id. Rows that share an id count as one document. A null id has no component.
+An empty table gives no rows. Only the id and text are read. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +39,10 @@ from pyspark.sql import functions as F
 from .common import cut, id_text, maybe_in, parts
 from .hashing import Words, mix, range_hashes, text_steps
 
-#: Nodes of a signature up to which they are compared pairwise.
-PAIRWISE = 24
 #: Sets to a block where the members of a group are compared.
-BLOCK = 64
-#: Differences up to which subsets of parts are enumerated.
-FEW = 8
+BLOCK = 256
+#: What the choice of parts reckons with: so many sets that have a share of their features in common with a set by chance.
+RIVALS, SHARED = 20, 0.4
 
 
 @lru_cache(maxsize=8)
@@ -51,54 +55,84 @@ def bands(num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(low[:-1]), np.array(high)
 
 
-@lru_cache(maxsize=1024)
-def spare(k: int, smallest: int) -> int:
-    """Parts beyond k + 1, enough that a set of the smallest size hardly ever has more empty ones (their mean and three deviations)."""
-    e = 2
+def spare(k: int, n2: int, k2: int, smallest: int) -> int:
+    """e: parts beyond those that the differences need, so that a set of the smallest size hardly ever has more that lack features (their mean and three deviations)."""
+    e = 0
     for _ in range(20):
-        n = k + 1 + e
-        empty = n * float(np.exp(-smallest / n))
-        e = max(e, int(np.ceil(empty + 3 * empty**0.5 + 1)))
+        n1 = k // (k2 + 1) + 1 + e
+        full = 1 - np.exp(-smallest / (n1 * n2))  # the chance that a smaller part has a feature
+        lacking = n1 * sum(comb(n2, i) * full**i * (1 - full) ** (n2 - i) for i in range(k2 + 1))
+        e = max(e, int(np.ceil(lacking + 3 * lacking**0.5 - 0.05)))
     return e
 
 
-def plan(size: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
-    """(band, parts, parts to a signature, empty parts to leave out) of the instances that a set of this size takes part in."""
-    if not size:
-        return []
-    low, high = bands(num, den)
-    j = int(np.searchsorted(low, size, side="right")) - 1
-    out = []
-    for band in (j, j + 1):
-        if band == j or size * den >= num * low[band]:
-            k = 2 * int(high[band]) * (den - num) // (den + num)
-            if 0 < k <= FEW:
-                out.append((band, max(6, k + 2), max(6, k + 2) - k, 0))
-            elif k:
-                e = spare(k, -(-num * int(low[band]) // den))
-                out.append((band, k + 1 + e, 1, e))
-    return out
+@lru_cache(maxsize=4096)
+def instance(band: int, num: int, den: int) -> tuple[int, int, int, int]:
+    """n1, n2, k2, e of a band, of the lowest cost."""
+    low, high = (int(x[band]) for x in bands(num, den))
+    k, smallest = 2 * high * (den - num) // (den + num), max(1, -(-num * low // den))
+    if not k:
+        return 1, 1, 0, 0
+    best = None
+    for k2 in range(min(k, 8) + 1):
+        for n2 in range(k2 + 1, k2 + 7):
+            e = spare(k, n2, k2, smallest) if k2 < k else 0
+            n1 = k // (k2 + 1) + 1 + e
+            features = smallest * (n2 - k2) / (n1 * n2)
+            cost = n1 * comb(n2, k2) * (1 + RIVALS * SHARED**features)
+            if best is None or cost < best[0]:
+                best = cost, (n1, n2, k2, e)
+    return best[1]
 
 
 @lru_cache(maxsize=64)
-def choices(n: int, r: int) -> np.ndarray:
-    return np.array(list(combinations(range(n), r)))
-
-
-def signatures(features: np.ndarray, num: int, den: int) -> np.ndarray:
-    found = []
-    for band, n, r, free in plan(len(features), num, den):
-        part = (mix(features ^ np.uint64(band + 1)) >> np.uint64(33)) % np.uint64(n)
-        sums = np.zeros(n, dtype=np.uint64)
-        np.add.at(sums, part.astype(np.int64), mix(features + np.uint64(7)))
-        if r == 1:
-            empty = np.bincount(part.astype(np.int64), minlength=n) == 0
-            which = np.flatnonzero(~empty) if empty.sum() <= free else np.arange(n)
-            tags = sums[which] + mix(which.astype(np.uint64) + np.uint64(1))
-        else:
-            tags = (sums + mix(np.arange(1, n + 1, dtype=np.uint64)))[choices(n, r)].sum(axis=1, dtype=np.uint64)
-        found.append(mix(tags + mix(np.array([band], dtype=np.uint64) << np.uint64(8))))
-    return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
+def choices(n2: int, k2: int) -> np.ndarray:
+    return np.array(list(combinations(range(n2), n2 - k2)))
+
+
+def plans(sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, band) of every instance that the sets take part in."""
+    low = bands(num, den)[0]
+    own = np.searchsorted(low, sizes, side="right") - 1
+    some = np.flatnonzero(sizes > 0)
+    upper = some[sizes[some] * den >= num * low[own[some] + 1]]
+    return np.concatenate([some, upper]), np.concatenate([own[some], own[upper] + 1])
+
+
+def signatures(features: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, set) of sets given one after the other."""
+    which, band = plans(sizes, num, den)
+    if not len(which):
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    n1, n2, k2, e = np.array([instance(b, num, den) for b in band.tolist()]).T
+    cells = n1 * n2
+    first_cell, first_feature = np.cumsum(cells) - cells, np.cumsum(sizes) - sizes
+    n = sizes[which]
+    of = np.repeat(np.arange(len(which)), n)  # each feature's instance
+    f = features[np.arange(len(of)) + np.repeat(first_feature[which] - (np.cumsum(n) - n), n)]
+    at = first_cell[of] + ((mix(f ^ (band[of] + 1).astype(np.uint64)) >> np.uint64(33)) % cells[of].astype(np.uint64)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    begins = np.flatnonzero(np.diff(at, prepend=-1))
+    sums, has = np.zeros(int(cells.sum()), dtype=np.uint64), np.zeros(int(cells.sum()), dtype=bool)
+    sums[at[begins]] = np.add.reduceat(mix(f[order] + np.uint64(7)), begins)
+    has[at[begins]] = True
+    out_sig, out_set = [], []
+    for a, b in sorted({*zip(n2.tolist(), k2.tolist())}):
+        mine = np.flatnonzero((n2 == a) & (k2 == b))
+        owner = np.repeat(mine, n1[mine])
+        part = np.arange(len(owner)) - np.repeat(np.cumsum(n1[mine]) - n1[mine], n1[mine])
+        cell = (first_cell[owner] + part * a)[:, None] + np.arange(a)
+        chosen = choices(a, b)
+        smaller = mix(np.arange(1, a + 1, dtype=np.uint64))
+        tags = (sums[cell] + smaller)[:, chosen].sum(axis=2, dtype=np.uint64)
+        bare = ~has[cell][:, chosen].any(axis=2)
+        lacking = np.bincount(owner, weights=bare.any(axis=1), minlength=len(which))
+        keep = ~(bare & (lacking <= e)[owner][:, None])
+        tags = mix(tags + mix((part + 1).astype(np.uint64) + (band[owner].astype(np.uint64) << np.uint64(40)))[:, None])
+        out_sig.append(tags[keep])
+        out_set.append(np.broadcast_to(which[owner][:, None], keep.shape)[keep])
+    return np.concatenate(out_sig), np.concatenate(out_set)
 
 
 def sets(words: Words, n: int):
@@ -113,11 +147,22 @@ def sets(words: Words, n: int):
             yield np.zeros(0, dtype=np.uint64)
 
 
-def class_of(features: np.ndarray) -> tuple[int, int]:
-    if not len(features):
-        return 0, 0
-    a, b = mix(features).sum(dtype=np.uint64), mix(features ^ np.uint64(0x5555555555555555)).sum(dtype=np.uint64)
-    return int(np.array(a).view(np.int64)), int(np.array(b).view(np.int64))
+def step_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' features one after the other, and their numbers."""
+    found = list(sets(words, n))
+    return np.concatenate(found), np.array([len(s) for s in found], dtype=np.int64)
+
+
+def class_of(features: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of the sets."""
+    some, out = np.flatnonzero(sizes), []
+    begins = (np.cumsum(sizes) - sizes)[some]
+    for turn in (0, 0x5555555555555555):
+        h = np.zeros(len(sizes), dtype=np.uint64)
+        if len(some):
+            h[some] = np.add.reduceat(mix(features ^ np.uint64(turn)), begins)
+        out.append(h.view(np.int64))
+    return out[0], out[1]
 
 
 def classes(docs: DataFrame, n: int) -> DataFrame:
@@ -125,67 +170,67 @@ def classes(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [(*class_of(s), len(s)) for _, _, words in text_steps(batch.column(1), lower=True) for s in sets(words, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], type=pa.int64()) for i in range(3))], ["doc_id", "c1", "c2", "n_shingles"])
+            for a, b, words in text_steps(batch.column(1), lower=True):
+                features, sizes = step_sets(words, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, class_of(features, sizes)), pa.array(sizes)], ["doc_id", "c1", "c2", "n_shingles"])
 
     return docs.mapInArrow(run, "doc_id long, c1 long, c2 long, n_shingles long")
 
 
 def candidates(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """sig, c1: the classes of the signatures that two or more classes have."""
+    """sig, node, lead of the signatures that two or more nodes have; lead: the signature's smallest node, null where that isn't known yet."""
 
     def emit(batches):
         for batch in batches:
-            for _, _, words in text_steps(batch.column(1), lower=True):
-                sig, cls = [], []
-                for s in sets(words, n):
-                    found = signatures(s, num, den)
-                    sig.append(found.view(np.int64))
-                    cls.append(np.full(len(found), class_of(s)[0], dtype=np.int64))
-                sig, cls = np.concatenate(sig), np.concatenate(cls)
-                order = np.lexsort((cls, sig))
-                sig, cls = sig[order], cls[order]
-                new = np.ones(len(sig), dtype=bool)
-                new[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
-                sig, cls = sig[new], cls[new]
-                if len(sig):
-                    lead = np.ones(len(sig), dtype=bool)
-                    lead[1:] = sig[1:] != sig[:-1]
-                    # Leaders meet by signature; the others already know that theirs is shared.
-                    key = np.where(lead, sig, mix((sig ^ cls).view(np.uint64)).view(np.int64))
-                    several = np.append(~lead[1:], False) & lead
-                    # tag: null for a leader, 0 for one that has followers, the signature for a follower.
-                    tag = pa.array(np.where(lead, 0, np.where(sig == 0, 1, sig)), mask=lead & ~several)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls), tag], ["key", "c1", "tag"])
+            for a, b, words in text_steps(batch.column(1), lower=True):
+                sig, of = signatures(*step_sets(words, n), num, den)
+                sig, node = sig.view(np.int64), np.array(batch.column(0).slice(a, b - a), dtype=np.int64)[of]
+                order = np.lexsort((node, sig))
+                sig, node = sig[order], node[order]
+                lead = np.ones(len(sig), dtype=bool)
+                lead[1:] = sig[1:] != sig[:-1]
+                # Leaders meet by signature; the others already know that theirs is shared.
+                key = np.where(lead, sig, mix((sig ^ node).view(np.uint64)).view(np.int64))
+                several = np.append(~lead[1:], False)[: len(lead)] & lead
+                # tag: null for a leader, 0 for one that has followers, the signature for a follower.
+                tag = pa.array(np.where(lead, 0, np.where(sig == 0, 1, sig)), mask=lead & ~several)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), tag], ["key", "node", "tag"])
 
     def meet(batches):
-        held = None  # the run of one signature that is open: (signature, class not yet told, or None)
+        held = None  # the run of one signature that is open: (signature, its leader, whether the leader is told)
         for batch in batches:
-            sig, cls, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).fill_null(0).to_numpy()
+            sig, node, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).fill_null(0).to_numpy()
             follows, several = tag != 0, batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-            out_sig, out_cls = [tag[follows]], [cls[follows]]
-            sig, cls, several = sig[~follows], cls[~follows], several[~follows]
+            out = [(tag[follows], node[follows], np.zeros(int(follows.sum()), dtype=np.int64), follows[follows])]
+            sig, node, several = sig[~follows], node[~follows], several[~follows]
             if len(sig):
                 begin = np.ones(len(sig), dtype=bool)
                 begin[1:] = sig[1:] != sig[:-1]
-                run = np.cumsum(begin) - 1
-                lowest, highest = np.minimum.reduceat(cls, np.flatnonzero(begin)), np.maximum.reduceat(cls, np.flatnonzero(begin))
-                told = (lowest < highest) | np.logical_or.reduceat(several, np.flatnonzero(begin))
+                run, first = np.cumsum(begin) - 1, np.flatnonzero(begin)
+                lead = node[first]
+                told = (np.maximum.reduceat(node, first) != lead) | np.logical_or.reduceat(several, first)
                 if held is not None and held[0] == sig[0]:
-                    if held[1] is None:
-                        told[0] = True
-                    elif told[0] or held[1] != cls[0]:
-                        told[0] = True
-                        out_sig.append(np.array([held[0]]))
-                        out_cls.append(np.array([held[1]]))
+                    told[0] |= held[2] or node[0] != held[1]
+                    lead[0] = held[1]
+                    if told[0] and not held[2]:
+                        out.append((sig[:1], lead[:1], lead[:1], np.zeros(1, dtype=bool)))
                 keep = told[run]
-                out_sig.append(sig[keep])
-                out_cls.append(cls[keep])
-                held = (sig[-1], None if told[-1] else cls[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_sig, out_cls)], ["sig", "c1"])
+                if held is not None and held[0] == sig[0]:
+                    keep &= ~((run == 0) & (node == held[1]))
+                out.append((sig[keep], node[keep], lead[run][keep], np.zeros(int(keep.sum()), dtype=bool)))
+                held = (sig[-1], lead[-1], bool(told[-1]))
+            sig, node, lead, unknown = (np.concatenate(c) for c in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node), pa.array(lead, mask=unknown)], ["sig", "node", "lead"])
+
+    emitted = docs.mapInArrow(emit, "key long, node long, tag long")
+    return emitted.repartition(parts(docs.sparkSession), "key").sortWithinPartitions("key", "node").mapInArrow(meet, "sig long, node long, lead long")
+
 
-    emitted = docs.mapInArrow(emit, "key long, c1 long, tag long")
-    return emitted.repartition(parts(docs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(meet, "sig long, c1 long")
+def alike(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    if den * min(len(x), len(y)) < num * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return den * both >= num * (len(x) + len(y) - both)
 
 
 def compare(pairs: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
@@ -193,12 +238,8 @@ def compare(pairs: DataFrame, features: DataFrame, num: int, den: int) -> DataFr
 
     def run(batches):
         for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            kept = []
-            for i in range(len(batch)):
-                x, y = (np.frombuffer(c[i].as_py(), dtype=np.uint64) for c in (a, b))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(den * both >= num * (len(x) + len(y) - both))
+            rows = zip(batch.column(2), batch.column(3))
+            kept = [alike(*(np.frombuffer(c.as_buffer(), dtype=np.uint64) for c in row), num, den) for row in rows]
             yield batch.select([0, 1]).filter(pa.array(kept, type=pa.bool_()))
 
     left = features.select(F.col("node").alias("a"), F.col("features").alias("fa"))
@@ -206,11 +247,42 @@ def compare(pairs: DataFrame, features: DataFrame, num: int, den: int) -> DataFr
     return pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
 
 
+def sketch(features: np.ndarray) -> np.ndarray:
+    """How many features fall in each of as many buckets, the next power of two; a count beyond a byte lets every partner through."""
+    counts = np.bincount((features >> np.uint64(20) & np.uint64((1 << max(6, int(len(features) - 1).bit_length())) - 1)).astype(np.int64), minlength=1 << max(6, int(len(features) - 1).bit_length()))
+    return (counts if counts.max() < 256 else np.full(len(counts), 255)).astype(np.uint8)
+
+
+def sift(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Of one or two blocks' sets, those that have a partner of another component whose sketch allows a link."""
+    component, own = table.column("component").to_numpy(), table.column("block").to_numpy()
+    size = table.column("n").to_numpy()
+    sketches = [np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in table.column("sketch")]
+    buckets = np.array([len(x) for x in sketches])
+    found, two = np.zeros(len(size), dtype=bool), len(np.unique(own)) > 1
+    for b in np.unique(buckets).tolist():
+        at = np.flatnonzero((buckets == b) | (buckets == 2 * b))  # sizes near each other differ by one doubling at most
+        folded = np.stack([sketches[i] if buckets[i] == b else np.minimum(sketches[i].reshape(2, b).sum(axis=0, dtype=np.int64), 255).astype(np.uint8) for i in at.tolist()])
+        for k in np.flatnonzero(buckets[at] == b).tolist():
+            i = at[k]
+            near = (component[at] != component[i]) & (den * np.minimum(size[at], size[i]) >= num * np.maximum(size[at], size[i]))
+            if two:
+                near &= own[at] != own[i]
+            near = np.flatnonzero(near)
+            if len(near):
+                most = np.minimum(folded[near], folded[k]).sum(axis=1, dtype=np.int64)
+                saturated = (folded[near] == 255).any(axis=1) | (folded[k] == 255).any()
+                near = near[saturated | (den * most >= num * (size[at[near]] + size[i] - most))]
+                found[i] |= len(near) > 0
+                found[at[near]] = True
+    return table.select(["lead", "lo", "hi", "node", "component", "block"]).filter(pa.array(found))
+
+
 def link_block(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Links that join the components of one or two blocks' sets (a spanning forest of them): node, block, lo, hi, component, features."""
+    """Links that join the components of one or two blocks' sets (a spanning forest of them)."""
     nodes, component = table.column("node").to_pylist(), table.column("component").to_numpy()
-    own, lo, hi = table.column("block").to_numpy(), table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-    all_ = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("features")]
+    own = table.column("block").to_numpy()
+    all_ = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("features")]
     size = np.array([len(x) for x in all_])
     owner = np.repeat(np.arange(len(all_)), size)
     shingle, at = np.unique(np.concatenate(all_), return_inverse=True)
@@ -222,7 +294,7 @@ def link_block(table: pa.Table, num: int, den: int) -> pa.Table:
         both += has @ has.T
     near = den * both >= num * (size[:, None] + size[None, :] - both)
     near &= component[:, None] != component[None, :]
-    if lo != hi:
+    if len(np.unique(own)) > 1:
         near &= own[:, None] != own[None, :]
     root = {c: c for c in component.tolist()}
 
@@ -240,17 +312,33 @@ def link_block(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], type=pa.int64()), "b": pa.array([y for _, y in out], type=pa.int64())})
 
 
-def within_groups(open_: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between components of candidates; open_: node, component, lead (the leader of a signature that the node has).
+def within_groups(members: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between components of the groups; members: lead, node, component.
 
-    The nodes of a leader's signatures are a group, a group is dealt into blocks of about BLOCK sets, and each pair of
-    blocks is one small task; so no pair is a row and no group is gathered.
+    A group's largest component is dealt into blocks of about BLOCK sets, and so is the rest; a block of the rest meets
+    itself, the other blocks of the rest and those of the largest component, each pair in a small task of its own.
     """
-    sizes = open_.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = open_.join(sizes.repartition(parts(open_.sparkSession)).hint("merge"), "lead").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(features.hint("merge"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("lead", "node", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "features")
-    return dealt.groupBy("lead", "lo", "hi").applyInArrow(lambda t: link_block(t, num, den), "a long, b long")
+    spark = members.sparkSession
+    by_component = members.groupBy("lead", "component").agg(F.count("*").alias("m"))
+    sizes = by_component.groupBy("lead").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("largest"), F.sum("m").alias("m")).where("m > largest")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    sizes = sizes.select("lead", "main", blocks(F.col("largest")).alias("mains"), blocks(F.col("m") - F.col("largest")).alias("rests")).repartition(parts(spark))
+    dealt = members.join(sizes.hint("merge"), "lead").withColumn("is_main", F.expr("component = main"))
+    # Blocks of the rest count up from 0, those of the largest component down from -1.
+    dealt = dealt.withColumn("block", F.expr("if(is_main, -1 - pmod(xxhash64(node), mains), pmod(xxhash64(node), rests))").cast("int"))
+    with_rest = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
+    with_main = F.transform(F.sequence(F.lit(1), F.col("mains")), lambda o: F.struct((-o).alias("lo"), F.col("block").alias("hi")))
+    dealt = cut(dealt.select("lead", "node", "component", "block", F.explode(F.when(F.col("is_main"), with_rest).otherwise(F.concat(with_rest, with_main))).alias("x")).select("lead", "node", "component", "block", "x.lo", "x.hi").repartition(parts(spark)))
+
+    def emit_sketches(batches):
+        for batch in batches:
+            all_ = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in all_], type=pa.int64()), pa.array([sketch(x).tobytes() for x in all_], type=pa.binary())], ["node", "n", "sketch"])
+
+    sketches = features.select("node", "features").mapInArrow(emit_sketches, "node long, n long, sketch binary")
+    allowed = dealt.join(sketches.hint("merge"), "node").groupBy("lead", "lo", "hi").applyInArrow(lambda t: sift(t, num, den), "lead long, lo int, hi int, node long, component long, block int")
+    allowed = cut(allowed.repartition(parts(spark)))
+    return allowed.join(features.hint("merge"), "node").groupBy("lead", "lo", "hi").applyInArrow(lambda t: link_block(t, num, den), "a long, b long")
 
 
 def jumped(parent: DataFrame, times: int) -> DataFrame:
@@ -289,10 +377,13 @@ def join_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100)
     counted = cut(classes(docs, n))
     found = counted.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("node"))
     found = cut(found.repartition(parts(spark)))
-    shared = candidates(docs, n, num, den).join(found.hint("merge"), "c1").select("sig", "node", F.col("n_shingles").alias("n")).distinct()
-    shared = cut(shared.repartition(parts(spark)))
-
-    nodes = cut(shared.select("node").distinct())
+    likely = maybe_in(docs.where("doc_id IS NOT NULL"), "doc_id", found.select("node")).where("maybe").select("doc_id", "text")
+    shared = cut(candidates(likely, n, num, den))
+    known = shared.where("lead IS NOT NULL")
+    late = shared.where("lead IS NULL").select("sig", "node").repartition(parts(spark)).join(known.where("node = lead").select("sig", "lead").hint("merge"), "sig")
+    # How many signatures a node shares with each leader; a leader belongs to its own group.
+    groups = cut(known.select("lead", "node").unionByName(late.select("lead", "node")).groupBy("lead", "node").agg(F.count("*").alias("m")).repartition(parts(spark)))
+    nodes = cut(groups.select("node").distinct())
 
     def emit_sets(batches):
         for batch in batches:
@@ -302,30 +393,13 @@ def join_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100)
     some = maybe_in(docs, "doc_id", nodes).where("maybe").select("doc_id", "text")
     some = some.join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi")
     features = cut(some.mapInArrow(emit_sets, "node long, features binary"))
-    near = lambda a, b: f"least({a}, {b}) * {den} >= greatest({a}, {b}) * {num}"
-
-    # Each class against one leader: of the classes that it shares a signature with and that are near in size, the one with the most company.
-    company = shared.groupBy("sig").agg(F.count("*").alias("m"))
-    degree = shared.join(company.hint("merge"), "sig").groupBy("node").agg(F.sum("m").alias("degree"))
-    ranked = cut(shared.join(degree.hint("merge"), "node").select("sig", "node", "n", "degree").repartition(parts(spark)))
-    leads = ranked.groupBy("sig").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), "n")).alias("lead"))
-    first = ranked.join(leads.hint("merge"), "sig").where("-lead.minus <> node AND " + near("lead.n", "n")).groupBy(F.col("node").alias("b")).agg(F.max(F.struct("lead.degree", "lead.minus")).alias("lead"))
-    first = first.select((-F.col("lead.minus")).alias("a"), "b").repartition(parts(spark))
-    links = cut(compare(first, features, num, den).repartition(parts(spark)))
+
+    first = groups.where("lead <> node").groupBy(F.col("node").alias("b")).agg(F.max_by("lead", F.struct("m", -F.col("lead"))).alias("a"))
+    links = cut(compare(first.repartition(parts(spark)), features, num, den).repartition(parts(spark)))
     # Three jumps join most of what the leaders hold together; what they leave apart is only compared again.
     labels = cut(jumped(links.select(F.col("b").alias("node"), F.col("a").alias("p")), 3)).withColumnRenamed("p", "component")
-
-    # Within signatures that hold several components yet: each component against the others.
-    labelled = shared.select("sig", "node", "n").join(labels.hint("merge"), "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-    mixed = mixed.join(leads.select("sig", (-F.col("lead.minus")).alias("lead")).hint("merge"), "sig")
-    open_ = cut(labelled.join(mixed.hint("merge"), "sig").repartition(parts(spark)))
-    company = open_.groupBy("sig").agg(F.count("*").alias("m"))
-    few, many = (open_.join(company.where(test).select("sig").hint("merge"), "sig") for test in (f"m <= {PAIRWISE}", f"m > {PAIRWISE}"))
-    x, y = (few.select("sig", F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
-    pairs = x.join(y.hint("merge"), "sig").where("a < b AND ca <> cb AND " + near("na", "nb")).select("a", "b").distinct().repartition(parts(spark))  # at most PAIRWISE a row
-    more = compare(pairs, features, num, den).unionByName(within_groups(many.select("node", "component", "lead").distinct(), features, num, den))
-    more = cut(more.repartition(parts(spark)))
+    members = groups.select("lead", "node").join(labels.hint("merge"), "node", "left").select("lead", "node", F.coalesce("component", "node").alias("component"))
+    more = cut(within_groups(cut(members.repartition(parts(spark))), features, num, den).repartition(parts(spark)))
     labels = components(links.unionByName(more))
 
     found = found.join(labels.hint("merge"), "node", "left").select("c1", "c2", F.col("n_shingles").alias("n"), F.coalesce("component", "node").alias("component"))
