@@ -42,7 +42,7 @@ from .hashing import Words, mix, range_hashes, text_steps
 #: Sets to a block where the members of a group are compared.
 BLOCK = 256
 #: What the choice of parts reckons with: so many sets that have a share of their features in common with a set by chance.
-RIVALS, SHARED = 20, 0.4
+RIVALS, SHARED = 60, 0.4
 
 
 @lru_cache(maxsize=8)
