@@ -29,6 +29,10 @@ from .common import id_text, steps
 #: Longer words aren't kept, and a worker keeps the words of its last two spells of so many.
 KEPT_CHARS, KEPT_WORDS = 64, 500_000
 ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+BLANK_ONLY = np.arange(256, dtype=np.uint8)
+BLANK_ONLY[10] = 32
+BLANK_LOWER = BLANK_ONLY.copy()
+BLANK_LOWER[65:91] += 32
 
 
 class WordIds:
@@ -42,19 +46,31 @@ class WordIds:
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        words, ends = [], []
-        for text in texts:
-            raw = text.encode()
-            if b"<|" not in raw:  # special tokens are told by their case
-                raw = raw.lower()
-            words += raw.replace(b"\n", b" ").split(b" ")
-            ends.append(len(words))
+    def __call__(self, column: pa.Array) -> list[np.ndarray]:
+        """Each text's ids. Words are told apart in Arrow, so only different ones are looked up, and their ids are gathered."""
+        texts = column.fill_null("").cast(pa.large_utf8())
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+        plain = BLANK_LOWER[data]
+        # Special tokens are told by their case, so texts that may hold one keep it.
+        for i in np.flatnonzero(np.array(pa.compute.match_substring(texts, "<|"), dtype=bool)).tolist():
+            plain[offsets[i] - offsets[0] : offsets[i + 1] - offsets[0]] = BLANK_ONLY[data[offsets[i] - offsets[0] : offsets[i + 1] - offsets[0]]]
+        whole = pa.Array.from_buffers(pa.large_utf8(), len(texts), [None, pa.py_buffer(offsets - offsets[0]), pa.py_buffer(plain)])
+        split = pa.compute.split_pattern(whole, " ")
+        told = split.flatten().dictionary_encode()
+        words = told.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.known.get, words))
         if None in found:
             new = self.encode({w for w, x in zip(words, found) if x is None})
             found = [new[w] if x is None else x for w, x in zip(words, found)]
-        return [np.frombuffer(b"".join(found[a:b]), dtype="<u4") for a, b in zip([0, *ends], ends)]
+        flat = np.frombuffer(b"".join(found), dtype="<u4")
+        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        place = np.array(told.indices, dtype=np.int64)
+        n = counts[place]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.arange(ends[-1]) + np.repeat((np.cumsum(counts) - counts)[place] - ends[:-1], n)]
+        edges = ends[np.array(split.offsets, dtype=np.int64)].tolist()
+        return [ids[x:y] for x, y in zip(edges, edges[1:])]
 
     def encode(self, words: set[bytes]) -> dict[bytes, bytes]:
         ids = {w: self.older[w] for w in words if w in self.older}
@@ -134,9 +150,8 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, linear:
 
         def tokenized(batch):
             sizes = pa.compute.binary_length(batch.column(1)).fill_null(0).to_pylist()
-            for a, b in steps(sizes, 1 << 20):
-                part = batch.slice(a, b - a)
-                yield from zip(part.column(0).to_pylist(), ids_of([x or "" for x in part.column(1).to_pylist()]))
+            for a, b in steps(sizes):
+                yield from zip(batch.column(0).slice(a, b - a).to_pylist(), ids_of(batch.column(1).slice(a, b - a)))
 
         rows = []
         for batch in batches:
