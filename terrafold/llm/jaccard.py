@@ -41,6 +41,8 @@ from .hashing import Words, mix, range_hashes, text_steps
 
 #: Sets to a block where the members of a group are compared.
 BLOCK = 256
+#: Features at a time of which a block counts what its sets share (16 MB).
+COLUMNS = 8192
 #: What the choice of parts reckons with: so many sets that have a share of their features in common with a set by chance.
 RIVALS, SHARED = 60, 0.4
 
@@ -287,9 +289,9 @@ def link_block(table: pa.Table, num: int, den: int) -> pa.Table:
     owner = np.repeat(np.arange(len(all_)), size)
     shingle, at = np.unique(np.concatenate(all_), return_inverse=True)
     both = np.zeros((len(all_), len(all_)))
-    for c in range(0, len(shingle), 65_536):
-        here = (at >= c) & (at < c + 65_536)
-        has = np.zeros((len(all_), min(65_536, len(shingle) - c)), dtype=np.float32)
+    for c in range(0, len(shingle), COLUMNS):
+        here = (at >= c) & (at < c + COLUMNS)
+        has = np.zeros((len(all_), min(COLUMNS, len(shingle) - c)), dtype=np.float32)
         has[owner[here], at[here] - c] = 1
         both += has @ has.T
     near = den * both >= num * (size[:, None] + size[None, :] - both)
