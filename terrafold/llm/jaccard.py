@@ -39,10 +39,10 @@ from pyspark.sql import functions as F
 from .common import cut, id_text, maybe_in, parts
 from .hashing import Words, mix, range_hashes, text_steps
 
-#: Sets to a block where the members of a group are compared.
-BLOCK = 256
-#: Features at a time of which a block counts what its sets share (16 MB).
-COLUMNS = 8192
+#: Sets, and features, to a block where the members of a group are compared (a block of features: 4 MB).
+BLOCK, BLOCK_FEATURES = 1024, 500_000
+#: Features at a time of which two blocks count what their sets share (16 MB).
+COLUMNS = 2048
 #: What the choice of parts reckons with: so many sets that have a share of their features in common with a set by chance.
 RIVALS, SHARED = 60, 0.4
 
@@ -315,16 +315,18 @@ def link_block(table: pa.Table, num: int, den: int) -> pa.Table:
 
 
 def within_groups(members: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between components of the groups; members: lead, node, component.
+    """Links between components of the groups; members: lead, node, component, n (the set's size).
 
-    A group's largest component is dealt into blocks of about BLOCK sets, and so is the rest; a block of the rest meets
-    itself, the other blocks of the rest and those of the largest component, each pair in a small task of its own.
+    A group's largest component is dealt into blocks of about BLOCK sets or BLOCK_FEATURES features, and so is the rest; a
+    block of the rest meets itself, the other blocks of the rest and those of the largest component, each pair in a small
+    task of its own.
     """
     spark = members.sparkSession
-    by_component = members.groupBy("lead", "component").agg(F.count("*").alias("m"))
-    sizes = by_component.groupBy("lead").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("largest"), F.sum("m").alias("m")).where("m > largest")
-    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    sizes = sizes.select("lead", "main", blocks(F.col("largest")).alias("mains"), blocks(F.col("m") - F.col("largest")).alias("rests")).repartition(parts(spark))
+    by_component = members.groupBy("lead", "component").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    main = F.max_by(F.struct("component", "m", "n"), F.struct("m", "component"))
+    sizes = by_component.groupBy("lead").agg(main.alias("main"), F.sum("m").alias("m"), F.sum("n").alias("n")).where("m > main.m")
+    blocks = lambda m, n: F.greatest(F.ceil(m / BLOCK), F.ceil(n / BLOCK_FEATURES)).cast("int")
+    sizes = sizes.select("lead", F.col("main.component").alias("main"), blocks(F.col("main.m"), F.col("main.n")).alias("mains"), blocks(F.col("m") - F.col("main.m"), F.col("n") - F.col("main.n")).alias("rests")).repartition(parts(spark))
     dealt = members.join(sizes.hint("merge"), "lead").withColumn("is_main", F.expr("component = main"))
     # Blocks of the rest count up from 0, those of the largest component down from -1.
     dealt = dealt.withColumn("block", F.expr("if(is_main, -1 - pmod(xxhash64(node), mains), pmod(xxhash64(node), rests))").cast("int"))
@@ -400,7 +402,8 @@ def join_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100)
     links = cut(compare(first.repartition(parts(spark)), features, num, den).repartition(parts(spark)))
     # Three jumps join most of what the leaders hold together; what they leave apart is only compared again.
     labels = cut(jumped(links.select(F.col("b").alias("node"), F.col("a").alias("p")), 3)).withColumnRenamed("p", "component")
-    members = groups.select("lead", "node").join(labels.hint("merge"), "node", "left").select("lead", "node", F.coalesce("component", "node").alias("component"))
+    told = features.select("node", F.expr("length(features) div 8").alias("n")).join(labels.hint("merge"), "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
+    members = groups.select("lead", "node").join(told.hint("merge"), "node").select("lead", "node", "component", "n")
     more = cut(within_groups(cut(members.repartition(parts(spark))), features, num, den).repartition(parts(spark)))
     labels = components(links.unionByName(more))
 
