@@ -6,11 +6,13 @@ text first, and only the rules whose keywords it met are tried. Of overlapping d
 of the same or a higher priority is suppressed, so "gpl-2.0-only" stands and the "gpl" within it does not; base rules are
 counted and labelled before that and always stay.
 
-Hundreds of rules come from the families below by FORMS: a name alone, with a version, as an SPDX tag, and as a phrase of
-licensing. A text's score is 1 minus the product of (1 - weight) over its labels' best detections.
+Written rules (WRITTEN) know licenses by their own words: the clauses of a notice or a grant, addresses, tags and short
+names as people write them. Hundreds more come from the families below by FORMS: a name alone, with a version, as an SPDX
+tag, and as a phrase of licensing. A text's score is 1 minus the product of (1 - weight) over its labels' best detections.
 
-Null texts count as empty. An empty text has no words and no labels. Equal detections count once. Very long texts are
-scanned whole. Rows that repeat are judged separately. Other columns are not read.
+Null texts count as empty. An empty text has no words and no labels; an empty table gives no rows. Equal detections count
+once; of equal priority and length the earlier place, then the rule's name goes first. Very long texts are scanned whole.
+Rows that repeat are judged separately. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -76,9 +78,83 @@ FORMS = {
     "tag": (r"spdx license identifier N(?: v)?(?: v?V)?(?: only| or later)?", False, 50, 0.99),
     "granted": (r"(?:licensed|released|distributed|available|published) under (?:the |a )?(?:terms of )?(?:the )?N(?: license| licence)?(?: version| v)?(?: v?V)?(?: only| or later| or any later version)?", False, 40, 0.95),
     "version": (r"N(?: license| licence)?(?: version| v)? v?V(?: only| or later| international| unported)?", True, 30, 0.9),
+    "marked version": (r"N(?: license| licence)? (?:version |v )?(?:v)?V(?: only| or later| license| licence)", True, 32, 0.9),
     "or later": (r"N(?: version| v)? v?V or (?:any later version|at your option any later version)", True, 35, 0.95),
     "name": (r"N", False, 20, 0.7),
 }
+#: Written rules: keyword, expression over the text's words, label, priority, weight. Notices outrank names, tags outrank all.
+WRITTEN = [
+    ("permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit", 60, 0.97),
+    ("permission is hereby granted", r"permission is hereby granted free of charge to any person", "mit", 55, 0.85),
+    ("the above copyright notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit", 60, 0.9),
+    ("permission to use copy modify", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc", 60, 0.97),
+    ("permission to use copy modify", r"permission to use copy modify (?:and )?distribute this software and its documentation for any purpose", "historical-permission", 58, 0.85),
+    ("redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd", 60, 0.97),
+    ("redistribution and use", r"redistribution and use in source and binary forms", "bsd", 55, 0.85),
+    ("neither the name", r"neither the name of (?:[^ ]+ ){1,12}?nor the names of its contributors may be used to endorse or promote products", "bsd", 60, 0.93),
+    ("all advertising materials", r"all advertising materials mentioning features or use of this software must display", "bsd", 60, 0.93),
+    ("redistributions of source code", r"redistributions of source code must retain the above copyright notice", "bsd", 58, 0.9),
+    ("redistributions in binary form", r"redistributions in binary form must reproduce the above copyright notice", "bsd", 58, 0.9),
+    ("this program is free software", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl", 62, 0.98),
+    ("this program is free software", r"this program is free software you can redistribute it", "gpl", 55, 0.85),
+    ("this library is free software", r"this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", "lgpl", 62, 0.98),
+    ("this library is free software", r"this library is free software you can redistribute it", "lgpl", 55, 0.85),
+    ("either version", r"either version (?:2|3) of the license or at your option any later version", "gpl", 52, 0.85),
+    ("you should have received a copy", r"you should have received a copy of the gnu general public license", "gpl", 57, 0.95),
+    ("you should have received a copy", r"you should have received a copy of the gnu lesser general public license", "lgpl", 57, 0.95),
+    ("you should have received a copy", r"you should have received a copy of the gnu affero general public license", "agpl", 57, 0.95),
+    ("with the classpath exception", r"(?:gpl|gnu general public license)(?: v| version)? ?(?:2|3)?(?: 0)? with the classpath exception", "gpl-classpath", 61, 0.97),
+    ("linking this library statically", r"linking this library statically or dynamically with other modules is making a combined work", "gpl-classpath", 61, 0.97),
+    ("gcc runtime library exception", r"gcc runtime library exception", "gpl-gcc", 58, 0.95),
+    ("gplv", r"gplv(?:2|3)(?: 0)?(?: only)?", "gpl", 45, 0.9),
+    ("lgplv", r"lgplv(?:2|3)(?: 0| 1)?(?: only)?", "lgpl", 45, 0.9),
+    ("agplv", r"agplv3(?: 0)?(?: only)?", "agpl", 45, 0.9),
+    ("gnu org licenses", r"(?:www )?gnu org licenses (?:old licenses )?gpl(?: 2 0| 3 0)?(?: html| txt)?", "gpl", 59, 0.96),
+    ("gnu org licenses", r"(?:www )?gnu org licenses (?:old licenses )?lgpl(?: 2 1| 3 0)?(?: html| txt)?", "lgpl", 59, 0.96),
+    ("gnu org licenses", r"(?:www )?gnu org licenses agpl(?: 3 0)?(?: html| txt)?", "agpl", 59, 0.96),
+    ("gnu org licenses", r"(?:www )?gnu org licenses fdl(?: 1 2| 1 3)?(?: html| txt)?", "gfdl", 59, 0.96),
+    ("apache org licenses", r"(?:www )?apache org licenses license 2 0(?: html| txt)?", "apache", 59, 0.97),
+    ("unless required by applicable law", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "apache", 60, 0.95),
+    ("you may not use this file except", r"you may not use this file except in compliance with the license", "apache", 58, 0.9),
+    ("opensource org licenses", r"opensource org licenses? (?:mit|mit license(?: php)?)", "mit", 59, 0.96),
+    ("opensource org licenses", r"opensource org licenses? (?:bsd(?: license(?: php)?)?|bsd [234] clause)", "bsd", 59, 0.96),
+    ("opensource org licenses", r"opensource org licenses? (?:apache 2 0|apache2 0(?: php)?)", "apache", 59, 0.96),
+    ("opensource org licenses", r"opensource org licenses? isc", "isc", 59, 0.96),
+    ("creativecommons org", r"creativecommons org licenses by nc nd(?: [0-9] [0-9])?", "cc-by-nc-nd", 63, 0.97),
+    ("creativecommons org", r"creativecommons org licenses by nc sa(?: [0-9] [0-9])?", "cc-by-nc-sa", 63, 0.97),
+    ("creativecommons org", r"creativecommons org licenses by nc(?: [0-9] [0-9])?", "cc-by-nc", 60, 0.97),
+    ("creativecommons org", r"creativecommons org licenses by nd(?: [0-9] [0-9])?", "cc-by-nd", 60, 0.97),
+    ("creativecommons org", r"creativecommons org licenses by sa(?: [0-9] [0-9])?", "cc-by-sa", 60, 0.97),
+    ("creativecommons org", r"creativecommons org licenses by(?: [0-9] [0-9])?", "cc-by", 58, 0.97),
+    ("creativecommons org", r"creativecommons org publicdomain zero(?: 1 0)?", "cc0", 60, 0.97),
+    ("creativecommons org", r"creativecommons org publicdomain mark(?: 1 0)?", "public-domain", 60, 0.95),
+    ("mozilla org mpl", r"(?:www )?mozilla org mpl(?: 1 1| 2 0)?", "mpl", 59, 0.96),
+    ("this source code form is subject", r"this source code form is subject to the terms of the mozilla public license", "mpl", 62, 0.98),
+    ("eclipse org legal", r"(?:www )?eclipse org legal epl(?: v10| v20| 2 0)?", "epl", 59, 0.96),
+    ("this is free and unencumbered", r"this is free and unencumbered software released into the public domain", "unlicense", 62, 0.98),
+    ("anyone is free to copy", r"anyone is free to copy modify publish use compile sell or distribute this software", "unlicense", 60, 0.95),
+    ("do what the fuck you want", r"(?:you just )?do what the fuck you want to", "wtfpl", 58, 0.95),
+    ("this software is provided as is", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", "zlib", 60, 0.95),
+    ("altered source versions", r"altered source versions must be plainly marked as such", "zlib", 60, 0.95),
+    ("boost org license", r"(?:www )?boost org license 1 0(?: txt)?", "boost", 59, 0.97),
+    ("scripts sil org ofl", r"scripts sil org ofl", "ofl", 59, 0.97),
+    ("openfontlicense org", r"(?:www )?openfontlicense org", "ofl", 59, 0.97),
+    ("opendatacommons org", r"(?:www )?opendatacommons org licenses odbl(?: 1 0)?", "odbl", 59, 0.97),
+    ("opendatacommons org", r"(?:www )?opendatacommons org licenses by(?: 1 0)?", "odc-by", 59, 0.97),
+    ("opendatacommons org", r"(?:www )?opendatacommons org licenses pddl(?: 1 0)?", "pddl", 59, 0.97),
+    ("spdx license identifier", r"spdx license identifier mit", "mit", 70, 0.99),
+    ("spdx license identifier", r"spdx license identifier bsd [0234] clause", "bsd", 70, 0.99),
+    ("spdx license identifier", r"spdx license identifier (?:isc|0bsd)", "isc", 70, 0.99),
+    ("spdx license identifier", r"spdx license identifier zlib", "zlib", 70, 0.99),
+    ("spdx license identifier", r"spdx license identifier bsl 1 0", "boost", 70, 0.99),
+    ("spdx license identifier", r"spdx license identifier gpl 2 0(?: only| or later)? with classpath exception 2 0", "gpl-classpath", 71, 0.99),
+    ("under mit", r"(?:licensed|released|distributed|available|published) under (?:the )?mit", "mit", 41, 0.93),
+    ("under bsd", r"(?:licensed|released|distributed|available|published) under (?:the |a )?bsd", "bsd", 41, 0.93),
+    ("under the mit", r"(?:licensed|released|distributed|available|published) under the mit", "mit", 41, 0.93),
+    ("under the bsd", r"(?:licensed|released|distributed|available|published) under the bsd", "bsd", 41, 0.93),
+    ("without express written permission", r"no part of this (?:publication|work|document) may be reproduced [^ ]+(?: [^ ]+){0,30}? without (?:the )?(?:prior )?(?:express )?written permission", "proprietary", 58, 0.9),
+    ("no part of this publication", r"no part of this publication may be reproduced", "proprietary", 56, 0.85),
+]
 #: Names too short to say anything outside a tag, a version or a phrase of licensing.
 SHORT = {"gpl", "lgpl", "agpl", "apache", "mpl", "epl", "bsl", "the unlicense", "psf license"}
 
@@ -100,11 +176,12 @@ def rules() -> tuple[Rule, ...]:
     for family, names, versions, label in FAMILIES:
         for name in names:
             for form, (text, versioned, priority, weight) in FORMS.items():
-                if (versioned and not versions) or (form == "name" and name in SHORT):
+                if (versioned and not versions) or (form in ("name", "version") and name in SHORT):
                     continue
                 any_version = "(?:" + "|".join(sorted(versions, key=len, reverse=True)) + ")" if versions else "(?:0)"
                 pattern = text.replace("V", any_version).replace("N", re.escape(name).replace("\\ ", " "))
                 out.append(Rule(f"{family}: {form} of {name}", re.compile(f"(?<![^ ]){pattern}(?![^ ])"), name, label, priority, weight))
+    out += [Rule(f"written {i}: {keyword}", re.compile(f"(?<![^ ]){pattern}(?![^ ])"), keyword, label, priority, weight) for i, (keyword, pattern, label, priority, weight) in enumerate(WRITTEN)]
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 

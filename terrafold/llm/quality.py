@@ -9,7 +9,8 @@ thresholds and kept if no measure is beyond.
 
 Measures are shrunk by a constant so that one key or symbol in a short text isn't judged. Null texts have no words and
 fail. Null languages and sources are groups of their own. Equal rows are judged alike, separately. An empty table gives
-no rows. Only doc_id, text, lang and source are read; documents whose id repeats stay separate rows.
+no rows. Only doc_id, text, lang and source are read; documents whose id repeats stay separate rows. Very long texts are
+measured whole.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ MEASURES = {
 }
 GAMMA, FENCE, LEAST = 1.02, 6.0, 200
 SMALLEST = 1e-4  # smaller values share the lowest bucket
+#: Groups whose thresholds are broadcast at most (about 20 MB).
+MOST_GROUPS = 100_000
 
 
 def repeated_words(words: list[bytes], n: int = 5) -> int:
@@ -111,7 +114,10 @@ def judged(docs: DataFrame) -> DataFrame:
     pick = lambda side, m: F.when(F.col(f"{side}.n_docs") >= LEAST, F.col(f"{side}.{m}"))
     table = own.alias("own").join(language.alias("language").hint("merge"), F.expr("own.lang <=> language.lang"), "left").crossJoin(F.broadcast(overall.alias("overall")))  # overall is one row
     table = table.select(F.col("own.lang").alias("g_lang"), F.col("own.source").alias("g_source"), *(F.coalesce(pick("own", m), pick("language", m), F.col(f"overall.{m}")).alias(f"most_{m}") for m in MEASURES))
-    joined = values.join(table.hint("merge"), F.expr("lang <=> g_lang AND source <=> g_source"), "left")
+    table = cut(table)
+    # Languages and sources are few and hot, so their thresholds go to the documents; only a table beyond the bound is met by a shuffle.
+    table = F.broadcast(table) if table.count() <= MOST_GROUPS else table.hint("merge")
+    joined = values.join(table, F.expr("lang <=> g_lang AND source <=> g_source"), "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     beyond = F.greatest(*(F.col(m) > F.col(f"most_{m}") for m in MEASURES))
     return joined.select("doc_id", *COUNTS[:5], failed.alias("base_failed"), (~failed & ~beyond).alias("kept"), *MEASURES, *(f"most_{m}" for m in MEASURES))

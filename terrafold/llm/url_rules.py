@@ -8,9 +8,11 @@ before it, the stack at its begin, comes from a first sweep over the interval en
 intervals compose like brackets, and only those summaries (a row a part) reach the driver. A hot host is dealt over
 many parts, for the sort key goes on with the path and the id.
 
-The longest rule (host and path together) wins, the longer host on equal length. Null URLs and those without "://" have
-an empty host and path and fit no rule. Equal URLs are separate rows. No rules, no rows and very long URLs are fine.
-Other columns are not read.
+The rules of one host lie in a table by path, so a URL tries one prefix for each length that a path of the host has. The
+longest rule (host and path together) wins, the longer host on equal length; of rules of equal host and path the verdict
+that sorts last ("block" over "allow"). Null URLs and those without "://" have an empty host and path and fit no rule.
+Equal URLs are separate rows. Without rules every URL has the default; an empty table of pages gives no rows; very long
+URLs are judged whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,32 +42,58 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "/"), F.lit("/"))
 
 
-def close(stack: list[dict], rule: int) -> None:
-    """Takes the rule off the stack; it is at or near its top, as intervals nest."""
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i]["rule_id"] == rule:
-            del stack[i]
-            return
+class Host:
+    """The open rules of one host, by path."""
+
+    def __init__(self, name: str):
+        self.name, self.paths, self.lengths = name, {}, []
+
+    def put(self, path: str, verdict: str) -> None:
+        self.paths[path] = verdict
+        self.lengths = sorted({len(x) for x in self.paths}, reverse=True)
+
+    def longest(self, path: str) -> str | None:
+        return next((path[:n] for n in self.lengths if n <= len(path) and path[:n] in self.paths), None)
+
+
+class Stack:
+    """The hosts whose intervals are open, one within the other."""
+
+    def __init__(self, rules):
+        self.hosts: list[Host] = []
+        for r in rules:
+            self.open(r)
+
+    def open(self, rule) -> None:
+        if not self.hosts or self.hosts[-1].name != rule["rule_host"]:
+            self.hosts.append(Host(rule["rule_host"]))
+        self.hosts[-1].put(rule["rule_path"], rule["verdict"])
+
+    def close(self, host: str) -> None:
+        """All of a host's rules end at one key."""
+        self.hosts = [h for h in self.hosts if h.name != host]
+
+    def best(self, path: str) -> tuple[str, str] | None:
+        """The longest fitting rule and its verdict."""
+        fits = [(len(h.name) + len(p), len(h.name), h.name + p, h.paths[p]) for h in self.hosts if (p := h.longest(path)) is not None]
+        return max(fits)[2:] if fits else None
 
 
 def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a part's interval ends: the rules closed but not opened in it, and those opened but not closed."""
-    closed, stack = [], []
+    """Of a part's interval ends: the hosts closed but not opened in it, and the rules opened but not closed."""
+    closed, opened = [], {}
     for batch in batches:
         for row in batch.to_pylist():
             if row["kind"] == RULE:
-                stack.append(row)
-            elif any(x["rule_id"] == row["rule_id"] for x in stack):
-                close(stack, row["rule_id"])
-            else:
-                closed.append(row["rule_id"])
-    if closed or stack:
-        kept = [{"rule_id": x["rule_id"], "rule_host": x["rule_host"], "rule_path": x["rule_path"], "verdict": x["verdict"]} for x in stack]
-        yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "closed": closed, "opened": kept}], schema=SUMMARY)
-
-
-RULE_TYPE = pa.struct([("rule_id", pa.int64()), ("rule_host", pa.string()), ("rule_path", pa.string()), ("verdict", pa.string())])
-SUMMARY = pa.schema([("part", pa.int32()), ("closed", pa.list_(pa.int64())), ("opened", pa.list_(RULE_TYPE))])
+                opened.setdefault(row["rule_host"], []).append({x: row[x] for x in ("rule_host", "rule_path", "verdict")})
+            elif opened.pop(row["rule_host"], None) is None:
+                closed.append(row["rule_host"])
+    if closed or opened:
+        yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "closed": closed, "opened": [r for rules in opened.values() for r in rules]}], schema=SUMMARY)
+
+
+RULE_TYPE = pa.struct([("rule_host", pa.string()), ("rule_path", pa.string()), ("verdict", pa.string())])
+SUMMARY = pa.schema([("part", pa.int32()), ("closed", pa.list_(pa.string())), ("opened", pa.list_(RULE_TYPE))])
 JUDGED = pa.schema([("url_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string())])
 
 
@@ -73,40 +101,38 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     """Every page's host, path, winning rule and verdict; rules: host, path, verdict (rows that are equal count once)."""
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col).cast("long").alias("url_id"), host.alias("host"), path.alias("path"))
-    urls = urls.select(host_key(F.col("host")).alias("key"), F.lit(URL).alias("kind"), F.col("path").alias("sort_path"), "url_id", "host", "path", *(F.lit(None).cast(t).alias(n) for n, t in (("rule_id", "long"), ("rule_host", "string"), ("rule_path", "string"), ("verdict", "string"))))
-    one = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict").dropna().dropDuplicates(["rule_host", "rule_path"])
-    one = one.withColumn("rule_id", F.xxhash64("rule_host", "rule_path"))
+    urls = urls.select(host_key(F.col("host")).alias("key"), F.lit(URL).alias("kind"), F.col("path").alias("sort_path"), "url_id", "host", "path", *(F.lit(None).cast(t).alias(n) for n, t in (("rule_host", "string"), ("rule_path", "string"), ("verdict", "string"))))
+    one = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict").dropna().groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict"))
     begin = host_key(F.col("rule_host"))
     ends = [(RULE, begin), (END, F.concat(F.substr(begin, F.lit(1), F.length(begin) - 1), F.lit("0")))]
     blank = [F.lit(None).cast(t).alias(n) for n, t in (("url_id", "long"), ("host", "string"), ("path", "string"))]
-    events = [one.select(key.alias("key"), F.lit(kind).alias("kind"), F.lit("").alias("sort_path"), *blank, "rule_id", "rule_host", "rule_path", "verdict") for kind, key in ends]
-    order = ["key", "kind", "sort_path", "url_id", "rule_id"]
+    events = [one.select(key.alias("key"), F.lit(kind).alias("kind"), F.lit("").alias("sort_path"), *blank, "rule_host", "rule_path", "verdict") for kind, key in ends]
+    order = ["key", "kind", "sort_path", "url_id", "rule_path"]
     dealt = urls.unionByName(events[0]).unionByName(events[1]).repartitionByRange(parts(pages.sparkSession), *order).sortWithinPartitions(*order)
     dealt = cut(dealt)
 
     # One row a part reaches the driver: what is open at a part's begin is a chain of nested rules.
-    found = {r["part"]: r for r in dealt.where(F.col("kind") != URL).mapInArrow(summaries, "part int, closed array<long>, opened array<struct<rule_id: long, rule_host: string, rule_path: string, verdict: string>>").collect()}
+    found = {r["part"]: r for r in dealt.where(F.col("kind") != URL).mapInArrow(summaries, "part int, closed array<string>, opened array<struct<rule_host: string, rule_path: string, verdict: string>>").collect()}
     opened, stack = {}, []
     for part in range(max(found, default=-1) + 1):
         opened[part] = list(stack)
         if part in found:
             gone = set(found[part]["closed"])
-            stack = [x for x in stack if x["rule_id"] not in gone] + [x.asDict() for x in found[part]["opened"]]
+            stack = [x for x in stack if x["rule_host"] not in gone] + [x.asDict() for x in found[part]["opened"]]
     last = list(stack)
 
     def sweep(batches):
-        stack = list(opened.get(TaskContext.get().partitionId(), last))
+        stack = Stack(opened.get(TaskContext.get().partitionId(), last))
         for batch in batches:
             out = []
             for row in batch.to_pylist():
                 if row["kind"] == RULE:
-                    stack.append(row)
+                    stack.open(row)
                 elif row["kind"] == END:
-                    close(stack, row["rule_id"])
+                    stack.close(row["rule_host"])
                 else:
-                    fits = [x for x in stack if row["path"].startswith(x["rule_path"])]
-                    best = max(fits, key=lambda x: (len(x["rule_host"]) + len(x["rule_path"]), len(x["rule_host"])), default=None)
-                    out.append((row["url_id"], row["host"], row["path"], best and best["rule_host"] + best["rule_path"], best["verdict"] if best else default))
+                    rule, verdict = stack.best(row["path"]) or (None, default)
+                    out.append((row["url_id"], row["host"], row["path"], rule, verdict))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*out), JUDGED)], schema=JUDGED)
 

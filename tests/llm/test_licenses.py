@@ -35,3 +35,32 @@ def test_rules_and_suppression():
     r = rules()[-1]
     kept = suppress([(0, 10, r), (2, 5, r), (8, 12, r), (8, 12, r), (8, 11, r)])
     assert sorted(x[:2] for x in kept) == [(0, 10), (8, 12)]
+
+
+PROBES = [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"), ("Redistribution and use in source and binary forms, with or without", "bsd"), ("see https://creativecommons.org/licenses/by-sa/4.0/", "cc-by-sa"),
+    ("http://www.apache.org/licenses/LICENSE-2.0", "apache"), ("SPDX-License-Identifier: MIT", "mit"), ("The code is licensed under MIT.", "mit"), ("It is GPLv3.", "gpl"), ("This program is free software; you can redistribute it", "gpl"),
+    ("creativecommons.org/licenses/by/4.0", "cc-by"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd"), ("epl 1 0 football score", ""), ("the permission of the city was granted", ""), ("apache helicopters 2 0", ""),
+]
+
+
+def test_written_rules_by_labels():
+    for text, labels in PROBES:
+        assert scan(text)[5] == labels, text
+
+
+def test_every_label_is_a_rule_over_the_whole_text_met_without_the_prefilter():
+    """Brute force: every rule is tried on every text, without keywords, and what lies within a detection of the same or a higher priority goes."""
+    for text in [t for t, _ in PROBES] + CASES[:6] + [" ".join(t for t, _ in PROBES)]:
+        words = " ".join(re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", lower(text or "")))
+        found = {(m.start(), m.end(), r) for r in rules() for m in r.pattern.finditer(words)}
+        stands = {r.label for a, b, r in found if not any(c <= a and b <= d and (c, d) != (a, b) and q.priority >= r.priority for c, d, q in found)}
+        base = {x for x in brute(text)[4].split(",") if x}
+        assert set(scan(text)[5].split(",")) - {""} <= stands | base, text
+        assert base <= set(scan(text)[5].split(",")) | {""} - {""} or not base
+
+
+def test_empty_table_and_repeated_rows(spark):
+    assert scan_licenses(frame(spark, [])).count() == 0
+    rows = scan_licenses(frame(spark, [(1, "mit license"), (1, "mit license"), (None, None)])).collect()
+    assert sorted((r["doc_id"] or 0, r["labels"]) for r in rows) == [(0, ""), (1, "mit"), (1, "mit")]

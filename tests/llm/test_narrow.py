@@ -127,3 +127,24 @@ def test_revisits(spark):
     assert (two["refers_to"], two["digest"], two["age"], len(got[11])) == (1, "d1", 10, 2)
     assert two["headers"] == {"content-type": "t", "etag": 'W/"1"', "date": "now"}
     assert resolve(df.limit(0)).count() == 0
+
+
+def test_url_rules_of_one_host_ties_and_odd_tables(spark):
+    rules = [("a.b", f"/{'x' * i}", "block" if i % 2 else "allow") for i in range(60)] + [("a.b", "/t", "allow"), ("a.b", "/t", "block"), ("c.a.b", "/xxx", "allow")]
+    urls = [f"http://a.b/{'x' * i}z" for i in range(70)] + ["http://a.b/t/1", "http://a.b/t/1", "http://c.a.b/xxxx", "http://a.b/" + "y" * 50_000]
+    judged_ = judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string"))
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in judged_.collect()}
+    assert all(got[i] == (f"a.b/{'x' * min(i, 59)}", "block" if min(i, 59) % 2 else "allow") for i in range(70))
+    assert got[70] == got[71] == ("a.b/t", "block") and got[72] == ("c.a.b/xxx", "allow") and got[73] == ("a.b/", "allow")
+    empty = spark.createDataFrame([], "page_id long, url string")
+    assert judge(empty, spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
+
+
+def test_repeated_ids_and_long_texts(spark):
+    long = " ".join(f"word{i % 977}" for i in range(60_000))
+    data = [(1, "a b c"), (1, "a b c"), (2, long), (None, None)]
+    for rows_ in (pack(frame(spark, data), tokenizer("word_bpe_49k.json")), token_counts(frame(spark, data), tokenizer("byte_bpe_50k.json")), judged(frame(spark, data))):
+        seen = Counter(r["doc_id"] for r in rows_.collect() if not r.asDict().get("start"))
+        assert seen == {1: 2, 2: 1, None: 1}
+    thresholds_ = {tuple(r[f"most_{m}"] for m in ("symbol_share", "upper_share")) for r in judged(frame(spark, data)).collect()}
+    assert len(thresholds_) == 1  # small groups share the thresholds of all
