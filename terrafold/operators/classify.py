@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, scan_penalty
+from ..functions.text import LETTERS, LOOKALIKES, fold, scan_penalty, squeeze
 
 #: Label, phrase, weight, least similarity.
 RULES = [
@@ -34,41 +37,57 @@ RULES = [
 LABELS = ("MPZP_WYPIS_WYRYS", "WZ_DECYZJA", "MPZP_OGOLNY")
 
 
-FOLDED = str.maketrans("1034528", "ioeaszb")
-
-
-def fuzzy(line: Column, want: Column, n: Column, least: Column) -> Column:
-    """1 for a folded phrase of n words within the folded line; else the first run of as many words that is similar enough, else the best."""
-    tokens = F.split(line, " ")
-    near = lambda x: F.greatest(F.lit(0.0), 1 - F.levenshtein(x, want) / F.greatest(F.length(x), F.length(want)))
-    chunks = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    sims = F.transform(chunks, near)
-    best = F.aggregate(sims, F.struct(F.lit(-1.0).alias("first"), F.lit(0.0).alias("most")), lambda s, x: F.struct(F.when((s["first"] < 0) & (x >= least), x).otherwise(s["first"]).alias("first"), F.greatest(s["most"], x).alias("most")))
-    picked = F.transform(F.array(best), lambda s: F.when(s["first"] >= 0, s["first"]).otherwise(s["most"]))[0]
-    return F.when(line == "", 0.0).when(line.contains(want), 1.0).when(F.size(tokens) < n, near(line)).otherwise(picked)
+FOLDED = str.maketrans(*LOOKALIKES)
 
 
-def rule_array(rules: list[tuple]) -> Column:
-    return F.array(*(F.struct(F.lit(label).alias("label"), F.lit(phrase).alias("phrase"), F.lit(phrase.translate(FOLDED)).alias("want"), F.lit(len(phrase.split())).alias("n"), F.lit(weight).alias("weight"), F.lit(least).alias("least")) for label, phrase, weight, least in rules))
+def most_edits(phrase: str, least: float) -> int:
+    """The most edits between a phrase and a text that is similar enough; a longer text allows more, up to length / least."""
+    return int((1 - least) * len(phrase) / least + 1e-9)
 
 
 #: Phrases that change a score rather than count themselves: of a parcel, the plan's short name, of an extract.
 SIGNS = [("parcel", "dzialka nr", 0, 0.78), ("parcel", "obreb", 0, 0.78), ("plan", "mpzp", 0, 0.68), ("extract", "wypis", 0, 0.76), ("extract", "wyrys", 0, 0.76)]
 
 
-def evidence(lines: DataFrame) -> DataFrame:
-    """doc_id, page, line_no, label, phrase, similarity, score of every rule that a line (doc_id, page, line_no, line) meets.
+def meetings(told: DataFrame) -> DataFrame:
+    """doc_id, page, line_no, mark, rule, similarity of every rule that a line meets; told: the folded lines, mark: whether the line has a §.
 
-    The rules are an array beside each line and only those met are exploded, so nothing is joined or multiplied out first.
+    A phrase within the line counts 1, else the first run of as many words that is similar enough counts its similarity.
+    Runs are rows of their own, so the edit distances, which stop at a rule's most edits (at once where lengths differ by
+    more), are compiled code, short enough for the JIT; only runs that meet a rule go on.
     """
-    told = lines.withColumn("line", F.trim("line")).where("line <> ''").withColumn("folded", fold(F.col("line")))
-    met = F.filter(F.transform(rule_array(RULES + SIGNS), lambda r: F.struct(r["label"].alias("label"), r["phrase"].alias("phrase"), r["weight"].alias("weight"), r["least"].alias("least"), fuzzy(F.col("folded"), r["want"], r["n"], r["least"]).alias("similarity"))), lambda r: r["similarity"] >= r["least"])
-    told = told.select("doc_id", "page", "line_no", "line", met.alias("met")).where(F.size("met") > 0)
+    rules = [(i, phrase.translate(FOLDED), least) for i, (_, phrase, _, least) in enumerate(RULES + SIGNS)]
+    of = lambda want: len(want.split(" "))
+    keys = ["doc_id", "page", "line_no", "mark"]
+    hit = lambda test, i, sim: F.when(test, F.struct(F.lit(i).alias("rule"), sim.cast("double").alias("similarity")))
+    within = F.array_compact(F.array(*(hit(F.col("folded").contains(want), i, F.lit(1.0)) for i, want, _ in rules)))
+    whole = told.select(*keys, within.alias("met")).where(F.size("met") > 0).select(*keys, F.lit(-1).alias("at"), F.explode("met").alias("x"))
+    tokens = F.split("folded", " ")
+    size = F.size("tokens")
+    runs = lambda n: F.when(size < n, F.array(F.struct(F.lit(n).alias("n"), F.lit(0).alias("at"), F.col("folded").alias("run")))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - n + 1)), lambda k: F.struct(F.lit(n).alias("n"), k.alias("at"), F.array_join(F.slice("tokens", k, n), " ").alias("run"))))
+    every = F.concat(*(runs(n) for n in sorted({of(want) for _, want, _ in rules})))
+    each = told.withColumn("tokens", tokens).select(*keys, F.inline(every))
+    alike = lambda want: 1 - F.levenshtein("run", F.lit(want)) / F.greatest(F.length("run"), F.lit(len(want)))
+    able = lambda want, least: F.levenshtein("run", F.lit(want), most_edits(want, least)) >= 0
+    by_n = {k: [(i, want, least) for i, want, least in rules if of(want) == k] for k in sorted({of(want) for _, want, _ in rules})}
+    some = each.where(reduce(or_, ((F.col("n") == k) & reduce(or_, (able(want, least) for _, want, least in some_)) for k, some_ in by_n.items())))
+    met = F.array_compact(F.array(*(hit((F.col("n") == of(want)) & (alike(want) >= least), i, alike(want)) for i, want, least in rules)))
+    found = whole.unionByName(some.select(*keys, "at", F.explode(met).alias("x"))).select(*keys, "at", "x.rule", "x.similarity")
+    return found.groupBy(*keys, "rule").agg(F.min_by("similarity", "at").alias("similarity"))
+
+
+def evidence(lines: DataFrame) -> DataFrame:
+    """doc_id, page, line_no, label, phrase, similarity, score of every rule that a line (doc_id, page, line_no, line) meets."""
+    told = lines.withColumn("line", F.trim("line")).where("line <> ''").select("doc_id", "page", "line_no", F.col("line").contains("§").alias("mark"), fold(F.col("line")).alias("folded")).where("folded <> ''")
+    rules = RULES + SIGNS
+    column = lambda k: F.array(*(F.lit(r[k]) for r in rules))
+    one = F.struct(F.get(column(0), F.col("rule")).alias("label"), F.get(column(1), F.col("rule")).alias("phrase"), F.get(column(2), F.col("rule")).alias("weight"), "similarity")
+    told = meetings(told).groupBy("doc_id", "page", "line_no", "mark").agg(F.collect_list(one).alias("met"))
     sign = lambda name: F.exists("met", lambda r: r["label"] == name)
     hit = lambda label, phrase, sim, score: F.struct(label.alias("label"), phrase.alias("phrase"), sim.cast("double").alias("similarity"), score.cast("int").alias("score"))
     counted = F.transform(F.filter("met", lambda r: r["weight"] > 0), lambda r: hit(r["label"], r["phrase"], r["similarity"], F.bround(r["weight"] * F.greatest(F.lit(0.72), r["similarity"])) + F.when((r["label"] == LABELS[0]) & sign("parcel"), 25).otherwise(0)))
     extra = F.array_compact(F.array(
-        F.when(sign("plan") & F.col("line").contains("§"), hit(F.lit(LABELS[2]), F.lit("§ mpzp"), F.lit(1), F.lit(60))),
+        F.when(sign("plan") & F.col("mark"), hit(F.lit(LABELS[2]), F.lit("§ mpzp"), F.lit(1), F.lit(60))),
         F.when(sign("extract"), hit(F.lit(LABELS[2]), F.lit("wypis/wyrys"), F.lit(1), F.lit(-180))),
     ))
     return told.select("doc_id", "page", "line_no", F.explode(F.concat(counted, extra)).alias("hit")).select("doc_id", "page", "line_no", "hit.*")
@@ -106,3 +125,25 @@ def final_class(ranked: DataFrame, top_text: DataFrame, external: DataFrame | No
 def top_evidence(found: DataFrame, k: int = 8) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "page", "line_no", "label", "phrase")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def top_text(pages: DataFrame) -> DataFrame:
+    """doc_id, text: the first 35 lines of page 1, and of page 2 where page 1 has under 180 letters, with single spaces, at most 1,200 characters.
+
+    The cut is the feature: a classifier's confidence rests on a document's head.
+    """
+    head = pages.where("page <= 2").groupBy("doc_id").agg(F.max(F.when(F.col("page") == 1, F.struct("text"))).alias("a"), F.max(F.when(F.col("page") == 2, F.struct("text"))).alias("b"))
+    top = lambda c: F.array_join(F.slice(F.filter(F.transform(F.split(c, r"[\r\n]+"), lambda x: F.trim(x)), lambda x: x != ""), 1, 35), "\n")
+    few = F.regexp_count(F.coalesce("a.text", F.lit("")), F.lit(f"[{LETTERS}]")) < 180
+    return head.select("doc_id", F.substr(squeeze(F.concat_ws(" ", top(F.col("a.text")), F.when(few, top(F.col("b.text"))))), F.lit(1), F.lit(1200)).alias("text"))
+
+
+def mapped_lines(key_lines: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc_id, key_line, page, line, score (percent): the document's line most similar to each key line, the first of equals, from half alike on."""
+    asked = key_lines.select("doc_id", "key_line", fold(F.col("key_line")).alias("want")).where("want <> ''")
+    told = lines.select("doc_id", "page", "line_no", F.trim("line").alias("line")).where("line <> ''").withColumn("folded", fold(F.col("line"))).where("folded <> ''")
+    alike = 1 - F.levenshtein("folded", "want") / F.greatest(F.length("folded"), F.length("want"))
+    near = F.least(F.length("folded"), F.length("want")) * 2 >= F.greatest(F.length("folded"), F.length("want"))  # else they can't be half alike
+    pairs = asked.join(told.hint("merge"), "doc_id").where(near).withColumn("sim", alike).where("sim >= 0.5")
+    best = pairs.groupBy("doc_id", "key_line").agg(F.max_by(F.struct("page", "line", "sim"), F.struct("sim", -F.col("page"), -F.col("line_no"))).alias("b"))
+    return best.select("doc_id", "key_line", "b.page", "b.line", F.bround(F.col("b.sim") * 100).cast("int").alias("score"))

@@ -15,18 +15,20 @@ from ..operators.register import single_parcel
 from ..sources import payloads as S
 from ..streaming import jobs as J
 from . import register_queries
-from .fixtures import oracle, view
+from .fixtures import oracle, spread, view
 
 
 def pages(s, d):
-    return view(s, d, "f_pages")
+    return spread(view(s, d, "f_pages"))
 
 
 def payloads(s, d):
-    good = view(s, d, "f_payloads")
-    broken = good.where("payload_id % 10 = 0").select((-F.col("payload_id") - 1).alias("payload_id"), F.substr("body", F.lit(1), F.lit(40)).alias("body"))
-    other = s.read.parquet(f"{d}/pages.parquet").select((F.col("page_id") + 10_000_000).alias("payload_id"), F.when(F.col("page_id") % 9 == 0, "").when(F.col("page_id") % 9 == 1, '{"a":1}').otherwise(F.substr("html", F.lit(1), F.lit(400))).alias("body"))
-    return good.unionByName(broken).unionByName(other)
+    """Whole bodies of four kinds, told apart by the id's remainder by 4: good, broken, pages, and empty or featureless ones."""
+    good, pages_ = view(s, d, "f_payloads"), s.read.parquet(f"{d}/pages.parquet")
+    kind = lambda c, k: (F.col(c) * 4 + k).alias("payload_id")
+    broken = good.where("payload_id % 10 = 0").select(kind("payload_id", 1), F.substr("body", F.lit(1), F.lit(40)).alias("body"))
+    odd = pages_.where("page_id % 9 < 2").select(kind("page_id", 3), F.when(F.col("page_id") % 9 == 0, "").otherwise('{"a":1}').alias("body"))
+    return good.select(kind("payload_id", 0), "body").unionByName(broken).unionByName(pages_.select(kind("page_id", 2), F.col("html").alias("body"))).unionByName(odd)
 
 
 def replies(s, d):
@@ -54,7 +56,10 @@ def flagship(s, d) -> DataFrame:
 
 
 def scratch(s) -> str:
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base and not s.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="spark-stream-")
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
@@ -82,7 +87,7 @@ QUERIES = {
     "s4_payload_format": lambda s, d: S.parsed_collections(payloads(s, d)).select("payload_id", "format", "error"),
     "s5_s6_parcel_replies": replies,
     "s7_exported": lambda s, d: S.exported(view(s, d, "f_features"), "plot_id"),
-    "s8_decoded": lambda s, d: payloads(s, d).where("payload_id < 10000000").select("payload_id", S.decoded(F.col("body"))[1].alias("raw")),
+    "s8_decoded": lambda s, d: payloads(s, d).select("payload_id", S.decoded(F.col("body"))[1].alias("raw")),
     "s9_upload_check": lambda s, d: S.eligible(files(s, d)).select("p_partkey", "reject_reason"),
     "t_1_success_stream": lambda s, d: J.drained_updates(success_windows(calls_stream(s, d)), ["source", "begin"], scratch(s)),
     "t_3_debounced": lambda s, d: J.debounced(view(s, d, "f_edits")).withColumn("value", F.round("value", 6)),
@@ -90,28 +95,55 @@ QUERIES = {
     "t_5_rate_limit_stream": lambda s, d: J.drained_batches(calls_stream(s, d, None), J.rate_limits(at := scratch(s), most=3, seconds=600), at),
 }
 LINES = ", r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM f_pages), l AS (SELECT doc_id, trim(line) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM r WHERE trim(line) <> ''), w AS (SELECT a.doc_id, 1 AS page, a.n, k.radius, string_agg(b.line, chr(10) ORDER BY b.n) AS text FROM l a CROSS JOIN (VALUES (1), (2)) k(radius) JOIN l b ON b.doc_id = a.doc_id AND abs(b.n - a.n) <= k.radius GROUP BY ALL)"
-SCORES = r""", g AS (SELECT *, lower(text) AS t FROM w), h AS (SELECT *, regexp_matches(t, 'dzia[łl]k') AND regexp_matches(t, 'ewid') AS p, regexp_matches(t, '[o0]br[eę]b') AS o, regexp_matches(t, 'po[łl]o[zż]on') AS loc, regexp_matches(t, 'przy\s+ul\.?|\bul\.\s+[a-ząćęłńóśźż]') AS st,
-  regexp_matches(text, '\bw\s+[A-ZĄĆĘŁŃÓŚŹŻ]') AS city, regexp_matches(text, 'po[łl]o[zż]on[a-ząćęłńóśźż]*[^\n]{0,40}\bw\s+[A-ZĄĆĘŁŃÓŚŹŻ]') AS near, regexp_matches(t, '\burz[aą]d\b|\btel\b') AS foot FROM g),
-sc AS (SELECT *, CASE WHEN p THEN 5 ELSE 0 END + CASE WHEN o THEN 4 ELSE 0 END + CASE WHEN loc THEN 3 ELSE 0 END + CASE WHEN st THEN 2 ELSE 0 END + CASE WHEN near THEN 2 ELSE 0 END + CASE WHEN p AND o AND (city OR loc OR st) THEN 4 ELSE 0 END - CASE WHEN foot THEN 10 ELSE 0 END AS score FROM h)"""
-PAY = ", y AS (SELECT payload_id, body FROM f_payloads UNION ALL SELECT -payload_id - 1, substr(body, 1, 40) FROM f_payloads WHERE payload_id % 10 = 0 UNION ALL SELECT page_id + 10000000, CASE page_id % 9 WHEN 0 THEN '' WHEN 1 THEN '{\"a\":1}' ELSE substr(html, 1, 400) END FROM pages)"
+#: Word borders as Spark's patterns have them (any script's letters), for DuckDB, whose own know only ASCII.
+A, Z = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+SCORES = rf""", g AS (SELECT *, lower(text) AS t FROM w), h AS (SELECT *, (regexp_matches(t, 'dzia[łl]k') OR regexp_matches(t, '{A}dz\.[\p{{L}}\p{{N}}_]')) AND regexp_matches(t, 'ewid|ew\.|nr\s+dzia[łl]k') AS p, regexp_matches(t, '[o0]br[eę]b|{A}obr\.[\p{{L}}\p{{N}}_]') AS o, regexp_matches(t, 'po[łl]o[zż]on') AS loc,
+  regexp_matches(t, '{A}przy\s+ul|{A}rejonie\s+ul|{A}ul\.\s+[a-ząćęłńóśźż]') AS st, regexp_matches(text, '{A}w\s+[A-ZĄĆĘŁŃÓŚŹŻ]') OR regexp_matches(t, '{A}(?:warszawa|radom|szczecinek|ciechan[óo]w){Z}') AS city,
+  regexp_matches(text, 'po[łl]o[zż]on[\p{{L}}\p{{N}}_]*[^\n]{{0,40}}{A}w\s+[A-ZĄĆĘŁŃÓŚŹŻ]') AS near, regexp_matches(t, 'po[łl]o[zż]enie\s+nieruchomo') AS pos,
+  regexp_matches(t, '{A}(?:urz[aą]d|wydzia[łl]|tel|fax|e-?mail|www|bip|krs|nip|regon|\d{{2}}-\d{{3}}){Z}') AS foot FROM g),
+sc AS (SELECT *, CASE WHEN p THEN 5 ELSE 0 END + CASE WHEN o THEN 4 ELSE 0 END + CASE WHEN loc THEN 3 ELSE 0 END + CASE WHEN st THEN 2 ELSE 0 END + CASE WHEN near THEN 2 ELSE 0 END + CASE WHEN p AND o AND (city OR loc OR st OR pos) THEN 4 ELSE 0 END - CASE WHEN foot THEN 10 ELSE 0 END AS score FROM h)"""
+PAY = ", y AS (SELECT 4 * payload_id AS payload_id, body FROM f_payloads UNION ALL SELECT 4 * payload_id + 1, substr(body, 1, 40) FROM f_payloads WHERE payload_id % 10 = 0 UNION ALL SELECT 4 * page_id + 2, html FROM pages UNION ALL SELECT 4 * page_id + 3, CASE page_id % 9 WHEN 0 THEN '' ELSE '{\"a\":1}' END FROM pages WHERE page_id % 9 < 2)"
 PARCEL_NO = "CAST(doc_id % 499 + 1 AS VARCHAR) || '/' || CAST(doc_id % 7 + 1 AS VARCHAR)"
 RULES = f", f AS (SELECT doc_id, {PARCEL_NO} AS number, lpad(CAST(doc_id % 97 + 1 AS VARCHAR), 4, '0') AS precinct, CASE WHEN doc_id % 6 <> 0 THEN doc_id % 9 + 6.5 END AS height, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 8 * 5 + 20 END AS bio, doc_id % 6 * 5 + 15 AS coverage FROM documents)"
 CALLS = ", c AS (SELECT call_id, ts, source, ok FROM f_calls)"
+#: A value's clean form, and the fields' and references' patterns run by DuckDB's own expressions over the pages' text.
+CLEAN = r"nullif(trim(regexp_replace(trim(regexp_replace({0}, '\s+', ' ', 'g')), '[,:;.)]+$', '')), '')"
+
+
+def quoted(pattern: str) -> str:
+    return "'(?i)" + pattern.replace("'", "''") + "'"
+
+
+def reference_sql(pattern: str, name: str) -> str:
+    return f" SELECT doc_id, page, pos, {CLEAN.format('raw')} AS {name} FROM (SELECT doc_id, page, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, page, regexp_extract_all(text, {quoted(pattern)}, 1) AS l FROM f_pages)) WHERE {CLEAN.format('raw')} IS NOT NULL"
+
+
+def field_sql() -> str:
+    parts = []
+    for key, pattern, kind, unit, confidence in E.FIELDS:
+        value = {"number": "TRY_CAST(replace(v, ',', '.') AS DOUBLE)", "count": "TRY_CAST(v AS DOUBLE)"}.get(kind, "CAST(NULL AS DOUBLE)")
+        told = CLEAN.format("v") if kind == "text" else value
+        sure = f"({told} IS NOT NULL" + (f" AND contains(raw, '{unit}'))" if unit else ")")
+        parts.append(f"SELECT doc_id, '{key}' AS field_key, CASE WHEN {sure} THEN {value} END AS value_num, {repr(unit) if unit else 'CAST(NULL AS VARCHAR)'} AS unit, CASE WHEN {sure} THEN {confidence} ELSE 0.0 END AS confidence, CASE WHEN {sure} THEN 'EXTRACTED' ELSE 'REQUIRES_REVIEW' END AS status FROM (SELECT doc_id, regexp_extract(text, {quoted(pattern)}, 0) AS raw, regexp_extract(text, {quoted(pattern)}, 1) AS v FROM f_pages WHERE regexp_matches(text, {quoted(pattern)}))")
+    return " " + " UNION ALL ".join(parts)
+
+
+FIELD_SQL = field_sql()
 ORACLE = {
     "flagship_plan_footprints": oracle("f_parcels", RULES + " SELECT doc_id, plot_id, CAST(height AS DOUBLE) AS height, (x1 - x0) * (y1 - y0) AS area, round(least((x1 - x0) * (y1 - y0) * coverage / 100, (x1 - x0) * (y1 - y0) * (1 - coalesce(bio, 30) / 100)), 6) AS \"limit\" FROM f JOIN f_parcels p ON number = parcel_number AND f.precinct = p.precinct ORDER BY \"limit\" DESC, doc_id, plot_id LIMIT 20"),
-    "p2_planning_fields": oracle("f_pages", RULES + " SELECT doc_id, 'maxBuildingHeightM' AS field_key, CAST(height AS DOUBLE) AS value_num, 'm' AS unit, 0.9 AS confidence, 'EXTRACTED' AS status FROM f WHERE height IS NOT NULL UNION ALL SELECT doc_id, 'minBiologicallyActivePct', bio, '%', 0.85, 'EXTRACTED' FROM f WHERE bio IS NOT NULL UNION ALL SELECT doc_id, 'maxBuildingCoveragePctOrM2', coverage, NULL, 0.85, 'EXTRACTED' FROM f"),
-    "p5a_parcel_references": "SELECT doc_id, 1 AS page, pos, parcel FROM documents CROSS JOIN (VALUES (0, 'ia'), (1, 'id')) v(pos, parcel)",
-    "p5b_precinct_references": "SELECT doc_id, 1 AS page, 0 AS pos, lpad(CAST(doc_id % 97 + 1 AS VARCHAR), 4, '0') AS precinct FROM documents",
-    "a5_single_parcel": f"SELECT doc_id, {PARCEL_NO} AS parcel FROM documents",
+    "p2_planning_fields": oracle("f_pages", FIELD_SQL),
+    "p5a_parcel_references": oracle("f_pages", reference_sql(E.PARCEL, "parcel")),
+    "p5b_precinct_references": oracle("f_pages", reference_sql(E.PRECINCT, "precinct")),
+    "a5_single_parcel": oracle("f_pages", r" SELECT doc_id, CASE WHEN len(list_distinct(l)) = 1 THEN l[1] END AS parcel FROM (SELECT doc_id, regexp_extract_all(text, '(?i)(?:^|[^\p{L}\p{N}_])ewid(?:\.|encyjn[\p{L}\p{N}_]+)?\s*(?:nr\s*)?(\d+(?:/\d+)?[a-z]?)', 1) AS l FROM f_pages) WHERE len(l) > 0"),
     "w1_context_windows": oracle("f_pages", LINES + " SELECT * FROM w"),
     "w2_window_scores": oracle("f_pages", LINES + SCORES + " SELECT doc_id, n, radius, score, foot AS has_footer, p AND o AS qualified FROM sc"),
     "w3_subject_window": oracle("f_pages", LINES + SCORES + " SELECT doc_id, n, radius, text FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY p AND o DESC, foot, score DESC, n, radius) = 1"),
     "s1_page_scan": "WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents) SELECT doc_id, page, length(t) AS n FROM p",
-    "s2_features": oracle("f_payloads", " SELECT payload_id, 0 AS n, CAST(payload_id % 499 + 1 AS VARCHAR) || '/' || CAST(payload_id % 7 + 1 AS VARCHAR) AS number, 'Polygon' AS geom_type FROM f_payloads"),
+    "s2_features": oracle("f_payloads", PAY + " SELECT payload_id, 0 AS n, json_extract_string(body, '$.features[0].properties.numer_dzialki') AS number, json_extract_string(body, '$.features[0].geometry.type') AS geom_type FROM y WHERE payload_id % 4 = 0"),
     "s4_payload_format": oracle("f_payloads", PAY + " SELECT payload_id, CASE WHEN body = '' THEN 'empty' WHEN starts_with(body, '{') THEN 'json' WHEN starts_with(lower(body), '<!doctype html') OR contains(lower(body), '<html') THEN 'html' ELSE 'unknown' END AS format, CASE WHEN body = '' THEN 'empty_response' WHEN starts_with(body, '{') THEN CASE WHEN NOT json_valid(body) THEN 'invalid_json' WHEN json_extract(body, '$.features') IS NULL THEN 'missing_features' END WHEN contains(lower(body), 'html') THEN 'html_response' ELSE 'unsupported' END AS error FROM y"),
     "s5_s6_parcel_replies": oracle("f_parcels", ", a AS (SELECT plot_id, '1412_1.' || precinct || '.' || replace(parcel_number, '/', '_') AS i, 'POLYGON((' || CAST(x0 AS INT) || ' ' || CAST(y0 AS INT) || ',' || CAST(x1 AS INT) || ' ' || CAST(y0 AS INT) || ',' || CAST(x1 AS INT) || ' ' || CAST(y1 AS INT) || '))' AS w, x1 FROM f_parcels) SELECT plot_id, CASE WHEN plot_id % 3 < 2 THEN i ELSE '0103000020AB' END AS id, CASE WHEN plot_id % 3 = 2 THEN '0103000020AB' END AS wkb, CASE WHEN plot_id % 3 < 2 THEN w END AS wkt, CASE WHEN plot_id % 3 < 2 THEN 3 END AS points, CASE WHEN plot_id % 3 < 2 THEN x1 END AS second_x FROM a"),
     "s7_exported": oracle("f_features", """ SELECT plot_id, '{"type":"FeatureCollection","features":[' || string_agg('{"type":"Feature","properties":{"layer":"' || layer_key || '","feature_id":"' || feature_id || '"}}', ',' ORDER BY feature_id) || ']}' AS json FROM f_features GROUP BY 1"""),
-    "s8_decoded": oracle("f_payloads", PAY + " SELECT payload_id, CASE WHEN NOT json_valid(body) THEN body END AS raw FROM y WHERE payload_id < 10000000"),
+    "s8_decoded": oracle("f_payloads", PAY + " SELECT payload_id, CASE WHEN NOT json_valid(body) THEN body END AS raw FROM y"),
     "s9_upload_check": "WITH f AS (SELECT p_partkey, p_partkey % 4 AS k, CASE WHEN p_partkey % 5 = 0 THEN 'text/plain' WHEN p_partkey % 4 = 0 THEN 'application/pdf' WHEN p_partkey % 4 = 1 THEN 'image/png' ELSE 'application/dxf' END AS m, (p_partkey % 30) * 1048576 AS s FROM part) SELECT p_partkey, CASE WHEN k = 2 THEN 'EXTENSION' WHEN m <> CASE k WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' ELSE 'application/dxf' END THEN 'MEDIA_TYPE' WHEN s <= 0 THEN 'EMPTY' WHEN s > CASE k WHEN 3 THEN 50 ELSE 20 END * 1048576 THEN 'TOO_LARGE' END AS reject_reason FROM f",
     "t_3_debounced": oracle("f_edits", ", g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 5 MINUTE THEN 1 ELSE 0 END AS new FROM f_edits WINDOW w AS (PARTITION BY parcel_id, field_key ORDER BY ts)), n AS (SELECT *, sum(new) OVER (PARTITION BY parcel_id, field_key ORDER BY ts) AS s FROM g) SELECT parcel_id, field_key, round(arg_max(value, ts), 6) AS value, count(*) AS edits, max(ts) AS saved_at FROM n GROUP BY parcel_id, field_key, s"),
     "t_4_circuit_stream": oracle("f_calls", ", r AS (SELECT *, sum(CAST(ok AS INT)) OVER (PARTITION BY source ORDER BY ts, call_id) AS run FROM f_calls), f AS (SELECT call_id, CAST(sum(CAST(NOT ok AS INT)) OVER (PARTITION BY source, run ORDER BY ts, call_id) AS BIGINT) AS failures FROM r) SELECT call_id, failures, failures >= 5 AS is_open FROM f"),

@@ -1,4 +1,4 @@
-"""Planning-domain views over the driver's tables; the SQL runs alike on Spark and DuckDB. The only place that invents data."""
+"""Planning-domain views over the driver's tables, whole texts included; the SQL runs alike on Spark and DuckDB. The only place that invents data."""
 
 from __future__ import annotations
 
@@ -16,15 +16,17 @@ SELECT doc_id, 1 AS page,
   CASE WHEN doc_id % 5 = 0 THEN '.' ELSE ' przy ul. ' || split_part('Kwiatowej,Klonowej,Operowej', ',', CAST(doc_id % 3 + 1 AS INT)) || ' ' || CAST(doc_id % 90 + 1 AS STRING) || '.' END || chr(10) ||
   CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'Maksymalna wysokość zabudowy: ' || CAST(doc_id % 9 + 6 AS STRING) || ',5 m.' || chr(10) END ||
   CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'Powierzchnia biologicznie czynna ' || CAST(doc_id % 8 * 5 + 20 AS STRING) || ' %.' || chr(10) END ||
+  CASE WHEN doc_id % 11 = 0 THEN 'Wysokość kalenicy ' || CAST(doc_id % 7 + 8 AS STRING) || ' m.' || chr(10) || 'Kąt nachylenia 35 stopni' || chr(10) || 'Dach dwuspadowy' || chr(10) ELSE '' END ||
+  coalesce(text, '') || chr(10) ||
   'Maksymalna powierzchnia zabudowy ' || CAST(doc_id % 6 * 5 + 15 AS STRING) || ' %.' AS text
 FROM documents""",
     "f_lines": """
-SELECT doc_id, 1 AS page, CAST(n AS INT) AS line_no,
-  CASE WHEN (doc_id + n) % 4 = 0
-       THEN translate(split_part('wypis i wyrys z mpzp;decyzja o warunkach zabudowy;uchwala nr 12 rady gminy;ustalam warunki zabudowy;pouczenie i odwolanie', ';', CAST((doc_id + n) % 5 + 1 AS INT)),
-                      CASE WHEN doc_id % 3 = 0 THEN 'oe' ELSE '' END, CASE WHEN doc_id % 3 = 0 THEN '03' ELSE '' END)
-       ELSE substr(text, CAST(n * 40 + 1 AS INT), 40) END AS line
-FROM documents CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k""",
+SELECT doc_id, 1 AS page, CAST(n AS INT) AS line_no, line FROM {lines of documents}
+UNION ALL
+SELECT doc_id, 1 AS page, CAST(n - 4 AS INT) AS line_no,
+  translate(split_part('wypis i wyrys z mpzp;decyzja o warunkach zabudowy;uchwala nr 12 rady gminy;ustalam warunki zabudowy;pouczenie i odwolanie', ';', CAST((doc_id + n) % 5 + 1 AS INT)),
+            CASE WHEN doc_id % 3 = 0 THEN 'oe' ELSE '' END, CASE WHEN doc_id % 3 = 0 THEN '03' ELSE '' END) AS line
+FROM documents CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k WHERE (doc_id + n) % 4 = 0""",
     "f_parcels": """
 SELECT p_partkey AS plot_id,
   CAST(p_partkey % 499 + 1 AS STRING) || '/' || CAST(p_partkey % 7 + 1 AS STRING) AS parcel_number,
@@ -70,10 +72,22 @@ FROM part""",
 TABLES = re.compile(r"FROM (documents|part|orders|customer|lineitem|events)\b")
 
 
+#: All lines of whole texts, numbered, in each engine's words.
+LINES = "{lines of documents}"
+SPARK_LINES = "(SELECT doc_id, n, line FROM documents LATERAL VIEW posexplode(split(text, chr(10))) x AS n, line)"
+DUCK_LINES = "(SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n, unnest(string_split(text, chr(10))) AS line FROM documents)"
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(TABLES.sub(lambda m: f"FROM parquet.`{sf_dir}/{m[1]}.parquet`", VIEWS[name]))
+    return spark.sql(TABLES.sub(lambda m: f"FROM parquet.`{sf_dir}/{m[1]}.parquet`", VIEWS[name].replace(LINES, SPARK_LINES)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out anew where it has fewer partitions than there are cores; for work that costs far more than a shuffle of its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def oracle(names: str, sql: str) -> str:
     """DuckDB SQL over the named views; sql may go on with further common tables after a leading comma."""
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names.split()) + "\n" + sql
+    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n].replace(LINES, DUCK_LINES)})" for n in names.split()) + "\n" + sql

@@ -79,7 +79,7 @@ QUERIES = {
     "a16_layer_signature": lambda s, d: C.signatures(entities(s, d)),
     "a9_drawing_bounds": boxes,
     "g12_drawing_units": units,
-    "g13_normalised": lambda s, d: C.normalised(entities(s, d), boxes(s, d), units(s, d)).groupBy("file_id").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.round(F.max(F.col("x") + F.col("w")), 3).alias("x1")).where("x1 < 1e6"),
+    "g13_normalised": lambda s, d: C.normalised(entities(s, d), boxes(s, d), units(s, d)).groupBy("file_id").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1")).withColumn("x1", F.when(F.col("x1") < 1e6, F.round("x1", 3)).otherwise(F.round(F.log10("x1"), 9))),
     "a10_layer_hints": lambda s, d: C.layer_hints(entities(s, d), boxes(s, d)),
     "a18_parcel_layers": lambda s, d: C.parcel_layers(entities(s, d), C.layer_hints(entities(s, d), boxes(s, d))),
     "t6_boundary_candidates": candidates,
@@ -129,7 +129,7 @@ ORACLE = {
     "a16_layer_signature": oracle("f_entities", "SELECT file_id, array_to_string(list_sort(list(DISTINCT lower(layer))), '|') AS signature FROM f_entities GROUP BY 1"),
     "a9_drawing_bounds": oracle("f_entities", BOX + " SELECT * FROM b"),
     "g12_drawing_units": oracle("f_entities", UNIT + " SELECT file_id, unit, scale, source FROM u"),
-    "g13_normalised": oracle("f_entities", UNIT + " SELECT * FROM (SELECT e.file_id, count(*) AS n, min((x - x0) * scale) AS x0, round(max((x - x0) * scale + w * scale), 3) AS x1 FROM f_entities e JOIN u USING (file_id) GROUP BY 1) WHERE x1 < 1e6"),
+    "g13_normalised": oracle("f_entities", UNIT + " SELECT file_id, n, x0, CASE WHEN x1 < 1e6 THEN round(x1, 3) ELSE round(log10(x1), 9) END AS x1 FROM (SELECT e.file_id, count(*) AS n, min((x - x0) * scale) AS x0, max((x - x0) * scale + w * scale) AS x1 FROM f_entities e JOIN u USING (file_id) GROUP BY 1)"),
     "a10_layer_hints": oracle("f_entities", HINT + " SELECT file_id, layer, score, rank FROM h WHERE rank <= 8"),
     "a18_parcel_layers": oracle("f_entities", HINT + ", m AS (SELECT *, max(score) OVER (PARTITION BY file_id) AS best, max(n_closed) OVER (PARTITION BY file_id) AS most FROM h WHERE rank <= 8) SELECT file_id, layer FROM m WHERE (best > 0 AND score = best) OR (best <= 0 AND n_closed = most)"),
     "t6_boundary_candidates": oracle("f_entities", CAND + " SELECT * FROM cd"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import parcel as P
 from ..functions import text as T
 from ..operators import classify as C
-from .fixtures import oracle, view
+from .fixtures import oracle, spread, view
 
 #: Typed parcel input in several spellings, made from the parts' keys; runs on both engines.
 INPUT = r"""
@@ -71,7 +71,7 @@ EVIDENCE = rf"""
 , told AS (SELECT doc_id, page, line_no, trim(line) AS line, {FOLD} AS h FROM f_lines WHERE trim(line) <> ''),
 rules(i, label, phrase, want, weight, least) AS (VALUES {_RULES}, (100, 'c', 'dzialka nr', 'dzialka nr', 0, 0.78), (101, 'c', 'obreb', 'obreb', 0, 0.78), (102, 'm', 'mpzp', 'mpzp', 0, 0.68), (103, 'w', 'wypis', 'wypis', 0, 0.76), (104, 'w', 'wyrys', 'wyrys', 0, 0.76)),
 pairs AS (SELECT t.*, r.*, string_split(h, ' ') AS tokens, len(string_split(want, ' ')) AS n FROM told t CROSS JOIN rules r),
-near AS (SELECT *, list_transform(range(1, len(tokens) - n + 2), lambda k: array_to_string(tokens[k:k + n - 1], ' ')) AS chunks FROM pairs),
+near AS (SELECT *, list_filter(list_transform(range(1, len(tokens) - n + 2), lambda k: array_to_string(tokens[k:k + n - 1], ' ')), lambda x: least(length(x), length(want)) >= least * greatest(length(x), length(want)) - 0.001) AS chunks FROM pairs),
 sims AS (SELECT *, list_transform(chunks, lambda x: greatest(0.0, 1 - levenshtein(x, want) / greatest(length(x), length(want)))) AS s FROM near),
 one AS (SELECT *, CASE WHEN h = '' THEN 0.0 WHEN contains(h, want) THEN 1.0 WHEN len(tokens) < n THEN greatest(0.0, 1 - levenshtein(h, want) / greatest(length(h), length(want))) ELSE coalesce(list_filter(s, lambda x: x >= least)[1], list_max(s)) END AS sim FROM sims),
 met AS (SELECT * FROM one WHERE sim >= least),
@@ -88,11 +88,11 @@ PENALTY = r"CASE WHEN length(regexp_replace(text, '\s+', '', 'g')) < 60 OR lengt
 
 
 def evidence(spark, sf):
-    return C.evidence(view(spark, sf, "f_lines")).withColumn("similarity", F.round("similarity", 9))
+    return C.evidence(spread(view(spark, sf, "f_lines"))).withColumn("similarity", F.round("similarity", 9))
 
 
 def class_scores(spark, sf):
-    return C.class_scores(view(spark, sf, "f_lines"))
+    return C.class_scores(spread(view(spark, sf, "f_lines")))
 
 
 def winners(spark, sf):
@@ -100,7 +100,7 @@ def winners(spark, sf):
 
 
 def _top(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.substr("text", F.lit(1), F.lit(1200)).alias("text"))
+    return C.top_text(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.lit(1).alias("page"), "text"))
 
 
 def final_class(spark, sf):
@@ -113,15 +113,32 @@ def overridden(spark, sf):
 
 
 def top_evidence(spark, sf):
-    return C.top_evidence(C.evidence(view(spark, sf, "f_lines"))).select("doc_id", "rank", "label", "phrase", "line_no", "score")
+    return C.top_evidence(C.evidence(spread(view(spark, sf, "f_lines")))).select("doc_id", "rank", "label", "phrase", "line_no", "score")
+
+
+#: The top text: the first 35 lines that aren't blank, with single spaces, up to 1,200 characters.
+TOP = r"(SELECT doc_id, substr(trim(regexp_replace(array_to_string(list_filter(list_transform(string_split_regex(text, '[\r\n]+'), lambda x: trim(x)), lambda x: x <> '')[1:35], chr(10)), '\s+', ' ', 'g')), 1, 1200) AS text FROM documents)"
+FINAL = f", t AS {TOP}"
+def key_lines(spark, sf):
+    """Each document's third line with its blanks doubled and vowels changed, as a model would quote it."""
+    df = view(spark, sf, "f_lines").where("line_no = 2")
+    return df.select("doc_id", F.translate("line", "ao", "eu").alias("key_line"))
+
+
+def mapped(spark, sf):
+    return C.mapped_lines(key_lines(spark, sf), view(spark, sf, "f_lines")).select("doc_id", "line", "score")
 
 
-FINAL = ", t AS (SELECT doc_id, substr(text, 1, 1200) AS text FROM documents)"
 QUERIES = {
+    "f25_top_text": _top, "j6_mapped_lines": mapped,
     "f1_f4_parcel_input": parcel_input, "f5_text_parcel": text_number, "f12_f17_folded_text": folded, "p14_scan_penalty": scan_penalty,
     "j12_rule_evidence": evidence, "a1_class_scores": class_scores, "a2_class_winner": winners, "a3_final_class": final_class, "p23_label_override": overridden, "t3_top_evidence": top_evidence,
 }
 ORACLE = {
+    "f25_top_text": f"SELECT * FROM {TOP}",
+    "j6_mapped_lines": oracle("f_lines", f""", k AS (SELECT doc_id, {FOLD.replace('lower(line)', "lower(translate(line, 'ao', 'eu'))")} AS want, translate(line, 'ao', 'eu') AS key_line FROM f_lines WHERE line_no = 2), l AS (SELECT doc_id, page, line_no, trim(line) AS line, {FOLD} AS folded FROM f_lines),
+  p AS (SELECT k.doc_id, key_line, page, line_no, line, 1 - levenshtein(folded, want) / greatest(length(folded), length(want)) AS sim FROM k JOIN l USING (doc_id) WHERE want <> '' AND folded <> '' AND 2 * least(length(folded), length(want)) >= greatest(length(folded), length(want)))
+  SELECT doc_id, line, CAST(round_even(sim * 100, 0) AS INT) AS score FROM p WHERE sim >= 0.5 QUALIFY row_number() OVER (PARTITION BY doc_id, key_line ORDER BY sim DESC, page, line_no) = 1"""),
     "f1_f4_parcel_input": SQL_INPUT, "f5_text_parcel": SQL_TEXT_NUMBER, "f12_f17_folded_text": SQL_FOLDED, "p14_scan_penalty": SQL_PENALTY,
     "j12_rule_evidence": oracle("f_lines", EVIDENCE + " SELECT doc_id, page, line_no, label, phrase, round(similarity, 9) AS similarity, score FROM hit"),
     "a1_class_scores": oracle("f_lines", EVIDENCE + SUMS + " SELECT * FROM sums"),

@@ -29,7 +29,7 @@ def remembered(s, d):
     """The latest layer chosen for a signature is remembered for every drawing of that signature."""
     e = view(s, d, "f_entities")
     signed = C.signatures(e)
-    chosen = e.where("closed").groupBy("file_id").agg(F.min("layer").alias("layer")).join(signed.hint("merge"), "file_id").where("file_id % 2 = 0")
+    chosen = e.where("closed").groupBy("file_id").agg(F.min("layer").alias("layer")).join(signed.hint("merge"), "file_id")
     last = latest(chosen, ["signature"], [F.desc("file_id")]).select("signature", F.col("layer").alias("preferred"))
     return signed.join(last.hint("merge"), "signature", "left").select("file_id", "preferred")
 
@@ -51,7 +51,7 @@ QUERIES = {"f20_f29_values": scalars, "j15_parcel_preview": previews, "j11_w12_r
 ORACLE = {
     "f20_f29_values": "SELECT p_partkey, CASE WHEN p_partkey % 256 >= 250 THEN '#000000' ELSE '#' || lpad(lower(to_hex(p_partkey % 256)), 2, '0') || lower(to_hex(250 + p_partkey % 6)) || lower(to_hex(251 + p_partkey % 5)) END AS colour, p_size || CASE WHEN p_partkey % 2 = 0 THEN ' m' ELSE '' END AS shown, CASE WHEN p_partkey % 3 <> 0 THEN p_size + 0.5 END AS num, CAST(greatest(8, floor(32 * (p_partkey % 13 / 2.0) / (2 * pi()))) AS INT) AS pieces, 'MN' || p_partkey % 5 AS symbol FROM part",
     "j15_parcel_preview": oracle("f_parcels", ", n AS (SELECT parcel_number, count(*) AS n, min(plot_id) AS plot_id FROM f_parcels GROUP BY 1) SELECT doc_id, CASE WHEN n IS NULL THEN 'NOT_FOUND' WHEN n > 1 THEN 'MULTIPLE' ELSE 'FOUND' END AS status, CASE WHEN n = 1 THEN plot_id END AS plot_id FROM documents LEFT JOIN n ON parcel_number = CAST(doc_id % 520 + 1 AS VARCHAR) || '/' || CAST(doc_id % 7 + 1 AS VARCHAR)"),
-    "j11_w12_remembered_layer": oracle("f_entities", ", s AS (SELECT file_id, array_to_string(list_sort(list(DISTINCT lower(layer))), '|') AS g, min(layer) FILTER (closed) AS l FROM f_entities GROUP BY 1), c AS (SELECT g, arg_max(l, file_id) AS preferred FROM s WHERE l IS NOT NULL AND file_id % 2 = 0 GROUP BY 1) SELECT file_id, preferred FROM s LEFT JOIN c USING (g)"),
+    "j11_w12_remembered_layer": oracle("f_entities", ", s AS (SELECT file_id, array_to_string(list_sort(list(DISTINCT lower(layer))), '|') AS g, min(layer) FILTER (closed) AS l FROM f_entities GROUP BY 1), c AS (SELECT g, arg_max(l, file_id) AS preferred FROM s WHERE l IS NOT NULL GROUP BY 1) SELECT file_id, preferred FROM s LEFT JOIN c USING (g)"),
     "p8_register_search": oracle("f_parcels", "SELECT plot_id FROM f_parcels WHERE precinct IN ('0007', '0031') AND contains(lower(locality), 'radom')"),
     "t8_largest_part": oracle("f_entities", "SELECT file_id, layer, x, y, w * h AS area FROM f_entities WHERE closed QUALIFY row_number() OVER (PARTITION BY file_id, layer ORDER BY w * h DESC, x, y) = 1"),
 }
