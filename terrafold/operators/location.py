@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_value
-from .extraction import FOOTER, WIDE, lines, scored, windows
+from .extraction import FOOTER, WIDE, scored, windows
 
 #: What numbers, names and places look like, and what leads to them or ends them (group n: the value).
 LETTER, ANY = "A-ZĄĆĘŁŃÓŚŹŻ", r"A-Za-zÀ-ÿĄĆĘŁŃÓŚŹŻąćęłńóśźż0-9 .'-"
@@ -104,7 +104,7 @@ def with_parcels(rows: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("full_", parcel_number(group(t, FULL_ID, 1))).withColumn("block_", F.when(F.col("full_").isNull(), block))
     out = out.withColumn("listed_", parcel_tokens(F.col("block_.numbers")))
     # One number without a slash may go on after a blank or a dash, within 24 characters.
-    span = F.substr(t, F.locate_(F.col("block_.all"), t), F.length("block_.all") + 24) if hasattr(F, "locate_") else F.substr(t, F.expr("locate(block_.all, flat_)"), F.length("block_.all") + 24)
+    span = F.substr(t, F.expr("locate(block_.all, flat_)"), F.length("block_.all") + 24)
     out = out.withColumn("span_", F.when((F.size("listed_") == 1) & ~F.get("listed_", F.lit(0)).contains("/"), span))
     near = F.get(matches(F.col("span_"), COMPACT), F.lit(0))
     out = out.withColumn("near_", F.when(F.col("span_").isNotNull(), near))
@@ -229,5 +229,3 @@ def long_date(c: Column) -> tuple[Column, Column]:
     month = F.create_map(*(F.lit(x) for i, m in enumerate(MONTHS) for x in (m, f"{i + 1:02d}")))[F.lower(group(c, pattern, 2))]
     return clean_value(group(c, pattern, 0)), F.try_to_date(F.concat_ws("-", group(c, pattern, 3), month, F.lpad(group(c, pattern, 1), 2, "0")), "yyyy-MM-dd")
 
-
-__all__ = ["bundles", "issue_sign", "lines", "locality_references", "locations", "long_date", "parcel_number", "parcel_tokens", "street_references", "with_city", "with_parcels", "with_precinct", "with_street"]

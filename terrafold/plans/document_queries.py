@@ -75,7 +75,7 @@ def files(s, d):
 WINDOW_COLUMNS = ("doc_id", "n", "radius", "score", "has_footer", "qualified")
 QUERIES = {
     "flagship_plan_footprints": flagship,
-    "p2_planning_fields": lambda s, d: E.fields(pages(s, d)).select("doc_id", "field_key", "value_num", "unit", "confidence", "status"),
+    "p2_planning_fields": lambda s, d: E.fields(pages(s, d)).select("doc_id", "field_key", "value_num", "value_text", "unit", "confidence", "status"),
     "p5a_parcel_references": lambda s, d: E.references(pages(s, d), E.PARCEL, "parcel"),
     "p5b_precinct_references": lambda s, d: E.references(pages(s, d), E.PRECINCT, "precinct"),
     "a5_single_parcel": lambda s, d: single_parcel(E.references(pages(s, d), E.PARCEL_LABEL, "parcel")),
@@ -119,12 +119,15 @@ def reference_sql(pattern: str, name: str) -> str:
 
 
 def field_sql() -> str:
-    parts = []
+    parts, first = [], {}
     for key, pattern, kind, unit, confidence in E.FIELDS:
         value = {"number": "TRY_CAST(replace(v, ',', '.') AS DOUBLE)", "count": "TRY_CAST(v AS DOUBLE)"}.get(kind, "CAST(NULL AS DOUBLE)")
-        told = CLEAN.format("v") if kind == "text" else value
-        sure = f"({told} IS NOT NULL" + (f" AND contains(raw, '{unit}'))" if unit else ")")
-        parts.append(f"SELECT doc_id, '{key}' AS field_key, CASE WHEN {sure} THEN {value} END AS value_num, {repr(unit) if unit else 'CAST(NULL AS VARCHAR)'} AS unit, CASE WHEN {sure} THEN {confidence} ELSE 0.0 END AS confidence, CASE WHEN {sure} THEN 'EXTRACTED' ELSE 'REQUIRES_REVIEW' END AS status FROM (SELECT doc_id, regexp_extract(text, {quoted(pattern)}, 0) AS raw, regexp_extract(text, {quoted(pattern)}, 1) AS v FROM f_pages WHERE regexp_matches(text, {quoted(pattern)}))")
+        text = {"text": CLEAN.format("v"), "lower": "lower(trim(v))", "upper": "upper(v)", "line": "nullif(trim(v), '')"}.get(kind, "CAST(NULL AS VARCHAR)")
+        sure = f"({value if kind in ('number', 'count') else text} IS NOT NULL" + (f" AND contains(raw, '{unit}'))" if unit and unit != "@" else ")")
+        shown = "u" if unit == "@" else f"'{unit}'" if unit else "CAST(NULL AS VARCHAR)"
+        other = f" AND NOT regexp_matches(text, {quoted(first[key])})" if key in first else ""
+        parts.append(f"SELECT doc_id, '{key}' AS field_key, CASE WHEN {sure} THEN {value} END AS value_num, CASE WHEN {sure} THEN {text} END AS value_text, {shown} AS unit, CASE WHEN {sure} THEN {confidence} ELSE 0.0 END AS confidence, CASE WHEN {sure} THEN 'EXTRACTED' ELSE 'REQUIRES_REVIEW' END AS status FROM (SELECT doc_id, regexp_extract(text, {quoted(pattern)}, 0) AS raw, regexp_extract(text, {quoted(pattern)}, 1) AS v, {f'regexp_extract(text, {quoted(pattern)}, 2)' if unit == '@' else 'NULL'} AS u FROM f_pages WHERE regexp_matches(text, {quoted(pattern)}){other})")
+        first.setdefault(key, pattern)
     return " " + " UNION ALL ".join(parts)
 
 

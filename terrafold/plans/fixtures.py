@@ -17,6 +17,7 @@ SELECT doc_id, 1 AS page,
   CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'Maksymalna wysokość zabudowy: ' || CAST(doc_id % 9 + 6 AS STRING) || ',5 m.' || chr(10) END ||
   CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'Powierzchnia biologicznie czynna ' || CAST(doc_id % 8 * 5 + 20 AS STRING) || ' %.' || chr(10) END ||
   CASE WHEN doc_id % 11 = 0 THEN 'Wysokość kalenicy ' || CAST(doc_id % 7 + 8 AS STRING) || ' m.' || chr(10) || 'Kąt nachylenia 35 stopni' || chr(10) || 'Dach dwuspadowy' || chr(10) ELSE '' END ||
+  CASE WHEN doc_id % 13 = 0 THEN 'Znak sprawy: AB.123.' || CAST(doc_id AS STRING) || chr(10) || 'z dnia ' || CAST(doc_id % 28 + 1 AS STRING) || ' maja 2024 r.' || chr(10) || 'Przeznaczenie podstawowe: zabudowa mieszkaniowa ' || CAST(doc_id % 5 AS STRING) || ',' || chr(10) ELSE '' END ||
   coalesce(text, '') || chr(10) ||
   'Maksymalna powierzchnia zabudowy ' || CAST(doc_id % 6 * 5 + 15 AS STRING) || ' %.' AS text
 FROM documents""",
