@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 
 from .common import id_text, steps
 
-#: Longer words aren't kept, and a worker keeps the words of its last two spells of so many (about 80 MB).
-KEPT_CHARS, KEPT_WORDS = 64, 150_000
+#: Longer words aren't kept, and a worker keeps the words of its last two spells of so many (about 200 MB).
+KEPT_CHARS, KEPT_WORDS = 64, 400_000
 ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 BLANK_ONLY = np.arange(256, dtype=np.uint8)
 BLANK_ONLY[10] = 32
