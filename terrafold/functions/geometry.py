@@ -83,6 +83,7 @@ def ring_errors(ring: Column) -> Column:
         F.when(F.exists(edges, lambda e: (e["a"]["x"] == e["b"]["x"]) & (e["a"]["y"] == e["b"]["y"])), "edge of no length"),
         F.when(F.size(F.array_distinct(ring)) < F.size(ring), "repeated point"),
         F.when(~(area(ring) > 0), "no area"),
+        F.when(crosses_itself(ring), "crosses itself"),
     ))
 
 
@@ -107,3 +108,58 @@ def vertices(text: Column) -> Column:
 
 def ring_text(ring: Column) -> Column:
     return F.array_join(F.transform(ring, lambda p: F.concat_ws(" ", F.round(p["x"], 3).cast("string"), F.round(p["y"], 3).cast("string"))), ",")
+
+
+def edges(ring: Column) -> Column:
+    """The ring's edges as structs of their ends a, b and number i."""
+    return F.transform(F.zip_with(ring, rotated(ring), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda e, i: F.struct(e["a"].alias("a"), e["b"].alias("b"), i.alias("i")))
+
+
+def segments_cross(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Whether two segments share a point, ends included; parallel ones count as apart."""
+    rx, ry, sx, sy = b["x"] - a["x"], b["y"] - a["y"], d["x"] - c["x"], d["y"] - c["y"]
+    turn, qx, qy = rx * sy - ry * sx, c["x"] - a["x"], c["y"] - a["y"]
+    return F.when(F.abs(turn) < 1e-9, False).otherwise(((qx * sy - qy * sx) / turn).between(0, 1) & ((qx * ry - qy * rx) / turn).between(0, 1))
+
+
+def rings_meet(one: Column, other: Column) -> Column:
+    """Whether edges cross or a ring holds the other's first point; false for an empty ring."""
+    cross = F.exists(edges(one), lambda e: F.exists(edges(other), lambda f: segments_cross(e["a"], e["b"], f["a"], f["b"])))
+    first = lambda r: F.get(r, F.lit(0))
+    held = contains_point(one, first(other)["x"], first(other)["y"]) | contains_point(other, first(one)["x"], first(one)["y"])
+    return F.when((F.size(one) > 0) & (F.size(other) > 0), cross | held).otherwise(False)
+
+
+def crosses_itself(ring: Column) -> Column:
+    """Whether two edges that aren't neighbours share a point; never with fewer than four points."""
+    apart = lambda e, f: (f["i"] > e["i"] + 1) & ~((e["i"] == 0) & (f["i"] == F.size(ring) - 1))
+    return (F.size(ring) >= 4) & F.exists(edges(ring), lambda e: F.exists(edges(ring), lambda f: apart(e, f) & segments_cross(e["a"], e["b"], f["a"], f["b"])))
+
+
+def clipped(points: Column, ring: Column) -> Column:
+    return F.filter(points, lambda p: contains_point(ring, p["x"], p["y"]))
+
+
+def split_by_line(ring: Column, a: Column, b: Column) -> Column:
+    """The points on both sides of the line's middle, across its longer axis; a side of fewer than three is the whole ring."""
+    wide = F.abs(b["x"] - a["x"]) >= F.abs(b["y"] - a["y"])
+    at = lambda p: F.when(wide, p["x"]).otherwise(p["y"])
+    middle = (at(a) + at(b)) / 2
+    whole = lambda side: F.when(F.size(side) >= 3, side).otherwise(ring)
+    return F.array(whole(F.filter(ring, lambda p: at(p) <= middle + 1e-9)), whole(F.filter(ring, lambda p: at(p) >= middle - 1e-9)))
+
+
+def box_ring(box: Column) -> Column:
+    return rectangle(box["x0"], box["y0"], box["x1"], box["y1"])
+
+
+def united(rings: Column) -> Column:
+    """The box around all rings."""
+    return box_ring(bounds(F.flatten(rings)))
+
+
+def difference(base: Column, cut: Column) -> Column:
+    """Coarse: nothing where the cut is as wide as the base, else the base's points outside the cut."""
+    b, c = bounds(base), bounds(cut)
+    outside = F.filter(base, lambda p: ~contains_point(cut, p["x"], p["y"]))
+    return F.when(~rings_meet(base, cut), base).when((c["x0"] <= b["x0"]) & (c["x1"] >= b["x1"]), F.slice(base, 1, 0)).otherwise(outside)

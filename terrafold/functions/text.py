@@ -88,3 +88,30 @@ def layer_class(c: Column) -> Column:
     for label, words in rules:
         out = out.when(name.rlike(words), label)
     return out.otherwise("other")
+
+
+def normal_text(c: Column) -> Column:
+    """One kind of line end, dash and blank, no control characters, no empty lines."""
+    steps = ((r"\r\n?", "\n"), (r"[\x00-\x09\x0B-\x1F\x7F]", ""), ("[‐‑‒–—−]", "-"), (r"[ \t]+", " "), (r"\n{2,}", "\n"))
+    for pattern, put in steps:
+        c = F.regexp_replace(c, pattern, put)
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+#: Words that end a street's or a place's name.
+STREET_ENDS = r"(?iU)\s+\b(miejscowość|miejscowosc|miasto|gm\.?|gmina|obr[eę]b|dzielnic\w*)\b.*$"
+PLACE_ENDS = r"(?iU)\s+\b(gmina|gm\.?|powiat|wojew[oó]dztwo|obr[eę]b)\b.*$"
+
+
+def street_name(c: Column) -> Column:
+    out = F.regexp_replace(squeeze(c), r"^[ ,.;]+|[ ,.;]+$", "")
+    for pattern in (r"\s+\d{2}-\d{3}.*$", STREET_ENDS, ",.*$", r"(?iU)\s+w\s+dzielnic\w*\s+.*$"):
+        out = F.regexp_replace(out, pattern, "")
+    return F.when(c != "", F.regexp_replace(out, r"^[ ,.;]+|[ ,.;]+$", ""))
+
+
+def place_name(c: Column) -> Column:
+    out = F.regexp_replace(squeeze(c), r"^[ .,]+|[ .,]+$", "")
+    for pattern in (r"\s+\d{2}-\d{3}.*$", PLACE_ENDS, ",.*$"):
+        out = F.regexp_replace(out, pattern, "")
+    return F.when(c != "", F.when(F.lower(out).startswith("warszaw") & F.lower(out).endswith("wie"), "Warszawa").otherwise(out))

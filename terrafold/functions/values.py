@@ -41,3 +41,34 @@ def search_predicate(mapping: dict[str, str], number: Column, precincts: Column,
     if "locality" in mapping:
         parts.append(locality.isNull() | F.contains(F.lower(mapping["locality"]), F.lower(locality)))
     return reduce(lambda a, b: a & b, parts, F.lit(True))
+
+
+def typed(json_text: Column) -> tuple[Column, Column]:
+    """The text to keep and its type: JSON, BOOLEAN, INTEGER, NUMBER or TEXT; text that isn't JSON stays as it is."""
+    # The parser stops after the first value, so what may follow it is told by the text's shape.
+    whole = json_text.rlike(r'(?s)^\s*(\{.*\}|\[.*\]|".*"|true|false|null|-?\d[-+.\deE]*)\s*$')
+    v = F.when(whole, F.try_parse_json(json_text))
+    schema = F.schema_of_variant(v)
+    kind = (
+        F.when(schema.rlike("^(OBJECT|ARRAY)"), "JSON").when(schema == "BOOLEAN", "BOOLEAN").when(json_text.rlike(r"^\s*-?\d+\s*$"), "INTEGER")
+        .when(schema.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "NUMBER").otherwise("TEXT")
+    )
+    value = F.when(v.isNull(), json_text).when(schema == "STRING", F.try_variant_get(v, "$", "string")).when(schema != "VOID", F.trim(json_text))
+    return value, kind
+
+
+def form_columns(form: Column, names: dict[str, str], decimals: set[str] = frozenset()) -> Column:
+    """A form's map by the register's column names: unknown keys go, empty texts become null, decimals (columns) take a comma or a point."""
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    known = F.transform_keys(F.map_filter(form, lambda k, v: k.isin(*names)), lambda k, v: table[k])
+    decimal = lambda v: F.replace(F.trim(v), F.lit(","), F.lit(".")).try_cast("double").cast("string")
+    return F.transform_values(known, lambda k, v: F.when(k.isin(*decimals), decimal(v)).otherwise(F.nullif(v, F.lit(""))))
+
+
+#: Source types of layers that are derived; all others are imported.
+DERIVED_TYPES = ("analysis", "derived")
+
+
+def source_kind(status: Column, source_type: Column) -> Column:
+    """The status goes before the source type."""
+    return F.when(status == "manual_placeholder", "placeholder").when(status == "derived", "derived").when(source_type.isin(*DERIVED_TYPES), "derived").otherwise("imported")

@@ -113,7 +113,7 @@ cd AS (SELECT file_id, layer, x, y, w, h, round(score, 6) AS score, rank, round(
 R3 = "CAST(round({0}, 3) AS VARCHAR)"
 ORACLE = {
     "g1_g5_ring_measures": oracle("f_parcels", "SELECT plot_id, (x1 - x0) * (y1 - y0) AS area, 2 * (x1 - x0 + y1 - y0) AS perimeter, round((x0 + x1) / 2, 6) AS cx, round((y0 + y1) / 2, 6) AS cy, (x0 + x1) / 2 AS mx, x1 - x0 AS span, true AS inside, false AS outside, round(pi() * (x1 - x0) * (y1 - y0) / pow(x1 - x0 + y1 - y0, 2), 9) AS compact, 4.0 AS distance FROM f_parcels"),
-    "g7_g8_ring_checks": oracle("f_parcels", f", t AS (SELECT plot_id, {R3.format('x0')} AS a, {R3.format('y0')} AS b, {R3.format('x1')} AS c, {R3.format('y1')} AS d FROM f_parcels) SELECT plot_id, CASE plot_id % 4 WHEN 0 THEN 'fewer than 3 points;no area' WHEN 1 THEN 'edge of no length;repeated point' ELSE '' END AS errors, CASE WHEN plot_id % 4 = 0 THEN a || ' ' || b || ',' || c || ' ' || b ELSE a || ' ' || b || ',' || c || ' ' || b || ',' || c || ' ' || d || ',' || a || ' ' || d END AS ring FROM t"),
+    "g7_g8_ring_checks": oracle("f_parcels", f", t AS (SELECT plot_id, {R3.format('x0')} AS a, {R3.format('y0')} AS b, {R3.format('x1')} AS c, {R3.format('y1')} AS d FROM f_parcels) SELECT plot_id, CASE plot_id % 4 WHEN 0 THEN 'fewer than 3 points;no area' WHEN 1 THEN 'edge of no length;repeated point;crosses itself' ELSE '' END AS errors, CASE WHEN plot_id % 4 = 0 THEN a || ' ' || b || ',' || c || ' ' || b ELSE a || ' ' || b || ',' || c || ' ' || b || ',' || c || ' ' || d || ',' || a || ' ' || d END AS ring FROM t"),
     "s10_typed_vertices": oracle("f_parcels", "SELECT plot_id, CASE WHEN plot_id % 3 <> 0 THEN (x1 - x0) * (y1 - y0) / 2 END AS area, CASE WHEN plot_id % 3 <> 0 THEN x1 - x0 END AS width FROM f_parcels"),
     "j2_spatial_relations": oracle("f_parcels f_features", REL + " SELECT feature_id, plot_id, within_plot, intersects_plot, within_site FROM rel"),
     "j7_building_split": oracle("f_parcels f_features", REL + " SELECT feature_id, plot_id, CASE WHEN intersects_plot THEN 'existing' ELSE 'adjacent' END AS kind FROM rel WHERE layer_key LIKE '%building' AND (intersects_plot OR within_site)"),
