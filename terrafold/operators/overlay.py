@@ -93,13 +93,14 @@ def site_summary(features: DataFrame) -> DataFrame:
 def linked(requests: DataFrame, parcels: DataFrame, k: int | None = None) -> DataFrame:
     """request_id, plot_id, score, rank, ambiguous: register parcels by number (60), precinct (25) and locality (15 and 10).
 
-    Candidates come from two equi joins, by number and by precinct with locality, so nothing is crossed. Ties keep the plots' order.
+    Candidates come from two equi joins, by number and by precinct with locality, so nothing is crossed; a missing value matches nothing. Ties keep the plots' order.
     """
     r = requests.select("request_id", "number", "precinct", "locality")
     p = parcels.select("plot_id", F.col("parcel_number").alias("p_number"), F.col("precinct").alias("p_precinct"), F.col("locality").alias("p_locality"))
     a = r.join(p.hint("merge"), F.col("number") == F.col("p_number"))
     b = r.join(p.hint("merge"), (F.col("precinct") == F.col("p_precinct")) & (F.col("locality") == F.col("p_locality")))
-    score = 60 * (F.col("number") == F.col("p_number")).cast("int") + 25 * (F.col("precinct") == F.col("p_precinct")).cast("int") + 25 * (F.col("locality") == F.col("p_locality")).cast("int")
+    same = lambda c: F.coalesce(F.col(c) == F.col("p_" + c), F.lit(False)).cast("int")
+    score = 60 * same("number") + 25 * same("precinct") + 25 * same("locality")
     found = a.unionByName(b).distinct().select("request_id", "plot_id", score.alias("score"))
     order = Window.partitionBy("request_id").orderBy(F.desc("score"), "plot_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).withColumn("ambiguous", (F.col("rank") == 1) & (F.col("score") - F.lead("score").over(order) <= 5))

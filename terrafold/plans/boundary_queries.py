@@ -134,6 +134,12 @@ def normal_texts(s, d):
     return view(s, d, "f_pages").select("doc_id", F.md5(out).alias("md5"), F.length(out).alias("n_chars"))
 
 
+def on_warning(s, d):
+    """Every third request lacks a number, so that plots of one precinct and locality tie."""
+    asked = requests(s, d).withColumn("number", F.when(F.col("request_id") % 3 != 0, F.col("number")))
+    return B.on_warning(O.linked(asked, parcels(s, d))).select("request_id", "plot_id", "rank")
+
+
 def recomputed(s, d):
     """The stored contexts of two of three plots, analysed anew from the stored layers."""
     stored = parcels(s, d).where("plot_id % 3 <> 0").withColumn("version", (F.col("plot_id") % 4).cast("int"))
@@ -147,7 +153,7 @@ QUERIES = {
     "a15_boundary_summary": lambda s, d: B.boundary_summary(sites(s, d), land_use(s, d)),
     "u5_point_sets": point_sets,
     "t9_plot_pick": lambda s, d: B.plot_pick(entities(s, d)),
-    "t2_on_warning": lambda s, d: B.on_warning(O.linked(requests(s, d), parcels(s, d))).select("request_id", "plot_id", "rank"),
+    "t2_on_warning": on_warning,
     "t7_newest_projects": lambda s, d: active_of(view(s, d, "f_projects")).select("project_id", "user_id", "created_at").orderBy(F.desc("created_at"), F.desc("project_id")),
     "j16_either_key": either_key,
     "j17_job_candidates": jobs,
@@ -170,6 +176,7 @@ N_CUT = " + ".join(f"CAST({x} >= fx0 AND {x} < fx1 AND {y} >= fy0 AND {y} < fy1
 MEET = f"""(((y0 BETWEEN fy0 AND fy1 OR y1 BETWEEN fy0 AND fy1) AND (fx0 BETWEEN x0 AND x1 OR fx1 BETWEEN x0 AND x1)) OR ((fy0 BETWEEN y0 AND y1 OR fy1 BETWEEN y0 AND y1) AND (x0 BETWEEN fx0 AND fx1 OR x1 BETWEEN fx0 AND fx1))
   OR ({ON.format('fx0', 'fy0', '0')}) OR (x0 >= fx0 AND x0 < fx1 AND y0 >= fy0 AND y0 < fy1))"""
 HAS_PLOT = "(has AND r > 0)"
+UNNUMBERED = LINK.replace("SELECT doc_id AS request_id, CAST(", "SELECT doc_id AS request_id, CASE WHEN doc_id % 3 <> 0 THEN '' END || CAST(").replace("CAST(number = parcel_number AS INT)", "CAST(coalesce(number = parcel_number, false) AS INT)")
 ORACLE = {
     "g15_g16_j8_ring_building": oracle("f_parcels", "SELECT CAST(floor(plot_id / 20) AS BIGINT) AS file_id, CASE WHEN x1 - x0 >= y1 - y0 THEN 'A' ELSE 'B' END AS layer, 4 AS points, round((x1 - x0) * (y1 - y0), 3) AS area, x0, y0 FROM f_parcels WHERE plot_id % 5 <> 0"),
     "g19_variable_inset": oracle("f_parcels", ", i AS (SELECT plot_id, x0 + 2 AS x0, y0 + plot_id % 3 + 1 AS y0, x1 - plot_id % 4 - 1 AS x1, y1 - 3 AS y1 FROM f_parcels) SELECT plot_id, (x1 - x0) * (y1 - y0) AS area, x0, y0, x1, y1 FROM i"),
@@ -179,7 +186,7 @@ k AS (SELECT *, count(*) FILTER (line) OVER (PARTITION BY plot_id ORDER BY featu
 SELECT plot_id, (x1 - x0) * (y1 - y0) AS plot_area, 2 * (x1 - x0 + y1 - y0) AS plot_perimeter, {HAS_PLOT} AS site_contains_plot, CAST(pow(2, coalesce(cuts, 0)) + coalesce(parts, 0) AS BIGINT) AS split_count, CASE WHEN coalesce(zones, 0) > 0 THEN zoned ELSE (x1 - x0) * (y1 - y0) END AS buildable_area FROM s LEFT JOIN g USING (plot_id)"""),
     "u5_point_sets": oracle("f_parcels f_features", SITE + f" SELECT feature_id, {N_ON} AS on_plot, 4 AS half, (greatest(x1, fx1) - least(x0, fx0)) * (greatest(y1, fy1) - least(y0, fy0)) AS box, CASE WHEN NOT {MEET} THEN 4 WHEN fx0 <= x0 AND fx1 >= x1 THEN 0 ELSE 4 - ({N_CUT}) END AS rest FROM f JOIN s USING (plot_id) WHERE geom_type = 'Polygon'"),
     "t9_plot_pick": oracle("f_entities", ", r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY CASE WHEN layer IN ('DZIALKI', 'egb_granica') THEN 0 ELSE 1 END, w * h DESC, layer, x, y, w, h) AS k FROM f_entities WHERE etype = 'LWPOLYLINE' AND closed), b AS (SELECT file_id, min(x) FILTER (d) AS x0, min(y) FILTER (d) AS y0, max(x + w) FILTER (d) AS x1, max(y + h) FILTER (d) AS y1 FROM (SELECT *, etype IN ('LWPOLYLINE', 'LINE') AS d FROM f_entities) GROUP BY 1) SELECT b.file_id, layer, x, y, w, h, x0, y0, x1, y1 FROM b LEFT JOIN r ON r.file_id = b.file_id AND k = 1 AND w * h > 0"),
-    "t2_on_warning": oracle("f_parcels", LINK + ", a AS (SELECT request_id FROM k WHERE rank = 1 AND score - nxt <= 5) SELECT request_id, plot_id, rank FROM k SEMI JOIN a USING (request_id) WHERE rank <= 3"),
+    "t2_on_warning": oracle("f_parcels", UNNUMBERED + ", a AS (SELECT request_id FROM k WHERE rank = 1 AND score - nxt <= 5) SELECT request_id, plot_id, rank FROM k SEMI JOIN a USING (request_id) WHERE rank <= 3"),
     "t7_newest_projects": oracle("f_projects", "SELECT project_id, user_id, created_at FROM f_projects WHERE deleted_at IS NULL ORDER BY created_at DESC, project_id DESC"),
     "j16_either_key": oracle("f_parcels", """, p AS (SELECT plot_id, plot_id % 40 AS project_id, parcel_number AS a, CASE WHEN plot_id % 3 = 0 THEN 'x' || plot_id % 90 ELSE parcel_number END AS b FROM f_parcels),
 q AS (SELECT doc_id AS request_id, doc_id % 40 AS project_id, CASE WHEN doc_id % 2 = 0 THEN 'x' || doc_id % 90 ELSE (doc_id % 499 + 1) || '/' || (doc_id % 7 + 1) END AS wanted FROM documents), m AS (SELECT request_id, (SELECT min(plot_id) FROM p WHERE p.project_id = q.project_id AND (a = wanted OR b = wanted)) AS plot_id FROM q)
