@@ -11,6 +11,7 @@ from ..operators import boundary as B
 from ..operators import overlay as O
 from ..operators.extraction import FIELDS
 from ..operators.register import active_of
+from ..sources.gml import gml_features
 from .fixtures import oracle, view
 from .space_queries import CAND, LINK, ZONES, candidates, cells, entities, features, parcels, requests, ring
 
@@ -140,6 +141,18 @@ def on_warning(s, d):
     return B.on_warning(O.linked(asked, parcels(s, d))).select("request_id", "plot_id", "rank")
 
 
+def gml(s, d):
+    """S3: bodies with one member, several dimensions, coordinates, featureMembers, and a ring that is too short."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    points = F.element_at(F.array(*(F.lit(x) for x in ("<gml:posList>0 0 {s} 0 {s} 10 0 10</gml:posList>", '<gml:posList srsDimension="3">0 0 5 {s} 0 5 {s} 10 5 0 10 5 0 0 5</gml:posList>', "<gml:coordinates>0,0 {s},0 {s},10 0,10</gml:coordinates>", "<gml:posList>0 0 {s} 0 {s} 10</gml:posList>"))), (k % 4 + 1).cast("int"))
+    one = lambda n: F.concat(F.lit(f'<ms:plot gml:id="p{n}.'), k.cast("string"), F.lit('"><gml:boundedBy>x</gml:boundedBy><ms:nr>'), (k % 499 + 1).cast("string"), F.lit(" &amp; 1</ms:nr><ms:empty/><ms:geom><gml:Polygon><gml:exterior><gml:LinearRing>"), F.replace(points, F.lit("{s}"), size), F.lit("</gml:LinearRing></gml:exterior></gml:Polygon></ms:geom></ms:plot>"))
+    single = lambda n: F.concat(F.lit("<gml:featureMember>"), one(n), F.lit("</gml:featureMember>"))
+    inner = F.when(k % 3 == 0, F.concat(F.lit("<gml:featureMembers>"), one(0), one(1), F.lit("</gml:featureMembers>"))).when(k % 3 == 1, single(0)).otherwise(F.concat(single(0), single(1)))
+    bodies = table(s, d, "part").select(k.alias("payload_id"), F.concat(F.lit('<wfs:FeatureCollection xmlns:gml="g">'), inner, F.lit("</wfs:FeatureCollection>")).alias("body"))
+    r = F.get("rings", F.lit(0))
+    return gml_features(bodies).select("payload_id", "n", "id", F.col("properties")["nr"].alias("nr"), F.size("properties").alias("n_properties"), F.size(r).alias("points"), G.area(r).alias("area"))
+
+
 def recomputed(s, d):
     """The stored contexts of two of three plots, analysed anew from the stored layers."""
     stored = parcels(s, d).where("plot_id % 3 <> 0").withColumn("version", (F.col("plot_id") % 4).cast("int"))
@@ -166,6 +179,7 @@ QUERIES = {
     "p16_source_kinds": source_kinds,
     "p22_external_results": external,
     "f18_normal_text": normal_texts,
+    "s3_gml_features": gml,
     "f19_names": names,
 }
 SITE = ", s AS (SELECT *, CASE WHEN plot_id % 7 = 0 THEN -5 ELSE 30 END AS r, plot_id % 11 <> 0 AS has FROM f_parcels), f AS (SELECT *, fx0 + w AS fx1, fy0 + h AS fy1 FROM f_features)"
@@ -198,6 +212,7 @@ SELECT request_id, plot_id, CASE WHEN plot_id IS NULL THEN 'insert' WHEN request
     "u1_layer_union": oracle("f_parcels f_features", "SELECT plot_id, parcel_number, 'parcels' AS layer_name, NULL::BIGINT AS feature_id FROM f_parcels UNION ALL SELECT plot_id, NULL, 'features', feature_id FROM f_features"),
     "p12_typed_values": """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN '{"a": ' || p_size || '}' WHEN 1 THEN '[' || p_size || ', 1]' WHEN 2 THEN 'true' WHEN 3 THEN '' || p_size WHEN 4 THEN p_size || '.25' WHEN 6 THEN NULL ELSE p_size || ' m' END AS value, split_part('JSON,JSON,BOOLEAN,INTEGER,NUMBER,TEXT,TEXT,TEXT', ',', CAST(p_partkey % 8 + 1 AS INT)) AS kind FROM part""",
     "p13_form_rows": "SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_size || '.5' END AS ridge_height, CASE WHEN p_partkey % 4 <> 0 THEN p_brand END AS locality, 2 AS n FROM part",
+    "s3_gml_features": "SELECT p_partkey AS payload_id, n, 'p' || n || '.' || p_partkey AS id, (p_partkey % 499 + 1) || ' & 1' AS nr, 1 AS n_properties, CASE WHEN p_partkey % 4 = 2 THEN 4 ELSE 5 END AS points, p_size * 10.0 AS area FROM part, (VALUES (0), (1)) k(n) WHERE p_partkey % 4 <> 3 AND (n = 0 OR p_partkey % 3 <> 1)",
     "p16_source_kinds": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'placeholder' WHEN p_partkey % 3 = 1 OR p_partkey % 4 = 0 THEN 'derived' ELSE 'imported' END AS kind FROM part",
     "p22_external_results": "WITH k(field_key, own, i) AS (VALUES " + ", ".join(f"('{f[0]}', {'NULL' if f[3] in (None, '@') else repr(f[3])}, {({'maxBuildingHeightM': '0', 'primaryPurpose': '1'}).get(f[0], 'NULL')})" for f in FIELDS) + ") SELECT doc_id, field_key, CASE WHEN (doc_id + i) % 3 <> 0 THEN CAST(doc_id + i AS VARCHAR) END AS value, CASE WHEN i IS NOT NULL AND doc_id % 2 = 0 THEN 'cm' ELSE own END AS unit, CASE WHEN (doc_id + i) % 3 <> 0 THEN CASE WHEN (doc_id + i) % 4 = 0 THEN 0.5 ELSE 0.75 END ELSE 0.0 END AS confidence, CASE WHEN (doc_id + i) % 3 <> 0 THEN 'EXTRACTED' ELSE 'REQUIRES_REVIEW' END AS status FROM documents CROSS JOIN k",
     "f18_normal_text": oracle("f_pages", r""", t AS (SELECT doc_id, replace(text, chr(10), chr(13) || chr(10)) || chr(13) || chr(10) || chr(13) || chr(10) || '  a – b' || chr(9) || ' c  ' AS t FROM f_pages), a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '[\x00-\x09\x0B-\x1F\x7F]', '', 'g'), '[‐‑‒–—−]', '-', 'g') AS t FROM t), o AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, ' +', ' ', 'g'), '\n{2,}', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM a) SELECT doc_id, md5(t) AS md5, CAST(length(t) AS INT) AS n_chars FROM o"""),

@@ -6,6 +6,7 @@ from terrafold.functions import geometry as G
 from terrafold.functions import text as T
 from terrafold.functions import values as V
 from terrafold.operators import boundary as B
+from terrafold.sources import gml
 
 RING = "array<struct<x: double, y: double>>"
 
@@ -94,3 +95,20 @@ def test_matches_and_nesting(spark):
     assert got == {1: ["z", "y"], 2: []}
     linked = spark.createDataFrame([(1, 10, 1, True), (1, 11, 2, False), (2, 12, 1, False), (1, 13, 4, False)], "request_id long, plot_id long, rank int, ambiguous boolean")
     assert sorted(r["plot_id"] for r in B.on_warning(linked).collect()) == [10, 11]
+
+
+def test_gml_features(spark):
+    """Two forms of members, a multi-polygon, an open coordinate list, repeated names, a feature without a polygon, bodies of other kinds."""
+    poly = "<gml:Polygon><gml:posList>{}</gml:posList></gml:Polygon>"
+    square = poly.format("0 0 1 0 1 1 0 1")
+    bodies = [
+        f'<c><gml:featureMember><a fid="f1"><n>1</n><n> 2 </n><e></e><g><gml:MultiSurface>{square}{square}</gml:MultiSurface></g></a></gml:featureMember><wfs:member><b><n>9</n></b></wfs:member></c>',
+        "<c><gml:featureMembers><a><g><Polygon><coordinates>0,0 2,0 2,2 0,2</coordinates></Polygon></g></a></gml:featureMembers></c>",
+        f"<c><member><a><g>{poly.format('0 0 1 x 1 1 0 1')}</g></a></member><member><a><g>{poly.format('0 0 1 0 1 1')}</g></a></member></c>",
+        "{}", "", None, "<c><member><a>",
+    ]
+    df = spark.createDataFrame(list(enumerate(bodies)), "payload_id long, body string")
+    got = {r["payload_id"]: r for r in gml.gml_features(df).collect()}
+    assert sorted(got) == [0, 1]
+    assert got[0]["id"] == "f1" and got[0]["properties"] == {"n": "2"} and [len(r) for r in got[0]["rings"]] == [5, 5]
+    assert got[1]["id"] is None and [len(r) for r in got[1]["rings"]] == [4]
