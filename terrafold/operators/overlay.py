@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.parcel import precinct_variants
+from ..functions.text import strip_marks_and_l
 
 GRID = 80.0
 #: Protection widths in metres around network lines, and what trees add.
@@ -91,17 +93,20 @@ def site_summary(features: DataFrame) -> DataFrame:
 
 
 def linked(requests: DataFrame, parcels: DataFrame, k: int | None = None) -> DataFrame:
-    """request_id, plot_id, score, rank, ambiguous: register parcels by number (60), precinct (25) and locality (15 and 10).
+    """request_id, plot_id, score, rank, ambiguous: register parcels by number (60), any form of the precinct (25), locality in any case (15) and without marks (10).
 
-    Candidates come from two equi joins, by number and by precinct with locality, so nothing is crossed; a missing value matches nothing. Ties keep the plots' order.
+    Candidates come from two equi joins, by number and by form of the precinct with plain locality, so nothing is crossed; a missing value
+    matches nothing. Ties keep the plots' order.
     """
-    r = requests.select("request_id", "number", "precinct", "locality")
-    p = parcels.select("plot_id", F.col("parcel_number").alias("p_number"), F.col("precinct").alias("p_precinct"), F.col("locality").alias("p_locality"))
+    plain = lambda c: strip_marks_and_l(F.lower(F.trim(c)))
+    r = requests.select("request_id", "number", precinct_variants(F.col("precinct")).alias("forms"), F.lower(F.trim("locality")).alias("locality"), plain(F.col("locality")).alias("plain"))
+    p = parcels.select("plot_id", F.col("parcel_number").alias("p_number"), F.trim("precinct").alias("p_precinct"), F.lower("locality").alias("p_locality"), plain(F.col("locality")).alias("p_plain"))
     a = r.join(p.hint("merge"), F.col("number") == F.col("p_number"))
-    b = r.join(p.hint("merge"), (F.col("precinct") == F.col("p_precinct")) & (F.col("locality") == F.col("p_locality")))
-    same = lambda c: F.coalesce(F.col(c) == F.col("p_" + c), F.lit(False)).cast("int")
-    score = 60 * same("number") + 25 * same("precinct") + 25 * same("locality")
-    found = a.unionByName(b).distinct().select("request_id", "plot_id", score.alias("score"))
+    b = r.withColumn("form", F.explode("forms")).join(p.hint("merge"), (F.col("form") == F.col("p_precinct")) & (F.col("plain") == F.col("p_plain")))
+    sure = lambda test: F.coalesce(test, F.lit(False)).cast("int")
+    named = (F.col("p_locality") != "") & F.col("p_locality").isin(F.col("locality"), F.col("plain"))
+    score = 60 * sure(F.col("number") == F.col("p_number")) + 25 * sure(F.array_contains("forms", F.col("p_precinct"))) + 15 * sure(named) + 10 * sure(F.col("plain") == F.col("p_plain"))
+    found = a.select("request_id", "plot_id", score.alias("score")).unionByName(b.select("request_id", "plot_id", score.alias("score"))).distinct()
     order = Window.partitionBy("request_id").orderBy(F.desc("score"), "plot_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).withColumn("ambiguous", (F.col("rank") == 1) & (F.col("score") - F.lead("score").over(order) <= 5))
     return ranked.where(F.col("rank") <= k) if k else ranked

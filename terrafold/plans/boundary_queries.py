@@ -153,6 +153,14 @@ def gml(s, d):
     return gml_features(bodies).select("payload_id", "n", "id", F.col("properties")["nr"].alias("nr"), F.size("properties").alias("n_properties"), F.size(r).alias("points"), G.area(r).alias("area"))
 
 
+def variant_links(s, d):
+    """Precincts with a prefix and localities in capitals or with marks that the register lacks."""
+    r = F.col("request_id")
+    precinct = F.when(r % 3 == 0, F.concat(F.lit("obr. 3-"), "precinct")).when(r % 3 == 1, F.regexp_replace("precinct", "^0+", "")).otherwise(F.col("precinct"))
+    locality = F.when(r % 5 == 0, F.upper("locality")).when(r % 5 == 1, F.translate("locality", "o", "ó")).otherwise(F.col("locality"))
+    return O.linked(requests(s, d).withColumn("precinct", precinct).withColumn("locality", locality), parcels(s, d))
+
+
 def recomputed(s, d):
     """The stored contexts of two of three plots, analysed anew from the stored layers."""
     stored = parcels(s, d).where("plot_id % 3 <> 0").withColumn("version", (F.col("plot_id") % 4).cast("int"))
@@ -167,6 +175,7 @@ QUERIES = {
     "u5_point_sets": point_sets,
     "t9_plot_pick": lambda s, d: B.plot_pick(entities(s, d)),
     "t2_on_warning": on_warning,
+    "j1_precinct_variants": variant_links,
     "t7_newest_projects": lambda s, d: active_of(view(s, d, "f_projects")).select("project_id", "user_id", "created_at").orderBy(F.desc("created_at"), F.desc("project_id")),
     "j16_either_key": either_key,
     "j17_job_candidates": jobs,
@@ -201,6 +210,7 @@ SELECT plot_id, (x1 - x0) * (y1 - y0) AS plot_area, 2 * (x1 - x0 + y1 - y0) AS p
     "u5_point_sets": oracle("f_parcels f_features", SITE + f" SELECT feature_id, {N_ON} AS on_plot, 4 AS half, (greatest(x1, fx1) - least(x0, fx0)) * (greatest(y1, fy1) - least(y0, fy0)) AS box, CASE WHEN NOT {MEET} THEN 4 WHEN fx0 <= x0 AND fx1 >= x1 THEN 0 ELSE 4 - ({N_CUT}) END AS rest FROM f JOIN s USING (plot_id) WHERE geom_type = 'Polygon'"),
     "t9_plot_pick": oracle("f_entities", ", r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY CASE WHEN layer IN ('DZIALKI', 'egb_granica') THEN 0 ELSE 1 END, w * h DESC, layer, x, y, w, h) AS k FROM f_entities WHERE etype = 'LWPOLYLINE' AND closed), b AS (SELECT file_id, min(x) FILTER (d) AS x0, min(y) FILTER (d) AS y0, max(x + w) FILTER (d) AS x1, max(y + h) FILTER (d) AS y1 FROM (SELECT *, etype IN ('LWPOLYLINE', 'LINE') AS d FROM f_entities) GROUP BY 1) SELECT b.file_id, layer, x, y, w, h, x0, y0, x1, y1 FROM b LEFT JOIN r ON r.file_id = b.file_id AND k = 1 AND w * h > 0"),
     "t2_on_warning": oracle("f_parcels", UNNUMBERED + ", a AS (SELECT request_id FROM k WHERE rank = 1 AND score - nxt <= 5) SELECT request_id, plot_id, rank FROM k SEMI JOIN a USING (request_id) WHERE rank <= 3"),
+    "j1_precinct_variants": oracle("f_parcels", LINK + " SELECT request_id, plot_id, score, rank, rank = 1 AND score - nxt <= 5 AS ambiguous FROM k"),
     "t7_newest_projects": oracle("f_projects", "SELECT project_id, user_id, created_at FROM f_projects WHERE deleted_at IS NULL ORDER BY created_at DESC, project_id DESC"),
     "j16_either_key": oracle("f_parcels", """, p AS (SELECT plot_id, plot_id % 40 AS project_id, parcel_number AS a, CASE WHEN plot_id % 3 = 0 THEN 'x' || plot_id % 90 ELSE parcel_number END AS b FROM f_parcels),
 q AS (SELECT doc_id AS request_id, doc_id % 40 AS project_id, CASE WHEN doc_id % 2 = 0 THEN 'x' || doc_id % 90 ELSE (doc_id % 499 + 1) || '/' || (doc_id % 7 + 1) END AS wanted FROM documents), m AS (SELECT request_id, (SELECT min(plot_id) FROM p WHERE p.project_id = q.project_id AND (a = wanted OR b = wanted)) AS plot_id FROM q)

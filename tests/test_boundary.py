@@ -6,6 +6,7 @@ from terrafold.functions import geometry as G
 from terrafold.functions import text as T
 from terrafold.functions import values as V
 from terrafold.operators import boundary as B
+from terrafold.operators import overlay
 from terrafold.sources import gml
 
 RING = "array<struct<x: double, y: double>>"
@@ -112,3 +113,11 @@ def test_gml_features(spark):
     assert sorted(got) == [0, 1]
     assert got[0]["id"] == "f1" and got[0]["properties"] == {"n": "2"} and [len(r) for r in got[0]["rings"]] == [5, 5]
     assert got[1]["id"] is None and [len(r) for r in got[1]["rings"]] == [4]
+
+
+def test_linkage_scores(spark):
+    """Number 60, a precinct's form 25, locality 15 in any case, 10 more without marks; nulls match nothing."""
+    parcels = spark.createDataFrame([(1, "3/4", "0011", "Łódź"), (2, "9", "0011", "Lodz"), (3, None, None, None)], "plot_id long, parcel_number string, precinct string, locality string")
+    asked = spark.createDataFrame([(1, "3/4", "3-15-11", "łódź"), (2, "x", "11", "LODZ"), (3, None, None, None)], "request_id long, number string, precinct string, locality string")
+    got = sorted((r["request_id"], r["plot_id"], r["score"]) for r in overlay.linked(asked, parcels).collect())
+    assert got == [(1, 1, 110), (1, 2, 50), (2, 1, 35), (2, 2, 50)]
