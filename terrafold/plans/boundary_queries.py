@@ -12,7 +12,7 @@ from ..operators import overlay as O
 from ..operators.extraction import FIELDS
 from ..operators.register import active_of
 from ..sources.gml import gml_features
-from .fixtures import oracle, view
+from .fixtures import oracle, spread, view
 from .space_queries import CAND, LINK, ZONES, candidates, cells, entities, features, parcels, requests, ring
 
 
@@ -148,7 +148,7 @@ def gml(s, d):
     one = lambda n: F.concat(F.lit(f'<ms:plot gml:id="p{n}.'), k.cast("string"), F.lit('"><gml:boundedBy>x</gml:boundedBy><ms:nr>'), (k % 499 + 1).cast("string"), F.lit(" &amp; 1</ms:nr><ms:empty/><ms:geom><gml:Polygon><gml:exterior><gml:LinearRing>"), F.replace(points, F.lit("{s}"), size), F.lit("</gml:LinearRing></gml:exterior></gml:Polygon></ms:geom></ms:plot>"))
     single = lambda n: F.concat(F.lit("<gml:featureMember>"), one(n), F.lit("</gml:featureMember>"))
     inner = F.when(k % 3 == 0, F.concat(F.lit("<gml:featureMembers>"), one(0), one(1), F.lit("</gml:featureMembers>"))).when(k % 3 == 1, single(0)).otherwise(F.concat(single(0), single(1)))
-    bodies = table(s, d, "part").select(k.alias("payload_id"), F.concat(F.lit('<wfs:FeatureCollection xmlns:gml="g">'), inner, F.lit("</wfs:FeatureCollection>")).alias("body"))
+    bodies = spread(table(s, d, "part")).select(k.alias("payload_id"), F.concat(F.lit('<wfs:FeatureCollection xmlns:gml="g">'), inner, F.lit("</wfs:FeatureCollection>")).alias("body"))
     r = F.get("rings", F.lit(0))
     return gml_features(bodies).select("payload_id", "n", "id", F.col("properties")["nr"].alias("nr"), F.size("properties").alias("n_properties"), F.size(r).alias("points"), G.area(r).alias("area"))
 
