@@ -5,13 +5,15 @@ over bytes. A state is what the rest of a text depends on: the open pre-token's
 begins a vocabulary entry, the entry's trie node, the token before it and the token count up to it. A transition
 carries the change of the number of tokens of the text read so far, so a state map is (exit state, added count).
 
-Texts are cut where a white-space byte follows a printable ASCII one. All states that can be there act alike on white
-space, so a chunk's state map is one entry (one exit state, one count), whatever came before; maps of adjacent chunks
-compose by adding, and a prefix scan over a document's chunks gives the counts. The chunks of a batch run side by side
-in numpy, one byte of each at a time.
+Texts of any kind are cut every CHUNK bytes, at the next character. A chunk's state map holds the entry states that can
+matter: the one that the bytes before the cut lead to, read from the last place where a white-space byte follows a
+printable ASCII one (there all states act alike) or, without such a place, from LOOK_BACK bytes before. The maps of
+adjacent chunks compose by a prefix scan: counts add where a chunk's entry is the exit of the one before. Where it is
+another, the map gets that entry too, and its exit is handed on. The chunks of a batch run side by side in numpy, one
+byte of each at a time.
 
 Null texts count as empty. Empty texts have no tokens. Very long texts are many chunks. Repeated rows and ids are
-separate rows. Other columns are not read.
+separate rows. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import id_text, steps
 
-CHUNK = 512
+#: Bytes of a chunk, and of what is read before one to find its entry state.
+CHUNK, LOOK_BACK = 512, 64
 #: States are forgotten beyond this number (about 100 MB of transitions); they are compiled again when needed.
 MAX_STATES = 200_000
 #: Second characters of the tokenizer pattern's contractions (fixed values).
@@ -206,11 +209,11 @@ class Transducer:
             to = self.intern((key, b""))
         self.table[where] = to << 9 | n + 256
 
-    def run(self, data: np.ndarray, begins: np.ndarray, lengths: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+    def run(self, data: np.ndarray, begins: np.ndarray, lengths: np.ndarray, entries: list[tuple]) -> tuple[np.ndarray, list[tuple]]:
         """Each chunk's added count, from its entry state, and its exit state."""
         data = self.columns(data)
         order = np.argsort(-lengths, kind="stable")
-        at, left, state = begins[order], lengths[order], entries[order].copy()
+        at, left, state = begins[order], lengths[order], np.array([self.intern(k) for k in entries], dtype=np.int64)[order]
         counts = np.zeros(len(order), dtype=np.int64)
         live = np.searchsorted(-left, -np.arange(int(left[0]) if len(left) else 0), side="left")
         for j, n in enumerate(live.tolist()):
@@ -239,51 +242,94 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray, special: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of texts that lie one after another: the chunks' text, begin, length, entry state (0 start, 1 sealed), and each text's special tokens."""
-    raw, n_special, begins, entries, ends = data.tobytes(), np.zeros(len(offsets) - 1, dtype=np.int64), [], [], []
-    found = [(m.start(), m.end()) for m in re.finditer(b"|".join(map(re.escape, special)), raw)] if special else []
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    printable = (data >= 0x21) & (data <= 0x7E)
-    able = np.flatnonzero(blank[1:] & printable[:-1]) + 1
-    pieces = []  # (text, begin, end): texts without the special tokens in them
-    k = 0
-    for doc, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-        while k < len(found) and found[k][0] < b:
-            if found[k][0] >= a and found[k][1] <= b:
-                n_special[doc] += 1
-                pieces.append((doc, a, found[k][0]))
-                a = found[k][1]
-            k += 1
-        pieces.append((doc, a, b))
-    docs = []
-    for doc, a, b in pieces:
-        cuts = [a]
-        if b - a > 2 * CHUNK:
-            i = np.searchsorted(able, np.arange(a + CHUNK, b, CHUNK))
-            more = np.unique(able[i[i < len(able)]])
-            cuts += more[more < b].tolist()
-        if b > a:
-            docs += [doc] * len(cuts)
-            begins += cuts
-            entries += [0] + [1] * (len(cuts) - 1)
-            ends += [*cuts[1:], b]
-    begins = np.array(begins, dtype=np.int64)
-    return np.array(docs, dtype=np.int64), begins, np.array(ends, dtype=np.int64) - begins, np.array(entries, dtype=np.int64), n_special
-
-
-def compose(docs: np.ndarray, added: np.ndarray, n_docs: int) -> np.ndarray:
-    """Composes the chunks' state maps in order: the inclusive prefix scan's value at each document's last chunk."""
-    scan = np.concatenate([[0], np.cumsum(added)])
-    last = np.searchsorted(docs, np.arange(n_docs), side="right")
-    first = np.searchsorted(docs, np.arange(n_docs), side="left")
-    return scan[last] - scan[first]
+def character(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The places, moved on to the next UTF-8 character's first byte."""
+    for _ in range(3):
+        at = at + ((data[at] & 0xC0) == 0x80)
+    return at
+
+
+class Chunks:
+    """Texts that lie one after another, without the special tokens in them, cut into chunks."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, special: list[bytes]):
+        raw, self.n_special = data.tobytes(), np.zeros(len(offsets) - 1, dtype=np.int64)
+        found = [(m.start(), m.end()) for m in re.finditer(b"|".join(map(re.escape, special)), raw)] if special else []
+        blank = (data == 32) | ((data >= 9) & (data <= 13))
+        sealed = np.flatnonzero(blank[1:] & (data[:-1] >= 0x21) & (data[:-1] <= 0x7E)) + 1
+        pieces, k = [], 0  # (text, begin, end)
+        for doc, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            while k < len(found) and found[k][0] < b:
+                if found[k][0] >= a and found[k][1] <= b:
+                    self.n_special[doc] += 1
+                    pieces.append((doc, a, found[k][0]))
+                    a = found[k][1]
+                k += 1
+            pieces.append((doc, a, b))
+        docs, begins, ends, looks, known = [], [], [], [], []
+        for doc, a, b in pieces:
+            if b == a:
+                continue
+            cuts = character(data, np.arange(a + CHUNK, b - CHUNK, CHUNK))
+            if len(cuts):
+                back = character(data, np.maximum(cuts - LOOK_BACK, a))
+                last = np.searchsorted(sealed, cuts, side="right") - 1
+                at = np.where(last >= 0, sealed[last] if len(sealed) else -1, -1)
+                is_sealed = at >= back
+                looks += [a, *np.where(is_sealed, at, back).tolist()]
+                known += [False, *is_sealed.tolist()]
+            else:
+                looks.append(a)
+                known.append(False)
+            docs += [doc] * (len(cuts) + 1)
+            begins += [a, *cuts.tolist()]
+            ends += [*cuts.tolist(), b]
+        self.docs, self.begins, self.looks = (np.array(x, dtype=np.int64) for x in (docs, begins, looks))
+        self.lengths = np.array(ends, dtype=np.int64) - self.begins
+        #: Whether the look-back begins where all states act alike, and whether a chunk begins its piece.
+        self.sealed = np.array(known, dtype=bool)
+        self.first = np.ones(len(docs), dtype=bool)
+        self.first[1:] = self.begins[1:] != self.begins[:-1] + self.lengths[:-1]
+        self.first[1:] |= self.docs[1:] != self.docs[:-1]
+
+
+def linked(maps: list[dict], entries: list[tuple], first: np.ndarray, begin: int) -> int | None:
+    """Hands a chunk's exit on to the chunks after it while that changes their entries; the chunk whose map lacks its new entry, if there is one."""
+    i = begin + 1
+    while i < len(maps) and not first[i]:
+        if entries[i - 1] not in maps[i - 1]:
+            return None  # its new entry is still to be run; what follows is told then
+        before = maps[i - 1][entries[i - 1]][0]
+        if entries[i] == before:
+            return None
+        entries[i] = before
+        if before not in maps[i]:
+            return i
+        i += 1
+    return None
 
 
 def count_batch(machine: Transducer, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    docs, begins, lengths, entries, n_special = chunks(data, offsets, machine.bpe.special)
-    added, _ = machine.run(data, begins, lengths, entries)
-    return compose(docs, added, len(offsets) - 1) + n_special
+    cut = Chunks(data, offsets, machine.bpe.special)
+    if not len(cut.docs):
+        return cut.n_special
+    later = np.flatnonzero(~cut.first)
+    _, led = machine.run(data, cut.looks[later], cut.begins[later] - cut.looks[later], [(SEALED if s else START, b"") for s in cut.sealed[later].tolist()])
+    entries = [(START, b"")] * len(cut.docs)
+    for i, key in zip(later.tolist(), led):
+        entries[i] = key
+    #: Each chunk's state map: (exit state, added count) by entry state.
+    maps: list[dict] = [{} for _ in entries]
+    missed = list(range(len(entries)))
+    while missed:
+        added, exits = machine.run(data, cut.begins[missed], cut.lengths[missed], [entries[i] for i in missed])
+        for i, n, key in zip(missed, added.tolist(), exits):
+            maps[i][entries[i]] = (key, n)
+        missed = sorted({i for i in (linked(maps, entries, cut.first, i) for i in missed) if i is not None})
+    # All entries are the exits before them, so the maps compose by adding: an inclusive prefix scan, read at each text's last chunk.
+    scan = np.concatenate([[0], np.cumsum([m[e][1] for m, e in zip(maps, entries)])])
+    bounds = np.searchsorted(cut.docs, np.arange(len(offsets)), side="left")
+    return scan[bounds[1:]] - scan[bounds[:-1]] + cut.n_special
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:

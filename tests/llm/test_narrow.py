@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from terrafold.llm import token_counts as token_counts_module
 from terrafold.llm.packing import balance, capacities, pack
 from terrafold.llm.quality import judged
 from terrafold.llm.queries import URL_RULES, tokenizer
@@ -41,6 +42,20 @@ def test_token_counts(spark):
     assert token_counts(frame(spark, []), tokenizer("byte_bpe_50k.json")).count() == 0
 
 
+@pytest.mark.parametrize("chunk,back", [(512, 64), (16, 4), (7, 1)])
+def test_state_maps_compose_at_any_cut(monkeypatch, chunk, back):
+    r = random.Random(5)
+    monkeypatch.setattr(token_counts_module, "CHUNK", chunk)
+    monkeypatch.setattr(token_counts_module, "LOOK_BACK", back)
+    alphabets = ["abcdefghijklmnop", "漢字仮名交じり文", "ABCDEFabcdef0123456789+/", "01", " ", " \u3000\n", "é", "!?=-", "'stmdrevl", "a漢 1!\u3000"]
+    long_ = ["".join(r.choice(a) for _ in range(n)) for a in alphabets for n in (0, 1, 15, 1023, 1025, 6000)] + ["the<|endoftext|>" * 300, "internationalisation" * 200]
+    machine, want = token_counts_module.Transducer(tokenizer("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    raw = [t.encode() for t in long_]
+    offsets = np.concatenate([[0], np.cumsum([len(b) for b in raw])])
+    got = token_counts_module.count_batch(machine, np.frombuffer(b"".join(raw), dtype=np.uint8), offsets)
+    assert got.tolist() == [len(want.encode(t, add_special_tokens=False).ids) for t in long_]
+
+
 def test_packing(spark):
     want, seen, sequences = library("word_bpe_49k.json"), defaultdict(list), defaultdict(list)
     for r in pack(frame(spark, rows()), tokenizer("word_bpe_49k.json"), block=64).collect():
