@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, maybe_in, parts
+from .common import cut, id_text, maybe_in, parts, release
 from .hashing import Words, mix, range_hashes, text_steps
 
 #: Sets, and features, to a block where the members of a group are compared (a block of features: 4 MB).
@@ -342,6 +342,7 @@ def within_groups(members: DataFrame, features: DataFrame, num: int, den: int) -
     sketches = features.select("node", "features").mapInArrow(emit_sketches, "node long, n long, sketch binary")
     allowed = dealt.join(sketches.hint("merge"), "node").groupBy("lead", "lo", "hi").applyInArrow(lambda t: sift(t, num, den), "lead long, lo int, hi int, node long, component long, block int")
     allowed = cut(allowed.repartition(parts(spark)))
+    release(spark)
     return allowed.join(features.hint("merge"), "node").groupBy("lead", "lo", "hi").applyInArrow(lambda t: link_block(t, num, den), "a long, b long")
 
 
@@ -382,7 +383,9 @@ def join_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100)
     found = counted.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("node"))
     found = cut(found.repartition(parts(spark)))
     likely = maybe_in(docs.where("doc_id IS NOT NULL"), "doc_id", found.select("node")).where("maybe").select("doc_id", "text")
+    release(spark)
     shared = cut(candidates(likely, n, num, den))
+    release(spark)
     known = shared.where("lead IS NOT NULL")
     late = shared.where("lead IS NULL").select("sig", "node").repartition(parts(spark)).join(known.where("node = lead").select("sig", "lead").hint("merge"), "sig")
     # How many signatures a node shares with each leader; a leader belongs to its own group.
@@ -397,14 +400,17 @@ def join_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100)
     some = maybe_in(docs, "doc_id", nodes).where("maybe").select("doc_id", "text")
     some = some.join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi")
     features = cut(some.mapInArrow(emit_sets, "node long, features binary"))
+    release(spark)
 
     first = groups.where("lead <> node").groupBy(F.col("node").alias("b")).agg(F.max_by("lead", F.struct("m", -F.col("lead"))).alias("a"))
     links = cut(compare(first.repartition(parts(spark)), features, num, den).repartition(parts(spark)))
+    release(spark)
     # Three jumps join most of what the leaders hold together; what they leave apart is only compared again.
     labels = cut(jumped(links.select(F.col("b").alias("node"), F.col("a").alias("p")), 3)).withColumnRenamed("p", "component")
     told = features.select("node", F.expr("length(features) div 8").alias("n")).join(labels.hint("merge"), "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
     members = groups.select("lead", "node").join(told.hint("merge"), "node").select("lead", "node", "component", "n")
     more = cut(within_groups(cut(members.repartition(parts(spark))), features, num, den).repartition(parts(spark)))
+    release(spark)
     labels = components(links.unionByName(more))
 
     found = found.join(labels.hint("merge"), "node", "left").select("c1", "c2", F.col("n_shingles").alias("n"), F.coalesce("component", "node").alias("component"))
