@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +37,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any longer; else they stay until the driver's next collection, which a driver with little to do hardly has."""
-    spark.sparkContext._jvm.System.gc()
+    gc.collect()
+    for _ in range(2):  # the plan's last objects go with the second collection only
+        time.sleep(0.5)  # Python's references to the JVM's objects are given up by a thread that wakes ten times a second
+        spark.sparkContext._jvm.System.gc()
 
 
 def parts(spark: SparkSession) -> int:
