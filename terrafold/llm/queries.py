@@ -14,6 +14,7 @@ from .passages import remove_repeats
 from .ppm import score_stream
 from .quality import judged
 from .revisits import crawl, header_text, resolve
+from .spelling import spelling_forms
 from .token_counts import token_counts
 from .url_rules import judge
 
@@ -68,6 +69,10 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(table(spark, sf_dir, "documents"))
+
+
 SQL_OP1 = r"""
 WITH page AS (
   SELECT page_id AS p, md5(html) AS digest, length(html) AS length,
@@ -130,5 +135,6 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_license_scan": op9_license_scan,
     "op10_url_rules": op10_url_rules,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 ORACLE_SQL = {"op1_revisits": SQL_OP1, "op10_url_rules": SQL_OP10}
