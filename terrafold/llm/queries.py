@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import aligned
 from .common import table
 from .decontaminate import contaminated
 from .jaccard import join_components
@@ -16,6 +17,7 @@ from .quality import judged
 from .revisits import crawl, header_text, resolve
 from .spelling import spelling_forms
 from .token_counts import token_counts
+from .toxicity import score_toxicity
 from .url_rules import judge
 
 #: Host, path and verdict of the URL rules.
@@ -73,6 +75,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_forms(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 SQL_OP1 = r"""
 WITH page AS (
   SELECT page_id AS p, md5(html) AS digest, length(html) AS length,
@@ -136,5 +146,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_url_rules": op10_url_rules,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_toxicity": op12_toxicity,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 ORACLE_SQL = {"op1_revisits": SQL_OP1, "op10_url_rules": SQL_OP10}
