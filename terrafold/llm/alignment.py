@@ -15,8 +15,9 @@ most frequent ones where there are more; the other links' pairs are joined with
 row. The highest count of each B id is a vector of the size of B's vocabulary. Nothing else is broadcast.
 
 Texts are cut before single spaces and newlines between other characters, where neither tokenizer joins what stands on
-both sides (B's pieces are looked through for that; if one did, texts would stay whole), so what is found for a unit of text is remembered: at most
-KEPT units of at most LONG characters a worker. Longer ones are encoded as they are, very long texts unit by unit.
+both sides (B's pieces are looked through for that; if one did, texts would stay whole), so what is found for a unit of text is
+remembered: at most about KEPT units a worker, by units of at most LONG characters. New units are encoded together. Very long texts are
+read whole, unit by unit.
 
 Texts that are null, empty, or of other bytes in A's or B's tokens have no tokens: zeros and ''. Rows that share an id, and
 equal rows, are aligned and counted separately. Ties for a B id's highest count are all best. An empty table gives no rows. Only doc_id
@@ -26,11 +27,11 @@ and text are read.
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 from collections import Counter
 from functools import lru_cache
-from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import cut, id_text, steps
 from .hashing import mix
 
-KEPT, LONG, STEP = 300_000, 64, 2 << 20
+KEPT, LONG, STEP, RUN = 400_000, 64, 2 << 20, 20_000
 SHARD, MOST, SLICES, FAN = 1 << 16, 1 << 21, 8, 4
 #: Rows that a shard is asked for in a task.
 ASKED = 1 << 20
@@ -50,51 +51,72 @@ _plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_OF = {chr(b): b for b in _plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in _plain)}
 
 
-class Unit:
-    """What an alignment of a piece of text gives: token numbers, pairs of linked ids, the groups' text."""
+#: Fixed value: how a byte-level tokenizer cuts texts before it merges bytes.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    __slots__ = ("a", "b", "groups", "pairs")
 
-    def __init__(self, a: list[int], b: list[int], a_size: list[int], b_size: list[int]):
-        self.a, self.b = len(a), len(b)
-        b_end = {end: m for m, end in enumerate(accumulate(map(b_size.__getitem__, b)), 1)}
-        x, y, out, pairs = 0, 0, [], []
-        for k, end in enumerate(accumulate(map(a_size.__getitem__, a)), 1):
-            m = b_end.get(end)
-            if m:
-                out.append(f"{','.join(map(str, a[x:k]))}|{','.join(map(str, b[y:m]))}")
-                pairs.append(a[k - 1] << 32 | b[m - 1])
-                x, y = k, m
-        self.pairs, self.groups = pairs, ";".join(out).encode()
+def byte_level(path: str):
+    """A byte-level tokenizer's bytes by id, and a function from texts to ids, as the library gives them for plain text.
 
+    Where the file's merges are in the order of their ids, a faster library encodes alike.
+    """
+    from tokenizers import Tokenizer
 
-#: Of units whose bytes a tokenizer changes.
-LOST = Unit([], [], [], [])
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    special = {t["id"] for t in told["added_tokens"]}
+    vocabulary, merges = told["model"]["vocab"], told["model"]["merges"]
+    in_bytes = lambda token: bytes(BYTE_OF[c] for c in token) if all(c in BYTE_OF for c in token) else token.encode()
+    by_id = {i: in_bytes(token) for token, i in vocabulary.items()} | {t["id"]: t["content"].encode() for t in told["added_tokens"]}
+    joined = lambda m: "".join(m) if isinstance(m, list) else m.replace(" ", "")
+    plain = told["normalizer"] is None and told["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    if plain and all(vocabulary[joined(m)] == 256 + i for i, m in enumerate(merges)):
+        import tiktoken
+
+        ranks = {x: i for i, x in by_id.items() if i not in special}
+        return by_id, tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    library.no_padding()
+    library.no_truncation()
+    return by_id, lambda text: library.encode(text, add_special_tokens=False).ids
+
+
+class Units(NamedTuple):
+    """Units of text, aligned: token numbers and whether bytes are lost, by unit; links with their unit and id pair; the groups' texts, if asked for."""
+
+    a: np.ndarray
+    b: np.ndarray
+    lost: np.ndarray
+    owner: np.ndarray
+    pairs: np.ndarray
+    texts: list[bytes]
 
 
 class Aligner:
     """Both tokenizers, and the units that a worker remembers."""
 
-    def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, path_a: str, path_b: str, texts: bool = True):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.a.no_padding()
-        self.a.no_truncation()
+        self.texts = texts
+        by_id, self.encode_a = byte_level(path_a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        in_byte_level = lambda token: bytes(BYTE_OF[c] for c in token) if all(c in BYTE_OF for c in token) else token.encode()
-        self.a_bytes = [in_byte_level(self.a.id_to_token(i) or "") for i in range(self.a.get_vocab_size())]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.a_bytes = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.a_size, self.b_size = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.a_size, self.b_size = (np.array([len(x) for x in some], dtype=np.int64) for some in (self.a_bytes, self.b_bytes))
         self.cuts = not any("▁" in p.lstrip("▁") or "\n" in p or (p.startswith("▁▁") and p.strip("▁")) for p in pieces)
-        self.space = self.b.encode("\n")[:-1]
+        self.prefix = len(self.b.encode("\n")) - 1
+        ends = lambda n, end: np.array([b"%d%s" % (i, end) for i in range(n)], dtype=object)
+        self.a_text, self.b_text = ([ends(len(x), b","), ends(len(x), end)] for x, end in ((self.a_bytes, b"|"), (self.b_bytes, b";")))
+        self.forget()
+
+    def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.found: list[Unit] = []
+        self.found: list[Units] = []
         self.lost = np.zeros(0, dtype=bool)
+        self.groups: list[bytes] = []
 
     #: A unit starts at a single space or newline after, and before, other characters; other blanks stay within.
     UNITS = re.compile(r"\s+\S+(?:(?:\s\s+|[^\S \n])\S+)*(?:\s+\Z)?|\s+\Z")
@@ -102,43 +124,94 @@ class Aligner:
     def units(self, text: str) -> list[str]:
         return self.UNITS.findall(" " + text) if self.cuts else [" " + text]
 
-    def align(self, units: list[str]) -> list[Unit]:
-        """Units start with a space or a newline; B's own space before a newline is taken off."""
-        a_ids = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-        b_ids = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        out = []
-        for unit, a, b in zip(units, a_ids, b_ids):
-            if unit[0] != " ":
-                b = b[len(self.space) :]
-            elif len(unit) == 1:
-                b = []
-            whole = unit.encode()
-            ok = b"".join(map(self.a_bytes.__getitem__, a)) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole
-            out.append(Unit(a, b, self.a_size, self.b_size) if ok else LOST)
-        return out
+    def encode_b(self, text: str) -> list[int]:
+        """B's ids of a run of units, which starts with a space or a newline; B's own space before a newline is taken off."""
+        return self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[self.prefix :]
+
+    def encoded(self, units: list[str]) -> tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of both tokenizers, each unit's number of them, and whether its bytes are lost.
+
+        Units are encoded together, RUN characters at a time, and told apart by their bytes; a run that loses bytes is encoded unit by unit.
+        """
+        a_ids, b_ids, a_n, b_n, lost = [], [], [], [], []
+        first, size = 0, 0
+        for i, unit in enumerate(units):
+            size += len(unit)
+            ends = unit[-1].isspace() or not self.cuts  # blanks at its end would join what follows
+            if size < RUN and not ends and i + 1 < len(units):
+                continue
+            some = units[first : i + 1]
+            run = "".join(some)
+            a, b, whole = self.encode_a(run), self.encode_b(run), run.encode()
+            stops = np.cumsum([len(u.encode()) for u in some])
+            x, y = (np.searchsorted(np.cumsum(size_of[ids]), stops) + 1 for size_of, ids in ((self.a_size, a), (self.b_size, b)))
+            if b"".join(map(self.a_bytes.__getitem__, a)) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole:
+                a_ids += a
+                b_ids += b
+                a_n.append(np.diff(x, prepend=0))
+                b_n.append(np.diff(y, prepend=0))
+                lost.append(np.zeros(len(some), dtype=bool))
+            elif len(some) == 1:
+                a_n.append([0])
+                b_n.append([0])
+                lost.append([True])
+            else:
+                for unit in some:
+                    for total, one in zip((a_ids, b_ids, a_n, b_n, lost), self.encoded([unit])):
+                        total.append(one) if isinstance(one, np.ndarray) else total.extend(one)
+            first, size = i + 1, 0
+        counts = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a_n, b_n)]
+        return a_ids, b_ids, *counts, np.concatenate(lost).astype(bool) if lost else np.zeros(0, dtype=bool)
+
+    def align(self, units: list[str]) -> Units:
+        a_ids, b_ids, a_n, b_n, lost = self.encoded(units)
+        a_ids, b_ids = np.array(a_ids, dtype=np.int64), np.array(b_ids, dtype=np.int64)
+        a_ends, b_ends = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
+        at = np.minimum(np.searchsorted(b_ends, a_ends), max(0, len(b_ends) - 1))
+        a_last = b_ends[at] == a_ends if len(b_ends) else np.zeros(0, dtype=bool)
+        i, j = np.flatnonzero(a_last), at[a_last]
+        owner = np.repeat(np.arange(len(units)), a_n)[i]
+        texts = self.group_texts(a_ids, b_ids, i, j, a_n + b_n) if self.texts else []
+        return Units(a_n, b_n, lost, owner, a_ids[i] << 32 | b_ids[j], texts)
+
+    def group_texts(self, a_ids: np.ndarray, b_ids: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray) -> list[bytes]:
+        """Each unit's groups as a1,a2|b1;a3|b2; where i and j are the groups' last tokens."""
+        pieces = np.empty(len(a_ids) + len(b_ids), dtype=object)
+        for ids, last, other, text, later in ((a_ids, i, j, self.a_text, 0), (b_ids, j, i, self.b_text, 1)):
+            ends = np.zeros(len(ids), dtype=np.int64)
+            ends[last] = 1
+            group = np.cumsum(ends) - ends
+            before = np.concatenate([[0], other + 1])[group + later]  # the other side's tokens that stand before
+            pieces[np.arange(len(ids)) + before] = np.where(ends == 1, text[1][ids], text[0][ids])
+        every, stops = pieces.tolist(), np.cumsum(n).tolist()
+        return [b"".join(every[a:b]) for a, b in zip([0, *stops], stops)]
 
     def numbered(self, texts: list[str]) -> list[np.ndarray]:
-        """By text the numbers of its units in found; none if the text is empty or one of them is lost."""
-        if len(self.found) > KEPT:
-            self.number.clear()
-            self.found.clear()
-            self.lost = np.zeros(0, dtype=bool)
+        """By text the numbers of its units; none if the text is empty or one of them is lost."""
+        if self.full():
+            self.forget()
         cut_up = [self.units(t) if t else [] for t in texts]
         new = list({u for units in cut_up for u in units} - self.number.keys())
-        first = len(self.found)
-        self.found += self.align(new)
-        self.lost = np.concatenate([self.lost, [u is LOST for u in self.found[first:]]]).astype(bool)
-        self.number.update(zip(new, range(first, len(self.found))))
+        if new:
+            first = len(self.lost)
+            self.found.append(self.align(new))
+            self.lost = np.concatenate([self.lost, self.found[-1].lost])
+            self.groups += self.found[-1].texts
+            self.number.update(zip(new, range(first, len(self.lost))))
         out = [np.fromiter(map(self.number.__getitem__, units), dtype=np.int64, count=len(units)) for units in cut_up]
         for u in new:
             if len(u) > LONG:
                 del self.number[u]
         return [row[:0] if self.lost[row].any() else row for row in out]
 
+    def full(self) -> bool:
+        """Whether the next texts begin with nothing known; the units' numbers end there."""
+        return len(self.lost) > KEPT
+
 
-@lru_cache(maxsize=2)
-def aligner(path_a: str, path_b: str) -> Aligner:
-    return Aligner(path_a, path_b)
+@lru_cache(maxsize=1)
+def aligner(path_a: str, path_b: str, texts: bool) -> Aligner:
+    return Aligner(path_a, path_b, texts)
 
 
 def text_parts(batch: pa.RecordBatch):
@@ -156,23 +229,25 @@ def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """pair, h, n, slice: each task's counts of linked id pairs; h: the pair's hash."""
 
     def run(batches):
-        tool, own = aligner(path_a, path_b), TaskContext.get().partitionId() % SLICES
+        tool, own = aligner(path_a, path_b, False), TaskContext.get().partitionId() % SLICES
         counts = np.zeros(0, dtype=np.int64)
 
         def told():
-            used = np.flatnonzero(counts).tolist()
-            pairs, at = np.unique(np.array([p for i in used for p in tool.found[i].pairs], dtype=np.int64), return_inverse=True)
+            first = np.cumsum([0, *(len(u.a) for u in tool.found)])
+            every = np.concatenate([np.zeros(0, dtype=np.int64), *(u.pairs for u in tool.found)])
+            times = np.concatenate([np.zeros(0, dtype=np.int64), *(np.pad(counts, (0, max(0, first[-1] - len(counts))))[a + u.owner] for a, u in zip(first, tool.found))])
+            pairs, at = np.unique(every[times > 0], return_inverse=True)
             n = np.zeros(len(pairs), dtype=np.int64)
-            np.add.at(n, at, np.repeat(counts[used], [len(tool.found[i].pairs) for i in used]))
+            np.add.at(n, at, times[times > 0])
             return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(hashed(pairs)), pa.array(n), pa.array(np.full(len(pairs), own, dtype=np.int32))], ["pair", "h", "n", "slice"])
 
         for batch in batches:
             for _, _, texts in text_parts(batch):
-                if len(tool.found) > KEPT:  # the units' numbers end here
+                if tool.full():
                     yield told()
                     counts = np.zeros(0, dtype=np.int64)
                 rows = tool.numbered(texts)
-                more = np.bincount(np.concatenate(rows), minlength=len(tool.found))
+                more = np.bincount(np.concatenate(rows), minlength=len(tool.lost))
                 more[: len(counts)] += counts
                 counts = more
         yield told()
@@ -359,38 +434,40 @@ def looked_up(docs: DataFrame, path_a: str, path_b: str, frequent: Frequent) ->
     types = [pa.string() if x.endswith("string") else pa.int64() for x in RESULT.split(", ")]
     rest_type = pa.list_(pa.struct([("pair", pa.int64()), ("h", pa.int64()), ("m", pa.int64())]))
 
-    def sums_of(units: list[Unit], known: Frequent) -> tuple[np.ndarray, dict[int, list[int]]]:
-        """A unit's part of the sums, and the pairs of those units that have some which aren't held."""
-        pairs, size = np.array([p for u in units for p in u.pairs], dtype=np.int64), np.array([len(u.pairs) for u in units], dtype=np.int64)
-        owner = np.repeat(np.arange(len(units)), size)
-        distinct, at = np.unique(pairs, return_inverse=True)
+    def sums_of(units: Units, known: Frequent) -> tuple[np.ndarray, dict[int, list[int]]]:
+        """Each unit's part of the sums, and the pairs of those units that have some which aren't held."""
+        distinct, at = np.unique(units.pairs, return_inverse=True)
         counts = known.find(distinct)[at]
         held = counts >= 0
-        best, total = np.zeros((2, len(units)), dtype=np.int64)
-        np.add.at(best, owner[held], counts[held] == known.best[pairs[held] & 0xFFFFFFFF])
-        np.add.at(total, owner[held], counts[held])
+        links = np.bincount(units.owner, minlength=len(units.a))
+        best, total = np.zeros((2, len(units.a)), dtype=np.int64)
+        np.add.at(best, units.owner[held], counts[held] == known.best[units.pairs[held] & 0xFFFFFFFF])
+        np.add.at(total, units.owner[held], counts[held])
         open_: dict[int, list[int]] = {}
-        for i, pair in zip(owner[~held].tolist(), pairs[~held].tolist()):
+        for i, pair in zip(units.owner[~held].tolist(), units.pairs[~held].tolist()):
             open_.setdefault(i, []).append(pair)
-        return np.column_stack([[u.a for u in units], [u.b for u in units], size, size, best, total]), open_
+        return np.column_stack([units.a, units.b, links, links, best, total]), open_
 
     def run(batches):
-        tool, known = aligner(path_a, path_b), told.value
-        table, open_ = np.zeros((0, 6), dtype=np.int64), {}
+        tool, known = aligner(path_a, path_b, True), told.value
+        table, open_, done = [np.zeros((0, 6), dtype=np.int64)], {}, 0
         for batch in batches:
             for a, b, texts in text_parts(batch):
-                if len(tool.found) > KEPT:  # the units' numbers end here
-                    table, open_ = table[:0], {}
+                if tool.full():
+                    table, open_, done = [np.zeros((0, 6), dtype=np.int64)], {}, 0
                 rows = tool.numbered(texts)
-                if len(table) < len(tool.found):
-                    more, some = sums_of(tool.found[len(table) :], known)
-                    open_ |= {len(table) + i: pairs for i, pairs in some.items()}
-                    table = np.concatenate([table, more])
+                first = sum(map(len, table))
+                for units in tool.found[done:]:
+                    more, some = sums_of(units, known)
+                    open_ |= {first + i: pairs for i, pairs in some.items()}
+                    table.append(more)
+                    first += len(more)
+                table, done = [np.concatenate(table)], len(tool.found)
                 out, rest = [], []
                 for doc_id, row in zip(batch.column(0)[a:b].to_pylist(), rows):
                     numbers = row.tolist()
-                    digest = hashlib.sha256(b";".join([tool.found[k].groups for k in numbers])).hexdigest() if numbers else ""
-                    out.append((doc_id, *table[row].sum(axis=0).tolist(), digest))
+                    digest = hashlib.sha256(b"".join(map(tool.groups.__getitem__, numbers))[:-1]).hexdigest() if numbers else ""
+                    out.append((doc_id, *table[0][row].sum(axis=0).tolist(), digest))
                     asked = Counter(p for k in numbers if k in open_ for p in open_[k]) if open_ else {}
                     hashes = hashed(np.array(list(asked), dtype=np.int64)).tolist()
                     rest.append([{"pair": p, "h": h, "m": m} for (p, m), h in zip(asked.items(), hashes)])
