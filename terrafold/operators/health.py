@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import network_class
@@ -41,12 +41,44 @@ def dominant_errors(calls: DataFrame, share: float = 0.2) -> DataFrame:
     return per.withColumn("total", total).where(F.col("n") > share * F.col("total"))
 
 
+#: A source's calls are looked at in stretches of so many seconds, so a source is many tasks.
+STRETCH = 3_600
+
+
 def circuit(calls: DataFrame, most: int = 5) -> DataFrame:
     """Each call with the failures since its source's last success, and whether the circuit is open after it."""
-    w = Window.partitionBy("source").orderBy("ts", "call_id")
-    run = calls.withColumn("run_", F.sum(F.col("ok").cast("int")).over(w))
-    since = F.sum((~F.col("ok")).cast("int")).over(Window.partitionBy("source", "run_").orderBy("ts", "call_id"))
-    return run.withColumn("failures", since).withColumn("is_open", F.col("failures") >= most).drop("run_")
+    return carried_failures(calls, most)[0]
+
+
+def carried_failures(calls: DataFrame, most: int = 5, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """circuit's rows, and source, left: its failures at the end; before: the same of earlier calls.
+
+    Calls are counted within stretches; each stretch hands on one row, its failures at the end and whether it had a success.
+    """
+    told = calls.withColumn("stretch", F.floor(F.unix_timestamp("ts") / STRETCH))
+    order = lambda *by: Window.partitionBy("source", "stretch", *by).orderBy("ts", "call_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = told.withColumn("run_", F.count_if("ok").over(order())).withColumn("near_", F.count_if(~F.col("ok")).over(order("run_")))
+    ends = near.groupBy("source", "stretch").agg(F.max_by("near_", F.struct("ts", "call_id")).alias("left"), (F.max("run_") > 0).alias("cut"))
+    if before is not None:
+        ends = ends.unionByName(before.select("source", F.lit(-(1 << 62)).alias("stretch"), "left", F.lit(True).alias("cut")))
+    up_to = lambda *by: Window.partitionBy("source", *by).orderBy("stretch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ends.withColumn("part", F.count_if("cut").over(up_to())).withColumn("at_end", F.sum("left").over(up_to("part")))
+    carried = summed.withColumn("carried_", F.coalesce(F.lag("at_end").over(Window.partitionBy("source").orderBy("stretch")), F.lit(0).cast("long")))
+    joined = near.join(carried.select("source", "stretch", "carried_").hint("merge"), ["source", "stretch"])
+    failures = F.col("near_") + F.when(F.col("run_") == 0, F.col("carried_")).otherwise(0)
+    out = joined.withColumn("failures", failures).withColumn("is_open", F.col("failures") >= most).drop("stretch", "run_", "near_", "carried_")
+    return out, summed.groupBy("source").agg(F.max_by("at_end", "stretch").alias("left"))
+
+
+def looking_back(calls: DataFrame, at: str, stretch: int, first: int, last: int, value: Column, name: str) -> DataFrame:
+    """calls with value aggregated over their source's calls whose at is first to last away (first < 0: earlier).
+
+    Calls are dealt by stretches of at; those that later stretches look back to go there as well, so a source is many window groups.
+    """
+    place = lambda x: F.floor(x / F.lit(stretch))
+    copied = calls.withColumn("s_", F.explode(F.sequence(place(F.col(at)), place(F.col(at) - first))))
+    told = copied.withColumn(name, value.over(Window.partitionBy("source", "s_").orderBy(at).rangeBetween(first, last)))
+    return told.where(F.col("s_") == place(F.col(at))).drop("s_")
 
 
 def folded_retries(calls: DataFrame, gap: str = "5 minutes") -> DataFrame:
@@ -71,8 +103,8 @@ def cached_results(requests: DataFrame, results: DataFrame, fresh_s: int = 3600,
 
 def plain_rate(calls: DataFrame, seconds: int = 60, most: int = 30) -> DataFrame:
     """Each call with the number of its source's calls in the seconds up to it, and whether they are too many."""
-    w = Window.partitionBy("source").orderBy(F.unix_timestamp("ts")).rangeBetween(-(seconds - 1), 0)
-    return calls.withColumn("n", F.count("*").over(w)).withColumn("refused", F.col("n") > most)
+    timed = calls.withColumn("at_", F.unix_timestamp("ts"))
+    return looking_back(timed, "at_", max(STRETCH, seconds), 1 - seconds, 0, F.count("*"), "n").drop("at_").withColumn("refused", F.col("n") > most)
 
 
 def with_fallback(requests: DataFrame, primary: DataFrame, fallback: DataFrame, cache: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..operators import extraction as E
 from ..operators import overlay as O
-from ..operators.health import success_windows
 from ..operators.register import single_parcel
 from ..sources import payloads as S
 from ..streaming import jobs as J
@@ -89,7 +88,7 @@ QUERIES = {
     "s7_exported": lambda s, d: S.exported(view(s, d, "f_features"), "plot_id"),
     "s8_decoded": lambda s, d: payloads(s, d).select("payload_id", S.decoded(F.col("body"))[1].alias("raw")),
     "s9_upload_check": lambda s, d: S.eligible(files(s, d)).select("p_partkey", "reject_reason"),
-    "t_1_success_stream": lambda s, d: J.drained_updates(success_windows(calls_stream(s, d)), ["source", "begin"], scratch(s)),
+    "t_1_success_stream": lambda s, d: J.drained_updates(J.success_rates(calls_stream(s, d, None)), ["source", "begin"], scratch(s)),
     "t_3_debounced": lambda s, d: J.debounced(view(s, d, "f_edits")).withColumn("value", F.round("value", 6)),
     "t_4_circuit_stream": lambda s, d: J.drained_batches(calls_stream(s, d, None), J.circuit_states(at := scratch(s)), at).select("call_id", "failures", "is_open"),
     "t_5_rate_limit_stream": lambda s, d: J.drained_batches(calls_stream(s, d, None), J.rate_limits(at := scratch(s), most=3, seconds=600), at),

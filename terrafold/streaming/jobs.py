@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.health import classified, success_windows
-from ..operators.register import rule_map, upsert
+from ..operators.health import STRETCH, carried_failures, classified, looking_back, success_windows
+from ..operators.register import rule_map
 
 LATE = "10 minutes"
-STRETCH = 3_600
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, files: int | None = 1) -> DataFrame:
@@ -27,7 +28,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, files: int | None =
 
 
 def success_rates(calls: DataFrame) -> DataFrame:
-    """T-1: success_windows of a stream."""
+    """T-1: success_windows of a stream; a window's state goes when the watermark has passed its end."""
     return success_windows(calls.withWatermark("ts", LATE))
 
 
@@ -43,51 +44,57 @@ def debounced(edits: DataFrame, gap: str = "5 minutes") -> DataFrame:
     return grouped.agg(F.max_by("value", "ts").alias("value"), F.count("*").alias("edits"), F.max("ts").alias("saved_at")).select("parcel_id", "field_key", "value", "edits", "saved_at")
 
 
-def rate_limited(calls: DataFrame, most: int = 30, seconds: int = 60) -> DataFrame:
-    """T-5: source, call_id, ts, accepted; a call is refused while most accepted ones of its source are less than seconds old.
+def segments(calls: DataFrame, most: int, seconds: int) -> DataFrame:
+    """calls (source, call_id, ts, before) dealt to segments that can be decided apart: with segment, at (microseconds) and copied.
 
-    The state of a source is the times of its accepted calls of the last seconds, most at most. A batch's calls are taken in the order of time.
+    Where no call of the last seconds had more than most calls in the seconds up to it, all of them were accepted, whatever was
+    before. There a new segment may begin, at most one a stretch, and these calls go to it too, as copies that are known to be accepted.
+    A source under its limit is thus many segments; one that is over it all the time stays one, and is read as a stream.
     """
-
-    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        calls = pd.concat(list(frames)).sort_values(["ts", "call_id"])
-        accepted = []
-        for t in calls["ts"].astype("datetime64[us]").astype("int64") / 1e6:
-            kept = [x for x in kept if t - x < seconds]
-            accepted.append(len(kept) < most)
-            if accepted[-1]:
-                kept.append(t)
-        state.update((kept,))
-        yield pd.DataFrame({"source": key[0], "call_id": calls["call_id"], "ts": calls["ts"], "accepted": accepted})
-
-    return calls.select("source", "call_id", "ts").groupBy("source").applyInPandasWithState(decide, "source string, call_id long, ts timestamp, accepted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    width, stretch = seconds * 1_000_000, max(STRETCH, seconds) * 1_000_000
+    timed = calls.withColumn("at", F.unix_micros("ts"))
+    crowded = looking_back(timed, "at", stretch, 1 - width, 0, F.count("*"), "n_").withColumn("busy_", F.col("n_") > most)
+    quiet = looking_back(crowded, "at", stretch, -width, -1, F.count_if("busy_"), "b_").withColumn("s_", F.floor(F.col("at") / stretch))
+    starts = quiet.groupBy("source", "s_").agg(F.min(F.when(F.col("b_") == 0, F.col("at"))).alias("start_"))
+    by_source = Window.partitionBy("source").orderBy("s_")
+    earlier = F.last(F.when(F.col("start_").isNotNull(), F.col("s_")), ignorenulls=True).over(by_source.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.lead(F.struct("s_", "start_")).over(by_source)
+    starts = starts.withColumn("earlier_", F.coalesce(earlier, F.lit(-(1 << 62)))).withColumn("next_", F.when(after["s_"] == F.col("s_") + 1, after["start_"]))
+    told = quiet.join(starts.hint("merge"), ["source", "s_"])
+    own = F.when(F.col("at") >= F.col("start_"), F.col("s_")).otherwise(F.col("earlier_"))
+    ahead = lambda start, s: F.when((F.col("at") < F.col(start)) & (F.col("at") > F.col(start) - width), F.struct(s.alias("segment"), F.lit(True).alias("copied")))
+    places = F.array_compact(F.array(F.struct(own.alias("segment"), F.lit(False).alias("copied")), ahead("start_", F.col("s_")), ahead("next_", F.col("s_") + 1)))
+    return told.select("source", "call_id", "ts", "before", "at", F.explode(places).alias("x")).select("source", "call_id", "ts", "before", "at", "x.segment", "x.copied")
 
 
 def rate_limits(folder: str, most: int = 30, seconds: int = 60) -> Callable[[DataFrame, int], None]:
-    """T-5 for foreachBatch: as rate_limited, into folder/out. A source's calls come sorted, a frame after the other, and only the last accepted times are kept."""
+    """T-5 for foreachBatch, into folder/out: source, call_id, ts, accepted; a call is refused while most accepted ones of its source are less than seconds old.
+
+    Segments of a source are decided apart; a segment's calls come sorted, a frame after the other, and only the last accepted times are
+    kept, most at most. The next batch is handed the last accepted calls of each source.
+    """
 
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        source, kept = None, deque()
+        own, kept = None, deque()
         for calls in frames:
             accepted = []
-            times = calls["ts"].astype("datetime64[us]").astype("int64") / 1e6
-            for s, t, before in zip(calls["source"], times, calls["before"]):
-                if s != source:
-                    source, kept = s, deque()
-                while kept and t - kept[0] >= seconds:
+            for name, at, sure in zip(zip(calls["source"], calls["segment"]), calls["at"], calls["before"] | calls["copied"]):
+                if name != own:
+                    own, kept = name, deque()
+                while kept and at - kept[0] >= seconds * 1_000_000:
                     kept.popleft()
-                accepted.append(before or len(kept) < most)
+                accepted.append(sure or len(kept) < most)
                 if accepted[-1]:
-                    kept.append(t)
-            yield calls.assign(accepted=accepted)[["source", "call_id", "ts", "before", "accepted"]]
+                    kept.append(at)
+            yield calls.assign(accepted=accepted)[["source", "call_id", "ts", "before", "copied", "accepted"]]
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         calls = batch.select("source", "call_id", "ts", F.lit(False).alias("before"))
         if number:
             calls = calls.unionByName(spark.read.parquet(f"{folder}/last-{number - 1}"))
-        out = calls.repartition("source").sortWithinPartitions("source", F.desc("before"), "ts", "call_id").mapInPandas(decide, "source string, call_id long, ts timestamp, before boolean, accepted boolean")
+        dealt = segments(calls, most, seconds).repartition("source", "segment").sortWithinPartitions("source", "segment", "at", F.desc(F.col("before") | F.col("copied")), "call_id")
+        out = dealt.mapInPandas(decide, "source string, call_id long, ts timestamp, before boolean, copied boolean, accepted boolean").where("NOT copied").drop("copied")
         out.write.mode("overwrite").parquet(f"{folder}/all-{number}")
         done = spark.read.parquet(f"{folder}/all-{number}")
         done.where("NOT before").select("source", "call_id", "ts", "accepted").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
@@ -99,31 +106,13 @@ def rate_limits(folder: str, most: int = 30, seconds: int = 60) -> Callable[[Dat
 
 
 def circuit_states(folder: str, most: int = 5) -> Callable[[DataFrame, int], None]:
-    """T-4 for foreachBatch: source, call_id, ts, failures since the last success, is_open, into folder/out.
-
-    A source's calls are cut into stretches of STRETCH seconds; each stretch hands on one row, and a batch one row a source.
-    """
+    """T-4 for foreachBatch: source, call_id, ts, failures since the last success, is_open, into folder/out; a batch hands on one row a source."""
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        calls = batch.select("source", "call_id", "ts", "ok", F.floor(F.unix_timestamp("ts") / STRETCH).alias("stretch"))
-        w = Window.partitionBy("source", "stretch").orderBy("ts", "call_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        runs = calls.withColumn("run", F.count_if("ok").over(w))
-        within = Window.partitionBy("source", "stretch", "run").orderBy("ts", "call_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        near = runs.withColumn("near", F.count_if(~F.col("ok")).over(within))
-        ends = near.groupBy("source", "stretch").agg(F.max_by("near", F.struct("ts", "call_id")).alias("left"), (F.max("run") > 0).alias("cut"))
-        if number:
-            before = spark.read.parquet(f"{folder}/last-{number - 1}")
-            ends = ends.unionByName(before.select("source", F.lit(-(1 << 62)).alias("stretch"), "left", F.lit(True).alias("cut")))
-        # The failures at the end of the stretches since the last one with a success.
-        order = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        since = Window.partitionBy("source", "part").orderBy("stretch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        summed = ends.withColumn("part", F.count_if("cut").over(order)).withColumn("at_end", F.sum("left").over(since))
-        carried = summed.withColumn("carried", F.coalesce(F.lag("at_end").over(Window.partitionBy("source").orderBy("stretch")), F.lit(0).cast("long")))
-        joined = near.join(carried.select("source", "stretch", "carried").hint("merge"), ["source", "stretch"])
-        failures = F.col("near") + F.when(F.col("run") == 0, F.col("carried")).otherwise(0)
-        joined.select("source", "call_id", "ts", failures.alias("failures"), (failures >= most).alias("is_open")).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-        summed.groupBy("source").agg(F.max_by("at_end", "stretch").alias("left")).write.mode("overwrite").parquet(f"{folder}/last-{number}")
+        before = batch.sparkSession.read.parquet(f"{folder}/last-{number - 1}") if number else None
+        out, left = carried_failures(batch.select("source", "call_id", "ts", "ok"), most, before)
+        out.select("source", "call_id", "ts", "failures", "is_open").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        left.write.mode("overwrite").parquet(f"{folder}/last-{number}")
 
     return run
 
@@ -134,24 +123,93 @@ def retries(calls: DataFrame, gap: str = "5 minutes") -> DataFrame:
     return grouped.agg(F.count("*").alias("attempts"), F.min(F.when(F.col("ok"), F.col("call_id"))).alias("first_ok")).select("source", F.col("w.start").alias("begin"), "attempts", "first_ok")
 
 
-def cached(results: DataFrame, keys: list[str], ttl: str = "1 hour") -> DataFrame:
-    """T-7: the first result of each key within the time to live."""
-    return results.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys)
+def cached(asks: DataFrame, fresh_s: int = 3600, stale_s: int = 86_400) -> DataFrame:
+    """T-7: request_id, hit_ts, state (hit, stale or miss) of requests answered from a cache whose entries live for stale_s.
 
-
-def refresh_rules(folder: str) -> Callable[[DataFrame, int], None]:
-    """T-8: for foreachBatch: puts a batch of field edits over the stored ones, by event time, and writes the parcels' rule maps anew."""
+    asks: key, ts, request_id (null for a result that is put into the cache). State is the newest result's time, for each key and stretch of
+    stale_s; a result counts for its own stretch and the next, so a hot key is many groups. A stretch's state goes when the watermark
+    has passed its end. Rows of a batch are taken in the order of time, results before requests of the same moment.
+    """
+    live = stale_s * 1_000_000
+    timed = asks.withWatermark("ts", LATE).select("key", "ts", "request_id", F.unix_micros("ts").alias("at"))
+    stretch = F.floor(F.col("at") / live)
+    dealt = timed.withColumn("s", F.explode(F.when(F.col("request_id").isNull(), F.array(stretch, stretch + 1)).otherwise(F.array(stretch))))
+
+    def answer(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        put = state.get[0] if state.exists else -1
+        rows = pd.concat(list(frames)).sort_values(["at", "request_id"], na_position="first")
+        result = rows["request_id"].isna().to_numpy()
+        at = rows["at"].to_numpy()
+        newest = np.maximum.accumulate(np.concatenate([[put], np.where(result, at, -1)]))
+        state.update((int(newest[-1]),))
+        state.setTimeoutTimestamp(max((int(key[1]) + 1) * stale_s * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"request_id": rows["request_id"].to_numpy()[~result].astype("int64"), "at": at[~result], "put": newest[1:][~result]})
+
+    told = dealt.groupBy("key", "s").applyInPandasWithState(answer, "request_id long, at long, put long", "put long", "append", GroupStateTimeout.EventTimeTimeout)
+    age = F.floor(F.col("at") / 1_000_000) - F.floor(F.col("put") / 1_000_000)
+    known = (F.col("put") >= 0) & (age <= stale_s)
+    return told.select("request_id", F.when(known, F.timestamp_micros("put")).alias("hit_ts"), F.when(known & (age <= fresh_s), "hit").when(known, "stale").otherwise("miss").alias("state"))
+
+
+EDITS = "id long, ts timestamp, parcel_id long, field_key string, value double"
+RULES = "parcel_id long, rules map<string, string>, provenance map<string, string>"
+
+
+def places(spark: SparkSession, folder: str, before: int | None = None) -> dict[int, int]:
+    """Of each bucket the batch that wrote it last, as of the last whole batch (below `before`); as many entries as there are buckets."""
+    try:
+        told = spark.read.schema("bucket int, version int, batch int").parquet(f"{folder}/places")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    told = told if before is None else told.where(F.col("batch") < before)
+    last = told.agg(F.max("batch").alias("batch"))
+    return {r["bucket"]: r["version"] for r in told.join(last.hint("merge"), "batch").collect()}
+
+
+def bucketed(spark: SparkSession, folder: str, name: str, schema: str, at: dict[int, int]) -> DataFrame:
+    """A bucketed table's rows in the versions given."""
+    if not at:
+        return spark.createDataFrame([], schema)
+    kept = ", ".join(f"({v}, {b})" for b, v in sorted(at.items()))
+    return spark.read.schema(schema + ", version int, bucket int").parquet(f"{folder}/{name}").where(f"(version, bucket) IN ({kept})").drop("version", "bucket")
+
+
+def refresh_rules(folder: str, buckets: int = 64, spread: int = 4) -> Callable[[DataFrame, int], None]:
+    """T-8 for foreachBatch: puts field edits over the stored ones, the latest by event time and id, and makes the parcels' rule maps anew.
+
+    Edits and rules lie in buckets by parcel. A batch writes new versions of the buckets that it touches, then, last, where each bucket
+    lies; other buckets' files stay as they are, readers never see half a batch, and a batch that comes again writes the same.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
-        spark, state = batch.sparkSession, f"{folder}/edits"
-        stored = spark.read.parquet(f"{state}-{number - 1}") if number else batch.limit(0)
-        merged = upsert(stored, batch, ["parcel_id", "field_key"], "ts") if number else upsert(stored, batch, ["parcel_id", "field_key"], "ts")
-        merged.write.mode("overwrite").parquet(f"{state}-{number}")
-        rule_map(spark.read.parquet(f"{state}-{number}")).write.mode("overwrite").parquet(f"{folder}/rules")
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64("parcel_id"), F.lit(buckets)).cast("int").alias("bucket")
+        new = batch.select("id", F.col("ts").cast("timestamp").alias("ts"), "parcel_id", "field_key", F.col("value").cast("double").alias("value"))
+        known = places(spark, folder, number)
+        touched = [r["bucket"] for r in new.select(bucket).distinct().collect()]
+        stored = bucketed(spark, folder, "edits", EDITS, {b: known[b] for b in touched if b in known})
+        row = F.struct("id", "ts", "value")
+        merged = stored.unionByName(new).groupBy("parcel_id", "field_key").agg(F.max_by(row, F.struct("ts", "id")).alias("x")).select("x.id", "x.ts", "parcel_id", "field_key", "x.value")
+        part = F.pmod(F.xxhash64("parcel_id", F.lit(1)), F.lit(spread))
+        put = lambda df, name: df.withColumn("bucket", bucket).repartition("bucket", part).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{name}/version={number}")
+        put(merged, "edits")
+        put(rule_map(bucketed(spark, folder, "edits", EDITS, {b: number for b in touched})), "rules")
+        told = sorted((known | {b: number for b in touched}).items())
+        spark.createDataFrame(told, "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/places/batch={number}")
 
     return run
 
 
+def current_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """parcel_id, rules, provenance as of the last whole batch."""
+    return bucketed(spark, folder, "rules", RULES, places(spark, folder))
+
+
 def drained(stream: DataFrame, folder: str) -> DataFrame:
     """Runs a stream over all that is there, appends to folder/out, and gives the result as a plain frame."""
     stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
@@ -165,7 +223,10 @@ def drained_batches(stream: DataFrame, run: Callable[[DataFrame, int], None], fo
 
 
 def drained_updates(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
-    """Runs an aggregation without watermark over all that is there and gives each key's last row, so open windows count and no row is late."""
+    """Runs an aggregation over all that is there and gives each key's last row, so windows that are still open at the end count.
+
+    State is bounded by the stream's watermark; each batch writes the rows that it changed.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")

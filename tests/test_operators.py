@@ -68,23 +68,6 @@ def test_units(spark):
     assert [tuple(r) for r in df.select(*cad.unit_of(F.col("code"), F.col("d"))).collect()] == [("mm", 0.001, "header"), ("mm", 0.001, "heuristic"), ("m", 1.0, "heuristic")]
 
 
-def test_rate_limit_counts_accepted_calls_only(spark, tmp_path):
-    start = dt.datetime(2026, 1, 1)
-    rows = [("a", i, start + dt.timedelta(seconds=i)) for i in range(100)]
-    spark.createDataFrame(rows, "source string, call_id long, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("source string, call_id long, ts timestamp").parquet(f"{tmp_path}/in")
-    got = {r["call_id"]: r["accepted"] for r in jobs.drained(jobs.rate_limited(stream), f"{tmp_path}/s").collect()}
-    assert [i for i in range(100) if got[i]] == [*range(30), *range(60, 90)]
-
-
-def test_rule_refresh(spark, tmp_path):
-    edits = spark.createDataFrame([(1, dt.datetime(2026, 1, 1), 7, "height", 9.0), (2, dt.datetime(2026, 1, 2), 7, "height", 11.0)], "id long, ts timestamp, parcel_id long, field_key string, value double")
-    run = jobs.refresh_rules(str(tmp_path))
-    run(edits.where("id = 2"), 0)
-    run(edits.where("id = 1"), 1)
-    assert spark.read.parquet(f"{tmp_path}/rules").count() == 1
-
-
 def part_files(spark, folder):
     """events in three files, the latest calls in the first."""
     events = spark.createDataFrame([(i, dt.datetime(2026, 1, 1) + dt.timedelta(seconds=97 * i + i % 3), i % 5 // 2, "error" if i % 11 < 8 or 300 < i < 420 else "view", 1.0) for i in range(900)], "event_id long, ts timestamp, user_id long, event_type string, value double")
