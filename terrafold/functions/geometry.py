@@ -163,3 +163,18 @@ def difference(base: Column, cut: Column) -> Column:
     b, c = bounds(base), bounds(cut)
     outside = F.filter(base, lambda p: ~contains_point(cut, p["x"], p["y"]))
     return F.when(~rings_meet(base, cut), base).when((c["x0"] <= b["x0"]) & (c["x1"] >= b["x1"]), F.slice(base, 1, 0)).otherwise(outside)
+
+
+def edge_distance(ring: Column, x: Column, y: Column) -> Column:
+    """A point's distance from the ring's nearest edge."""
+
+    def one(e: Column) -> Column:
+        dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+        t = F.when(dx * dx + dy * dy > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - e["a"]["x"]) * dx + (y - e["a"]["y"]) * dy) / (dx * dx + dy * dy)))).otherwise(0.0)
+        return F.hypot(x - e["a"]["x"] - t * dx, y - e["a"]["y"] - t * dy)
+
+    return F.array_min(F.transform(edges(ring), one))
+
+
+def rings_cross(one: Column, other: Column) -> Column:
+    return F.exists(edges(one), lambda e: F.exists(edges(other), lambda f: segments_cross(e["a"], e["b"], f["a"], f["b"])))

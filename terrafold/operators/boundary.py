@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.text import layer_class
 
-#: Fixed value: longer rings are no candidates.
-MAX_POINTS = 10_000
+#: Loops of more points aren't walked along in a task, but put in order by all tasks together.
+WALKED = 10_000
 
 
 def snapped(segments: DataFrame) -> DataFrame:
@@ -57,20 +57,42 @@ def walk(key: tuple, edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"file_id": [key[0]], "ri": [key[1]], "rj": [key[2]], "ring": [[{"x": i * eps, "y": j * eps} for i, j in path]]})
 
 
+def ordered(parts: DataFrame) -> DataFrame:
+    """file_id, ri, rj, ring of long loops, as walk gives them: each directed edge doubles its way to the loop's end until all have arrived.
+
+    parts: file_id, ri, rj, u, v, eps, edges in both directions. A loop takes as many rounds as its number of points has binary digits.
+    """
+    ahead = parts.select("file_id", F.col("u").alias("v"), F.col("v").alias("after"))
+    begin = F.struct(F.col("ri").alias("i"), F.col("rj").alias("j"))
+    ways = parts.join(ahead.hint("merge"), ["file_id", "v"]).where("after <> u").withColumn("over", F.col("v") == begin)
+    edge = lambda a, b: F.when(~F.col("over"), F.struct(F.col(a).alias("u"), F.col(b).alias("v")))
+    ways = ways.select("file_id", "ri", "rj", "eps", F.struct("u", "v").alias("at"), edge("v", "after").alias("to"), F.when(F.col("over"), F.col("u")).alias("end"), F.when(F.col("over"), 0).otherwise(1).cast("long").alias("left")).checkpoint()
+    while not ways.where("to IS NOT NULL").isEmpty():
+        on = ways.select("file_id", F.col("at").alias("to"), F.col("to").alias("to_"), F.col("end").alias("end_"), F.col("left").alias("left_"))
+        ways = ways.join(on.hint("merge"), ["file_id", "to"], "left").select("file_id", "ri", "rj", "eps", "at", F.col("to_").alias("to"), F.coalesce("end", "end_").alias("end"), (F.col("left") + F.coalesce("left_", F.lit(0))).alias("left")).checkpoint()
+    last = ways.where(F.col("at.u") == begin).groupBy("file_id", "ri", "rj").agg(F.max("at.v").alias("end"))
+    told = ways.join(last.hint("merge"), ["file_id", "ri", "rj", "end"])
+    points = F.array_sort(F.collect_list(F.struct((-F.col("left")).alias("n"), (F.col("at.u.i") * F.col("eps")).alias("x"), (F.col("at.u.j") * F.col("eps")).alias("y"))))
+    return told.groupBy("file_id", "ri", "rj").agg(F.transform(points, lambda p: G.point(p["x"], p["y"])).alias("ring"))
+
+
 def rings(segments: DataFrame) -> DataFrame:
     """file_id, ri, rj, ring, layer: simple loops of loose segments, each with the layer of the greatest length on it.
 
-    Components that branch or stay open give no ring, nor do loops of more than MAX_POINTS points, so what one task walks along is
-    bounded. Repeated and reversed segments count once for the loop, and all for the layer; ties go to the smaller layer name.
+    Components that branch or stay open give no ring. Loops of up to WALKED points are walked along in a task, longer ones are put in order
+    by doubling. Repeated and reversed segments count once for the loop, and all for the layer; ties go to the smaller layer name.
     """
     on = snapped(segments).checkpoint()
     both = on.select("file_id", "u", "v", "eps").unionByName(on.select("file_id", F.col("v").alias("u"), F.col("u").alias("v"), "eps")).distinct()
     labels = components(both.drop("eps"))
     named = both.join(labels.hint("merge"), ["file_id", "u"]).select("file_id", F.col("label.i").alias("ri"), F.col("label.j").alias("rj"), "u", "v", "eps").checkpoint()
     degree = named.groupBy("file_id", "ri", "rj", "u").agg(F.count("*").alias("n"))
-    loops = degree.groupBy("file_id", "ri", "rj").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("points")).where(f"low = 2 AND high = 2 AND points <= {MAX_POINTS}").select("file_id", "ri", "rj")
-    parts = named.join(loops.hint("merge"), ["file_id", "ri", "rj"]).select("file_id", "ri", "rj", F.col("u.i").alias("ui"), F.col("u.j").alias("uj"), F.col("v.i").alias("vi"), F.col("v.j").alias("vj"), "eps")
+    loops = degree.groupBy("file_id", "ri", "rj").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("points")).where("low = 2 AND high = 2").select("file_id", "ri", "rj", "points").checkpoint()
+    of = lambda test: named.join(loops.where(test).drop("points").hint("merge"), ["file_id", "ri", "rj"])
+    parts = of(F.col("points") <= WALKED).select("file_id", "ri", "rj", F.col("u.i").alias("ui"), F.col("u.j").alias("uj"), F.col("v.i").alias("vi"), F.col("v.j").alias("vj"), "eps")
     found = parts.groupBy("file_id", "ri", "rj").applyInPandas(walk, "file_id long, ri long, rj long, ring array<struct<x: double, y: double>>")
+    if not loops.where(F.col("points") > WALKED).isEmpty():
+        found = found.unionByName(ordered(of(F.col("points") > WALKED)))
     length = F.hypot(F.col("u.i") - F.col("v.i"), F.col("u.j") - F.col("v.j"))
     per = on.join(labels.hint("merge"), ["file_id", "u"]).groupBy("file_id", F.col("label.i").alias("ri"), F.col("label.j").alias("rj"), "layer").agg(F.sum(length).alias("total"))
     layer = per.groupBy("file_id", "ri", "rj").agg(F.min_by("layer", F.struct(-F.col("total"), "layer")).alias("layer"))

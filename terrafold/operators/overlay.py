@@ -41,6 +41,40 @@ def relations(features: DataFrame, plots: DataFrame, site: float = 30.0) -> Data
     return joined.where(touch(site) & (F.col("cell") == corner)).select("feature_id", "plot_id", inside(0.0).alias("within_plot"), touch(0.0).alias("intersects_plot"), inside(site).alias("within_site"))
 
 
+def ring_relations(features: DataFrame, plots: DataFrame, site: float = 30.0) -> DataFrame:
+    """feature_id, plot_id, within_plot, intersects_plot, within_site of shapes (points, lines or rings) and the plots whose site they touch.
+
+    features: feature_id, shape; plots: plot_id, ring. Boxes meet by grid cells, as in relations; then the rings decide: within where no edges
+    meet and all points lie inside, within the site where all points are at most site away from the plot. A shape without points, or with a
+    point that has no place, is told once, with nulls.
+    """
+    bad = F.col("shape").isNull() | (F.size("shape") == 0) | F.exists("shape", lambda p: p.isNull() | p["x"].isNull() | p["y"].isNull() | F.isnan(p["x"]) | F.isnan(p["y"]))
+    told = features.select("feature_id", "shape", F.coalesce(bad, F.lit(True)).alias("bad"))
+    box, own = G.bounds(F.col("shape")), G.bounds(F.col("ring"))
+    f = told.where("NOT bad").select("feature_id", "shape", *(box[c].alias(f"f{c}") for c in ("x0", "y0", "x1", "y1")))
+    p = plots.where(F.size("ring") >= 3).select("plot_id", "ring", *((own[c] + (site if c[1] == "1" else -site)).alias(c) for c in ("x0", "y0", "x1", "y1")))
+    places = lambda df, a: df.withColumn("cell", F.explode(grid_cells(F.col(f"{a}x0"), F.col(f"{a}y0"), F.col(f"{a}x1"), F.col(f"{a}y1"))))
+    joined = places(f, "f").join(places(p, "").hint("merge"), "cell")
+    corner = F.struct(F.floor(F.greatest("fx0", "x0") / GRID).alias("i"), F.floor(F.greatest("fy0", "y0") / GRID).alias("j"))
+    met = joined.where((F.col("fx0") <= F.col("x1")) & (F.col("fx1") >= F.col("x0")) & (F.col("fy0") <= F.col("y1")) & (F.col("fy1") >= F.col("y0")) & (F.col("cell") == corner))
+    ring, shape = F.col("ring"), F.col("shape")
+    cross = G.rings_cross(ring, shape)
+    inside = G.contains_ring(ring, shape)
+    around = F.forall("shape", lambda q: G.contains_point(ring, q["x"], q["y"]) | (G.edge_distance(ring, q["x"], q["y"]) <= site))
+    out = met.select("feature_id", "plot_id", (inside & ~cross).alias("within_plot"), G.rings_meet(ring, shape).alias("intersects_plot"), around.alias("within_site"))
+    return out.where("intersects_plot OR within_site").unionByName(told.where("bad").select("feature_id"), allowMissingColumns=True)
+
+
+def utility_collisions(features: DataFrame, plots: DataFrame) -> DataFrame:
+    """plot_id, kind (utility_collision), n: network features of a site that meet its plot; only plots that have some.
+
+    features: feature_id, plot_id, layer_key, shape; plots: plot_id, ring.
+    """
+    lines = features.where(F.col("layer_key").isin(*UTILITY_WIDTH)).select("plot_id", "shape")
+    met = lines.join(plots.select("plot_id", "ring").hint("merge"), "plot_id").where(G.rings_meet(F.col("ring"), F.col("shape")))
+    return met.groupBy("plot_id").agg(F.lit("utility_collision").alias("kind"), F.count("*").alias("n"))
+
+
 def box_cells(rows: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, res: float, keep: list[str]) -> DataFrame:
     """keep, ix, iy of the cells whose centres are inside the box."""
     half = res / 2

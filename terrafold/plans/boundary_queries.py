@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions import values as V
 from ..operators import boundary as B
 from ..operators import overlay as O
-from ..operators.extraction import FIELDS
+from ..operators.extraction import CATALOGUE
 from ..operators.register import active_of
 from ..sources.gml import gml_features
 from .fixtures import oracle, spread, view
@@ -117,7 +117,7 @@ def external(s, d):
     doc = F.col("doc_id")
     docs = table(s, d, "documents").select("doc_id")
     told = F.array(*(F.struct(F.lit(k).alias("field_key"), F.when((doc + i) % 3 != 0, (doc + i).cast("string")).alias("value"), F.when(doc % 2 == 0, "cm").otherwise("").alias("unit"), F.when((doc + i) % 4 == 0, 0.5).alias("confidence")) for i, k in enumerate(("maxBuildingHeightM", "primaryPurpose"))))
-    return B.merged_external(docs.select("doc_id", F.inline(told)), docs, [(f[0], None if f[3] == "@" else f[3]) for f in FIELDS])
+    return B.merged_external(docs.select("doc_id", F.inline(told)), docs, CATALOGUE)
 
 
 def names(s, d):
@@ -224,7 +224,7 @@ SELECT request_id, plot_id, CASE WHEN plot_id IS NULL THEN 'insert' WHEN request
     "p13_form_rows": "SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_size || '.5' END AS ridge_height, CASE WHEN p_partkey % 4 <> 0 THEN p_brand END AS locality, 2 AS n FROM part",
     "s3_gml_features": "SELECT p_partkey AS payload_id, n, 'p' || n || '.' || p_partkey AS id, (p_partkey % 499 + 1) || ' & 1' AS nr, 1 AS n_properties, CASE WHEN p_partkey % 4 = 2 THEN 4 ELSE 5 END AS points, p_size * 10.0 AS area FROM part, (VALUES (0), (1)) k(n) WHERE p_partkey % 4 <> 3 AND (n = 0 OR p_partkey % 3 <> 1)",
     "p16_source_kinds": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'placeholder' WHEN p_partkey % 3 = 1 OR p_partkey % 4 = 0 THEN 'derived' ELSE 'imported' END AS kind FROM part",
-    "p22_external_results": "WITH k(field_key, own, i) AS (VALUES " + ", ".join(f"('{f[0]}', {'NULL' if f[3] in (None, '@') else repr(f[3])}, {({'maxBuildingHeightM': '0', 'primaryPurpose': '1'}).get(f[0], 'NULL')})" for f in FIELDS) + ") SELECT doc_id, field_key, CASE WHEN (doc_id + i) % 3 <> 0 THEN CAST(doc_id + i AS VARCHAR) END AS value, CASE WHEN i IS NOT NULL AND doc_id % 2 = 0 THEN 'cm' ELSE own END AS unit, CASE WHEN (doc_id + i) % 3 <> 0 THEN CASE WHEN (doc_id + i) % 4 = 0 THEN 0.5 ELSE 0.75 END ELSE 0.0 END AS confidence, CASE WHEN (doc_id + i) % 3 <> 0 THEN 'EXTRACTED' ELSE 'REQUIRES_REVIEW' END AS status FROM documents CROSS JOIN k",
+    "p22_external_results": "WITH k(field_key, own, i) AS (VALUES " + ", ".join(f"('{key}', {repr(unit) if unit else 'NULL'}, {({'maxBuildingHeightM': '0', 'primaryPurpose': '1'}).get(key, 'NULL')})" for key, unit in CATALOGUE) + ") SELECT doc_id, field_key, CASE WHEN (doc_id + i) % 3 <> 0 THEN CAST(doc_id + i AS VARCHAR) END AS value, CASE WHEN i IS NOT NULL AND doc_id % 2 = 0 THEN 'cm' ELSE own END AS unit, CASE WHEN (doc_id + i) % 3 <> 0 THEN CASE WHEN (doc_id + i) % 4 = 0 THEN 0.5 ELSE 0.75 END ELSE 0.0 END AS confidence, CASE WHEN (doc_id + i) % 3 <> 0 THEN 'EXTRACTED' ELSE 'REQUIRES_REVIEW' END AS status FROM documents CROSS JOIN k",
     "f18_normal_text": oracle("f_pages", r""", t AS (SELECT doc_id, replace(text, chr(10), chr(13) || chr(10)) || chr(13) || chr(10) || chr(13) || chr(10) || '  a – b' || chr(9) || ' c  ' AS t FROM f_pages), a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '[\x00-\x09\x0B-\x1F\x7F]', '', 'g'), '[‐‑‒–—−]', '-', 'g') AS t FROM t), o AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, ' +', ' ', 'g'), '\n{2,}', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM a) SELECT doc_id, md5(t) AS md5, CAST(length(t) AS INT) AS n_chars FROM o"""),
     "f19_names": "SELECT p_partkey, 'Kwiatowa ' || p_partkey % 90 || CASE WHEN p_partkey % 5 = 3 THEN ' w' ELSE '' END AS street, split_part('Warszawa,Radom,Bielin,Ciechanów,Szczecinek', ',', CAST(p_partkey % 5 + 1 AS INT)) AS place FROM part",
 }

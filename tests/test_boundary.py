@@ -7,6 +7,7 @@ from terrafold.functions import text as T
 from terrafold.functions import values as V
 from terrafold.operators import boundary as B
 from terrafold.operators import overlay
+from terrafold.operators.extraction import CATALOGUE
 from terrafold.sources import gml
 
 RING = "array<struct<x: double, y: double>>"
@@ -50,6 +51,27 @@ def test_a_long_chain_of_nodes_is_one_ring(spark):
     assert [r[0] for r in out.select(F.size("ring")).collect()] == [2 * n]
 
 
+def test_loops_of_any_length(spark, monkeypatch):
+    """A loop of 12,000 points is a ring; loops put in order by doubling are those that a walk gives."""
+    long_ = [(i, 0) for i in range(6_000)] + [(5_999 - i, 9) for i in range(6_000)]
+    small = [(100 * k + x, 500 + y) for k in range(3) for x, y in ((0, 0), (9, 1), (7, 8), (3, 9), (-2, 4))]
+    edges = list(zip(long_, long_[1:] + long_[:1])) + [(small[5 * k + i], small[5 * k + (i + 1) % 5]) for k in range(3) for i in range(5)]
+    rows = spark.createDataFrame([(7, "a", *map(float, a + b)) for a, b in edges], "file_id long, layer string, ax double, ay double, bx double, by double")
+    told = lambda: {(r["ri"], r["rj"]): [(p["x"], p["y"]) for p in r["ring"]] for r in B.rings(rows).collect()}
+    walked = told()
+    assert sorted(map(len, walked.values())) == [5, 5, 5, 12_000]
+    monkeypatch.setattr(B, "WALKED", 4)
+    assert told() == walked
+
+
+def test_outside_results_have_every_field(spark):
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    some = spark.createDataFrame([(1, "coloring", "white", None, None), (1, "unknown", "x", None, None)], "doc_id long, field_key string, value string, unit string, confidence double")
+    got = B.merged_external(some, docs, CATALOGUE).collect()
+    assert len(got) == 56 and all(len({r["field_key"] for r in got if r["doc_id"] == d}) == 28 for d in (1, 2))
+    assert [(r["value"], r["confidence"], r["status"]) for r in got if r["doc_id"] == 1 and r["field_key"] == "coloring"] == [("white", 0.75, "EXTRACTED")]
+
+
 def test_no_segments_no_rings(spark):
     empty = spark.createDataFrame([], "file_id long, layer string, ax double, ay double, bx double, by double")
     assert B.rings(empty).count() == 0
