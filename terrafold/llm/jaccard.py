@@ -415,6 +415,9 @@ def join_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100)
 
     found = found.join(labels.hint("merge"), "node", "left").select("c1", "c2", F.col("n_shingles").alias("n"), F.coalesce("component", "node").alias("component"))
     found = found.repartition(parts(spark)).hint("merge")
-    joined = counted.join(found, (counted.c1 == found.c1) & (counted.c2 == found.c2) & (counted.n_shingles == found.n), "left")
+    # Documents without words are linked with nothing and needn't meet the rest.
+    some = counted.where("n_shingles > 0")
+    joined = some.join(found, (some.c1 == found.c1) & (some.c2 == found.c2) & (some.n_shingles == found.n), "left").select("doc_id", "n_shingles", "component")
+    joined = joined.unionByName(counted.where("n_shingles = 0").select("doc_id", "n_shingles"), allowMissingColumns=True)
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"))
