@@ -114,8 +114,12 @@ def with_parcels(rows: DataFrame, text: str = "text") -> DataFrame:
     spoken = F.col("told_").isNull() & has(t, HINT)
     able = lambda pattern, name: F.filter(F.transform(matches(t, pattern), lambda m: F.struct(m["at"].alias("at"), m["found"].alias("found"), name(m["found"]).alias("number"))), lambda m: m["number"].isNotNull() & (F.length(m["number"]) > 1) & ~m["number"].isin("00", "000", "0000") & ~like_date(t, m["at"], F.length(m["found"])))
     out = out.withColumn("inline_", F.when(spoken, F.get(able(INLINE, parcel_number), F.lit(0))))
-    out = out.withColumn("parcels", F.coalesce("told_", F.when(F.col("inline_").isNotNull(), F.array("inline_.number")), F.array().cast("array<string>")))
-    return out.drop("flat_", "full_", "block_", "listed_", "span_", "near_", "told_", "inline_")
+    # At last two numbers with a blank, a dash or a stop between them, unless they belong to a date.
+    apart = F.filter(matches(t, COMPACT), lambda m: ~like_date(t, m["at"], F.length(m["found"])))
+    out = out.withColumn("apart_", F.when(spoken & F.col("inline_").isNull(), joined(F.get(apart, F.lit(0))["found"])))
+    one = F.coalesce("inline_.number", "apart_")
+    out = out.withColumn("parcels", F.coalesce("told_", F.when(one.isNotNull(), F.array(one)), F.array().cast("array<string>")))
+    return out.drop("flat_", "full_", "block_", "listed_", "span_", "near_", "told_", "inline_", "apart_")
 
 
 def with_precinct(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -158,25 +162,69 @@ def bundles(rows: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("present", sum((x.cast("int") for x in told), F.lit(0)))
 
 
+KINDS = ["parcels", "precinct", "precinct_number", "street", "city"]
+
+
+def main_order(*more) -> Column:
+    """What makes a window the better one: what is given, then its score, its told fields and an early place."""
+    return F.struct(*more, "score", "present", -F.greatest(F.lit(0), F.col("n") - F.col("radius")), -F.col("n"), -F.col("radius"))
+
+
+def trusted(out: DataFrame) -> DataFrame:
+    """out with confidence and accepted: by the subject window's score, less 0.15 where it doesn't qualify and 0.2 for each of parcel, precinct and city that is missing."""
+    missing = sum((x.cast("int") for x in (F.coalesce(F.size("parcels"), F.lit(0)) < 1, F.col("precinct").isNull(), F.col("city").isNull())), F.lit(0))
+    base = 0.35 + F.greatest(F.lit(0), F.least(F.lit(18), F.col("score"))) / 22 - F.when(F.col("qualified"), 0.0).otherwise(0.15) - 0.2 * missing
+    sure = F.round(F.greatest(F.lit(0.0), F.least(F.lit(0.98), base)), 3)
+    return out.withColumn("confidence", sure).withColumn("accepted", (missing == 0) & (sure >= 0.45) & F.col("qualified") & ~F.col("has_footer")).drop("has_footer")
+
+
 def locations(pages: DataFrame) -> DataFrame:
     """doc_id, parcels, precinct, precinct_number, street, city, score, qualified, confidence, accepted, by the windows of page 1.
 
-    The subject window is a qualified one, else one without a footer, else any; of these the highest score, most told fields
-    and earliest line. If it doesn't tell all four, the best window that does takes its place; its score stays the measure.
+    The subject window is a qualified one (parcel, precinct and a place), else one without a footer, else any; of these the highest score,
+    most told fields and earliest line. If it doesn't tell all four, the best window that does takes its place; its score stays the measure.
     accepted: all but the street told, sure to 0.45, qualified and without a footer.
     """
-    first = pages.where("page = 1")
-    told = bundles(scored(windows(first))).withColumn("start", F.greatest(F.lit(0), F.col("n") - F.col("radius")))
-    kinds = ["parcels", "precinct", "precinct_number", "street", "city"]
-    rank = lambda *more: F.struct(*more, "score", "present", -F.col("start"), -F.col("n"), -F.col("radius"))
-    row = F.struct(*kinds, "present", "score", "qualified", "has_footer")
-    best = told.groupBy("doc_id").agg(F.max_by(row, rank("qualified", F.col("qualified") | ~F.col("has_footer"))).alias("main"), F.max_by(row, F.when(F.col("present") == 4, rank())).alias("full"))
+    told = bundles(scored(windows(pages.where("page = 1"))).withColumn("qualified", F.col("subject")))
+    row = F.struct(*KINDS, "present", "score", "qualified", "has_footer")
+    best = told.groupBy("doc_id").agg(F.max_by(row, main_order("qualified", F.col("qualified") | ~F.col("has_footer"))).alias("main"), F.max_by(row, F.when(F.col("present") == 4, main_order())).alias("full"))
     out = best.withColumn("used", F.when((F.col("main.present") < 4) & F.col("full").isNotNull(), F.col("full")).otherwise(F.col("main")))
-    out = pages.select("doc_id").distinct().join(out.hint("merge"), "doc_id", "left").select("doc_id", *(F.col(f"used.{k}").alias(k) for k in kinds), F.coalesce("main.score", F.lit(0)).alias("score"), F.coalesce("main.qualified", F.lit(False)).alias("qualified"), F.coalesce("main.has_footer", F.lit(False)).alias("has_footer"))
-    missing = sum((x.cast("int") for x in (F.coalesce(F.size("parcels"), F.lit(0)) < 1, F.col("precinct").isNull(), F.col("city").isNull())), F.lit(0))
-    base = 0.35 + F.greatest(F.lit(0), F.least(F.lit(18), F.col("score"))) / 22 - F.when(F.col("qualified"), 0.0).otherwise(0.15) - 0.2 * missing
-    sure = F.round(F.greatest(F.lit(0.0), F.least(F.lit(0.98), base)), 3)
-    return out.withColumn("confidence", sure).withColumn("accepted", (missing == 0) & (sure >= 0.45) & F.col("qualified") & ~F.col("has_footer")).drop("has_footer")
+    return trusted(every_document(pages, out, {k: F.col(f"used.{k}") for k in KINDS}))
+
+
+def every_document(pages: DataFrame, out: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    told = pages.select("doc_id").distinct().join(out.hint("merge"), "doc_id", "left")
+    unsure = lambda c, other: F.coalesce(f"main.{c}", F.lit(other)).alias(c)
+    return told.select("doc_id", *(c.alias(k) for k, c in fields.items()), unsure("score", 0), unsure("qualified", False), unsure("has_footer", False))
+
+
+def merged_locations(pages: DataFrame) -> DataFrame:
+    """locations' columns and sources, with each field that the subject window lacks taken from elsewhere.
+
+    A field comes from the other windows in order of their scores, else from the whole first page, else from all pages together, the first
+    that tells it; a precinct brings its number along. sources: where parcels, precinct, street and city are from (subject, window, page,
+    document, or nothing). Documents whose windows tell all four aren't read again. A document's pages are one text for the last step.
+    """
+    told = bundles(scored(windows(pages.where("page = 1"))).withColumn("qualified", F.col("subject")))
+    groups = {"parcels": ["parcels"], "precinct": ["precinct", "precinct_number"], "street": ["street"], "city": ["city"]}
+    given = {k: F.size("parcels") > 0 if k == "parcels" else F.col(k).isNotNull() for k in groups}
+    later = F.struct(-F.col("score"), "n", "radius")
+    best = told.groupBy("doc_id").agg(F.max_by(F.struct(*KINDS, "present", "score", "qualified", "has_footer"), main_order("qualified", F.col("qualified") | ~F.col("has_footer"))).alias("main"), *(F.min_by(F.struct(*cs), F.when(given[k], later)).alias(f"w_{k}") for k, cs in groups.items()))
+    lacking = F.coalesce(sum((F.when(F.col(f"w_{k}").isNotNull(), 1).otherwise(0) for k in groups), F.lit(0)) < 4, F.lit(True))
+    known = pages.select("doc_id").distinct().join(best.hint("merge"), "doc_id", "left").withColumn("lacking_", lacking)
+    left = pages.join(known.where("lacking_").select("doc_id").hint("merge"), "doc_id", "left_semi")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))), lambda p: p["text"]), "\n")
+    for name, rows in (("p", left.where("page = 1")), ("d", left.groupBy("doc_id").agg(text.alias("text")))):
+        whole = bundles(rows).select("doc_id", *(F.when(given[k], F.struct(*cs)).alias(f"{name}_{k}") for k, cs in groups.items()))
+        known = known.join(whole.hint("merge"), "doc_id", "left")
+    own = {k: F.when(F.size("main.parcels") > 0 if k == "parcels" else F.col(f"main.{k}").isNotNull(), F.struct(*(F.col(f"main.{c}").alias(c) for c in cs))) for k, cs in groups.items()}
+    for k in groups:
+        known = known.withColumn(f"f_{k}", F.coalesce(own[k], f"w_{k}", f"p_{k}", f"d_{k}"))
+    source = lambda k: F.struct(F.when(own[k].isNotNull(), "subject").when(F.col(f"w_{k}").isNotNull(), "window").when(F.col(f"p_{k}").isNotNull(), "page").when(F.col(f"d_{k}").isNotNull(), "document").alias(k))[k].alias(k)
+    sources = known.select("doc_id", F.struct(*map(source, groups)).alias("sources"))
+    fields = {c: F.col(f"f_{k}.{c}") for k, cs in groups.items() for c in cs}
+    fields["parcels"] = F.coalesce(fields["parcels"], F.array().cast("array<string>"))
+    return trusted(every_document(pages, known, {k: fields[k] for k in KINDS})).join(sources.hint("merge"), "doc_id")
 
 
 def ranked_references(pages: DataFrame, pattern: str, name: str, priority) -> DataFrame:

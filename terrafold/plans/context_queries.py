@@ -39,6 +39,15 @@ def locations(s, d):
     return L.locations(pages(s, d)).withColumn("parcels", F.array_join("parcels", ","))
 
 
+def merged_locations(s, d):
+    """Two documents of three are cut in two pages before what tells where the plot lies."""
+    told = pages(s, d)
+    at = F.when(F.col("doc_id") % 3 > 0, F.expr("locate(' położona', text)")).otherwise(0)
+    both = F.array(F.struct(F.lit(1).alias("page"), F.expr("substr(text, 1, at - 1)").alias("text")), F.struct(F.lit(2).alias("page"), F.expr("substr(text, at)").alias("text")))
+    cut = told.withColumn("at", at).select("doc_id", F.inline(F.when(F.col("at") > 0, both).otherwise(F.array(F.struct("page", "text")))))
+    return L.merged_locations(cut).withColumn("parcels", F.array_join("parcels", ",")).withColumn("sources", F.to_json("sources"))
+
+
 def marks(s, d):
     sign, (shown, day) = L.issue_sign(F.col("text")), L.long_date(F.col("text"))
     return pages(s, d).select("doc_id", sign.alias("sign"), shown.alias("shown"), F.date_format(day, "yyyy-MM-dd").alias("day"))
@@ -58,6 +67,7 @@ QUERIES = {
     "a11_import_summary": summaries,
     "s12_semantic_export": exports,
     "w4_locations": locations,
+    "w4_merged_locations": merged_locations,
     "p5c_street_references": lambda s, d: L.street_references(pages(s, d)),
     "p5d_locality_references": lambda s, d: L.locality_references(pages(s, d)),
     "f24_f26_document_marks": marks,
