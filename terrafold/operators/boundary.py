@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.text import layer_class
+from ..lineage import cut
 
 #: Loops of more points aren't walked along in a task, but put in order by all tasks together.
 WALKED = 10_000
@@ -32,12 +33,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Labels go to neighbours and jump to their own label's label, so rounds grow far slower than a chain's length; each round is checkpointed.
     """
-    labels = edges.select("file_id", "u").distinct().withColumn("label", F.col("u")).checkpoint()
+    labels = cut(edges.select("file_id", "u").distinct().withColumn("label", F.col("u")))
     while True:
         near = edges.join(labels.hint("merge"), ["file_id", "u"]).groupBy("file_id", F.col("v").alias("u")).agg(F.min("label").alias("near"))
-        least = labels.join(near.hint("merge"), ["file_id", "u"]).select("file_id", "u", F.col("label").alias("old"), F.least("label", "near").alias("label")).checkpoint()
+        least = cut(labels.join(near.hint("merge"), ["file_id", "u"]).select("file_id", "u", F.col("label").alias("old"), F.least("label", "near").alias("label")))
         jump = least.select("file_id", F.col("u").alias("label"), F.col("label").alias("next"))
-        moved = least.join(jump.hint("merge"), ["file_id", "label"]).select("file_id", "u", F.col("next").alias("label"), (F.col("old") != F.col("next")).alias("moved")).checkpoint()
+        moved = cut(least.join(jump.hint("merge"), ["file_id", "label"]).select("file_id", "u", F.col("next").alias("label"), (F.col("old") != F.col("next")).alias("moved")))
         labels = moved.drop("moved")
         if moved.where("moved").isEmpty():
             return labels
@@ -66,10 +67,10 @@ def ordered(parts: DataFrame) -> DataFrame:
     begin = F.struct(F.col("ri").alias("i"), F.col("rj").alias("j"))
     ways = parts.join(ahead.hint("merge"), ["file_id", "v"]).where("after <> u").withColumn("over", F.col("v") == begin)
     edge = lambda a, b: F.when(~F.col("over"), F.struct(F.col(a).alias("u"), F.col(b).alias("v")))
-    ways = ways.select("file_id", "ri", "rj", "eps", F.struct("u", "v").alias("at"), edge("v", "after").alias("to"), F.when(F.col("over"), F.col("u")).alias("end"), F.when(F.col("over"), 0).otherwise(1).cast("long").alias("left")).checkpoint()
+    ways = cut(ways.select("file_id", "ri", "rj", "eps", F.struct("u", "v").alias("at"), edge("v", "after").alias("to"), F.when(F.col("over"), F.col("u")).alias("end"), F.when(F.col("over"), 0).otherwise(1).cast("long").alias("left")))
     while not ways.where("to IS NOT NULL").isEmpty():
         on = ways.select("file_id", F.col("at").alias("to"), F.col("to").alias("to_"), F.col("end").alias("end_"), F.col("left").alias("left_"))
-        ways = ways.join(on.hint("merge"), ["file_id", "to"], "left").select("file_id", "ri", "rj", "eps", "at", F.col("to_").alias("to"), F.coalesce("end", "end_").alias("end"), (F.col("left") + F.coalesce("left_", F.lit(0))).alias("left")).checkpoint()
+        ways = cut(ways.join(on.hint("merge"), ["file_id", "to"], "left").select("file_id", "ri", "rj", "eps", "at", F.col("to_").alias("to"), F.coalesce("end", "end_").alias("end"), (F.col("left") + F.coalesce("left_", F.lit(0))).alias("left")))
     last = ways.where(F.col("at.u") == begin).groupBy("file_id", "ri", "rj").agg(F.max("at.v").alias("end"))
     told = ways.join(last.hint("merge"), ["file_id", "ri", "rj", "end"])
     points = F.array_sort(F.collect_list(F.struct((-F.col("left")).alias("n"), (F.col("at.u.i") * F.col("eps")).alias("x"), (F.col("at.u.j") * F.col("eps")).alias("y"))))
@@ -82,12 +83,12 @@ def rings(segments: DataFrame) -> DataFrame:
     Components that branch or stay open give no ring. Loops of up to WALKED points are walked along in a task, longer ones are put in order
     by doubling. Repeated and reversed segments count once for the loop, and all for the layer; ties go to the smaller layer name.
     """
-    on = snapped(segments).checkpoint()
+    on = cut(snapped(segments))
     both = on.select("file_id", "u", "v", "eps").unionByName(on.select("file_id", F.col("v").alias("u"), F.col("u").alias("v"), "eps")).distinct()
     labels = components(both.drop("eps"))
-    named = both.join(labels.hint("merge"), ["file_id", "u"]).select("file_id", F.col("label.i").alias("ri"), F.col("label.j").alias("rj"), "u", "v", "eps").checkpoint()
+    named = cut(both.join(labels.hint("merge"), ["file_id", "u"]).select("file_id", F.col("label.i").alias("ri"), F.col("label.j").alias("rj"), "u", "v", "eps"))
     degree = named.groupBy("file_id", "ri", "rj", "u").agg(F.count("*").alias("n"))
-    loops = degree.groupBy("file_id", "ri", "rj").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("points")).where("low = 2 AND high = 2").select("file_id", "ri", "rj", "points").checkpoint()
+    loops = cut(degree.groupBy("file_id", "ri", "rj").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("points")).where("low = 2 AND high = 2").select("file_id", "ri", "rj", "points"))
     of = lambda test: named.join(loops.where(test).drop("points").hint("merge"), ["file_id", "ri", "rj"])
     parts = of(F.col("points") <= WALKED).select("file_id", "ri", "rj", F.col("u.i").alias("ui"), F.col("u.j").alias("uj"), F.col("v.i").alias("vi"), F.col("v.j").alias("vj"), "eps")
     found = parts.groupBy("file_id", "ri", "rj").applyInPandas(walk, "file_id long, ri long, rj long, ring array<struct<x: double, y: double>>")

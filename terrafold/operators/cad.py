@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import compactness
 from ..functions.text import layer_class
+from ..lineage import cut
 
 #: Unit codes of a drawing's header, names and metres.
 UNITS = [(1, "inch", 0.0254), (2, "foot", 0.3048), (3, "mile", 1609.344), (4, "mm", 0.001), (5, "cm", 0.01), (6, "m", 1.0), (7, "km", 1000.0), (8, "microinch", 0.0000254), (9, "mil", 0.0000254), (10, "yard", 0.9144), (11, "angstrom", 1e-10), (12, "nanometer", 1e-9), (13, "micron", 1e-6), (14, "dm", 0.1), (15, "dam", 10.0), (16, "hm", 100.0), (17, "gm", 1e9), (18, "au", 149597870700.0), (19, "ly", 9460730472580800.0), (20, "pc", 30856775814913700.0)]
@@ -105,9 +108,26 @@ def main_boundary(candidates: DataFrame) -> DataFrame:
 
 
 def nearest_label(entities: DataFrame) -> DataFrame:
-    """file_id and a closed outline's box with the layer and place of the nearest text of its file (distance from the centre)."""
-    box = entities.where("closed AND etype <> 'TEXT'").select("file_id", "x", "y", "w", "h").distinct()
+    """file_id and a closed outline's box with the layer and distance of the nearest text of its file (from the centre; ties: label, place).
+
+    Texts lie in grid cells, about one a cell at first. An outline looks into its cell and the eight around; a text nearer than a cell is wide is
+    proven to be the nearest. The others look again in cells twice as wide, until a cell is as wide as their drawing, so each meets but few texts.
+    """
+    box = entities.where("closed AND etype <> 'TEXT'").select("file_id", "x", "y", "w", "h").distinct().withColumn("cx", F.col("x") + F.col("w") / 2).withColumn("cy", F.col("y") + F.col("h") / 2)
     text = entities.where("etype = 'TEXT'").select("file_id", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("layer").alias("label")).distinct()
-    d = F.round(F.hypot(F.col("x") + F.col("w") / 2 - F.col("tx"), F.col("y") + F.col("h") / 2 - F.col("ty")), 6)
-    near = box.join(text.hint("merge"), "file_id").groupBy("file_id", "x", "y", "w", "h").agg(F.min(F.struct(d.alias("distance"), "label", "tx", "ty")).alias("t"))
-    return near.select("file_id", "x", "y", "w", "h", "t.label", "t.distance")
+    reach = lambda df, x, y, n: df.groupBy("file_id").agg(F.count("*").alias(n), *(f(c).alias(f"{n}{name}{a}") for f, name in ((F.min, "lo"), (F.max, "hi")) for c, a in ((x, "x"), (y, "y"))))
+    files = reach(text, "tx", "ty", "t").join(reach(box, "cx", "cy", "b").hint("merge"), "file_id")
+    wide = F.greatest(*(F.greatest(f"thi{a}", f"bhi{a}") - F.least(f"tlo{a}", f"blo{a}") for a in "xy"))
+    files = cut(files.select("file_id", wide.alias("extent"), F.greatest(wide / F.sqrt("t"), F.lit(1e-3)).alias("size")))
+    text, left, proven, level = text.join(files.hint("merge"), "file_id"), box.join(files.hint("merge"), "file_id"), [], 0
+    place = lambda c: F.floor(F.col(c) / (F.col("size") * 2**level))
+    while not proven or not left.isEmpty():
+        around = F.array(*(F.struct((place("cx") + i).alias("i"), (place("cy") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+        here = text.select("file_id", place("tx").alias("i"), place("ty").alias("j"), "tx", "ty", "label")
+        d = F.when(F.col("label").isNotNull() | F.col("tx").isNotNull(), F.round(F.hypot(F.col("cx") - F.col("tx"), F.col("cy") - F.col("ty")), 6))
+        met = cut(left.select("*", F.inline(around)).join(here.hint("merge"), ["file_id", "i", "j"], "left").groupBy(*left.columns).agg(F.min(F.when(d.isNotNull(), F.struct(d.alias("distance"), "label", "tx", "ty"))).alias("t")))
+        cell = F.col("size") * 2**level
+        sure = F.coalesce(F.col("t.distance") < cell - 1e-6, F.lit(False)) | (cell > F.col("extent"))
+        proven.append(met.where(sure).select("file_id", "x", "y", "w", "h", "t.label", "t.distance"))
+        left, level = met.where(~sure).drop("t"), level + 1
+    return reduce(lambda a, b: a.unionByName(b), proven)

@@ -116,3 +116,22 @@ def test_zones_of_a_large_plot(spark):
     plots = spark.createDataFrame([(1, 0.0, 0.0, 600.0, 500.0)], "plot_id long, x0 double, y0 double, x1 double, y1 double")
     features = spark.createDataFrame([(1, "flood_zone", 10.0, 10.0, 30.0, 20.0)], "plot_id long, layer_key string, fx0 double, fy0 double, fx1 double, fy1 double")
     assert [tuple(r) for r in overlay.zone_areas(plots, features).collect()] == [(1, "flood_zone", 200.0)]
+
+
+def test_nearest_labels_of_any_spread(spark):
+    """Texts crowded in a corner, far outlines, ties, a file without texts: as by comparing all."""
+    import math
+    import random
+
+    r = random.Random(6)
+    rows = [(1, "TEXT", False, f"t{i % 7}", r.choice([r.uniform(0, 5), r.uniform(0, 1000)]), r.uniform(0, 5), 0.0, 0.0) for i in range(120)]
+    rows += [(1, "LWPOLYLINE", True, "a", r.uniform(-2000, 3000), r.uniform(-10, 400), 4.0, 6.0) for _ in range(60)]
+    rows += [(2, "TEXT", False, label, x, 0.0, 0.0, 0.0) for label, x in (("b", 0.0), ("a", 10.0), (None, 40.0))] + [(2, "LINE", True, "a", 3.0, -2.0, 4.0, 4.0), (3, "LINE", True, "a", 3.0, -2.0, 4.0, 4.0), (2, "LINE", False, "a", 30.0, 0.0, 1.0, 1.0)]
+    entities = spark.createDataFrame(rows, "file_id long, etype string, closed boolean, layer string, x double, y double, w double, h double")
+    want = {}
+    for f, kind, closed, _, x, y, w, h in rows:
+        texts = [(round(math.hypot(x + w / 2 - t[4], y + h / 2 - t[5]), 6), t[3] or "", t[3]) for t in rows if t[0] == f and t[1] == "TEXT"]
+        if closed and kind != "TEXT" and texts:
+            want[f, x, y] = min(texts)[:1] + min(texts)[2:]
+    got = {(r["file_id"], r["x"], r["y"]): (round(r["distance"], 6), r["label"]) for r in cad.nearest_label(entities).collect()}
+    assert got == want
