@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import context as X
+from ..operators import forms as P
 from ..operators import location as L
 from ..operators import overlay as O
 from .document_queries import pages
@@ -48,6 +49,12 @@ def merged_locations(s, d):
     return L.merged_locations(cut).withColumn("parcels", F.array_join("parcels", ",")).withColumn("sources", F.to_json("sources"))
 
 
+def sentences(s, d):
+    """Every second document writes its plot's and precinct's numbers as a key sentence has them."""
+    text = F.when(F.col("doc_id") % 2 == 0, F.replace(F.replace("text", F.lit("nr ewid. "), F.lit("nr ew. ")), F.lit("obręb 00"), F.lit("obręb nr 4-05-"))).otherwise(F.col("text"))
+    return P.key_sentences(pages(s, d).withColumn("text", text)).drop("page")
+
+
 def marks(s, d):
     sign, (shown, day) = L.issue_sign(F.col("text")), L.long_date(F.col("text"))
     return pages(s, d).select("doc_id", sign.alias("sign"), shown.alias("shown"), F.date_format(day, "yyyy-MM-dd").alias("day"))
@@ -71,8 +78,37 @@ QUERIES = {
     "p5c_street_references": lambda s, d: L.street_references(pages(s, d)),
     "p5d_locality_references": lambda s, d: L.locality_references(pages(s, d)),
     "f24_f26_document_marks": marks,
+    "p4_flat_form": lambda s, d: P.flat_form(pages(s, d)),
+    "p4_form_patterns": lambda s, d: P.pattern_form(pages(s, d)),
+    "p6_key_sentences": sentences,
 }
+#: Word borders as Spark's patterns have them, for DuckDB, whose own know only ASCII.
+A, Z = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+CLEAN = r"nullif(trim(regexp_replace(trim(regexp_replace({0}, '\s+', ' ', 'g')), '[,:;.)]+$', '')), '')"
+
+
+def form_sql() -> str:
+    shape = {"clean": CLEAN.format("{0}"), "upper": "upper({0})", "lower": "lower({0})", "trim": "nullif(trim({0}), '')", "number": "CAST(TRY_CAST(replace({0}, ',', '.') AS DOUBLE) AS VARCHAR)"}
+    wide = lambda p: (A + p[2:] if p.startswith(r"\b") else p).replace(r")\b", ")" + Z)
+    values: dict[str, list[str]] = {}
+    for key, pattern, kind in P.PATTERNS:
+        values.setdefault(key, []).append(shape[kind].format(f"nullif(regexp_extract(text, '(?i){wide(pattern)}', 1), '')"))
+    rows = " UNION ALL ".join(f"SELECT doc_id, '{key}' AS form_key, coalesce({', '.join(some)}) AS value FROM f_pages" for key, some in values.items())
+    return f" SELECT doc_id, form_key, value, CASE WHEN value <> '' AND coalesce(TRY_CAST(value AS DOUBLE), 1) <> 0 THEN 0.7 ELSE 0.0 END AS confidence FROM ({rows})"
+
+
+SENTENCE_SQL = rf""", t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(replace(text, 'nr ewid. ', 'nr ew. '), 'obręb 00', 'obręb nr 4-05-') ELSE text END AS text FROM f_pages),
+l AS (SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '\r\n|\r|\n'), lambda x: trim(x)), lambda x: x <> '') AS ls FROM t),
+k AS (SELECT *, list_position(list_transform(ls, lambda x: regexp_matches(x, '(?i)działk|dzialk') AND regexp_matches(x, '(?i)obr')), true) AS pos FROM l),
+s AS (SELECT *, array_to_string(ls[pos:pos + 2], ' ') AS said FROM k),
+r AS (SELECT *, nullif(regexp_extract(said, '(?i){P.SENTENCE["numer_dzialki"]}', 1), '') AS a, nullif(regexp_extract(said, '(?i)obr[ęe]b[\p{{L}}\p{{N}}_]*\s+nr\s*(\d{{1,2}}(?:-\d{{1,2}}){{2}})', 1), '') AS b,
+  nullif(regexp_extract(said, '(?i)przy\s+((?:(?:ul|al|pl|os)\.?|(?:ulica|aleja|plac|osiedle))\s*[:\-]?\s*[^,.\n]+?)(?:\s+w{Z}|,|\.|{A}\d{{2}}-\d{{3}}{Z}|$)', 1), '') AS c,
+  coalesce(nullif(trim(regexp_extract(text, '{A}\d{{2}}-\d{{3}}\s+{P.NAME}', 1)), ''), regexp_extract_all(said, '{A}w\s+([A-Za-zĄĆĘŁŃÓŚŹŻąęćłńóśźż\-]+)', 1)[-1]) AS d FROM s)
+SELECT doc_id, regexp_replace(trim(a), '\s*/\s*', '/', 'g') AS numer_dzialki, trim(b) AS obreb, trim(c, ' ,.;') AS ulica, CASE WHEN lower(d) LIKE 'warszaw%' AND lower(d) LIKE '%wie' THEN 'Warszawa' ELSE trim(d, ' .,') END AS miejscowosc,
+  CASE WHEN a IS NULL THEN 0.0 ELSE 0.9 END AS numer_dzialki_confidence, CASE WHEN b IS NULL THEN 0.0 ELSE 0.9 END AS obreb_confidence, CASE WHEN c IS NULL THEN 0.0 ELSE 0.8 END AS ulica_confidence, CASE WHEN d IS NULL THEN 0.0 ELSE 0.7 END AS miejscowosc_confidence, said FROM r"""
 ORACLE = {
+    "p4_form_patterns": oracle("f_pages", form_sql()),
+    "p6_key_sentences": oracle("f_pages", SENTENCE_SQL),
     "j4_p15_p16_layered_features": oracle("f_features", CATALOGUE + " SELECT feature_id, layer_key, label, layer_group, CAST(sort_order AS INT) AS sort_order, strategy, kind AS source_kind FROM f_features JOIN k USING (layer_key)"),
     "g23_tagged_objects": oracle("f_parcels f_features", OBJECTS + " SELECT feature_id, context_id, plot_relation, collision, tree_context FROM t"),
     "p9_objects_of_note": oracle("f_parcels f_features", OBJECTS + " SELECT feature_id, context_id, layer_key, plot_relation FROM nt"),
