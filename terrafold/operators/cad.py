@@ -25,6 +25,21 @@ def layer_summary(entities: DataFrame) -> DataFrame:
     return per.groupBy("file_id", "layer").agg(F.sum("n").alias("n"), types.alias("types")).withColumn("class", layer_class(F.col("layer")))
 
 
+def layer_details(entities: DataFrame) -> DataFrame:
+    """file_id, layer, and the sorted different line types, colours, block names and attribute tags of its entities, joined by commas.
+
+    entities: also linetype, colour, block (of INSERT entities only, as are tags) and tags (an array). Missing names are left out.
+    """
+    block = F.col("etype") == "INSERT"
+    named = F.array(*(F.struct(F.lit(kind).alias("kind"), value.alias("name")) for kind, value in (("line_types", F.col("linetype")), ("colours", F.col("colour")), ("blocks", F.when(block, F.col("block"))))))
+    tags = F.transform(F.when(block, F.coalesce("tags", F.array())).otherwise(F.array().cast("array<string>")), lambda t: F.struct(F.lit("attributes").alias("kind"), t.alias("name")))
+    told = entities.select("file_id", "layer", F.explode(F.concat(named, tags)).alias("x")).where("x.name <> ''").select("file_id", "layer", "x.kind", "x.name").distinct()
+    kinds = ("line_types", "colours", "blocks", "attributes")
+    names = told.groupBy("file_id", "layer").agg(*(F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("name")))), ",").alias(k) for k in kinds))
+    every = entities.select("file_id", "layer").distinct()
+    return every.join(names.hint("merge"), ["file_id", "layer"], "left").select("file_id", "layer", *(F.coalesce(k, F.lit("")).alias(k) for k in kinds))
+
+
 def signatures(entities: DataFrame) -> DataFrame:
     return entities.groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_set(F.lower("layer"))), "|").alias("signature"))
 
@@ -131,3 +146,18 @@ def nearest_label(entities: DataFrame) -> DataFrame:
         proven.append(met.where(sure).select("file_id", "x", "y", "w", "h", "t.label", "t.distance"))
         left, level = met.where(~sure).drop("t"), level + 1
     return reduce(lambda a, b: a.unionByName(b), proven)
+
+
+def polygon_features(entities: DataFrame, k: int = 200) -> DataFrame:
+    """file_id, layer, area, perimeter, label, distance, rank of a file's closed outlines, the first k by layer and place; label: of the nearest text.
+
+    Places are counted by layer first, so only a file's layers, and a layer's own outlines, share a window.
+    """
+    closed = entities.where("closed AND etype <> 'TEXT'").select("file_id", "layer", "x", "y", "w", "h").distinct()
+    within = closed.withColumn("own_", F.row_number().over(Window.partitionBy("file_id", "layer").orderBy("x", "y", "w", "h"))).where(F.col("own_") <= k)
+    sizes = closed.groupBy("file_id", "layer").agg(F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy("file_id").orderBy("layer").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = within.join(sizes.withColumn("before_", before).hint("merge"), ["file_id", "layer"]).withColumn("rank", F.col("own_") + F.col("before_")).where(F.col("rank") <= k)
+    near = nearest_label(entities)
+    out = first.join(near.hint("merge"), ["file_id", "x", "y", "w", "h"], "left")
+    return out.select("file_id", "layer", "x", "y", "w", "h", (F.col("w") * F.col("h")).alias("area"), (2 * (F.col("w") + F.col("h"))).alias("perimeter"), "label", "distance", F.col("rank").cast("int").alias("rank"))

@@ -130,13 +130,16 @@ def linked(requests: DataFrame, parcels: DataFrame, k: int | None = None) -> Dat
     """request_id, plot_id, score, rank, ambiguous: register parcels by number (60), any form of the precinct (25), locality in any case (15) and without marks (10).
 
     Candidates come from two equi joins, by number and by form of the precinct with plain locality, so nothing is crossed; a missing value
-    matches nothing. Ties keep the plots' order.
+    matches nothing. Ties keep the plots' order. With k, parcels alike in precinct and locality, which no score but the number's tells apart, meet
+    requests by their k lowest plots only (two at least, for ambiguous); those of the right number come by the other join.
     """
     plain = lambda c: strip_marks_and_l(F.lower(F.trim(c)))
     r = requests.select("request_id", "number", precinct_variants(F.col("precinct")).alias("forms"), F.lower(F.trim("locality")).alias("locality"), plain(F.col("locality")).alias("plain"))
     p = parcels.select("plot_id", F.col("parcel_number").alias("p_number"), F.trim("precinct").alias("p_precinct"), F.lower("locality").alias("p_locality"), plain(F.col("locality")).alias("p_plain"))
     a = r.join(p.hint("merge"), F.col("number") == F.col("p_number"))
-    b = r.withColumn("form", F.explode("forms")).join(p.hint("merge"), (F.col("form") == F.col("p_precinct")) & (F.col("plain") == F.col("p_plain")))
+    alike = Window.partitionBy("p_precinct", "p_plain", "p_locality").orderBy("plot_id")
+    few = p.withColumn("own_", F.row_number().over(alike)).where(F.col("own_") <= max(k, 2)).drop("own_") if k else p
+    b = r.withColumn("form", F.explode("forms")).join(few.hint("merge"), (F.col("form") == F.col("p_precinct")) & (F.col("plain") == F.col("p_plain")))
     sure = lambda test: F.coalesce(test, F.lit(False)).cast("int")
     named = (F.col("p_locality") != "") & F.col("p_locality").isin(F.col("locality"), F.col("plain"))
     score = 60 * sure(F.col("number") == F.col("p_number")) + 25 * sure(F.array_contains("forms", F.col("p_precinct"))) + 15 * sure(named) + 10 * sure(F.col("plain") == F.col("p_plain"))

@@ -97,6 +97,79 @@ def validate_conditions(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.trim("label").alias("label"), *(amount(c).alias(c) for c in ("height", "slope", "share")), F.trim("storeys").try_cast("int").alias("storeys"), code.alias("error_code"))
 
 
+#: A plan's conditions in the order in which they are checked, and what each holds: a text of at most so many characters, a
+#: strict boolean, an amount, a slope, a share, a count or a list of land uses.
+CONDITIONS = [
+    ("plot_number", 255), ("cadastral_district", 255), ("street", 255), ("city", 255), ("land_use_primary", 2000), ("land_use_allowed", 2000), ("land_use_forbidden", 2000),
+    ("services_allowed", "boolean"), ("nuisance_services_forbidden", "boolean"), ("land_uses", "land_uses"), ("parcel_area_total", "amount"),
+    ("max_building_height", "amount"), ("max_storeys_above", "count"), ("max_storeys_below", "count"), ("max_ridge_height", "amount"), ("max_eaves_height", "amount"),
+    ("min_building_intensity", "amount"), ("max_building_intensity", "amount"), ("max_building_coverage", "amount"), ("min_biologically_active_share", "share"),
+    ("min_front_elevation_width", "amount"), ("max_front_elevation_width", "amount"), ("roof_type_allowed", 2000), ("roof_slope_min_deg", "slope"), ("roof_slope_max_deg", "slope"),
+    ("ridge_direction_required", 2000), ("roof_cover_material_limits", 2000), ("facade_roof_color_limits", 2000), ("parking_required_info", 2000),
+    ("parking_spaces_per_unit", "amount"), ("parking_spaces_per_100sqm_services", "amount"), ("parking_disability_requirement", 2000),
+    ("conservation_protection_zone", 2000), ("nature_protection_zone", 2000), ("noise_emission_limits", 2000),
+]
+#: Other names of fields, the longest land-use symbol, and the most that slopes and shares may be.
+ALIASES = {"land_uses": "landUses", "parcel_area_total": "parcelAreaTotal"}
+SYMBOL, MOST = 64, {"slope": 90, "share": 100}
+
+
+def checked_conditions(rows: DataFrame) -> DataFrame:
+    """rows (id, payload: a JSON object) with accepted (each given field's normal form, as text), error_code and error_field.
+
+    The first field in the order of CONDITIONS that is wrong gives the error; such a row's accepted is null. Null fields are cleared (null),
+    fields that aren't given aren't told. Numbers may have a comma, are rounded to cents (half to even) and not negative; an empty text is no
+    number, and no fault either. Booleans must be JSON's own. A payload that is no JSON object has the error INVALID_JSON.
+    """
+    v = F.col("v_")
+    told = rows.withColumn("v_", F.try_parse_json("payload"))
+    at = lambda field, kind="string": F.coalesce(*(F.try_variant_get(v, f"$.{name}", kind) for name in (field, ALIASES.get(field)) if name))
+    number = lambda c: F.bround(F.replace(F.trim(c), F.lit(","), F.lit(".")).try_cast("decimal(28,10)"), 2)
+    fault = lambda test, code, field: F.when(test, F.struct(F.lit(code).alias("code"), (F.lit(field) if isinstance(field, str) else field).alias("field")))
+
+    def amount_faults(c: Column, field) -> list[Column]:
+        return [fault(c.isNotNull() & (c != "") & number(c).isNull(), "INVALID_NUMBER", field), fault(number(c) < 0, "NEGATIVE_NUMBER", field)]
+
+    def use_faults(item: Column, i: Column) -> Column:
+        symbol, area = (F.try_variant_get(item, f"$.{k}", "string") for k in ("symbol", "area"))
+        place = i.cast("string")
+        name = lambda k: F.concat(F.lit("landUses["), place, F.lit(f"].{k}"))
+        return F.coalesce(
+            fault(~F.startswith(F.schema_of_variant(item), F.lit("OBJECT")), "INVALID_LAND_USE_ITEM", place), fault(F.coalesce(F.trim(symbol), F.lit("")) == "", "INVALID_LAND_USE_SYMBOL", place),
+            fault(F.length(F.trim(symbol)) > SYMBOL, "FIELD_TOO_LONG", name("symbol")), *amount_faults(area, name("area")), fault(F.coalesce(area, F.lit("")) == "", "INVALID_NUMBER", name("area")),
+        )
+
+    faults, normal = [], []
+    for field, kind in CONDITIONS:
+        c = at(field)
+        if isinstance(kind, int):
+            faults.append(fault(F.length(F.trim(c)) > kind, "FIELD_TOO_LONG", field))
+            value = F.nullif(F.trim(c), F.lit(""))
+        elif kind == "boolean":
+            faults.append(fault(c.isNotNull() & (F.schema_of_variant(at(field, "variant")) != "BOOLEAN"), "INVALID_BOOLEAN", field))
+            value = c
+        elif kind == "count":
+            faults += [fault((c != "") & ~F.trim(c).rlike("^[+-]?[0-9]+$"), "INVALID_INTEGER", field), fault(F.trim(c).try_cast("bigint") < 0, "NEGATIVE_INTEGER", field)]
+            value = F.trim(c).try_cast("bigint").cast("string")
+        elif kind == "land_uses":
+            list_ = at(field, "array<variant>")
+            faults.append(fault(c.isNotNull() & ~F.startswith(F.schema_of_variant(at(field, "variant")), F.lit("ARRAY")), "INVALID_LAND_USES", field))
+            faults.append(F.get(F.filter(F.transform(list_, use_faults), lambda x: x.isNotNull()), F.lit(0)))
+            one = lambda x: F.concat_ws("=", F.trim(F.try_variant_get(x, "$.symbol", "string")), number(F.try_variant_get(x, "$.area", "string")).cast("string"))
+            value = F.array_join(F.transform(list_, one), ";")
+        else:
+            faults += amount_faults(c, field)
+            if kind in MOST:
+                faults.append(fault(number(c) > MOST[kind], "VALUE_OUT_OF_RANGE", field))
+            value = number(c).cast("string")
+        given = F.exists(F.json_object_keys("payload"), lambda k: k.isin(field, ALIASES.get(field, field)))  # noqa: B023
+        normal.append(F.when(given, F.struct(F.lit(field).alias("key"), value.alias("value"))))
+    whole = fault(F.json_object_keys("payload").isNull(), "INVALID_JSON", "payload")
+    out = told.withColumn("fault_", F.coalesce(whole, *faults))
+    accepted = F.when(F.col("fault_").isNull(), F.map_from_entries(F.array_compact(F.array(*normal))))
+    return out.select("id", accepted.alias("accepted"), F.col("fault_.code").alias("error_code"), F.col("fault_.field").alias("error_field"))
+
+
 def replace_land_uses(stored: DataFrame, items: DataFrame) -> DataFrame:
     """parent, symbol, area: a parent's new items if all are valid (a symbol of capitals, digits and dashes, up to 64; no negative area), else its stored ones."""
     valid = F.upper(F.regexp_replace("symbol", r"\s+", "")).rlike("^[A-Z0-9.-]{1,64}$") & (F.col("area") >= 0)

@@ -16,6 +16,9 @@ def v(name):
 projects, users, edits, calls, costs, parcels = (v(n) for n in ("f_projects", "f_users", "f_edits", "f_calls", "f_cost_items", "f_parcels"))
 CONDITIONS = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN repeat('x', 256) ELSE ' U' || CAST(o_orderkey % 9 AS STRING) || ' ' END AS label, CASE o_orderkey % 5 WHEN 0 THEN '9,50' WHEN 1 THEN '-1' WHEN 2 THEN 'abc' ELSE ' ' END AS height,
   CASE o_orderkey % 7 WHEN 0 THEN '91' WHEN 1 THEN '45.5' ELSE '' END AS slope, CASE o_orderkey % 3 WHEN 0 THEN '100' WHEN 1 THEN '100,01' ELSE '30' END AS share, CASE o_orderkey % 4 WHEN 0 THEN '2.5' ELSE '3' END AS storeys FROM orders"""
+PAYLOADS = """SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 0 THEN '{"city":" R' || CAST(o_orderkey % 90 AS STRING) || ' ","max_building_height":"' || CAST(o_orderkey % 30 AS STRING) || ',5"}' WHEN 1 THEN '{"max_building_height":"-' || CAST(o_orderkey % 3 AS STRING) || '"}'
+  WHEN 2 THEN '{"services_allowed":' || CASE WHEN o_orderkey % 3 = 0 THEN 'true' ELSE '"true"' END || '}' WHEN 3 THEN '{"roof_slope_max_deg":' || CAST(o_orderkey % 180 AS STRING) || '}' WHEN 4 THEN '{"max_storeys_above":"' || CAST(o_orderkey % 5 AS STRING) || CASE WHEN o_orderkey % 3 = 0 THEN '.5' ELSE '' END || '"}'
+  WHEN 5 THEN '{"landUses":[{"symbol":"MN","area":"' || CAST(o_orderkey % 50 AS STRING) || ',25"}]}' WHEN 6 THEN '{"plot_number":"' || repeat('x', CAST(250 + o_orderkey % 13 AS INT)) || '"}' ELSE '{"city":' END AS payload FROM orders"""
 LAND = """SELECT o_custkey AS parent, CASE WHEN o_orderkey % 40 = 0 THEN repeat('X', 100) ELSE ' r ' || CAST(o_orderkey % 6 AS STRING) END AS symbol, CAST(o_orderkey % 900 AS DECIMAL(12,2)) AS area FROM orders"""
 
 
@@ -78,6 +81,7 @@ QUERIES = {
     "a4_rule_map": lambda s, d: R.rule_map(edits(s, d).withColumn("value", F.round(F.col("value") * 100).cast("bigint"))).select("parcel_id", text_map(F.col("rules")).alias("rules"), text_map(F.col("provenance")).alias("provenance")),
     "u2_missing_fields": missing,
     "p10_conditions": lambda s, d: cents(R.validate_conditions(from_sql(s, d, CONDITIONS)), "height", "slope", "share"),
+    "p10_checked_conditions": lambda s, d: R.checked_conditions(from_sql(s, d, PAYLOADS)).withColumn("accepted", text_map(F.col("accepted"))),
     "a17_land_uses": lambda s, d: R.replace_land_uses(from_sql(s, d, LAND).groupBy("parent").agg(F.lit("OLD").alias("symbol"), F.lit(1).cast("decimal(12,2)").alias("area")), from_sql(s, d, LAND)).withColumn("area", F.col("area").cast("double")),
     "p19_default_child": lambda s, d: R.default_children(projects(s, d), costs(s, d), F.concat(F.lit("plot "), F.col("project_id").cast("string"))),
     "p20_label_conflict": lambda s, d: R.label_conflicts(projects(s, d), ["user_id", "status"], F.col("project_id")).select("project_id", "error_code"),
@@ -95,7 +99,14 @@ QUERIES = {
 CLASS = """CASE WHEN error_text IS NULL THEN NULL WHEN contains(lower(error_text), 'tunnel connection failed: 403') THEN 'PROXY_CONNECT_403' WHEN contains(lower(error_text), 'timed out') THEN 'TCP_TIMEOUT' WHEN contains(lower(error_text), 'ssl') THEN 'TLS_ERROR' WHEN contains(lower(error_text), 'network is unreachable') THEN 'NETWORK_UNREACHABLE' ELSE 'NETWORK_ERROR' END"""
 SIDES = ", e AS (SELECT id, parcel_id, field_key, CAST(round(value, 2) AS VARCHAR) AS value FROM f_edits)"
 VERSION = "row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, project_id DESC)"
+CENTS = "CAST(CAST(TRY_CAST(replace(trim({0}), ',', '.') AS DECIMAL(28,10)) AS DECIMAL(18,2)) AS VARCHAR)"
+GIVEN = {k: f"json_extract_string(payload, '$.{k}')" for k in ("city", "max_building_height", "services_allowed", "roof_slope_max_deg", "max_storeys_above", "plot_number")}
 ORACLE = {
+    "p10_checked_conditions": f"""WITH p AS ({PAYLOADS}), g AS (SELECT id, {", ".join(f"CASE WHEN json_valid(payload) THEN {v} END AS {k}" for k, v in GIVEN.items())}, json_valid(payload) AS valid, CASE WHEN json_valid(payload) THEN json_type(payload, '$.services_allowed') END AS kind,
+  CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.landUses[0].symbol') END AS symbol, CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.landUses[0].area') END AS area FROM p),
+f AS (SELECT *, CASE WHEN NOT valid THEN 'INVALID_JSON' WHEN length(plot_number) > 255 THEN 'FIELD_TOO_LONG' WHEN kind <> 'BOOLEAN' THEN 'INVALID_BOOLEAN' WHEN TRY_CAST(max_building_height AS DOUBLE) < 0 THEN 'NEGATIVE_NUMBER' WHEN max_storeys_above LIKE '%.%' THEN 'INVALID_INTEGER' WHEN CAST(roof_slope_max_deg AS INT) > 90 THEN 'VALUE_OUT_OF_RANGE' END AS error_code FROM g)
+SELECT id, error_code, CASE error_code WHEN 'INVALID_JSON' THEN 'payload' WHEN 'FIELD_TOO_LONG' THEN 'plot_number' WHEN 'INVALID_BOOLEAN' THEN 'services_allowed' WHEN 'NEGATIVE_NUMBER' THEN 'max_building_height' WHEN 'INVALID_INTEGER' THEN 'max_storeys_above' WHEN 'VALUE_OUT_OF_RANGE' THEN 'roof_slope_max_deg' END AS error_field,
+  CASE WHEN error_code IS NULL THEN concat_ws(';', 'plot_number=' || plot_number, 'city=' || trim(city), 'services_allowed=' || services_allowed, 'land_uses=' || symbol || '=' || {CENTS.format("area")}, 'max_building_height=' || {CENTS.format("max_building_height")}, 'max_storeys_above=' || max_storeys_above, 'roof_slope_max_deg=' || {CENTS.format("roof_slope_max_deg")}) END AS accepted FROM f""",
     "p1_active_projects": oracle("f_projects", "SELECT project_id, user_id, status FROM f_projects WHERE deleted_at IS NULL"),
     "a6_cost_rollup": oracle("f_cost_items", "SELECT project_id, count(*) AS n_items, CAST(sum(CAST(quantity * unit_price AS DECIMAL(14,2))) AS DOUBLE) AS net, CAST(sum(CAST(quantity * unit_price AS DECIMAL(14,2))) AS DOUBLE) AS gross FROM f_cost_items GROUP BY 1"),
     "a7_admin_overview": oracle("f_projects f_users", "SELECT (SELECT count(*) FROM f_users) AS users, (SELECT count(*) FROM f_users WHERE is_admin) AS admins, (SELECT count(*) FROM f_projects WHERE deleted_at IS NULL) AS projects, (SELECT count(*) FROM f_projects WHERE deleted_at IS NULL AND status = 'o') AS active"),

@@ -61,7 +61,23 @@ def candidates(s, d):
     return C.boundary_candidates(entities(s, d), boxes(s, d), preferred)
 
 
+def detailed(s, d):
+    """Entities with line types, colours, and blocks with tags, made of their sizes and places."""
+    k, name = F.col("x").cast("long"), lambda p, n: F.concat(F.lit(p), n.cast("string"))
+    inserts = F.when(F.col("etype") == "CIRCLE", "INSERT").otherwise(F.col("etype"))
+    return entities(s, d).select("file_id", "layer", inserts.alias("etype"), F.when(k % 3 > 0, name("LT", k % 3)).alias("linetype"), name("#", F.col("y").cast("long") % 4).alias("colour"), name("B", k % 5).alias("block"), F.when(k % 2 == 0, F.array(name("T", k % 4), name("T", k % 7))).alias("tags"))
+
+
+def boxed(s, d):
+    """plots' boxes, moved outwards by their own distances."""
+    wide = G.buffered(G.bounds(ring()), (F.col("plot_id") % 40).cast("double"))
+    return parcels(s, d).select("plot_id", *(wide[c].alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
 QUERIES = {
+    "g9_box_buffer": boxed,
+    "a8_layer_details": lambda s, d: C.layer_details(detailed(s, d)),
+    "t4_polygon_features": lambda s, d: C.polygon_features(entities(s, d)),
     "g1_g5_ring_measures": ring_measures,
     "g7_g8_ring_checks": ring_checks,
     "s10_typed_vertices": typed_vertices,
@@ -111,7 +127,14 @@ sc AS (SELECT *, round(CASE WHEN {TELL} THEN 2.0 ELSE 0.0 END + 1.0 + area / top
 rk AS (SELECT *, row_number() OVER o AS rank, count(*) OVER (PARTITION BY file_id) AS n, lead(score) OVER o AS nxt FROM sc WINDOW o AS (PARTITION BY file_id ORDER BY score DESC, area DESC, layer, x, y, w, h)),
 cd AS (SELECT file_id, layer, x, y, w, h, round(score, 6) AS score, rank, round(CASE WHEN rank = 1 THEN CASE WHEN n = 1 THEN CASE WHEN {TELL} THEN 1.0 ELSE 0.85 END ELSE least(1.0, least(0.95, 0.5 + (score - nxt) / 2) + CASE WHEN {TELL} THEN 0.1 ELSE 0.0 END) END END, 6) AS confidence FROM rk)"""
 R3 = "CAST(round({0}, 3) AS VARCHAR)"
+NEAREST = ", s AS (SELECT DISTINCT file_id, x, y, w, h FROM f_entities WHERE closed AND etype <> 'TEXT'), t AS (SELECT DISTINCT file_id, x AS tx, y AS ty, layer AS label FROM f_entities WHERE etype = 'TEXT'), j AS (SELECT s.*, label, tx, ty, round(sqrt(pow(x + w / 2 - tx, 2) + pow(y + h / 2 - ty, 2)), 6) AS distance FROM s JOIN t USING (file_id)), nn AS (SELECT file_id, x, y, w, h, label, distance FROM j QUALIFY row_number() OVER (PARTITION BY file_id, x, y, w, h ORDER BY distance, label, tx, ty) = 1)"
+DETAILS = """, e AS (SELECT file_id, layer, CASE etype WHEN 'CIRCLE' THEN 'INSERT' ELSE etype END AS etype, CAST(x AS BIGINT) AS k, CAST(y AS BIGINT) AS m FROM f_entities),
+n AS (SELECT file_id, layer, 'l' AS kind, 'LT' || (k % 3) AS name FROM e WHERE k % 3 > 0 UNION SELECT file_id, layer, 'c', '#' || (m % 4) FROM e UNION SELECT file_id, layer, 'b', 'B' || (k % 5) FROM e WHERE etype = 'INSERT'
+  UNION SELECT file_id, layer, 'a', 'T' || unnest([k % 4, k % 7]) FROM e WHERE etype = 'INSERT' AND k % 2 = 0)"""
+NAMES = lambda kind, name: f"coalesce(string_agg(name, ',' ORDER BY name) FILTER (kind = '{kind}'), '') AS {name}"
 ORACLE = {
+    "g9_box_buffer": oracle("f_parcels", "SELECT plot_id, x0 - plot_id % 40 AS x0, y0 - plot_id % 40 AS y0, x1 + plot_id % 40 AS x1, y1 + plot_id % 40 AS y1 FROM f_parcels"),
+    "a8_layer_details": oracle("f_entities", DETAILS + f" SELECT file_id, layer, {NAMES('l', 'line_types')}, {NAMES('c', 'colours')}, {NAMES('b', 'blocks')}, {NAMES('a', 'attributes')} FROM n GROUP BY 1, 2"),
     "g1_g5_ring_measures": oracle("f_parcels", "SELECT plot_id, (x1 - x0) * (y1 - y0) AS area, 2 * (x1 - x0 + y1 - y0) AS perimeter, round((x0 + x1) / 2, 6) AS cx, round((y0 + y1) / 2, 6) AS cy, (x0 + x1) / 2 AS mx, x1 - x0 AS span, true AS inside, false AS outside, round(pi() * (x1 - x0) * (y1 - y0) / pow(x1 - x0 + y1 - y0, 2), 9) AS compact, 4.0 AS distance FROM f_parcels"),
     "g7_g8_ring_checks": oracle("f_parcels", f", t AS (SELECT plot_id, {R3.format('x0')} AS a, {R3.format('y0')} AS b, {R3.format('x1')} AS c, {R3.format('y1')} AS d FROM f_parcels) SELECT plot_id, CASE plot_id % 4 WHEN 0 THEN 'fewer than 3 points;no area' WHEN 1 THEN 'edge of no length;repeated point;crosses itself' ELSE '' END AS errors, CASE WHEN plot_id % 4 = 0 THEN a || ' ' || b || ',' || c || ' ' || b ELSE a || ' ' || b || ',' || c || ' ' || b || ',' || c || ' ' || d || ',' || a || ' ' || d END AS ring FROM t"),
     "s10_typed_vertices": oracle("f_parcels", "SELECT plot_id, CASE WHEN plot_id % 3 <> 0 THEN (x1 - x0) * (y1 - y0) / 2 END AS area, CASE WHEN plot_id % 3 <> 0 THEN x1 - x0 END AS width FROM f_parcels"),
@@ -134,5 +157,6 @@ ORACLE = {
     "a18_parcel_layers": oracle("f_entities", HINT + ", m AS (SELECT *, max(score) OVER (PARTITION BY file_id) AS best, max(n_closed) OVER (PARTITION BY file_id) AS most FROM h WHERE rank <= 8) SELECT file_id, layer FROM m WHERE (best > 0 AND score = best) OR (best <= 0 AND n_closed = most)"),
     "t6_boundary_candidates": oracle("f_entities", CAND + " SELECT * FROM cd"),
     "t5_main_boundary": oracle("f_entities", CAND + ", o AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY w * h DESC, rank) AS k, max(confidence) OVER (PARTITION BY file_id) AS sure FROM cd) SELECT file_id, layer, x, y, w, h, CASE WHEN sure >= 0.8 THEN 'COMPLETED' ELSE 'NEEDS_REVIEW' END AS status FROM o WHERE k = 1"),
-    "j3_nearest_label": oracle("f_entities", ", s AS (SELECT DISTINCT file_id, x, y, w, h FROM f_entities WHERE closed AND etype <> 'TEXT'), t AS (SELECT DISTINCT file_id, x AS tx, y AS ty, layer AS label FROM f_entities WHERE etype = 'TEXT'), j AS (SELECT s.*, label, tx, ty, round(sqrt(pow(x + w / 2 - tx, 2) + pow(y + h / 2 - ty, 2)), 6) AS distance FROM s JOIN t USING (file_id)) SELECT file_id, x, y, w, h, label, distance FROM j QUALIFY row_number() OVER (PARTITION BY file_id, x, y, w, h ORDER BY distance, label, tx, ty) = 1"),
+    "j3_nearest_label": oracle("f_entities", NEAREST + " SELECT * FROM nn"),
+    "t4_polygon_features": oracle("f_entities", NEAREST + ", c AS (SELECT DISTINCT file_id, layer, x, y, w, h FROM f_entities WHERE closed AND etype <> 'TEXT'), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY file_id ORDER BY layer, x, y, w, h) AS INT) AS rank FROM c) SELECT file_id, layer, x, y, w, h, w * h AS area, 2 * (w + h) AS perimeter, label, distance, rank FROM r LEFT JOIN nn USING (file_id, x, y, w, h) WHERE rank <= 200"),
 }
