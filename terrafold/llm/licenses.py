@@ -8,7 +8,8 @@ counted and labelled before that and always stay.
 
 Written rules (WRITTEN) know licenses by their own words: the clauses of a notice or a grant, addresses, tags and short
 names as people write them. Hundreds more come from the families below by FORMS: a name alone, with a version, as an SPDX
-tag, and as a phrase of licensing. A text's score is 1 minus the product of (1 - weight) over its labels' best detections.
+tag, and as a phrase of licensing; short names only with a marked version ("GPL v2"). Each name of an SPDX expression ("Apache-2.0 OR
+MIT") counts. A rule doesn't count behind "not". A text's score is 1 minus the product of (1 - weight) over its labels' best detections.
 
 Null texts count as empty. An empty text has no words and no labels; an empty table gives no rows. Equal detections count
 once; of equal priority and length the earlier place, then the rule's name goes first. Very long texts are scanned whole.
@@ -154,11 +155,39 @@ WRITTEN = [
     ("under the bsd", r"(?:licensed|released|distributed|available|published) under the bsd", "bsd", 41, 0.93),
     ("without express written permission", r"no part of this (?:publication|work|document) may be reproduced [^ ]+(?: [^ ]+){0,30}? without (?:the )?(?:prior )?(?:express )?written permission", "proprietary", 58, 0.9),
     ("no part of this publication", r"no part of this publication may be reproduced", "proprietary", 56, 0.85),
+    ("gpl v", r"(?:gnu )?gpl (?:v|v |version )[123](?: [01])?(?: or later| only)?", "gpl", 52, 0.95),
+    ("lgpl v", r"(?:gnu )?lgpl (?:v|v |version )[23](?: [01])?(?: or later| only)?", "lgpl", 53, 0.95),
+    ("agpl v", r"(?:gnu )?agpl (?:v|v |version )[13](?: 0)?(?: or later| only)?", "agpl", 53, 0.95),
+    ("mpl v", r"mpl (?:v|v |version )[12](?: [01])?", "mpl", 52, 0.93),
+    ("apache v", r"apache (?:v|v |version )2(?: 0)?", "apache", 52, 0.93),
+    ("apache2 ", r"apache2(?: 0)? licen[sc]ed?", "apache", 52, 0.93),
+    ("bsd ", r"bsd [0234] clause(?: clear)?(?: licen[sc]e)?", "bsd", 52, 0.95),
+    ("artistic 2 0", r"artistic 2 0", "artistic", 50, 0.85),
+    ("sspl", r"sspl(?: v?1(?: 0)?)?", "sspl", 52, 0.9),
+    ("server side public licen", r"server side public licen[sc]e(?: (?:version |v)?1(?: 0)?)?", "sspl", 52, 0.97),
+    ("elastic licen", r"elastic licen[sc]e(?: (?:version |v)?[12](?: 0)?)?", "elastic", 52, 0.95),
+    ("business source licen", r"business source licen[sc]e(?: (?:version |v)?1 [01])?", "busl", 52, 0.97),
+    ("busl 1", r"busl 1 1", "busl", 52, 0.97),
+    ("polyform ", r"polyform (?:noncommercial|small business|perimeter|shield|strict|internal use|free trial|defensive)(?: licen[sc]e)?(?: 1 0 0)?", "polyform", 52, 0.97),
+    ("commons clause", r"commons clause(?: licen[sc]e)?(?: condition)?(?: v?1 0)?", "commons-clause", 52, 0.95),
+    ("beerware", r"(?:the )?beerware(?: licen[sc]e)?", "beerware", 52, 0.93),
+    ("beer ware licen", r"(?:the )?beer ware licen[sc]e", "beerware", 52, 0.93),
 ]
+#: Names within an SPDX expression, as words, and their labels.
+SPDX = [
+    (r"mit", "mit"), (r"0bsd", "bsd"), (r"isc", "isc"), (r"zlib", "zlib"), (r"unlicense", "unlicense"), (r"apache [12] [01]", "apache"), (r"bsd [234] clause", "bsd"),
+    (r"lgpl [23] [01](?: only| or later)?", "lgpl"), (r"agpl [13] 0(?: only| or later)?", "agpl"), (r"gpl [123] 0(?: only| or later)?", "gpl"), (r"mpl [12] [01]", "mpl"),
+    (r"epl [12] 0", "epl"), (r"cddl 1 [01]", "cddl"), (r"bsl 1 0", "boost"), (r"artistic [12] 0", "artistic"), (r"cc0 1 0", "cc0"), (r"cc by sa [1-4] 0", "cc-by-sa"), (r"cc by [1-4] 0", "cc-by"), (r"busl 1 1", "busl"), (r"sspl 1 0", "sspl"),
+]
+SPDX_TAG, SPDX_PRIORITY = "spdx license identifier", 72
 #: Names too short to say anything outside a tag, a version or a phrase of licensing.
 SHORT = {"gpl", "lgpl", "agpl", "apache", "mpl", "epl", "bsl", "the unlicense", "psf license"}
 
 
+#: A rule begins with a word, and doesn't count behind a "not".
+BEGIN = "(?<![^ ])(?<!not )"
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -180,8 +209,8 @@ def rules() -> tuple[Rule, ...]:
                     continue
                 any_version = "(?:" + "|".join(sorted(versions, key=len, reverse=True)) + ")" if versions else "(?:0)"
                 pattern = text.replace("V", any_version).replace("N", re.escape(name).replace("\\ ", " "))
-                out.append(Rule(f"{family}: {form} of {name}", re.compile(f"(?<![^ ]){pattern}(?![^ ])"), name, label, priority, weight))
-    out += [Rule(f"written {i}: {keyword}", re.compile(f"(?<![^ ]){pattern}(?![^ ])"), keyword, label, priority, weight) for i, (keyword, pattern, label, priority, weight) in enumerate(WRITTEN)]
+                out.append(Rule(f"{family}: {form} of {name}", re.compile(f"{BEGIN}{pattern}(?![^ ])"), name, label, priority, weight))
+    out += [Rule(f"written {i}: {keyword}", re.compile(f"{BEGIN}{pattern}(?![^ ])"), keyword, label, priority, weight) for i, (keyword, pattern, label, priority, weight) in enumerate(WRITTEN)]
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
@@ -201,6 +230,24 @@ def prefilter() -> tuple[ahocorasick.Automaton, dict[str, list[Rule]]]:
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
+@lru_cache(maxsize=1)
+def expression() -> tuple[re.Pattern, list[tuple[re.Pattern, Rule]]]:
+    """An SPDX expression of several names behind its tag, and each name's rule."""
+    names = [(re.compile(f"(?<![^ ]){p}(?![^ ])"), Rule(f"spdx expression: {p}", re.compile(p), SPDX_TAG, label, SPDX_PRIORITY, 0.99)) for p, label in SPDX]
+    one = "(?:" + "|".join(p for p, _ in SPDX) + ")(?: with [^ ]+(?: [^ ]+){0,3}? exception(?: [0-9] [0-9])?)?"
+    return re.compile(f"(?<![^ ]){SPDX_TAG} {one}(?: (?:or|and) {one})+(?![^ ])"), names
+
+
+def in_expressions(joined: str) -> list[tuple[int, int, Rule]]:
+    """Each name of every SPDX expression of several names; of names at one place the longest."""
+    whole, names = expression()
+    found = []
+    for tag in whole.finditer(joined):
+        here = [(m.start(), m.end(), rule) for p, rule in names for m in p.finditer(joined, tag.start() + len(SPDX_TAG), tag.end())]
+        found += [x for x in here if not any((y[0], y[1]) != (x[0], x[1]) and y[0] <= x[0] and x[1] <= y[1] for y in here)]
+    return found
+
+
 def suppress(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
     """The detections (begin, end, rule) that don't lie within another of the same or a higher priority."""
     kept: list[tuple[int, int, Rule]] = []
@@ -229,7 +276,8 @@ def scan(text: str | None) -> tuple:
     met = {keyword for _, keyword in machine.iter(joined)}
     if not met:
         return len(words), 0, None, None, "", "", 0.0, []
-    spaces = np.flatnonzero(np.fromiter((c == " " for c in joined), dtype=bool, count=len(joined)))
+    letters = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+    spaces = np.flatnonzero(letters == 32)
     word_at = lambda i: int(np.searchsorted(spaces, i))
     places, base = [], set()
     for phrase, label in BASE.items():
@@ -239,6 +287,8 @@ def scan(text: str | None) -> tuple:
             if at:
                 base.add(label)
     found = [(m.start(), m.end(), rule) for keyword in sorted(met & by.keys()) for rule in by[keyword] for m in rule.pattern.finditer(joined)]
+    if SPDX_TAG in met:
+        found += in_expressions(joined)
     kept = suppress(found)
     best: dict[str, float] = dict.fromkeys(base, 0.7)
     for _, _, rule in kept:

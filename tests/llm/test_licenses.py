@@ -44,6 +44,23 @@ PROBES = [
 ]
 
 
+MORE_PROBES = [
+    ("It is under GPL v2.", "gpl"), ("LGPL v2.1 or later", "lgpl"), ("BSD 3-Clause License", "bsd"), ("Artistic-2.0", "artistic"), ("the apache2 license", "apache"), ("SSPL", "sspl"), ("Server Side Public License v1", "sspl"),
+    ("Elastic License 2.0", "elastic"), ("Business Source License 1.1", "busl"), ("PolyForm Noncommercial License 1.0.0", "polyform"), ("with the Commons Clause", "commons-clause"), ("THE BEER-WARE LICENSE", "beerware"), ("beerware", "beerware"),
+    ("This is not licensed under MIT.", ""), ("an artistic evening with beer", ""), ("a business source said", ""),
+]
+EXPRESSIONS = [
+    ("SPDX-License-Identifier: Apache-2.0 OR MIT", "apache,mit"), ("SPDX-License-Identifier: (MIT AND BSD-3-Clause) or more", "bsd,mit"),
+    ("SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note exception OR BSD-2-Clause", "bsd,gpl"), ("SPDX-License-Identifier: MIT or so", "mit"),
+]
+PROBES += MORE_PROBES
+
+
+def test_expressions_by_labels():
+    for text, labels in EXPRESSIONS:
+        assert scan(text)[5] == labels, text
+
+
 def test_written_rules_by_labels():
     for text, labels in PROBES:
         assert scan(text)[5] == labels, text
