@@ -147,7 +147,8 @@ LOCATED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_remove
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text of every document."""
-    docs = id_text(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    # Documents without an id are dealt by their text; a key that several share only makes their phrases' set larger.
+    docs = id_text(docs).withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
     named = name_phrases(docs, window, phrase)  # cheaper to find again than to keep
     often = named.groupBy("h").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).where("n > 1").select("h", F.expr("a = b").alias("settled"))
     often = cut(often.repartition(parts(docs.sparkSession)))  # dealt anew, so that Spark can split a hot phrase in the join
