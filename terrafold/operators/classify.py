@@ -45,17 +45,21 @@ def most_edits(phrase: str, least: float) -> int:
     return int((1 - least) * len(phrase) / least + 1e-9)
 
 
-def could_meet(text: Column, phrase: str, least: float) -> Column:
-    """False only where no run of the text is similar enough to the phrase.
+def could_meet(phrases: list[tuple[str, float]]) -> str:
+    """A pattern without which no run of a text is similar enough to any of the phrases (with their least similarities).
 
     So many edits leave one of one piece more than that untouched; of a very short phrase the words one edit away are listed.
     """
-    edits = most_edits(phrase, least)
-    if edits == 1 and len(phrase) < 5 and " " not in phrase:
-        ways = [w for i in range(len(phrase)) for w in (f"{phrase[:i]}.?{phrase[i + 1 :]}", f"{phrase[:i]}.{phrase[i:]}")] + [f"{phrase}."]
-        return text.rlike(f"(?:^| )(?:{'|'.join(ways)})(?: |$)")
-    ends = [len(phrase) * i // (edits + 1) for i in range(edits + 2)]
-    return reduce(or_, (text.contains(phrase[a:b]) for a, b in zip(ends, ends[1:])))
+    pieces, words = set(), set()
+    for phrase, least in phrases:
+        edits = most_edits(phrase, least)
+        if edits == 1 and len(phrase) < 5 and " " not in phrase:
+            words |= {w for i in range(len(phrase)) for w in (f"{phrase[:i]}.?{phrase[i + 1 :]}", f"{phrase[:i]}.{phrase[i:]}")} | {f"{phrase}."}
+        else:
+            ends = [len(phrase) * i // (edits + 1) for i in range(edits + 2)]
+            pieces |= {phrase[a:b] for a, b in zip(ends, ends[1:])}
+    least_ = sorted(p for p in pieces if not any(q != p and q in p for q in pieces))
+    return "|".join(least_ + ([f"(?:^| )(?:{'|'.join(sorted(words))})(?: |$)"] if words else []))
 
 
 #: Phrases that change a score rather than count themselves: of a parcel, the plan's short name, of an extract.
@@ -79,9 +83,9 @@ def meetings(told: DataFrame) -> DataFrame:
     size = F.size("tokens")
     runs = lambda n: F.when(size < n, F.array(F.struct(F.lit(n).alias("n"), F.lit(0).alias("at"), F.col("folded").alias("run")))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - n + 1)), lambda k: F.struct(F.lit(n).alias("n"), k.alias("at"), F.array_join(F.slice("tokens", k, n), " ").alias("run"))))
     lengths = sorted({of(want) for _, want, _ in rules})
-    gates = {f"gate_{n}": reduce(or_, (could_meet(F.col("folded"), want, least) for _, want, least in rules if of(want) == n)) for n in lengths}
-    every = F.concat(*(F.when(F.col(f"gate_{n}"), runs(n)).otherwise(F.array()) for n in lengths))
-    each = told.withColumns(gates).where(reduce(or_, map(F.col, gates))).withColumn("tokens", tokens).select(*keys, F.inline(every))
+    gate = lambda n: F.col("folded").rlike(could_meet([(want, least) for _, want, least in rules if of(want) == n]))
+    every = F.concat(*(F.when(gate(n), runs(n)).otherwise(F.array()) for n in lengths))
+    each = told.withColumn("tokens", tokens).select(*keys, F.inline(every))
     alike = lambda want: 1 - F.levenshtein("run", F.lit(want)) / F.greatest(F.length("run"), F.lit(len(want)))
     able = lambda want, least: F.levenshtein("run", F.lit(want), most_edits(want, least)) >= 0
     by_n = {k: [(i, want, least) for i, want, least in rules if of(want) == k] for k in sorted({of(want) for _, want, _ in rules})}
