@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value), the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -102,8 +107,9 @@ def vertices(text: Column) -> Column:
     """Lines of x,y as a ring moved to its smallest corner; bad lines are left out, fewer than three points give null."""
     pairs = F.transform(F.split(text, "\n"), lambda line: F.split(F.trim(line), r"\s*[,;]\s*"))
     points = F.filter(F.transform(pairs, lambda p: F.struct(F.get(p, F.lit(0)).try_cast("double").alias("x"), F.get(p, F.lit(1)).try_cast("double").alias("y"))), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    low = lambda c: F.array_min(F.transform(points, lambda p: p[c]))
-    return F.when(F.size(points) >= 3, F.transform(points, lambda p: point(p["x"] - low("x"), p["y"] - low("y"))))
+    low = lambda ps: F.struct(*(F.array_min(F.transform(ps, lambda p: p[c])).alias(c) for c in ("x", "y")))
+    moved = lambda ps: let(low(ps), lambda at: F.transform(ps, lambda p: point(p["x"] - at["x"], p["y"] - at["y"])))
+    return let(points, lambda ps: F.when(F.size(ps) >= 3, moved(ps)))
 
 
 def ring_text(ring: Column) -> Column:

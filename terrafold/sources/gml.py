@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import let
+
 PREFIX = r"(?:[\w.-]+:)?"
 REST = r"(?:\s[^>]*)?(?<!/)>"
 ELEMENT = rf"(?s)<([\w.:-]+){REST}.*?</\1>"
@@ -29,13 +31,13 @@ def ring(polygon: Column) -> Column:
     first = rf"(?s)<{PREFIX}(posList|coordinates){REST}\s*([^<\s][^<]*)<"
     kind, text = F.regexp_extract(polygon, first, 1), F.trim(F.regexp_replace(F.regexp_extract(polygon, first, 2), r"\s+", " "))
     point = lambda x, y: F.struct(x.try_cast("double").alias("x"), y.try_cast("double").alias("y"))
-    numbers = F.split(text, " ")
     step = F.greatest(F.lit(2), F.coalesce(F.regexp_extract(polygon, r'srsDimension\s*=\s*["\'](\d+)', 1).try_cast("int"), F.lit(2)))
-    listed = F.when(F.size(numbers) >= 2, F.transform(F.sequence(F.lit(0), F.size(numbers) - 2, step), lambda i: point(F.get(numbers, i), F.get(numbers, i + 1))))
-    closed = F.when(F.get(listed, F.lit(0)) != F.element_at(listed, F.lit(-1)), F.concat(listed, F.slice(listed, 1, 1))).otherwise(listed)
-    pairs = F.filter(F.transform(numbers, lambda p: F.split(p, ",")), lambda p: F.size(p) >= 2)
+    listed = lambda numbers: F.when(F.size(numbers) >= 2, F.transform(F.sequence(F.lit(0), F.size(numbers) - 2, step), lambda i: point(F.get(numbers, i), F.get(numbers, i + 1))))
+    closed = lambda points: F.when(F.get(points, F.lit(0)) != F.element_at(points, -1), F.concat(points, F.slice(points, 1, 1))).otherwise(points)
+    pairs = lambda numbers: F.filter(F.transform(numbers, lambda p: F.split(p, ",")), lambda p: F.size(p) >= 2)
     good = lambda points: F.when((F.size(points) >= 4) & F.forall(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull()), points)
-    return F.when(kind == "posList", F.when(F.size(listed) >= 4, good(closed))).when(kind == "coordinates", good(F.transform(pairs, lambda p: point(F.get(p, F.lit(0)), F.get(p, F.lit(1))))))
+    told = lambda numbers: F.when(kind == "posList", let(listed(numbers), lambda ps: F.when(F.size(ps) >= 4, let(closed(ps), good)))).when(kind == "coordinates", let(F.transform(pairs(numbers), lambda p: point(F.get(p, F.lit(0)), F.get(p, F.lit(1)))), good))
+    return let(F.split(text, " "), told)
 
 
 def unescaped(c: Column) -> Column:
@@ -48,15 +50,16 @@ def properties(children: Column) -> Column:
     """Names and texts of the children without children of their own; the last of a name stays."""
     named_ = F.transform(children, lambda c: F.struct(F.regexp_extract(c, rf"^<{PREFIX}([\w.-]+)", 1).alias("key"), F.trim(unescaped(F.regexp_extract(c, r"(?s)^<[^>]*>\s*([^<]*?)\s*</[^>]*>$", 1))).alias("value")))
     told = F.filter(named_, lambda p: (p["value"] != "") & ~F.lower(p["key"]).isin(*GEOMETRY_NAMES))
-    return F.map_from_entries(F.filter(told, lambda p, i: ~F.exists(F.slice(told, i + 2, F.size(told)), lambda q: q["key"] == p["key"])))
+    last = lambda told: F.filter(told, lambda p, i: ~F.exists(F.slice(told, i + 2, F.size(told)), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(let(told, last))
 
 
 def feature(element: Column) -> Column:
     children = found(F.regexp_replace(element, r"(?s)^<[^>]*>|</[^>]*>$", ""), ELEMENT)
     rings = lambda c: F.array_compact(F.transform(found(c, named("Polygon"), 0), ring))
-    shapes = F.filter(F.transform(children, rings), lambda r: F.size(r) > 0)
+    shapes = lambda children: F.filter(F.transform(children, rings), lambda r: F.size(r) > 0)
     id_ = F.nullif(F.regexp_extract(element, r'^<[^>]*?\s(?:[\w.-]+:id|fid)\s*=\s*["\']([^"\']*)', 1), F.lit(""))
-    return F.struct(id_.alias("id"), properties(children).alias("properties"), F.get(shapes, F.lit(0)).alias("rings"))
+    return let(children, lambda found_: F.struct(id_.alias("id"), properties(found_).alias("properties"), F.get(shapes(found_), F.lit(0)).alias("rings")))
 
 
 def gml_features(payloads: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Literal cases of boundaries, rings, picks and typed values."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as G
@@ -145,3 +147,19 @@ def test_linkage_scores(spark):
     asked = spark.createDataFrame([(1, "3/4", "3-15-11", "łódź"), (2, "x", "11", "LODZ"), (3, None, None, None)], "request_id long, number string, precinct string, locality string")
     got = sorted((r["request_id"], r["plot_id"], r["score"]) for r in overlay.linked(asked, parcels).collect())
     assert got == [(1, 1, 110), (1, 2, 50), (2, 1, 35), (2, 2, 50)]
+
+
+def test_long_coordinate_lists(spark):
+    """Lists are split once: 10,000 points, which took a split of the whole list for each number before."""
+    listed = " ".join(f"{i} {i * i % 97}" for i in range(10_000))
+    body = f"<c><member><a><g><Polygon><posList>{listed}</posList></Polygon></g></a></member></c>"
+    began = time.time()
+    row = gml.gml_features(spark.createDataFrame([(1, body)], "payload_id long, body string")).selectExpr("size(rings[0]) n", "rings[0][9999].x x").first()
+    assert (row["n"], row["x"]) == (10_001, 9999.0) and time.time() - began < 60
+
+
+def test_long_typed_vertices(spark):
+    text = "\n".join(f"{i + 5},{i % 2}" for i in range(10_000))
+    began = time.time()
+    row = spark.createDataFrame([(text,)], "t string").select(G.vertices(F.col("t")).alias("r")).selectExpr("size(r) n", "r[9999].x x", "r[0].x x0").first()
+    assert (row["n"], row["x"], row["x0"]) == (10_000, 9999.0, 0.0) and time.time() - began < 60
