@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import cad as C
 from ..operators import overlay as O
-from .fixtures import oracle, view
+from .fixtures import oracle, spread, view
 
 def ring():
     return G.rectangle("x0", "y0", "x1", "y1")
@@ -37,7 +37,8 @@ def ring_checks(s, d):
 
 def typed_vertices(s, d):
     text = F.concat_ws("\n", F.concat_ws(",", F.col("x0").cast("int").cast("string"), F.col("y0").cast("int").cast("string")), F.lit("bad line"), F.concat_ws(" , ", F.col("x1").cast("int").cast("string"), F.col("y0").cast("int").cast("string")), F.when(F.col("plot_id") % 3 != 0, F.concat_ws(",", F.col("x1").cast("int").cast("string"), F.col("y1").cast("int").cast("string"))))
-    return parcels(s, d).select("plot_id", G.area(G.vertices(text)).alias("area"), G.bounds(G.vertices(text))["x1"].alias("width"))
+    rings = spread(parcels(s, d)).select("plot_id", G.vertices(text).alias("ring"))
+    return rings.select("plot_id", G.area(F.col("ring")).alias("area"), F.array_max(F.transform("ring", lambda p: p["x"])).alias("width"))
 
 
 def requests(s, d):
