@@ -138,7 +138,7 @@ def normal_texts(s, d):
 def on_warning(s, d):
     """Every third request lacks a number, so that plots of one precinct and locality tie."""
     asked = requests(s, d).withColumn("number", F.when(F.col("request_id") % 3 != 0, F.col("number")))
-    return B.on_warning(O.linked(asked, parcels(s, d))).select("request_id", "plot_id", "rank")
+    return B.on_warning(O.linked(asked, parcels(s, d), 3)).select("request_id", "plot_id", "rank")
 
 
 def gml(s, d):

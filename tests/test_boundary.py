@@ -163,3 +163,18 @@ def test_long_typed_vertices(spark):
     began = time.time()
     row = spark.createDataFrame([(text,)], "t string").select(G.vertices(F.col("t")).alias("r")).selectExpr("size(r) n", "r[9999].x x", "r[0].x x0").first()
     assert (row["n"], row["x"], row["x0"]) == (10_000, 9999.0, 0.0) and time.time() - began < 60
+
+
+def test_links_are_ranked_without_a_shuffle_of_all_pairs(spark):
+    """Ranks and ambiguity as one window over all pairs gives them, with and without k, repeated ids and missing values too."""
+    places = [("0011", "Łódź"), ("11", "Lodz"), ("0012", "Radom"), (None, "Radom"), ("0012", None)]
+    plots = [(i, str(i % 3) if i % 7 else None, *places[i % 5]) for i in range(60)]
+    asked = [(i, str(i % 4) if i % 5 else None, ("11", "3-15-11", "12", None)[i % 4], ("łódź", "LODZ", "radom", None)[i // 4 % 4]) for i in range(32)]
+    of = lambda rows, name, number: spark.createDataFrame(rows, f"{name} long, {number} string, precinct string, locality string")
+    show = lambda df: sorted(tuple(x) for x in df.select("request_id", "plot_id", "score", "rank", F.coalesce(F.col("ambiguous").cast("string"), F.lit("null")).alias("a")).collect())
+    got = show(overlay.linked(of(asked, "request_id", "number"), of(plots, "plot_id", "parcel_number")))
+    plain = show(overlay.linked(of(asked + asked[:1], "request_id", "number"), of(plots, "plot_id", "parcel_number")))  # a repeated row: all pairs in one window
+    assert got == plain and len(got) > 300
+    assert show(overlay.linked(of(asked, "request_id", "number"), of(plots, "plot_id", "parcel_number"), 3)) == [x for x in plain if x[3] <= 3]
+    shuffled = overlay.linked(of(asked, "request_id", "number"), of(plots, "plot_id", "parcel_number"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [request_id" not in shuffled.split("Union")[0]
