@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def let(value: Column, body) -> Column:
-    """body(value), the value computed once however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+from .values import let
 
 
 def point(x: Column, y: Column) -> Column:

@@ -6,10 +6,14 @@ only the choice of a window shuffles, by document. Matches with their places com
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_value
+from ..functions.values import let
 from .extraction import FOOTER, WIDE, scored, windows
 
 #: What numbers, names and places look like, and what leads to them or ends them (group n: the value).
@@ -39,6 +43,10 @@ CITIES = [
     rf"\b\d{{2}}-\d{{3}}\s+([{LETTER}][{ANY}]{{1,80}}?)(?=(?:\s*(?:,|\.|;)|\s+(?:ul\.?|al\.?|pl\.?|os\.?|rondo)|$))",
     rf"\bw\s+([{LETTER}][{ANY}]{{1,80}}?)(?=(?:\s*(?:,|\.|;)|\s+dla\b|$))",
 ]
+#: What each of them needs (plain).
+CITY_WORDS = [("miejscowo", "miasto", "gmina", "m."), ("nieruchomo",), ("położon", "polożon", "połozon", "polozon"), ("-",), ("w",)]
+STREET_WORDS = ("ul", "al", "pl", "os", "rondo")
+STREET_HEAD = r"(?:ul|ulica|al|alej\w*|pl|plac|os|osiedle|rondo)\.?\s*[:\-]?\s"
 STREET = rf"(?:przy\s+|rejonie\s+)?(?:ul\.?|ulica|al\.?|alej\w*|pl\.?|plac|os\.?|osiedle|rondo)\s*[:\-]?\s+([{LETTER}0-9][A-Za-zÀ-ÿĄĆĘŁŃÓŚŹŻąćęłńóśźż0-9 .'/\-]{{1,90}}?)(?=(?:\s+w\s+[{LETTER}]|\s*[-,]\s*dz\.?|\s+dz\.?|\s+dzia[łl]k|\s+z\s+obr|\s+obr\.?|\s*[,]|\.|$))"
 #: Signs on a street's line (pattern, whether case counts, points), and names that are no city.
 STREET_SIGNS = [(r"po[łl]o[zż]on|dotyczy|inwestycj", False, 3), (r"dzia[łl]k|\bdz\.\b|\bobr", False, 2), (r"\b(?:ul\.?|ulica|al\.?|alej\w*|pl\.?|plac|os\.?|osiedle|rondo)\b", False, 1), (rf"\bw\s+[{LETTER}]", True, 1), (FOOTER, False, -4)]
@@ -48,11 +56,24 @@ STREET_REF = r"(?:\b(?:ul|al|pl|os)\b\.?|\b(?:ulica|aleja|plac|osiedle)\b)\s*[:\
 LOCALITY_REF = r"(?:\bmiejscowość\b|\bmiejscowosc\b|\bmiasto\b|\bm\.|\bgm\.|\bgmina\b)\s*[:\-]?\s*([A-Za-zÀ-ÿĄĆĘŁŃÓŚŹŻąćęłńóśźż0-9 .'-]+?)(?=\s*(?:,|\n|$|\b\d{2}-\d{3}\b|\b(?:ul|al|pl|os|ulica|aleja|plac|osiedle|obr[eę]b)\b))"
 LOCALITY_ADDRESS = r"(?:adres|siedziba)\s*[:\-]?\s*[^,\n]+,\s*([A-Za-zÀ-ÿ0-9 .'-]+)"
 LOCALITY_POSTAL = r"\b\d{2}-\d{3}\s+([A-Za-zÀ-ÿ0-9 .'-]+)"
-LOCALITY_DATE = r"([A-Za-zÀ-ÿ0-9 .'-]+)\s*,\s*(?:dn\.?|dnia)\s*\d{1,2}"
+#: A run that leads to a date is taken from its begin, so that places within it aren't tried anew.
+LOCALITY_DATE = r"(?<![A-Za-zÀ-ÿ0-9 .'-])([A-Za-zÀ-ÿ0-9 .'-]+)\s*,\s*(?:dn\.?|dnia)\s*\d{1,2}"
 LOCALITY_IN = r"(?:w\s+dzielnicy\s+[A-Za-zÀ-ÿ0-9 .'-]+\s+)?w\s+([A-ZĄĆĘŁŃÓŚŹŻ][A-Za-zÀ-ÿ0-9 .'-]+)"
 NO_LOCALITY = ("sprawie", "zakresie", "dniu", "dnia", "związku", "obszarze", "granicach", "mieście")
 
 
+def plain(c: Column) -> Column:
+    """Lower case, with the letters that patterns without case also take for plain ones; only to look for literals."""
+    for one, other in (("İ", "i"), ("ı", "i"), ("ſ", "s")):
+        c = F.replace(c, F.lit(one), F.lit(other))
+    return F.lower(c)
+
+
+def holds(c: Column, *words: str) -> Column:
+    """Whether a plain text holds one of the words; a pattern that needs one of them is tried on such texts only."""
+    return reduce(or_, (c.contains(word) for word in words))
+
+
 def has(c: Column, pattern: str, cased: bool = False) -> Column:
     return F.regexp_like(c, F.lit(("(?uU)" if cased else WIDE) + pattern))
 
@@ -65,20 +86,27 @@ def group(c: Column, pattern: str, n: int) -> Column:
 def matches(c: Column, pattern: str) -> Column:
     """All matches, as an array of (at, found): marked in the text, which is then taken apart at the marks."""
     pieces = F.split(F.regexp_replace(c, WIDE + pattern, "\u0001$0\u0002"), "\u0001")
-    before = lambda k: F.length(F.array_join(F.slice(pieces, 1, k), "")) - k + 1
-    found = lambda k: F.substring_index(F.get(pieces, k), "\u0002", 1)
-    return F.when(F.size(pieces) > 1, F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: F.struct(before(k).alias("at"), found(k).alias("found")))).otherwise(F.array().cast("array<struct<at: int, found: string>>"))
+    none = F.array().cast("array<struct<at: int, found: string>>")
+
+    def placed(pieces: Column) -> Column:
+        # Each piece's begin is the one before's and its length, but for the mark of an end.
+        start = F.array(F.length(F.get(pieces, F.lit(0))))
+        after = lambda starts, k: F.array_append(starts, F.element_at(starts, -1) + F.length(F.get(pieces, k)) - 1)
+        starts = F.when(F.size(pieces) > 2, F.aggregate(F.sequence(F.lit(1), F.size(pieces) - 2), start, after)).otherwise(start)
+        return F.zip_with(starts, F.slice(pieces, F.lit(2), F.size(pieces)), lambda at, piece: F.struct(at.alias("at"), F.substring_index(piece, "\u0002", 1).alias("found")))
+
+    return let(pieces, lambda ps: F.when(F.size(ps) > 1, placed(ps)).otherwise(none))
 
 
 def tidy(c: Column) -> Column:
     """Single spaces, without blanks, commas, stops and dashes around."""
-    return F.nullif(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "), r"^[ ,;.-]+|[ ,;.-]+$", ""), F.lit(""))
+    return let(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "), r"^[ ,;.-]+|[ ,;.-]+$", ""), lambda x: F.nullif(x, F.lit("")))
 
 
 def parcel_number(c: Column) -> Column:
     """A number's parts joined by slashes, without leading zeros."""
     parts = F.filter(F.split(F.regexp_replace(F.translate(tidy(c), "／\\", "//"), r"\s*[/-]\s*", "/"), "/"), lambda x: x != "")
-    return F.nullif(F.array_join(F.transform(parts, lambda x: F.regexp_replace(x, r"^0+(?=\d+[A-Za-z]?$)", "")), "/"), F.lit(""))
+    return let(F.array_join(F.transform(parts, lambda x: F.regexp_replace(x, r"^0+(?=\d+[A-Za-z]?$)", "")), "/"), lambda x: F.nullif(x, F.lit("")))
 
 
 def parcel_tokens(c: Column) -> Column:
@@ -97,11 +125,14 @@ def like_date(text: Column, at: Column, length: Column) -> Column:
 
 def with_parcels(rows: DataFrame, text: str = "text") -> DataFrame:
     """rows with parcels (array of numbers): a full identifier's, else those after a label, else the first number in a text that speaks of plots."""
-    flat = F.regexp_replace(F.translate(F.coalesce(F.col(text), F.lit("")), "／\\", "//"), r"(?U)\s+", " ")
-    out = rows.withColumn("flat_", flat)
+    # Every pattern below needs a slash (full identifiers) or a word for a plot or a precinct; other texts are as good as empty.
+    rows = rows.withColumn("plain_", plain(F.col(text)))
+    able_ = holds(F.col("plain_"), "dz", "obr", "/", "／", "\\")
+    flat = F.regexp_replace(F.translate(F.col(text), "／\\", "//"), r"(?U)\s+", " ")
+    out = rows.withColumn("flat_", F.when(able_, flat).otherwise("")).withColumn("dz_", holds(F.col("plain_"), "dz")).withColumn("slash_", F.col("flat_").contains("/"))
     t = F.col("flat_")
     block = F.coalesce(*(F.when(has(t, p), F.struct(F.lit(i).alias("i"), F.regexp_extract(t, WIDE + p, 0).alias("all"), F.regexp_extract(t, WIDE + p, 1).alias("numbers"))) for i, p in enumerate(BLOCKS)))
-    out = out.withColumn("full_", parcel_number(group(t, FULL_ID, 1))).withColumn("block_", F.when(F.col("full_").isNull(), block))
+    out = out.withColumn("full_", F.when(F.col("slash_"), parcel_number(group(t, FULL_ID, 1)))).withColumn("block_", F.when(F.col("dz_") & F.col("full_").isNull(), block))
     out = out.withColumn("listed_", parcel_tokens(F.col("block_.numbers")))
     # One number without a slash may go on after a blank or a dash, within 24 characters.
     span = F.substr(t, F.expr("locate(block_.all, flat_)"), F.length("block_.all") + 24)
@@ -111,7 +142,7 @@ def with_parcels(rows: DataFrame, text: str = "text") -> DataFrame:
     joined = lambda c: parcel_number(F.concat(group(c, COMPACT, 1), F.lit("/"), group(c, COMPACT, 2)))
     compact = F.when(F.col("near_").isNotNull() & ~like_date(F.col("span_"), F.col("near_.at"), F.length("near_.found")), joined(F.col("near_.found")))
     out = out.withColumn("told_", F.when(F.col("full_").isNotNull(), F.array("full_")).when(compact.isNotNull(), F.array(compact)).when(F.size("listed_") > 0, F.col("listed_")))
-    spoken = F.col("told_").isNull() & has(t, HINT)
+    spoken = F.col("told_").isNull() & (t != "") & has(t, HINT)
     able = lambda pattern, name: F.filter(F.transform(matches(t, pattern), lambda m: F.struct(m["at"].alias("at"), m["found"].alias("found"), name(m["found"]).alias("number"))), lambda m: m["number"].isNotNull() & (F.length(m["number"]) > 1) & ~m["number"].isin("00", "000", "0000") & ~like_date(t, m["at"], F.length(m["found"])))
     out = out.withColumn("inline_", F.when(spoken, F.get(able(INLINE, parcel_number), F.lit(0))))
     # At last two numbers with a blank, a dash or a stop between them, unless they belong to a date.
@@ -119,16 +150,18 @@ def with_parcels(rows: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("apart_", F.when(spoken & F.col("inline_").isNull(), joined(F.get(apart, F.lit(0))["found"])))
     one = F.coalesce("inline_.number", "apart_")
     out = out.withColumn("parcels", F.coalesce("told_", F.when(one.isNotNull(), F.array(one)), F.array().cast("array<string>")))
-    return out.drop("flat_", "full_", "block_", "listed_", "span_", "near_", "told_", "inline_", "apart_")
+    return out.drop("flat_", "full_", "block_", "listed_", "span_", "near_", "told_", "inline_", "apart_", "dz_", "slash_", "plain_")
 
 
 def with_precinct(rows: DataFrame, text: str = "text") -> DataFrame:
     """rows with precinct_number and precinct (number and name where both are told)."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    numbered, named, bracket = has(t, PRECINCT_NUMBERED), has(t, PRECINCT_NAMED), has(t, PRECINCT_BRACKETS)
+    # Heads need br, brackets a bracket; what has neither is as good as empty.
+    t = F.col("text_")
+    rows = rows.withColumn("text_", F.when(holds(plain(F.col(text)), "br", "("), F.col(text)).otherwise("")).withColumn("br_", holds(plain(F.col("text_")), "br"))
+    numbered, named, bracket = F.col("br_") & has(t, PRECINCT_NUMBERED), F.col("br_") & has(t, PRECINCT_NAMED), has(t, PRECINCT_BRACKETS)
     out = rows.withColumn("number_", F.when(numbered, tidy(F.regexp_extract(t, WIDE + PRECINCT_NUMBERED, 1))).when(~named & bracket, tidy(F.regexp_extract(t, WIDE + PRECINCT_BRACKETS, 1))))
     out = out.withColumn("name_", F.when(numbered, tidy(F.regexp_extract(t, WIDE + PRECINCT_NUMBERED, 2))).when(named, tidy(F.regexp_extract(t, WIDE + PRECINCT_NAMED, 1))))
-    return out.withColumn("precinct_number", F.col("number_")).withColumn("precinct", F.nullif(F.concat_ws(" – ", "number_", "name_"), F.lit(""))).drop("number_", "name_")
+    return out.withColumn("precinct_number", F.col("number_")).withColumn("precinct", F.nullif(F.concat_ws(" – ", "number_", "name_"), F.lit(""))).drop("number_", "name_", "text_", "br_")
 
 
 def with_city(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -136,23 +169,34 @@ def with_city(rows: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     named = lambda p: F.regexp_replace(tidy(group(t, p, 1)), r"(?i)^m\.\s*", "")
     usable = lambda c: F.when(~F.lower(c).isin(*NO_CITY) & (F.length(c) > 2), c)
-    return rows.withColumn("city", F.coalesce(*(usable(named(p)) for p in CITIES)))
+    out = rows.withColumn("low_", plain(t))
+    for i, (pattern, words) in enumerate(zip(CITIES, CITY_WORDS)):
+        out = out.withColumn(f"city{i}_", F.when(reduce(and_, (~F.col(f"city{k}_").isNotNull() for k in range(i)), holds(F.col("low_"), *words)), let(named(pattern), usable)))
+    return out.withColumn("city", F.coalesce(*(f"city{i}_" for i in range(len(CITIES))))).drop("low_", *(f"city{i}_" for i in range(len(CITIES))))
 
 
 def with_street(rows: DataFrame, text: str = "text") -> DataFrame:
     """rows with street: of all streets the one whose line has the most points, the last of equals; none below -2."""
     t = F.coalesce(F.col(text), F.lit(""))
 
+    def points(line: Column) -> Column:
+        both = F.struct(line.alias("line"), F.lower(line).alias("low"))
+        return let(both, lambda x: sum((F.when(has(x["line"] if cased else x["low"], p, True), n).otherwise(0) for p, cased, n in STREET_SIGNS), F.lit(0)))
+
     def judged(m: Column) -> Column:
-        before, after = F.substr(t, F.lit(1), m["at"]), F.substr(t, m["at"] + F.length(m["found"]) + 1, F.length(t))
-        line = F.concat(F.substring_index(before, "\n", -1), m["found"], F.substring_index(after, "\n", 1))
-        points = sum((F.when(has(line if cased else F.lower(line), p, True), n).otherwise(0) for p, cased, n in STREET_SIGNS), F.lit(0))
-        name = tidy(F.regexp_replace(F.regexp_extract(F.concat(m["found"], F.substring_index(after, "\n", 1)), WIDE + STREET, 1), r"(?iu)^(?:ul\.?|ulica)\s+", ""))
-        return F.struct(points.alias("points"), m["at"].alias("at"), name.alias("street"))
+        before, after = F.substr(t, F.lit(1), m["at"]), F.substring_index(F.substr(t, m["at"] + F.length(m["found"]) + 1, F.length(t)), "\n", 1)
+        # A street on one line has that line's points, which are counted once a line; one across a line's end has its own.
+        own = F.get("points_", F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))))
+        worth = F.when(m["found"].contains("\n"), points(F.concat(F.substring_index(before, "\n", -1), m["found"], after))).otherwise(own)
+        name = tidy(F.regexp_replace(F.regexp_extract(F.concat(m["found"], after), WIDE + STREET, 1), r"(?iu)^(?:ul\.?|ulica)\s+", ""))
+        return F.struct(worth.alias("points"), m["at"].alias("at"), name.alias("street"))
 
     best = F.array_max(F.filter(F.transform(F.col("streets_"), judged), lambda x: x["street"].isNotNull()))
-    out = rows.withColumn("streets_", matches(t, STREET)).withColumn("best_", best)
-    return out.withColumn("street", F.when(F.col("best_.points") >= -2, F.col("best_.street"))).drop("streets_", "best_")
+    # A street's word needs a blank behind it, after a stop or a mark; the cheap pattern tells texts without one.
+    able_ = holds(plain(t), *STREET_WORDS) & has(t, STREET_HEAD)
+    none = F.array().cast("array<struct<at: int, found: string>>")
+    out = rows.withColumn("streets_", F.when(able_, matches(t, STREET)).otherwise(none)).withColumn("points_", F.when(F.size("streets_") > 0, F.transform(F.split(t, "\n"), points))).withColumn("best_", best)
+    return out.withColumn("street", F.when(F.col("best_.points") >= -2, F.col("best_.street"))).drop("streets_", "points_", "best_")
 
 
 def bundles(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -233,7 +277,7 @@ def ranked_references(pages: DataFrame, pattern: str, name: str, priority) -> Da
     before, after = F.substr("text", F.lit(1), F.col("m.at")), F.substr("text", F.col("m.at") + F.length("m.found") + 1, F.length("text"))
     line = F.concat(F.substring_index(before, "\n", -1), F.col("m.found"), F.substring_index(after, "\n", 1))
     whole = F.concat(F.col("m.found"), F.lit("\n"))
-    out = out.select("doc_id", "page", F.col("m.at").alias("at"), priority(F.col("m.found"), line).alias("priority"), clean_value(F.regexp_extract(whole, WIDE + pattern, 1)).alias(name)).where(f"{name} IS NOT NULL")
+    out = out.withColumn("line_", line).select("doc_id", "page", F.col("m.at").alias("at"), priority(F.col("m.found"), F.col("line_")).alias("priority"), clean_value(F.regexp_extract(whole, WIDE + pattern, 1)).alias(name)).where(f"{name} IS NOT NULL")
     order = Window.partitionBy("doc_id", "page").orderBy(F.desc("priority"), "at")
     return out.withColumn("rank", F.row_number().over(order)).drop("at")
 
@@ -247,14 +291,17 @@ def locality_references(pages: DataFrame) -> DataFrame:
     """Labelled localities, towns first; on pages up to a document's first with a result, failing a label, an address, a postal code, a date or a phrase."""
     low = lambda found: F.lower(found)
     told = ranked_references(pages, LOCALITY_REF, "locality", lambda found, line: F.when(low(found).contains("miejscow") | low(found).contains("miasto"), 2).when(has(found, r"\bm\."), 1).otherwise(0))
-    t = F.col("text")
-    address, postal = clean_value(group(t, LOCALITY_ADDRESS, 1)), clean_value(group(t, LOCALITY_POSTAL, 1))
+    t, low_ = F.col("text"), plain(F.col("text"))
+    address, postal = F.when(holds(low_, "adres", "siedziba"), clean_value(group(t, LOCALITY_ADDRESS, 1))), clean_value(group(t, LOCALITY_POSTAL, 1))
     phrase = clean_value(group(t, LOCALITY_IN, 1))
-    other = F.when(has(t, LOCALITY_POSTAL), postal).when(has(t, LOCALITY_DATE), clean_value(group(t, LOCALITY_DATE, 1))).when(~F.lower(phrase).isin(*NO_LOCALITY), phrase)
-    spare = pages.select("doc_id", "page", F.coalesce(address, other).alias("locality")).where("locality IS NOT NULL").select("doc_id", "page", F.lit(0).alias("priority"), "locality", F.lit(1).alias("rank"))
-    labelled = told.groupBy("doc_id").agg(F.min("page").alias("labelled"))
-    earliest = spare.groupBy("doc_id").agg(F.min("page").alias("page")).join(labelled.hint("merge"), "doc_id", "left").where("labelled IS NULL OR page < labelled").select("doc_id", "page")
-    return told.unionByName(spare.join(earliest.hint("merge"), ["doc_id", "page"], "left_semi"))
+    other = F.when(has(t, LOCALITY_POSTAL), postal).when(holds(low_, "dn") & has(t, LOCALITY_DATE), clean_value(group(t, LOCALITY_DATE, 1))).when(~F.lower(phrase).isin(*NO_LOCALITY), phrase)
+    spare = pages.select("doc_id", "page", F.explode(F.array_compact(F.array(F.coalesce(address, other)))).alias("locality")).select("doc_id", "page", F.lit(0).alias("priority"), "locality", F.lit(1).alias("rank"), F.lit(False).alias("told_"))
+    every = told.withColumn("told_", F.lit(True)).unionByName(spare)
+    of = Window.partitionBy("doc_id")
+    first = lambda test: F.min(F.when(test, F.col("page"))).over(of)
+    placed = every.withColumns({"labelled_": first(F.col("told_")), "spare_": first(~F.col("told_"))})
+    kept = placed.where(F.col("told_") | ((F.col("page") == F.col("spare_")) & (F.col("labelled_").isNull() | (F.col("page") < F.col("labelled_")))))
+    return kept.drop("told_", "labelled_", "spare_")
 
 
 def issue_sign(c: Column) -> Column:

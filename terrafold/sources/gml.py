@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import let
+from ..functions.values import let
 
 PREFIX = r"(?:[\w.-]+:)?"
 REST = r"(?:\s[^>]*)?(?<!/)>"

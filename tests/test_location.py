@@ -1,5 +1,7 @@
 """Locations from sentences, references and marks of documents, layer plans and import statuses: literal cases."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +88,34 @@ def test_import_statuses(spark):
     got = {r["context_id"]: r for r in X.import_summary(found).collect()}
     assert got[1]["loaded"] == "plot_boundary,site_boundary,tree" and got[1]["status"] == "error" and "road_edge" in got[1]["unavailable"]
     assert got[2]["errors"] == "tree" and got[3]["loaded"].endswith("tree") and got[4]["empty"] == "tree" and got[1]["n_objects"] == 4
+
+
+def test_long_runs_without_a_date(spark):
+    """One run of 400,000 characters that no date follows: places within the run aren't tried anew."""
+    pages = spark.createDataFrame([(1, 1, "ala ma kota " * 33_000 + "!"), (2, 1, "x Nowy Targ, dnia 3")], "doc_id long, page int, text string")
+    began = time.time()
+    got = {r["doc_id"]: r["locality"] for r in L.locality_references(pages).collect()}
+    assert got == {2: "x Nowy Targ"} and time.time() - began < 60
+
+
+def test_matches_have_their_places(spark):
+    """Places of many matches come from one pass over the pieces."""
+    text = "".join(f"ab{i}, " for i in range(5_000))
+    began = time.time()
+    got = spark.createDataFrame([(text,), ("none",), ("ab7",)], "t string").select(L.matches(F.col("t"), r"ab\d+").alias("m")).collect()
+    assert time.time() - began < 60 and got[1]["m"] == [] and [tuple(x) for x in got[2]["m"]] == [(0, "ab7")]
+    assert [x["found"] for x in got[0]["m"]] == [f"ab{i}" for i in range(5_000)] and all(text.startswith(x["found"], x["at"]) for x in got[0]["m"])
+
+
+def test_letters_that_count_as_plain_ones(spark):
+    """What patterns without case take for plain letters passes the search for literals too."""
+    pages = spark.createDataFrame([(1, 1, "DZİAŁKA nr 12/3 położona w Lipnie")], "doc_id long, page int, text string")
+    assert L.with_parcels(pages).first()["parcels"] == ["12/3"]
+
+
+def test_many_streets_on_a_long_line(spark):
+    """A line's signs are searched once, not once a street: 500 streets on a line of 7,000 characters."""
+    text = "dotyczy działki\n" + "".join(f"ul. Nowa {i}, " for i in range(500)) + "dzia położona"
+    began = time.time()
+    got = L.with_street(spark.createDataFrame([(text,), ("ul. Stara 1,\ndziałka przy ul. Nowej 2, x",)], "text string")).collect()
+    assert [r["street"] for r in got] == ["Nowa 499", "Nowej 2"] and time.time() - began < 60
