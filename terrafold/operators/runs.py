@@ -113,8 +113,8 @@ def buffered_plots(plots: DataFrame, ring: str, width: Column, res: float = 1.0)
     return united([filled(plots, ["plot_id"], ring, res), near_edges(plots, ["plot_id"], ring, distance, res)], ["plot_id"])
 
 
-def zone_runs(features: DataFrame, res: float = 1.0) -> DataFrame:
-    """plot_id, kind, iy, a, b of the cells within each feature's protection width of its box."""
+def zone_sections(features: DataFrame, res: float = 1.0) -> DataFrame:
+    """plot_id, kind, iy, a, b of the cells within each feature's protection width of its box; some overlap."""
     width = F.coalesce(F.create_map(*(F.lit(x) for k, w in UTILITY_WIDTH.items() for x in (k, w)))[F.col("layer_key")], F.when(F.col("layer_key") == "tree", TREE_CANOPY + ROOT_EXTRA).when(F.col("layer_key").isin(*RESTRICTED), 0.0))
     kind = F.when(F.col("layer_key") == "tree", "root_protection_zone").when(F.col("layer_key").isin(*UTILITY_WIDTH), "utility_protection_zone").otherwise(F.col("layer_key"))
     wide = features.select("plot_id", kind.alias("kind"), width.alias("d"), "fx0", "fy0", "fx1", "fy1").where("d IS NOT NULL")
@@ -122,8 +122,27 @@ def zone_runs(features: DataFrame, res: float = 1.0) -> DataFrame:
     y = (F.col("iy") + 0.5) * res
     off = F.greatest(F.col("fy0") - y, F.lit(0.0), y - F.col("fy1"))
     side = F.sqrt(F.greatest(F.lit(0.0), F.col("d") * F.col("d") - off * off))
-    runs = rows.select("plot_id", "kind", "iy", *cell_run(F.col("fx0") - side, F.col("fx1") + side, res)).where("a <= b")
-    return united([runs], ["plot_id", "kind"])
+    return rows.select("plot_id", "kind", "iy", *cell_run(F.col("fx0") - side, F.col("fx1") + side, res)).where("a <= b")
+
+
+def zone_runs(features: DataFrame, res: float = 1.0) -> DataFrame:
+    """zone_sections without overlaps, a kind at a time."""
+    return united([zone_sections(features, res)], ["plot_id", "kind"])
+
+
+def box_span(low: Column, high: Column, res: float) -> tuple[Column, Column]:
+    """The first and the last cell whose centres lie from low to high."""
+    return F.ceil((low - res / 2) / res), F.floor((high - res / 2) / res)
+
+
+def boxed_areas(runs: DataFrame, boxes: DataFrame, keys: list[str], name: str, res: float = 1.0) -> DataFrame:
+    """keys and the area of the runs' parts in their plot's box (boxes: plot_id, x0, y0, x1, y1): rows and ends are clipped, so a plot stays one row."""
+    (a0, b0), (i0, i1) = box_span(F.col("x0"), F.col("x1"), res), box_span(F.col("y0"), F.col("y1"), res)
+    spans = boxes.select("plot_id", a0.alias("a0"), b0.alias("b0"), i0.alias("i0"), i1.alias("i1"))
+    met = runs.join(spans.hint("merge"), "plot_id").where("iy BETWEEN i0 AND i1 AND a <= b0 AND b >= a0 AND a0 <= b0")
+    return met.groupBy(*keys).agg((F.sum(F.least("b", "b0") - F.greatest("a", "a0") + 1) * res * res).alias(name))
+
+
 
 
 def zone_areas_on(plots: DataFrame, ring: str, features: DataFrame, res: float = 1.0) -> DataFrame:
