@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import overlay as O
 from ..operators import runs as R
-from .fixtures import oracle
+from .fixtures import oracle, spread
 from .space_queries import ZONES, features, kinds, parcels
 
 
@@ -16,7 +16,7 @@ def shaped(s, d):
     at = lambda x, y: G.point(F.col(x) if isinstance(x, str) else x, F.col(y) if isinstance(y, str) else y)
     triangle = F.array(at("x0", "y0"), at("x1", "y0"), at("x0", "y1"))
     corner = F.array(at("x0", "y0"), at("x1", "y0"), at("x1", my), at(mx, my), at(mx, "y1"), at("x0", "y1"))
-    return parcels(s, d).select("plot_id", F.when(F.col("plot_id") % 3 == 0, G.rectangle("x0", "y0", "x1", "y1")).when(F.col("plot_id") % 3 == 1, triangle).otherwise(corner).alias("ring"), "x0", "y0", "x1", "y1")
+    return spread(parcels(s, d)).select("plot_id", F.when(F.col("plot_id") % 3 == 0, G.rectangle("x0", "y0", "x1", "y1")).when(F.col("plot_id") % 3 == 1, triangle).otherwise(corner).alias("ring"), "x0", "y0", "x1", "y1")
 
 
 def drawn(s, d):
