@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -13,19 +14,19 @@ from ..functions import geometry as G
 from ..functions.text import layer_class
 from ..lineage import cut
 
-#: Loops of more points aren't walked along in a task, but put in order by all tasks together.
+#: Files of more segments aren't taken apart in a task, nor are their loops of more points walked along in one: all tasks do so together.
 WALKED = 10_000
 
 
 def snapped(segments: DataFrame) -> DataFrame:
-    """file_id, layer, u, v (grid places, as structs i, j), eps: ends moved to a grid of a millionth of the file's diagonal, 0.01 at least.
+    """file_id, layer, u, v (grid places, as structs i, j), eps, n: ends moved to a grid of a millionth of the file's diagonal, 0.01 at least; n: the file's segments.
 
     segments: file_id, layer, ax, ay, bx, by. Segments without a length on the grid go.
     """
     low, high = lambda c: F.min(F.least("a" + c, "b" + c)), lambda c: F.max(F.greatest("a" + c, "b" + c))
-    size = segments.groupBy("file_id").agg(F.greatest(F.lit(0.01), F.hypot(high("x") - low("x"), high("y") - low("y")) * 1e-6).alias("eps"))
+    size = segments.groupBy("file_id").agg(F.greatest(F.lit(0.01), F.hypot(high("x") - low("x"), high("y") - low("y")) * 1e-6).alias("eps"), F.count("*").alias("n"))
     place = lambda p: F.struct(*(F.bround(F.col(p + c) / F.col("eps")).cast("long").alias(k) for c, k in (("x", "i"), ("y", "j"))))
-    return segments.join(size.hint("merge"), "file_id").select("file_id", "layer", place("a").alias("u"), place("b").alias("v"), "eps").where("u <> v")
+    return segments.join(size.hint("merge"), "file_id").select("file_id", "layer", place("a").alias("u"), place("b").alias("v"), "eps", "n").where("u <> v")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -44,18 +45,47 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def path(near: dict[tuple, Iterable[tuple]], start: tuple) -> list[tuple]:
+    """A loop's nodes in order, from start towards its smaller neighbour."""
+    out, at = [start], min(near[start])
+    while at != start:
+        out.append(at)
+        at = next(n for n in near[at] if n != out[-2])
+    return out
+
+
 def walk(key: tuple, edges: pd.DataFrame) -> pd.DataFrame:
-    """One loop's nodes in order, from the smallest node towards its smaller neighbour."""
+    """One loop's nodes in order, from the smallest node."""
     near: dict[tuple, list[tuple]] = {}
     for ui, uj, vi, vj in zip(edges["ui"], edges["uj"], edges["vi"], edges["vj"]):
         near.setdefault((ui, uj), []).append((vi, vj))
-    start = min(near)
-    path, at = [start], min(near[start])
-    while at != start:
-        path.append(at)
-        at = next(n for n in near[at] if n != path[-2])
     eps = edges["eps"].iloc[0]
-    return pd.DataFrame({"file_id": [key[0]], "ri": [key[1]], "rj": [key[2]], "ring": [[{"x": i * eps, "y": j * eps} for i, j in path]]})
+    return pd.DataFrame({"file_id": [key[0]], "ri": [key[1]], "rj": [key[2]], "ring": [[{"x": i * eps, "y": j * eps} for i, j in path(near, min(near))]]})
+
+
+def loops_of_file(key: tuple, segments: pd.DataFrame) -> pd.DataFrame:
+    """All simple loops of one file of up to WALKED segments with their layers, as rings has them."""
+    ends = list(zip(zip(segments["ui"], segments["uj"]), zip(segments["vi"], segments["vj"])))
+    near: dict[tuple, set[tuple]] = {}
+    for u, v in ends:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    label: dict[tuple, tuple] = {}
+    for node in sorted(near):
+        todo = [] if node in label else [node]
+        while todo:
+            at = todo.pop()
+            if at not in label:
+                label[at] = node
+                todo += near[at]
+    no_loop = {label[node] for node, others in near.items() if len(others) != 2}
+    on: dict[tuple, dict] = {}
+    for (u, v), layer in zip(ends, segments["layer"]):
+        if label[u] not in no_loop:
+            on.setdefault(label[u], {}).setdefault(layer if isinstance(layer, str) else None, []).append(math.hypot(u[0] - v[0], u[1] - v[1]))
+    eps = segments["eps"].iloc[0]
+    rows = [(key[0], *start, [{"x": i * eps, "y": j * eps} for i, j in path(near, start)], min(layers, key=lambda x: (-math.fsum(layers[x]), x is not None, x or ""))) for start, layers in on.items()]
+    return pd.DataFrame(rows, columns=["file_id", "ri", "rj", "ring", "layer"])
 
 
 def ordered(parts: DataFrame) -> DataFrame:
@@ -80,10 +110,20 @@ def ordered(parts: DataFrame) -> DataFrame:
 def rings(segments: DataFrame) -> DataFrame:
     """file_id, ri, rj, ring, layer: simple loops of loose segments, each with the layer of the greatest length on it.
 
-    Components that branch or stay open give no ring. Loops of up to WALKED points are walked along in a task, longer ones are put in order
-    by doubling. Repeated and reversed segments count once for the loop, and all for the layer; ties go to the smaller layer name.
+    Components that branch or stay open give no ring. Repeated and reversed segments count once for the loop, and all for the layer; ties go to
+    the smaller layer name. Files of up to WALKED segments are taken apart each in a task, larger ones by all tasks together.
     """
-    on = cut(snapped(segments))
+    every = snapped(segments)
+    flat = every.select("file_id", "layer", *(F.col(f"{p}.{k}").alias(p + k) for p in "uv" for k in "ij"), "eps", "n")
+    found = flat.where(F.col("n") <= WALKED).drop("n").groupBy("file_id").applyInPandas(loops_of_file, "file_id long, ri long, rj long, ring array<struct<x: double, y: double>>, layer string")
+    if segments.groupBy("file_id").count().where(F.col("count") > WALKED).isEmpty():
+        return found
+    return found.unionByName(rings_of_large(every.where(F.col("n") > WALKED).drop("n")))
+
+
+def rings_of_large(snapped_: DataFrame) -> DataFrame:
+    """rings of files of any size: loops of up to WALKED points are walked along in a task, longer ones are put in order by doubling."""
+    on = cut(snapped_)
     both = on.select("file_id", "u", "v", "eps").unionByName(on.select("file_id", F.col("v").alias("u"), F.col("u").alias("v"), "eps")).distinct()
     labels = components(both.drop("eps"))
     named = cut(both.join(labels.hint("merge"), ["file_id", "u"]).select("file_id", F.col("label.i").alias("ri"), F.col("label.j").alias("rj"), "u", "v", "eps"))

@@ -68,6 +68,21 @@ def test_loops_of_any_length(spark, monkeypatch):
     assert len(out) == 1 and [(p["x"], p["y"]) for p in out[0]["ring"]] == [(x / 2, y / 2) for x, y in [long_[0], *long_[:0:-1]]]
 
 
+def test_small_files_are_taken_apart_in_a_task(spark, monkeypatch):
+    """Loops, open chains and branches give the same rings and layers in a task as by all together; without large files nothing is checkpointed."""
+    loops = [[(40 * k + x, y) for x, y in ((0, 0), (9, 1), (7, 8), (3, 9), (-2, 4))[: 3 + k % 3]] for k in range(9)]
+    ends = [(f, "ab"[(i + k) % 2] if k else None, *map(float, loop[i] + loop[(i + 1) % len(loop)])) for f in (1, 2) for k, loop in enumerate(loops[: 9 - f]) for i in range(len(loop)) if (f, k, i) != (1, 4, 0)]
+    ends += [(1, "b", 80.0, 0.0, 81.0, 50.0), (1, "b", 9.0, 1.0, 0.0, 0.0), (3, "a", 0.0, 0.0, 0.001, 0.0)]
+    rows = spark.createDataFrame(ends, "file_id long, layer string, ax double, ay double, bx double, by double")
+    told = lambda: {(r["file_id"], r["ri"], r["rj"]): (r["layer"], [(p["x"], p["y"]) for p in r["ring"]]) for r in B.rings(rows).collect()}
+    cuts = []
+    monkeypatch.setattr(B, "cut", lambda df: cuts.append(1) or df.checkpoint())
+    in_task = told()
+    assert not cuts and len(in_task) == 13
+    monkeypatch.setattr(B, "WALKED", 6)
+    assert told() == in_task and cuts
+
+
 def test_outside_results_have_every_field(spark):
     docs = spark.createDataFrame([(1,), (2,)], "doc_id long")
     some = spark.createDataFrame([(1, "coloring", "white", None, None), (1, "unknown", "x", None, None)], "doc_id long, field_key string, value string, unit string, confidence double")
