@@ -1,6 +1,7 @@
 """Document classes: which runs of words are tried, and what lines meet."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -58,3 +59,13 @@ def test_evidence_does_not_grow_with_words_that_are_no_phrase(spark):
 def test_fold(spark):
     df = spark.createDataFrame([("  ŻÓŁW  1mpzp\t§ 4ä5 ",)], "t string")
     assert df.select(fold(F.col("t"))).first()[0] == "zołw impzp § aas"
+
+
+def test_mapped_lines_close_and_far(spark):
+    """A close line wins over farther ones, a far one counts where none is close, less than half alike is none; edits are counted in bands."""
+    lines = [(1, 1, 0, "abcdefghij"), (1, 1, 1, " abcdefghiX "), (1, 1, 2, "abcdeXXXXX"), (1, 1, 3, "abcdefghXX"), (2, 1, 0, "abcdeYYYYY"), (2, 1, 1, "abcdefZZZZ"), (2, 1, 2, "abcdefVVVV"), (2, 1, 3, None), (2, 1, 4, " "), (3, 1, 0, "abcdWWWWWW")]
+    keys = [(1, "abcdefghik"), (2, "abcdefghik"), (3, "abcdefghik"), (1, None), (1, " ")]
+    out = C.mapped_lines(spark.createDataFrame(keys, "doc_id long, key_line string"), spark.createDataFrame(lines, "doc_id long, page int, line_no int, line string"))
+    assert sorted((r["doc_id"], r["line"], r["score"]) for r in out.collect()) == [(1, "abcdefghij", 90), (2, "abcdefZZZZ", 60)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein(folded" in plan and not re.search(r"levenshtein\(folded#\d+, want#\d+, None\)", plan)
