@@ -69,3 +69,15 @@ def test_mapped_lines_close_and_far(spark):
     assert sorted((r["doc_id"], r["line"], r["score"]) for r in out.collect()) == [(1, "abcdefghij", 90), (2, "abcdefZZZZ", 60)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "levenshtein(folded" in plan and not re.search(r"levenshtein\(folded#\d+, want#\d+, None\)", plan)
+
+
+def test_intake_deals_a_batch_to_all_cores(spark, monkeypatch, tmp_path):
+    from terrafold.streaming import intake as I
+
+    parts = []
+    fields = I.fields
+    monkeypatch.setattr(I, "fields", lambda pages: parts.append(pages.rdd.getNumPartitions()) or fields(pages))
+    rows = [(k, f"p{k}.pdf", "application/pdf", 9, "PLAN", 1, "decyzja o warunkach zabudowy") for k in range(40)]
+    uploads = spark.createDataFrame(rows, "doc_id long, name string, media_type string, size long, document_type string, page int, text string").withColumn("uploaded_at", F.timestamp_seconds("doc_id")).coalesce(1)
+    I.take_in(str(tmp_path))(uploads, 0)
+    assert parts == [spark.sparkContext.defaultParallelism] and sorted(r["version"] for r in I.outcomes(spark, str(tmp_path)).collect()) == list(range(1, 41))
