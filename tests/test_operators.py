@@ -135,3 +135,11 @@ def test_nearest_labels_of_any_spread(spark):
             want[f, x, y] = min(texts)[:1] + min(texts)[2:]
     got = {(r["file_id"], r["x"], r["y"]): (round(r["distance"], 6), r["label"]) for r in cad.nearest_label(entities).collect()}
     assert got == want
+
+
+def test_plan_rules_try_their_three_limits_only(spark):
+    text = "Działka ewid. 12/3\nMaksymalna wysokość zabudowy: 9,5 m\nPowierzchnia biologicznie czynna 25 %\nPowierzchnia zabudowy 30 %\nDach dwuspadowy"
+    pages = spark.createDataFrame([(1, 1, text)], "doc_id long, page int, text string")
+    out = extraction.plan_rules(pages)
+    assert out.select("doc_id", "parcel", "height", "bio", "coverage").collect() == [(1, "12/3", 9.5, 25.0, 30.0)]
+    assert "dach" not in out._jdf.queryExecution().optimizedPlan().toString() and {r["field_key"] for r in extraction.fields(pages).collect()} > {r["field_key"] for r in extraction.fields(pages, ["roofType"]).collect()} == {"roofType"}
