@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_value
 from .extraction import WIDE
-from .location import issue_sign, locations, long_date
+from .location import first_pages, issue_sign, located, long_date
 
 #: Key, pattern (value in group 1), kind of value. A key's second pattern is for texts without a match of its first.
 PATTERNS = [
@@ -44,8 +44,12 @@ CONFIDENCE = 0.7
 
 def whole_texts(pages: DataFrame, between: str) -> DataFrame:
     """doc_id, text: a document's pages that have a text, in order, as one; a document is one row."""
+    return pages.groupBy("doc_id").agg(one_text(between))
+
+
+def one_text(between: str) -> Column:
     parts = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("page", "text"))))
-    return pages.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), between).alias("text"))
+    return F.array_join(F.transform(parts, lambda p: p["text"]), between).alias("text")
 
 
 def shaped(value: Column, kind: str) -> Column:
@@ -78,7 +82,7 @@ def flat_form(pages: DataFrame) -> DataFrame:
 
     notatki tells how the location was found, evidence which of its parts were.
     """
-    rows = whole_texts(pages, " ").join(locations(pages).hint("merge"), "doc_id")
+    rows = located(pages.groupBy("doc_id").agg(one_text(" "), first_pages().alias("first_")), "text")
     shown, _ = long_date(F.col("text"))
     values = pattern_values(F.col("text"))
     told = F.array_compact(F.array(F.when(F.size("parcels") > 0, "parcels"), *(F.when(F.col(c).isNotNull(), c) for c in ("precinct", "street", "city"))))

@@ -7,14 +7,14 @@ only the choice of a window shuffles, by document. Matches with their places com
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_value
 from ..functions.values import let
-from .extraction import FOOTER, WIDE, scored, windows
+from .extraction import FOOTER, SIGN_WORDS, WIDE, able, may_count, signs, tells_place, worth
 
 #: What numbers, names and places look like, and what leads to them or ends them (group n: the value).
 LETTER, ANY = "A-ZĄĆĘŁŃÓŚŹŻ", r"A-Za-zÀ-ÿĄĆĘŁŃÓŚŹŻąćęłńóśźż0-9 .'-"
@@ -50,6 +50,8 @@ STREET_HEAD = r"(?:ul|ulica|al|alej\w*|pl|plac|os|osiedle|rondo)\.?\s*[:\-]?\s"
 STREET = rf"(?:przy\s+|rejonie\s+)?(?:ul\.?|ulica|al\.?|alej\w*|pl\.?|plac|os\.?|osiedle|rondo)\s*[:\-]?\s+([{LETTER}0-9][A-Za-zÀ-ÿĄĆĘŁŃÓŚŹŻąćęłńóśźż0-9 .'/\-]{{1,90}}?)(?=(?:\s+w\s+[{LETTER}]|\s*[-,]\s*dz\.?|\s+dz\.?|\s+dzia[łl]k|\s+z\s+obr|\s+obr\.?|\s*[,]|\.|$))"
 #: Signs on a street's line (pattern, whether case counts, points), and names that are no city.
 STREET_SIGNS = [(r"po[łl]o[zż]on|dotyczy|inwestycj", False, 3), (r"dzia[łl]k|\bdz\.\b|\bobr", False, 2), (r"\b(?:ul\.?|ulica|al\.?|alej\w*|pl\.?|plac|os\.?|osiedle|rondo)\b", False, 1), (rf"\bw\s+[{LETTER}]", True, 1), (FOOTER, False, -4)]
+#: What each of a line's signs needs (in lower case).
+STREET_SIGN_WORDS = [("położon", "polożon", "połozon", "polozon", "dotyczy", "inwestycj"), ("dzia", "dz.", "obr"), STREET_WORDS, ("w",), SIGN_WORDS["footer"]]
 NO_CITY = ("st", "st.", "m", "m.", "m st", "m. st")
 #: Street and locality references, the line's signs that rank them, the fallbacks in order, and words that are no locality.
 STREET_REF = r"(?:\b(?:ul|al|pl|os)\b\.?|\b(?:ulica|aleja|plac|osiedle)\b)\s*[:\-]?\s*([A-Za-zÀ-ÿĄĆĘŁŃÓŚŹŻąćęłńóśźż0-9 .'-]+?)(?=\s*(?:,|\n|$|\b\d{2}-\d{3}\b|\bw\s+dzielnic\w*\b|\b(?:miejscowość|miejscowosc|miasto|gm\.|gmina|obr[eę]b)\b))"
@@ -75,7 +77,7 @@ def holds(c: Column, *words: str) -> Column:
 
 
 def has(c: Column, pattern: str, cased: bool = False) -> Column:
-    return F.regexp_like(c, F.lit(("(?uU)" if cased else WIDE) + pattern))
+    return c.rlike(("(?uU)" if cased else WIDE) + pattern)
 
 
 def group(c: Column, pattern: str, n: int) -> Column:
@@ -84,16 +86,23 @@ def group(c: Column, pattern: str, n: int) -> Column:
 
 
 def matches(c: Column, pattern: str) -> Column:
-    """All matches, as an array of (at, found): marked in the text, which is then taken apart at the marks."""
+    """All matches, as an array of (at, found)."""
+    return F.transform(lined_matches(c, pattern), lambda m: F.struct(m["at"].alias("at"), m["found"].alias("found")))
+
+
+def lined_matches(c: Column, pattern: str) -> Column:
+    """All matches, as an array of (at, line, found), line counting line ends before: marked in the text, which is then taken apart at the marks."""
     pieces = F.split(F.regexp_replace(c, WIDE + pattern, "\u0001$0\u0002"), "\u0001")
-    none = F.array().cast("array<struct<at: int, found: string>>")
+    none = F.array().cast("array<struct<at: int, line: int, found: string>>")
 
     def placed(pieces: Column) -> Column:
+        ends = lambda piece: F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit("")))
+        place = lambda at, line: F.struct(at.alias("at"), line.alias("line"))
         # Each piece's begin is the one before's and its length, but for the mark of an end.
-        start = F.array(F.length(F.get(pieces, F.lit(0))))
-        after = lambda starts, k: F.array_append(starts, F.element_at(starts, -1) + F.length(F.get(pieces, k)) - 1)
+        start = F.array(let(F.get(pieces, F.lit(0)), lambda piece: place(F.length(piece), ends(piece))))
+        after = lambda starts, k: let(F.get(pieces, k), lambda piece: F.array_append(starts, let(F.element_at(starts, -1), lambda s: place(s["at"] + F.length(piece) - 1, s["line"] + ends(piece)))))
         starts = F.when(F.size(pieces) > 2, F.aggregate(F.sequence(F.lit(1), F.size(pieces) - 2), start, after)).otherwise(start)
-        return F.zip_with(starts, F.slice(pieces, F.lit(2), F.size(pieces)), lambda at, piece: F.struct(at.alias("at"), F.substring_index(piece, "\u0002", 1).alias("found")))
+        return F.zip_with(starts, F.slice(pieces, F.lit(2), F.size(pieces)), lambda s, piece: F.struct(s["at"].alias("at"), s["line"].alias("line"), F.substring_index(piece, "\u0002", 1).alias("found")))
 
     return let(pieces, lambda ps: F.when(F.size(ps) > 1, placed(ps)).otherwise(none))
 
@@ -123,95 +132,229 @@ def like_date(text: Column, at: Column, length: Column) -> Column:
     return has(F.substr(text, first, at + length + 6 - first + 1), DATE)
 
 
-def with_parcels(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows with parcels (array of numbers): a full identifier's, else those after a label, else the first number in a text that speaks of plots."""
+def first_of(items: Column, told, kind: str = "string") -> Column:
+    """told(item) of the first item for which it isn't null; later ones aren't looked at."""
+    return F.aggregate(items, F.lit(None).cast(kind), lambda found, x: F.coalesce(found, told(x)))
+
+
+def joined(c: Column) -> Column:
+    return parcel_number(F.concat(group(c, COMPACT, 1), F.lit("/"), group(c, COMPACT, 2)))
+
+
+def labelled(t: Column, block: Column) -> Column:
+    """The numbers behind a label; one number without a slash may go on after a blank or a dash, within 24 characters."""
+    span = F.substr(t, F.position(block["all"], t), F.length(block["all"]) + 24)
+    near = lambda s: let(F.get(matches(s, COMPACT), F.lit(0)), lambda m: F.when(m.isNotNull() & ~like_date(s, m["at"], F.length(m["found"])), joined(m["found"])))
+
+    def told(listed: Column) -> Column:
+        alone = F.when((F.size(listed) == 1) & ~F.get(listed, F.lit(0)).contains("/"), let(span, near))
+        return F.coalesce(let(alone, lambda x: F.when(x.isNotNull(), F.array(x))), F.when(F.size(listed) > 0, listed))
+
+    return let(parcel_tokens(block["numbers"]), told)
+
+
+def parcels_of(text: Column) -> Column:
+    """The numbers of the plots a text tells: a full identifier's, else those after a label, else the first number in a text that speaks of plots."""
     # Every pattern below needs a slash (full identifiers) or a word for a plot or a precinct; other texts are as good as empty.
-    rows = rows.withColumn("plain_", plain(F.col(text)))
-    able_ = holds(F.col("plain_"), "dz", "obr", "/", "／", "\\")
-    flat = F.regexp_replace(F.translate(F.col(text), "／\\", "//"), r"(?U)\s+", " ")
-    out = rows.withColumn("flat_", F.when(able_, flat).otherwise("")).withColumn("dz_", holds(F.col("plain_"), "dz")).withColumn("slash_", F.col("flat_").contains("/"))
-    t = F.col("flat_")
-    block = F.coalesce(*(F.when(has(t, p), F.struct(F.lit(i).alias("i"), F.regexp_extract(t, WIDE + p, 0).alias("all"), F.regexp_extract(t, WIDE + p, 1).alias("numbers"))) for i, p in enumerate(BLOCKS)))
-    out = out.withColumn("full_", F.when(F.col("slash_"), parcel_number(group(t, FULL_ID, 1)))).withColumn("block_", F.when(F.col("dz_") & F.col("full_").isNull(), block))
-    out = out.withColumn("listed_", parcel_tokens(F.col("block_.numbers")))
-    # One number without a slash may go on after a blank or a dash, within 24 characters.
-    span = F.substr(t, F.expr("locate(block_.all, flat_)"), F.length("block_.all") + 24)
-    out = out.withColumn("span_", F.when((F.size("listed_") == 1) & ~F.get("listed_", F.lit(0)).contains("/"), span))
-    near = F.get(matches(F.col("span_"), COMPACT), F.lit(0))
-    out = out.withColumn("near_", F.when(F.col("span_").isNotNull(), near))
-    joined = lambda c: parcel_number(F.concat(group(c, COMPACT, 1), F.lit("/"), group(c, COMPACT, 2)))
-    compact = F.when(F.col("near_").isNotNull() & ~like_date(F.col("span_"), F.col("near_.at"), F.length("near_.found")), joined(F.col("near_.found")))
-    out = out.withColumn("told_", F.when(F.col("full_").isNotNull(), F.array("full_")).when(compact.isNotNull(), F.array(compact)).when(F.size("listed_") > 0, F.col("listed_")))
-    spoken = F.col("told_").isNull() & (t != "") & has(t, HINT)
-    able = lambda pattern, name: F.filter(F.transform(matches(t, pattern), lambda m: F.struct(m["at"].alias("at"), m["found"].alias("found"), name(m["found"]).alias("number"))), lambda m: m["number"].isNotNull() & (F.length(m["number"]) > 1) & ~m["number"].isin("00", "000", "0000") & ~like_date(t, m["at"], F.length(m["found"])))
-    out = out.withColumn("inline_", F.when(spoken, F.get(able(INLINE, parcel_number), F.lit(0))))
-    # At last two numbers with a blank, a dash or a stop between them, unless they belong to a date.
-    apart = F.filter(matches(t, COMPACT), lambda m: ~like_date(t, m["at"], F.length(m["found"])))
-    out = out.withColumn("apart_", F.when(spoken & F.col("inline_").isNull(), joined(F.get(apart, F.lit(0))["found"])))
-    one = F.coalesce("inline_.number", "apart_")
-    out = out.withColumn("parcels", F.coalesce("told_", F.when(one.isNotNull(), F.array(one)), F.array().cast("array<string>")))
-    return out.drop("flat_", "full_", "block_", "listed_", "span_", "near_", "told_", "inline_", "apart_", "dz_", "slash_", "plain_")
-
-
-def with_precinct(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows with precinct_number and precinct (number and name where both are told)."""
-    # Heads need br, brackets a bracket; what has neither is as good as empty.
-    t = F.col("text_")
-    rows = rows.withColumn("text_", F.when(holds(plain(F.col(text)), "br", "("), F.col(text)).otherwise("")).withColumn("br_", holds(plain(F.col("text_")), "br"))
-    numbered, named, bracket = F.col("br_") & has(t, PRECINCT_NUMBERED), F.col("br_") & has(t, PRECINCT_NAMED), has(t, PRECINCT_BRACKETS)
-    out = rows.withColumn("number_", F.when(numbered, tidy(F.regexp_extract(t, WIDE + PRECINCT_NUMBERED, 1))).when(~named & bracket, tidy(F.regexp_extract(t, WIDE + PRECINCT_BRACKETS, 1))))
-    out = out.withColumn("name_", F.when(numbered, tidy(F.regexp_extract(t, WIDE + PRECINCT_NUMBERED, 2))).when(named, tidy(F.regexp_extract(t, WIDE + PRECINCT_NAMED, 1))))
-    return out.withColumn("precinct_number", F.col("number_")).withColumn("precinct", F.nullif(F.concat_ws(" – ", "number_", "name_"), F.lit(""))).drop("number_", "name_", "text_", "br_")
-
-
-def with_city(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows with city: by the first kind of phrase that names one."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    named = lambda p: F.regexp_replace(tidy(group(t, p, 1)), r"(?i)^m\.\s*", "")
+    none = F.array().cast("array<string>")
+    flat = F.regexp_replace(F.translate(text, "／\\", "//"), r"(?U)\s+", " ")
+
+    def told(t: Column, dz: Column) -> Column:
+        one = lambda c: let(c, lambda x: F.when(x.isNotNull(), F.array(x)))
+        block = F.coalesce(*(F.when(has(t, p), F.struct(F.lit(i).alias("i"), F.regexp_extract(t, WIDE + p, 0).alias("all"), F.regexp_extract(t, WIDE + p, 1).alias("numbers"))) for i, p in enumerate(BLOCKS)))
+        usable = lambda m: let(parcel_number(m["found"]), lambda x: F.when((F.length(x) > 1) & ~x.isin("00", "000", "0000") & ~like_date(t, m["at"], F.length(m["found"])), x))
+        # At last two numbers with a blank, a dash or a stop between them, unless they belong to a date.
+        apart = first_of(matches(t, COMPACT), lambda m: F.when(~like_date(t, m["at"], F.length(m["found"])), m["found"]))
+        spoken = F.when((t != "") & has(t, HINT), F.coalesce(first_of(matches(t, INLINE), usable), let(apart, joined)))
+        return F.coalesce(one(F.when(t.contains("/"), parcel_number(group(t, FULL_ID, 1)))), F.when(dz, let(block, lambda b: F.when(b.isNotNull(), labelled(t, b)))), one(spoken))
+
+    able_ = lambda low: F.when(holds(low, "dz", "obr", "/", "／", "\\"), let(flat, lambda t: told(t, holds(low, "dz"))))
+    return F.coalesce(let(plain(text), able_), none)
+
+
+def precinct_of(text: Column) -> Column:
+    """precinct (number and name where both are told) and precinct_number; both may be null."""
+
+    def told(t: Column, low: Column) -> Column:
+        # Heads need obr or 0br, brackets a bracket.
+        headed = holds(low, "obr", "0br")
+        parts = lambda number, name: F.struct(number.alias("number"), name.alias("name"))
+        nothing, of = F.lit(None).cast("string"), lambda p, n: tidy(F.regexp_extract(t, WIDE + p, n))
+        return F.when(headed & has(t, PRECINCT_NUMBERED), parts(of(PRECINCT_NUMBERED, 1), of(PRECINCT_NUMBERED, 2))).when(headed & has(t, PRECINCT_NAMED), parts(nothing, of(PRECINCT_NAMED, 1))).when(low.contains("(") & has(t, PRECINCT_BRACKETS), parts(of(PRECINCT_BRACKETS, 1), nothing))
+
+    both = let(F.coalesce(text, F.lit("")), lambda t: let(plain(t), lambda low: told(t, low)))
+    return let(both, lambda x: F.struct(F.nullif(F.concat_ws(" – ", x["number"], x["name"]), F.lit("")).alias("precinct"), x["number"].alias("precinct_number")))
+
+
+def city_of(text: Column) -> Column:
+    """The city by the first kind of phrase that names one."""
     usable = lambda c: F.when(~F.lower(c).isin(*NO_CITY) & (F.length(c) > 2), c)
-    out = rows.withColumn("low_", plain(t))
-    for i, (pattern, words) in enumerate(zip(CITIES, CITY_WORDS)):
-        out = out.withColumn(f"city{i}_", F.when(reduce(and_, (~F.col(f"city{k}_").isNotNull() for k in range(i)), holds(F.col("low_"), *words)), let(named(pattern), usable)))
-    return out.withColumn("city", F.coalesce(*(f"city{i}_" for i in range(len(CITIES))))).drop("low_", *(f"city{i}_" for i in range(len(CITIES))))
 
+    def told(t: Column, low: Column) -> Column:
+        named = lambda p: F.regexp_replace(tidy(group(t, p, 1)), r"(?i)^m\.\s*", "")
+        return F.coalesce(*(F.when(holds(low, *words), let(named(p), usable)) for p, words in zip(CITIES, CITY_WORDS)))
+
+    return let(F.coalesce(text, F.lit("")), lambda t: let(plain(t), lambda low: told(t, low)))
+
+
+def line_points(line: Column) -> Column:
+    """What the signs on a street's line are worth."""
+    return let(F.lower(line), lambda low: sum((F.when(holds(low, *words) & has(line if cased else low, p, True), n).otherwise(0) for (p, cased, n), words in zip(STREET_SIGNS, STREET_SIGN_WORDS)), F.lit(0)))
+
+
+def street_of(text: Column) -> Column:
+    """Of all streets the one whose line has the most points, the last of equals; none below -2."""
+
+    def told(t: Column) -> Column:
+        after = lambda m: F.substring_index(F.substr(t, m["at"] + F.length(m["found"]) + 1, F.length(t)), "\n", 1)
+
+        def judged(m: Column, points: Column) -> Column:
+            # A street on one line has that line's points, which are counted once a line; one across a line's end has its own.
+            before = F.substring_index(F.substr(t, F.lit(1), m["at"]), "\n", -1)
+            own = F.when(m["found"].contains("\n"), line_points(F.concat(before, m["found"], after(m)))).otherwise(F.get(points, m["line"]))
+            return F.struct((-own).alias("points"), (-m["at"]).alias("at"), m["found"].alias("found"))
+
+        def best(points: Column, found: Column) -> Column:
+            ranked = F.array_sort(F.filter(F.transform(found, lambda m: judged(m, points)), lambda x: x["points"] <= 2))
+            place = lambda x: F.struct((-x["at"]).alias("at"), x["found"].alias("found"))
+            # Names are read in order of rank until there is one.
+            name = lambda m: tidy(F.regexp_replace(F.regexp_extract(F.concat(m["found"], after(m)), WIDE + STREET, 1), r"(?iu)^(?:ul\.?|ulica)\s+", ""))
+            return first_of(ranked, lambda x: let(place(x), name))
+
+        lined = lambda found: let(F.array_distinct(F.transform(found, lambda m: m["line"])), lambda ns: F.transform(F.split(t, "\n"), lambda line, i: F.when(F.array_contains(ns, i), line_points(line))))
+        return let(lined_matches(t, STREET), lambda found: F.when(F.size(found) > 0, let(lined(found), lambda points: best(points, found))))
 
-def with_street(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows with street: of all streets the one whose line has the most points, the last of equals; none below -2."""
-    t = F.coalesce(F.col(text), F.lit(""))
-
-    def points(line: Column) -> Column:
-        both = F.struct(line.alias("line"), F.lower(line).alias("low"))
-        return let(both, lambda x: sum((F.when(has(x["line"] if cased else x["low"], p, True), n).otherwise(0) for p, cased, n in STREET_SIGNS), F.lit(0)))
-
-    def judged(m: Column) -> Column:
-        before, after = F.substr(t, F.lit(1), m["at"]), F.substring_index(F.substr(t, m["at"] + F.length(m["found"]) + 1, F.length(t)), "\n", 1)
-        # A street on one line has that line's points, which are counted once a line; one across a line's end has its own.
-        own = F.get("points_", F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))))
-        worth = F.when(m["found"].contains("\n"), points(F.concat(F.substring_index(before, "\n", -1), m["found"], after))).otherwise(own)
-        name = tidy(F.regexp_replace(F.regexp_extract(F.concat(m["found"], after), WIDE + STREET, 1), r"(?iu)^(?:ul\.?|ulica)\s+", ""))
-        return F.struct(worth.alias("points"), m["at"].alias("at"), name.alias("street"))
-
-    best = F.array_max(F.filter(F.transform(F.col("streets_"), judged), lambda x: x["street"].isNotNull()))
     # A street's word needs a blank behind it, after a stop or a mark; the cheap pattern tells texts without one.
-    able_ = holds(plain(t), *STREET_WORDS) & has(t, STREET_HEAD)
-    none = F.array().cast("array<struct<at: int, found: string>>")
-    out = rows.withColumn("streets_", F.when(able_, matches(t, STREET)).otherwise(none)).withColumn("points_", F.when(F.size("streets_") > 0, F.transform(F.split(t, "\n"), points))).withColumn("best_", best)
-    return out.withColumn("street", F.when(F.col("best_.points") >= -2, F.col("best_.street"))).drop("streets_", "points_", "best_")
+    return let(F.coalesce(text, F.lit("")), lambda t: F.when(holds(plain(t), *STREET_WORDS) & has(t, STREET_HEAD), told(t)))
 
 
-def bundles(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows with parcels, precinct, precinct_number, street, city and present (how many of the four are told)."""
-    out = with_street(with_city(with_precinct(with_parcels(rows, text), text), text), text)
-    told = [F.size("parcels") > 0, F.col("precinct").isNotNull(), F.col("street").isNotNull(), F.col("city").isNotNull()]
-    return out.withColumn("present", sum((x.cast("int") for x in told), F.lit(0)))
+def with_parcels(rows: DataFrame, text: str = "text") -> DataFrame:
+    """rows with parcels, as parcels_of."""
+    return rows.withColumn("parcels", parcels_of(F.col(text)))
+
+
+def with_street(rows: DataFrame, text: str = "text") -> DataFrame:
+    """rows with street, as street_of."""
+    return rows.withColumn("street", street_of(F.col(text)))
 
 
 KINDS = ["parcels", "precinct", "precinct_number", "street", "city"]
+BUNDLE = "struct<parcels: array<string>, precinct: string, precinct_number: string, street: string, city: string, present: int>"
+#: What each kind of field takes along, and how a text tells it (null where it doesn't).
+GROUPS = {"parcels": ["parcels"], "precinct": ["precinct", "precinct_number"], "street": ["street"], "city": ["city"]}
+GROUP_TYPES = {"parcels": "array<string>", "precinct": "struct<precinct: string, precinct_number: string>", "street": "string", "city": "string"}
+TELLS = {
+    "parcels": lambda t: let(parcels_of(t), lambda x: F.when(F.size(x) > 0, x)), "precinct": lambda t: let(precinct_of(t), lambda x: F.when(x["precinct"].isNotNull(), x)),
+    "street": street_of, "city": city_of,
+}
+
+
+def bundle(text: Column) -> Column:
+    """parcels, precinct, precinct_number, street, city and present (how many of the four are told)."""
+    told = F.struct(*(tell(text).alias(k) for k, tell in TELLS.items()))
+    present = lambda x: sum((x[k].isNotNull().cast("int") for k in GROUPS), F.lit(0))
+    fields = lambda x: F.struct(F.coalesce(x["parcels"], F.array().cast("array<string>")).alias("parcels"), x["precinct"]["precinct"].alias("precinct"), x["precinct"]["precinct_number"].alias("precinct_number"), x["street"].alias("street"), x["city"].alias("city"), present(x).alias("present"))
+    return let(told, fields)
 
 
-def main_order(*more) -> Column:
-    """What makes a window the better one: what is given, then its score, its told fields and an early place."""
-    return F.struct(*more, "score", "present", -F.greatest(F.lit(0), F.col("n") - F.col("radius")), -F.col("n"), -F.col("radius"))
+def complete(text: Column) -> Column:
+    """bundle of a text that tells all four, else null; the rarer fields are looked for first."""
+    got = lambda x, then: F.when(x.isNotNull(), then)
+    whole = lambda p, n, s, c: F.struct(n.alias("parcels"), p["precinct"].alias("precinct"), p["precinct_number"].alias("precinct_number"), s.alias("street"), c.alias("city"), F.lit(4).alias("present"))
+    return let(TELLS["precinct"](text), lambda p: got(p, let(TELLS["parcels"](text), lambda n: got(n, let(city_of(text), lambda c: got(c, let(street_of(text), lambda s: got(s, whole(p, n, s, c)))))))))
+
+
+class Page:
+    """A page's lines that aren't blank, in a row of its own, and the windows over them: each line with its neighbours up to one and up to two lines away.
+
+    A window's number is 2 * line + radius - 1. Its text is put together only where it is looked at.
+    """
+
+    def __init__(self, lines: Column):
+        self.kept, self.lows = lines["kept"], lines["lows"]
+
+    @staticmethod
+    def of(text: Column, then) -> Column:
+        """then(page), its lines split once."""
+        # Literal ends of lines are found far faster than a pattern of all kinds.
+        plain_ends = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+        kept = lambda c: F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+        return let(plain_ends, lambda t: let(F.struct(kept(t).alias("kept"), kept(F.lower(t)).alias("lows")), lambda lines: then(Page(lines))))
+
+    def joined(self, lines: Column, n: Column, radius: Column) -> Column:
+        first = F.greatest(n - radius, F.lit(0))
+        return F.array_join(F.slice(lines, first + 1, n + radius - first + 1), "\n")
+
+    def text(self, w: Column) -> Column:
+        return self.joined(self.kept, w["n"], w["radius"])
+
+    def where(self, test) -> Column:
+        """The numbers of the windows that hold a line, given as it is and in lower case, with test."""
+        at = F.array_compact(F.transform(self.lows, lambda low, i: F.when(test(F.get(self.kept, i), low), i)))
+        near = F.flatten(F.transform(at, lambda p: F.array(*(2 * (p + by) + radius - 1 for radius in (1, 2) for by in range(-radius, radius + 1)))))
+        return F.array_distinct(F.filter(near, lambda w: (w >= 0) & (w < 2 * F.size(self.kept))))
+
+    def judged(self, windows: Column) -> Column:
+        """n, radius, start, score, subject and footer of numbered windows."""
+
+        def one(w: Column) -> Column:
+            n, radius = F.shiftright(w, 1), w % 2 + 1
+            shown = lambda s: F.struct(n.alias("n"), radius.alias("radius"), F.greatest(F.lit(0), n - radius).alias("start"), worth(s).alias("score"), tells_place(s).alias("subject"), s["footer"].alias("footer"))
+            return let(signs(self.joined(self.kept, n, radius), self.joined(self.lows, n, radius)), shown)
+
+        return F.transform(windows, one)
+
+    def all_judged(self) -> Column:
+        """judged of all windows; those without a line that may count aren't searched."""
+        every = F.when(F.size(self.kept) > 0, F.sequence(F.lit(0), 2 * F.size(self.kept) - 1)).otherwise(F.array().cast("array<int>"))
+        n, radius = lambda w: F.shiftright(w, 1), lambda w: w % 2 + 1
+        unsigned = lambda w: F.struct(n(w).alias("n"), radius(w).alias("radius"), F.greatest(F.lit(0), n(w) - radius(w)).alias("start"), F.lit(0).alias("score"), F.lit(False).alias("subject"), F.lit(False).alias("footer"))
+        return let(self.where(lambda line, low: may_count(low)), lambda some: F.concat(self.judged(some), F.transform(F.array_except(every, some), unsigned)))
+
+    def main(self) -> Column:
+        """The best window, as order (the less the better), its score, subject and footer, and its bundle.
+
+        A subject window comes before one without a footer, that before any other; then the highest score, most told fields and earliest place.
+        """
+        keyed = lambda ws: F.array_sort(F.transform(ws, lambda w: F.struct(F.when(w["subject"], 0).when(~w["footer"], 1).otherwise(2).alias("rank"), (-w["score"]).alias("score"), w["start"].alias("start"), w["n"].alias("n"), w["radius"].alias("radius"), w["subject"].alias("subject"), w["footer"].alias("footer"))))
+        alike = lambda ws: F.filter(ws, lambda w: (w["rank"] == F.get(ws, F.lit(0))["rank"]) & (w["score"] == F.get(ws, F.lit(0))["score"]))
+        none = F.lit(None).cast(f"struct<rank: int, score: int, absent: int, start: int, n: int, radius: int, subject: boolean, footer: boolean, told: {BUNDLE}>")
+
+        def better(found: Column, w: Column) -> Column:
+            row = lambda b: F.struct(w["rank"].alias("rank"), w["score"].alias("score"), (4 - b["present"]).alias("absent"), w["start"].alias("start"), w["n"].alias("n"), w["radius"].alias("radius"), w["subject"].alias("subject"), w["footer"].alias("footer"), b.alias("told"))
+            tried = let(bundle(self.text(w)), lambda b: F.when(found.isNull() | (4 - b["present"] < found["absent"]), row(b)).otherwise(found))
+            return F.when(found["absent"] == 0, found).otherwise(tried)
+
+        # A subject window speaks of a precinct, so it holds a line that does.
+        subjects = F.filter(self.judged(self.where(lambda line, low: able(low, SIGN_WORDS["precinct"]))), lambda w: w["subject"])
+        best = lambda ws: F.aggregate(let(keyed(ws), alike), none, better)
+        return best(let(subjects, lambda ws: F.when(F.size(ws) > 0, ws).otherwise(self.all_judged())))
+
+    def full(self) -> Column:
+        """The best window that tells all four: its order and its bundle."""
+        possible = self.where(lambda line, low: holds(low, "obr", "0br") | (low.contains("(") & has(line, PRECINCT_BRACKETS)))
+        ranked = F.array_sort(F.transform(self.judged(possible), lambda w: F.struct((-w["score"]).alias("score"), w["start"].alias("start"), w["n"].alias("n"), w["radius"].alias("radius"))))
+        told = lambda w: let(complete(self.text(w)), lambda b: F.when(b.isNotNull(), F.struct(w.alias("w"), b.alias("told"))))
+        return first_of(ranked, told, f"struct<w: struct<score: int, start: int, n: int, radius: int>, told: {BUNDLE}>")
+
+    def elsewhere(self, lacking: dict[str, Column]) -> Column:
+        """Of each kind that is lacking the first window's, in order of their scores, with that order."""
+        ranked = F.array_sort(F.transform(self.all_judged(), lambda w: F.struct((-w["score"]).alias("score"), w["n"].alias("n"), w["radius"].alias("radius"))))
+        told = lambda w, k: let(TELLS[k](self.text(w)), lambda x: F.when(x.isNotNull(), F.struct(w.alias("w"), x.alias("told"))))
+        kind = lambda k: f"struct<w: struct<score: int, n: int, radius: int>, told: {GROUP_TYPES[k]}>"
+        return let(ranked, lambda ws: F.struct(*(F.when(lacks, first_of(ws, lambda w, k=k: told(w, k), kind(k))).alias(k) for k, lacks in lacking.items())))
+
+
+def first_pages() -> Column:
+    """The texts of a document's page 1, in a row; of equal numbers all count."""
+    return F.array_sort(F.collect_list(F.when(F.col("page") == 1, F.col("text"))))
+
+
+def with_main(rows: DataFrame) -> DataFrame:
+    """rows with main: the fields and marks of the subject window of the texts in first_, null without one."""
+    best = F.array_min(F.transform("first_", lambda t: Page.of(t, Page.main)))
+    marks = lambda x: F.when(x.isNotNull(), F.struct(x["told"].alias("told"), (-x["score"]).alias("score"), x["subject"].alias("qualified"), x["footer"].alias("has_footer")))
+    return rows.withColumn("main", let(best, marks))
 
 
 def trusted(out: DataFrame) -> DataFrame:
@@ -222,24 +365,25 @@ def trusted(out: DataFrame) -> DataFrame:
     return out.withColumn("confidence", sure).withColumn("accepted", (missing == 0) & (sure >= 0.45) & F.col("qualified") & ~F.col("has_footer")).drop("has_footer")
 
 
+def located(rows: DataFrame, *more: str) -> DataFrame:
+    """locations of documents in a row each, whose page 1 is in first_; more: columns to keep."""
+    full = F.array_min(F.transform("first_", lambda t: Page.of(t, Page.full)))["told"]
+    out = with_main(rows).withColumn("used", F.coalesce(F.when(F.col("main.told.present") < 4, full), F.col("main.told")))
+    return trusted(out.select("doc_id", *more, *(F.col(f"used.{k}").alias(k) for k in KINDS), *marked()))
+
+
+def marked() -> list[Column]:
+    return [F.coalesce(f"main.{c}", F.lit(other)).alias(c) for c, other in (("score", 0), ("qualified", False), ("has_footer", False))]
+
+
 def locations(pages: DataFrame) -> DataFrame:
     """doc_id, parcels, precinct, precinct_number, street, city, score, qualified, confidence, accepted, by the windows of page 1.
 
     The subject window is a qualified one (parcel, precinct and a place), else one without a footer, else any; of these the highest score,
     most told fields and earliest line. If it doesn't tell all four, the best window that does takes its place; its score stays the measure.
-    accepted: all but the street told, sure to 0.45, qualified and without a footer.
+    accepted: all but the street told, sure to 0.45, qualified and without a footer. A document is one row; only windows that may win are read.
     """
-    told = bundles(scored(windows(pages.where("page = 1"))).withColumn("qualified", F.col("subject")))
-    row = F.struct(*KINDS, "present", "score", "qualified", "has_footer")
-    best = told.groupBy("doc_id").agg(F.max_by(row, main_order("qualified", F.col("qualified") | ~F.col("has_footer"))).alias("main"), F.max_by(row, F.when(F.col("present") == 4, main_order())).alias("full"))
-    out = best.withColumn("used", F.when((F.col("main.present") < 4) & F.col("full").isNotNull(), F.col("full")).otherwise(F.col("main")))
-    return trusted(every_document(pages, out, {k: F.col(f"used.{k}") for k in KINDS}))
-
-
-def every_document(pages: DataFrame, out: DataFrame, fields: dict[str, Column]) -> DataFrame:
-    told = pages.select("doc_id").distinct().join(out.hint("merge"), "doc_id", "left")
-    unsure = lambda c, other: F.coalesce(f"main.{c}", F.lit(other)).alias(c)
-    return told.select("doc_id", *(c.alias(k) for k, c in fields.items()), unsure("score", 0), unsure("qualified", False), unsure("has_footer", False))
+    return located(pages.groupBy("doc_id").agg(first_pages().alias("first_")))
 
 
 def merged_locations(pages: DataFrame) -> DataFrame:
@@ -247,28 +391,25 @@ def merged_locations(pages: DataFrame) -> DataFrame:
 
     A field comes from the other windows in order of their scores, else from the whole first page, else from all pages together, the first
     that tells it; a precinct brings its number along. sources: where parcels, precinct, street and city are from (subject, window, page,
-    document, or nothing). Documents whose windows tell all four aren't read again. A document's pages are one text for the last step.
+    document, or nothing). Only what is still lacking is looked for, step by step. A document's pages are one text for the last step.
     """
-    told = bundles(scored(windows(pages.where("page = 1"))).withColumn("qualified", F.col("subject")))
-    groups = {"parcels": ["parcels"], "precinct": ["precinct", "precinct_number"], "street": ["street"], "city": ["city"]}
-    given = {k: F.size("parcels") > 0 if k == "parcels" else F.col(k).isNotNull() for k in groups}
-    later = F.struct(-F.col("score"), "n", "radius")
-    best = told.groupBy("doc_id").agg(F.max_by(F.struct(*KINDS, "present", "score", "qualified", "has_footer"), main_order("qualified", F.col("qualified") | ~F.col("has_footer"))).alias("main"), *(F.min_by(F.struct(*cs), F.when(given[k], later)).alias(f"w_{k}") for k, cs in groups.items()))
-    lacking = F.coalesce(sum((F.when(F.col(f"w_{k}").isNotNull(), 1).otherwise(0) for k in groups), F.lit(0)) < 4, F.lit(True))
-    known = pages.select("doc_id").distinct().join(best.hint("merge"), "doc_id", "left").withColumn("lacking_", lacking)
-    left = pages.join(known.where("lacking_").select("doc_id").hint("merge"), "doc_id", "left_semi")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))), lambda p: p["text"]), "\n")
-    for name, rows in (("p", left.where("page = 1")), ("d", left.groupBy("doc_id").agg(text.alias("text")))):
-        whole = bundles(rows).select("doc_id", *(F.when(given[k], F.struct(*cs)).alias(f"{name}_{k}") for k, cs in groups.items()))
-        known = known.join(whole.hint("merge"), "doc_id", "left")
-    own = {k: F.when(F.size("main.parcels") > 0 if k == "parcels" else F.col(f"main.{k}").isNotNull(), F.struct(*(F.col(f"main.{c}").alias(c) for c in cs))) for k, cs in groups.items()}
-    for k in groups:
-        known = known.withColumn(f"f_{k}", F.coalesce(own[k], f"w_{k}", f"p_{k}", f"d_{k}"))
-    source = lambda k: F.struct(F.when(own[k].isNotNull(), "subject").when(F.col(f"w_{k}").isNotNull(), "window").when(F.col(f"p_{k}").isNotNull(), "page").when(F.col(f"d_{k}").isNotNull(), "document").alias(k))[k].alias(k)
-    sources = known.select("doc_id", F.struct(*map(source, groups)).alias("sources"))
-    fields = {c: F.col(f"f_{k}.{c}") for k, cs in groups.items() for c in cs}
-    fields["parcels"] = F.coalesce(fields["parcels"], F.array().cast("array<string>"))
-    return trusted(every_document(pages, known, {k: fields[k] for k in KINDS})).join(sources.hint("merge"), "doc_id")
+    own = {"parcels": F.when(F.size("main.told.parcels") > 0, F.col("main.told.parcels")), "precinct": F.when(F.col("main.told.precinct").isNotNull(), F.struct("main.told.precinct", "main.told.precinct_number")), "street": F.col("main.told.street"), "city": F.col("main.told.city")}
+    rows = with_main(pages.groupBy("doc_id").agg(first_pages().alias("first_"), F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))).alias("pages_")))
+    lacking = {k: c.isNull() for k, c in own.items()}
+    found = F.transform("first_", lambda t: Page.of(t, lambda page: page.elsewhere(lacking)))
+    rows = rows.withColumn("windows_", F.when(reduce(or_, lacking.values()), found))
+    near = {k: F.array_min(F.col(f"windows_.{k}"))["told"] for k in GROUPS}
+    rows = rows.withColumns({f"w_{k}": F.coalesce(own[k], near[k]) for k in GROUPS}).withColumns({f"own_{k}": lacks for k, lacks in lacking.items()})
+    # What no window tells is looked for in the first page, then in all pages.
+    texts = F.concat(F.transform("first_", lambda t: F.struct(F.lit("page").alias("source"), t.alias("text"))), F.array(F.struct(F.lit("document").alias("source"), F.array_join(F.transform("pages_", lambda p: p["text"]), "\n").alias("text"))))
+    told = lambda x, k: let(TELLS[k](x["text"]), lambda v: F.when(v.isNotNull(), F.struct(x["source"].alias("source"), v.alias("told"))))
+    rest = {k: F.when(F.col(f"w_{k}").isNull(), first_of(F.col("texts_"), lambda x, k=k: told(x, k), f"struct<source: string, told: {GROUP_TYPES[k]}>")).alias(f"t_{k}") for k in GROUPS}
+    rows = rows.withColumn("texts_", texts).select("doc_id", "main", *(f"own_{k}" for k in GROUPS), *(f"w_{k}" for k in GROUPS), *rest.values())
+    f = {k: F.coalesce(f"w_{k}", f"t_{k}.told") for k in GROUPS}
+    fields = {"parcels": F.coalesce(f["parcels"], F.array().cast("array<string>")), "precinct": f["precinct"]["precinct"], "precinct_number": f["precinct"]["precinct_number"], "street": f["street"], "city": f["city"]}
+    source = lambda k: F.when(~F.col(f"own_{k}"), "subject").when(F.col(f"w_{k}").isNotNull(), "window").otherwise(F.col(f"t_{k}.source")).alias(k)
+    sources = F.struct(*map(source, GROUPS)).alias("sources")
+    return trusted(rows.select("doc_id", *(fields[k].alias(k) for k in KINDS), *marked(), sources)).select("doc_id", *KINDS, "score", "qualified", "confidence", "accepted", "sources")
 
 
 def ranked_references(pages: DataFrame, pattern: str, name: str, priority) -> DataFrame:

@@ -119,3 +119,23 @@ def test_many_streets_on_a_long_line(spark):
     began = time.time()
     got = L.with_street(spark.createDataFrame([(text,), ("ul. Stara 1,\ndziałka przy ul. Nowej 2, x",)], "text string")).collect()
     assert [r["street"] for r in got] == ["Nowa 499", "Nowej 2"] and time.time() - began < 60
+
+
+def test_a_document_is_one_row(spark):
+    """Where two rows are a document's page 1, its best window is told once; texts aren't joined to what is found in them."""
+    place = "działka nr ewid. 5/6 obręb 0011 – Borek, położona w Pile"
+    pages = spark.createDataFrame([(1, 1, "nic tu nie ma"), (1, 1, place), (2, 2, "położona w Opolu"), (2, 1, "wiersz")], "doc_id long, page int, text string")
+    for f in (L.locations, L.merged_locations):
+        got = f(pages)
+        rows = sorted((r["doc_id"], tuple(r["parcels"]), r["city"]) for r in got.collect())
+        assert rows == [(1, ("5/6",), "Pile"), (2, (), "Opolu" if f is L.merged_locations else None)]
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_many_streets_of_a_whole_text(spark):
+    """Names are read from the best place on until one is told; the best line's last street wins, across line ends too."""
+    text = "\n".join(f"al. Nowa {i}, potem ul.\nStara {i}, koniec" for i in range(1_500))
+    began = time.time()
+    rows = spark.createDataFrame([(text + "\ndotyczy ul. Lipowej 4, działka",), (text,), ("tel. 1, ul. Polna 3, x",), (None,)], "text string")
+    got = [r["street"] for r in L.with_street(rows).collect()]
+    assert got == ["Lipowej 4", "Stara 1499", None, None] and time.time() - began < 60
