@@ -28,13 +28,8 @@ def drawn(s, d):
 
 
 def sets(s, d):
-    plots = shaped(s, d)
-    own = R.filled(plots, ["plot_id"], "ring")
-    other = R.filled(plots.select("plot_id", G.rectangle(F.col("x0") + 5, F.col("y0") + 7, F.col("x1") + 5, F.col("y1") + 7).alias("ring")), ["plot_id"], "ring")
-    keys, out = ["plot_id"], plots.select("plot_id")
-    for name, runs in (("both", R.united([own, other], keys)), ("common", R.common(own, other, keys)), ("rest", R.without(own, other, keys))):
-        out = out.join(R.areas(runs, keys, name).hint("merge"), "plot_id", "left")
-    return out
+    moved = G.rectangle(F.col("x0") + 5, F.col("y0") + 7, F.col("x1") + 5, F.col("y1") + 7)
+    return R.set_areas(shaped(s, d).withColumn("other", moved), "ring", "other")
 
 
 def constraints(s, d):
@@ -44,7 +39,7 @@ def constraints(s, d):
 
 QUERIES = {
     "u4_shape_sets": sets,
-    "g10_site_buffer": lambda s, d: R.areas(R.buffered_plots(shaped(s, d), "ring", F.element_at(F.array(F.lit(0.0), F.lit(10.0), F.lit(None).cast("double")), (F.col("plot_id") % 3 + 1).cast("int")), 2.0), ["plot_id"], "area", 2.0),
+    "g10_site_buffer": lambda s, d: R.buffered_areas(shaped(s, d), "ring", F.element_at(F.array(F.lit(0.0), F.lit(10.0), F.lit(None).cast("double")), (F.col("plot_id") % 3 + 1).cast("int")), 2.0),
     "g21_shape_zones": lambda s, d: R.zone_areas_on(shaped(s, d), "ring", features(s, d)),
     "g22_shape_envelopes": lambda s, d: R.buildable_zones(shaped(s, d), "ring", features(s, d)),
     "j2_shape_relations": lambda s, d: O.ring_relations(drawn(s, d), shaped(s, d)),

@@ -143,3 +143,26 @@ def test_plan_rules_try_their_three_limits_only(spark):
     out = extraction.plan_rules(pages)
     assert out.select("doc_id", "parcel", "height", "bio", "coverage").collect() == [(1, "12/3", 9.5, 25.0, 30.0)]
     assert "dach" not in out._jdf.queryExecution().optimizedPlan().toString() and {r["field_key"] for r in extraction.fields(pages).collect()} > {r["field_key"] for r in extraction.fields(pages, ["roofType"]).collect()} == {"roofType"}
+
+
+def test_areas_across_bands(spark, monkeypatch):
+    """Plots across bands and batches, a long one, a repeated one and one with a point that has no place; the others' areas don't change by it."""
+    from terrafold.operators import runs as R
+
+    monkeypatch.setattr(R, "AT_ONCE", 3_000)
+    nan = float("nan")
+    boxes = [(1, 0.0, 1000.0, 20.0, 1050.0), (2, 3.0, -10.0, 23.0, 3990.0), (3, 0.0, 0.0, nan, 30.0), (4, 5.0, 5.0, 35.0, 45.0), (5, 0.0, 0.0, 10.0, 10.0), (5, 5.0, 0.0, 15.0, 10.0)] + [(i, 0.0, 100.0, 12.0, 112.0) for i in range(6, 60)]
+    plots = spark.createDataFrame(boxes, "plot_id long, x0 double, y0 double, x1 double, y1 double").withColumn("ring", G.rectangle("x0", "y0", "x1", "y1"))
+    zones = spark.createDataFrame([(1, "no_build_zone", 0.0, 1020.0, 20.0, 1030.0), (4, "road_edge", 0.0, 0.0, 99.0, 99.0), (99, "tree", 0.0, 0.0, 0.0, 0.0)], "plot_id long, layer_key string, fx0 double, fy0 double, fx1 double, fy1 double")
+    got = {r[0]: tuple(r)[1:] for r in R.buildable_zones(plots, "ring", zones).collect()}
+    assert got[1] == (1000, 12 * 32, 12 * 32, 2 * 10 * 14) and got[2] == (80_000, 12 * 3992, 12 * 3992, 10 * 3990)
+    assert got[3] == (0, 0, 0, 0) and got[4] == (1200, 22 * 32, 22 * 32, 20 * 30) and got[6] == got[59] == (144, 16, 16, 4)
+    other = G.rectangle(F.col("x0") + 5, F.col("y0") + 7, F.col("x1") + 5, F.col("y1") + 7)
+    rows = [tuple(r) for r in R.set_areas(plots.withColumn("other", other), "ring", "other").collect()]
+    sets = {r[0]: r[1:] for r in rows}
+    assert sets[1] == (2000 - 15 * 43, 15 * 43, 1000 - 15 * 43) and sets[2] == (160_000 - 15 * 3993, 15 * 3993, 80_000 - 15 * 3993) and sets[3] == (None,) * 3
+    assert sets[5] == (300 - 10 * 3, 10 * 3, 150 - 10 * 3) and sum(r[0] == 5 for r in rows) == 2
+    # Around a rectangle lie its four sides' strips and four quarters of a disc.
+    wide = {r[0]: r[1] for r in R.buffered_areas(plots, "ring", F.lit(10.0)).collect()}
+    quarters = wide[6] - 144 - 4 * 120
+    assert 3 not in wide and 300 < quarters < 330 and wide[1] == 1000 + 2 * 200 + 2 * 500 + quarters and wide[2] == 80_000 + 2 * 200 + 2 * 40_000 + quarters
