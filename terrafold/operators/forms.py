@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_value
+from ..functions.values import let
 from .extraction import WIDE
-from .location import first_pages, issue_sign, located, long_date
+from .location import MONTHS, first_pages, holds, issue_sign, located, long_date, plain
 
 #: Key, pattern (value in group 1), kind of value. A key's second pattern is for texts without a match of its first.
 PATTERNS = [
@@ -38,6 +39,12 @@ PATTERNS = [
     ("parking_wymagania", r"(miejsc[ae]\s+postojow[ey]ch[^\n]+|parking[^\n]+)", "trim"),
     ("strefy_ograniczenia", r"(strefa ochron[^\n\.]+|obszar ochron[^\n\.]+)", "trim"),
 ]
+#: What each pattern needs (plain), in the patterns' order; a pattern is tried only on texts that hold one of its words.
+PATTERN_WORDS = [
+    ("dla",), ("terenu",), ("–", "-"), ("obowiązuje", "zmiana", "brak"), ("uchwała",), ("przeznaczenie podstawowe",), ("–", "-"), ("przeznaczenie dopuszczalne",), ("zakaz", "nie dopuszcza"), ("funkcji",),
+    ("wysoko",), ("kondygnacji nadziemnych",), ("kondygnacji podziemnych",), ("kalenicy",), ("okapu",), ("intensywność zabudowy",), ("intensywność zabudowy",), ("intensywność zabudowy",), ("powierzchnia zabudowy",),
+    ("biologicznie",), ("szerokość elewacji frontowej",), ("szerokość elewacji frontowej",), ("linie zabudowy",), ("dach",), ("postojow", "parking"), ("strefa ochron", "obszar ochron"),
+]
 PATTERN_KEYS = list(dict.fromkeys(key for key, *_ in PATTERNS))
 CONFIDENCE = 0.7
 
@@ -57,11 +64,16 @@ def shaped(value: Column, kind: str) -> Column:
     return {"clean": clean_value(value), "upper": F.upper(value), "lower": F.lower(value), "trim": F.nullif(F.trim(value), F.lit("")), "number": number.cast("string")}[kind]
 
 
-def pattern_values(text: Column) -> dict[str, Column]:
-    """Each key's value as text, null where no pattern of it matches."""
+def shaper(kind: str):
+    return lambda x: shaped(F.when(x != "", x), kind)
+
+
+def pattern_values(text: Column, low: Column) -> dict[str, Column]:
+    """Each key's value as text, null where no pattern of it matches; low: the text's plain form."""
     found: dict[str, list[Column]] = {}
-    for key, pattern, kind in PATTERNS:
-        found.setdefault(key, []).append(shaped(F.nullif(F.regexp_extract(text, WIDE + pattern, 1), F.lit("")), kind))
+    for (key, pattern, kind), words in zip(PATTERNS, PATTERN_WORDS, strict=True):
+        value = let(F.regexp_extract(text, WIDE + pattern, 1), shaper(kind))
+        found.setdefault(key, []).append(F.when(holds(low, *words), value))
     return {key: F.coalesce(*some) for key, some in found.items()}
 
 
@@ -74,7 +86,7 @@ def as_form(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
 
 def pattern_form(pages: DataFrame) -> DataFrame:
     """The keys that patterns alone decide."""
-    return as_form(whole_texts(pages, " "), pattern_values(F.col("text")))
+    return as_form(whole_texts(pages, " ").withColumn("low_", plain(F.col("text"))), pattern_values(F.col("text"), F.col("low_")))
 
 
 def flat_form(pages: DataFrame) -> DataFrame:
@@ -83,11 +95,12 @@ def flat_form(pages: DataFrame) -> DataFrame:
     notatki tells how the location was found, evidence which of its parts were.
     """
     rows = located(pages.groupBy("doc_id").agg(one_text(" "), first_pages().alias("first_")), "text")
+    rows = rows.withColumn("low_", plain(F.col("text")))
     shown, _ = long_date(F.col("text"))
-    values = pattern_values(F.col("text"))
+    values = pattern_values(F.col("text"), F.col("low_"))
     told = F.array_compact(F.array(F.when(F.size("parcels") > 0, "parcels"), *(F.when(F.col(c).isNotNull(), c) for c in ("precinct", "street", "city"))))
     values |= {
-        "znak_sprawy": issue_sign(F.col("text")), "data_wydania": shown, "symbol_terenu": values["symbol_terenu_mpzp"],
+        "znak_sprawy": issue_sign(F.col("text")), "data_wydania": F.when(holds(F.col("low_"), *MONTHS), shown), "symbol_terenu": values["symbol_terenu_mpzp"],
         "numer_dzialki": F.get("parcels", F.lit(0)), "numery_dzialek": F.array_join("parcels", ","), "obreb_gmina": F.col("precinct"), "ulica": F.col("street"), "miejscowosc": F.col("city"),
         "location_confidence": F.col("confidence"), "evidence": F.array_join(told, ","), "notatki": F.concat(F.lit("score "), F.col("score").cast("string"), F.when(F.col("qualified"), "; subject window").otherwise("; best window")),
     }

@@ -452,7 +452,8 @@ def issue_sign(c: Column) -> Column:
     alone = r"^\s*([A-Z0-9]{1,8}(?:[-./][A-Z0-9]{1,12}){2,})\s*$"
     top = F.split(F.substr(c, F.lit(1), F.lit(1600)), "\n")
     signs = F.array_compact(F.transform(top, lambda x: clean_value(group(x, alone, 1))))
-    return F.coalesce(clean_value(group(c, label, 1)), F.get(F.filter(signs, lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]")), F.lit(0)))
+    labelled_ = F.when(holds(plain(c), "znak", "sygn"), clean_value(group(c, label, 1)))
+    return F.coalesce(labelled_, F.get(F.filter(signs, lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]")), F.lit(0)))
 
 
 #: Months of a written date.

@@ -42,3 +42,14 @@ def test_fields_from_anywhere(spark):
     r = P.key_sentences(spark.createDataFrame([(1, 1, page)], PAGES)).first()
     assert (r["numer_dzialki"], r["obreb"], r["ulica"], r["miejscowosc"], r["said"]) == ("31", "0044", "ul. Długa 7", "Gnieznie", None)
     assert {r[f"{k}_confidence"] for k in P.SURE} == {0.6}
+
+
+def test_each_pattern_needs_its_words(spark):
+    """Patterns are tried on texts with their words in any case only, and a form is made without a join."""
+    told = {"wydany_dla": "DLA: ANNA", "status_planu": "BRAK", "podstawa_prawna": "UCHWAŁA NR 7 Z 2020", "funkcje_zakazane": "NIE DOPUSZCZA SIĘ GARAŻY", "dach_typ": "DACH PŁASKI", "strefy_ograniczenia": "STREFA OCHRONY", "parking_wymagania": "PARKİNG 2"}
+    form = P.flat_form(spark.createDataFrame([(i, 1, text) for i, text in enumerate(told.values())], PAGES))
+    got = {(r["doc_id"], r["form_key"]): r["value"] for r in form.collect()}
+    for i, key in enumerate(told):
+        assert got[i, key], key
+    plan = form._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.lower().count("contains(") > 20
