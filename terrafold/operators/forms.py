@@ -39,9 +39,11 @@ PATTERNS = [
     ("parking_wymagania", r"(miejsc[ae]\s+postojow[ey]ch[^\n]+|parking[^\n]+)", "trim"),
     ("strefy_ograniczenia", r"(strefa ochron[^\n\.]+|obszar ochron[^\n\.]+)", "trim"),
 ]
+#: Dashes, and the place that both patterns with one look for.
+DASHES, DASHED = ("–", "-"), r"\b[A-Z]{1,3}(?:/[A-Z0-9]{1,3})?\s*[–-]\s*[^\n]+"
 #: What each pattern needs (plain), in the patterns' order; a pattern is tried only on texts that hold one of its words.
 PATTERN_WORDS = [
-    ("dla",), ("terenu",), ("–", "-"), ("obowiązuje", "zmiana", "brak"), ("uchwała",), ("przeznaczenie podstawowe",), ("–", "-"), ("przeznaczenie dopuszczalne",), ("zakaz", "nie dopuszcza"), ("funkcji",),
+    ("dla",), ("terenu",), DASHES, ("obowiązuje", "zmiana", "brak"), ("uchwała",), ("przeznaczenie podstawowe",), DASHES, ("przeznaczenie dopuszczalne",), ("zakaz", "nie dopuszcza"), ("funkcji",),
     ("wysoko",), ("kondygnacji nadziemnych",), ("kondygnacji podziemnych",), ("kalenicy",), ("okapu",), ("intensywność zabudowy",), ("intensywność zabudowy",), ("intensywność zabudowy",), ("powierzchnia zabudowy",),
     ("biologicznie",), ("szerokość elewacji frontowej",), ("szerokość elewacji frontowej",), ("linie zabudowy",), ("dach",), ("postojow", "parking"), ("strefa ochron", "obszar ochron"),
 ]
@@ -68,11 +70,17 @@ def shaper(kind: str):
     return lambda x: shaped(F.when(x != "", x), kind)
 
 
-def pattern_values(text: Column, low: Column) -> dict[str, Column]:
-    """Each key's value as text, null where no pattern of it matches; low: the text's plain form."""
+def prepared(rows: DataFrame) -> DataFrame:
+    """rows with low_, the text's plain form, and dashed_, the first place of a symbol with a dash, which two keys read."""
+    low = rows.withColumn("low_", plain(F.col("text")))
+    return low.withColumn("dashed_", F.when(holds(F.col("low_"), *DASHES), F.regexp_extract("text", WIDE + DASHED, 0)).otherwise(""))
+
+
+def pattern_values(text: Column, low: Column, dashed: Column) -> dict[str, Column]:
+    """Each key's value as text, null where no pattern of it matches; low and dashed: as prepared."""
     found: dict[str, list[Column]] = {}
     for (key, pattern, kind), words in zip(PATTERNS, PATTERN_WORDS, strict=True):
-        value = let(F.regexp_extract(text, WIDE + pattern, 1), shaper(kind))
+        value = let(F.regexp_extract(dashed if words == DASHES else text, WIDE + pattern, 1), shaper(kind))
         found.setdefault(key, []).append(F.when(holds(low, *words), value))
     return {key: F.coalesce(*some) for key, some in found.items()}
 
@@ -86,7 +94,7 @@ def as_form(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
 
 def pattern_form(pages: DataFrame) -> DataFrame:
     """The keys that patterns alone decide."""
-    return as_form(whole_texts(pages, " ").withColumn("low_", plain(F.col("text"))), pattern_values(F.col("text"), F.col("low_")))
+    return as_form(prepared(whole_texts(pages, " ")), pattern_values(F.col("text"), F.col("low_"), F.col("dashed_")))
 
 
 def flat_form(pages: DataFrame) -> DataFrame:
@@ -95,9 +103,10 @@ def flat_form(pages: DataFrame) -> DataFrame:
     notatki tells how the location was found, evidence which of its parts were.
     """
     rows = located(pages.groupBy("doc_id").agg(one_text(" "), first_pages().alias("first_")), "text")
-    rows = rows.withColumn("low_", plain(F.col("text")))
     shown, _ = long_date(F.col("text"))
-    values = pattern_values(F.col("text"), F.col("low_"))
+    values = pattern_values(F.col("text"), F.col("low_"), F.col("dashed_"))
+    rows = prepared(rows).withColumn("symbol_", values["symbol_terenu_mpzp"])
+    values["symbol_terenu_mpzp"] = F.col("symbol_")
     told = F.array_compact(F.array(F.when(F.size("parcels") > 0, "parcels"), *(F.when(F.col(c).isNotNull(), c) for c in ("precinct", "street", "city"))))
     values |= {
         "znak_sprawy": issue_sign(F.col("text")), "data_wydania": F.when(holds(F.col("low_"), *MONTHS), shown), "symbol_terenu": values["symbol_terenu_mpzp"],
